@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from quire.plans import content_queries, page_queries
 
 FLAGSHIP = "relationship_edges"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {**page_queries.QUERIES, **content_queries.QUERIES}
+ORACLES = {**page_queries.ORACLES, **content_queries.ORACLES}
