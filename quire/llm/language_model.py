@@ -35,7 +35,7 @@ from quire.llm.textkernel import U, Words, blocks, mix
 START, END = U(0x5354415254), U(0x454E44)
 GRID = 64
 #: Tokens a shard, and bytes of text a packet.
-SHARD_TOKENS, PACKET = 5_000_000, 8 << 20
+SHARD_TOKENS, PACKET = 2_000_000, 4 << 20
 _PACKET = "shard int, block long, held binary, doc_ids array<long>, n_tokens array<int>, words binary, runs binary, contexts binary, times binary, docs binary"
 
 
@@ -57,8 +57,7 @@ class EliasFano:
         n = len(v)
         top = int(v[-1]) if n else 0
         low = max(0, (top // max(n, 1)).bit_length() - 1)
-        bits = np.unpackbits((v[:, None] >> U(8) * np.arange(8, dtype=U)).astype(np.uint8), axis=1, bitorder="little")[:, :low]
-        body = np.packbits(bits.reshape(-1), bitorder="little")
+        body = np.concatenate([np.zeros(0, np.uint8), *(_low_bits(v[i : i + 65536], low) for i in range(0, n, 65536))])
         high = (v >> U(low)).astype(np.int64)
         unary = np.zeros(n + (int(high[-1]) if n else 0) + 1, np.uint8)
         unary[high + np.arange(n)] = 1
@@ -110,6 +109,12 @@ class EliasFano:
         return out
 
 
+def _low_bits(v: np.ndarray, low: int) -> np.ndarray:
+    """The low bits of numbers end to end; of a multiple of eight numbers they fill whole bytes."""
+    raw = np.ascontiguousarray(v.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    return np.packbits(np.unpackbits(raw, axis=1, bitorder="little")[:, :low].reshape(-1), bitorder="little")
+
+
 class Trie:
     """Two levels: words; and under each word the contexts it was seen after, as word * contexts + context."""
 
@@ -247,9 +252,10 @@ def _packet(number: int, parts: list[tuple], skip: np.ndarray, ids: pa.Array, ho
 def _score_shard(table: pa.Table, hot: dict[int, int], n: int, v: int, mu: float) -> pa.Table:
     """Builds the trie of a shard's training bigrams, looks all bigrams up, and sums by document."""
     word, context, times, docs, train, sizes = [], [], [], [], [], []
-    packets = [{c: table[c][i].as_py() for c in ("block", "held", "doc_ids", "n_tokens", "words", "runs", "contexts", "times", "docs")} for i in range(len(table))]
+    packets = []
     base = 0
-    for p in packets:
+    for i in range(len(table)):
+        p = {c: table[c][i].as_py() for c in table.column_names if c != "shard"}
         runs = np.frombuffer(p["runs"], "<u4")
         word.append(np.repeat(np.frombuffer(p["words"], U), runs))
         c = np.zeros((len(p["contexts"]) // 6, 8), np.uint8)
@@ -264,9 +270,11 @@ def _score_shard(table: pa.Table, hot: dict[int, int], n: int, v: int, mu: float
         docs.append(d.astype(np.int64) + base)
         sizes.append(len(held))
         base += len(held)
+        packets.append({c: p[c] for c in ("block", "held", "doc_ids", "n_tokens")})
     word, context, times, docs, train = (np.concatenate(x) for x in (word, context, times, docs, train))
     words, w = np.unique(word, return_inverse=True)
     contexts, c = np.unique(context, return_inverse=True)
+    end = words == END
     count = np.bincount(w, train, len(words))
     for k, x in hot.items():
         count[words == np.int64(k).view(U)] = x
@@ -279,16 +287,18 @@ def _score_shard(table: pa.Table, hot: dict[int, int], n: int, v: int, mu: float
     value = np.round(GRID * np.log10(both + share[pw]))
     trie = Trie(Trie.pack(words, contexts, pw, pc, value))
     # the same search a reader of a stored trie makes: by hash to places, then context-relative
+    del seen, pair, pairs, place, pw, pc, train
     got = trie.lookup(trie.words.find(word), trie.contexts.find(context))
+    del word, context, c
     unseen = np.round(GRID * np.log10(share)) / GRID
     log = np.where(np.isnan(got), unseen[w], got)
-    log = log - np.where(word == END, 0.0, np.log10(count + mu)[w])
+    log = log - np.where(end, 0.0, np.log10(count + mu))[w]
     each = lambda x: np.bincount(docs, np.repeat(x, times), base)
     score, unigram, known = each(log), each(np.log10(count + 1)[w]), each((count > 0)[w].astype(float))
     out, at = [], 0
     for p, size in zip(packets, sizes, strict=True):
         part = slice(at, at + size)
-        out.append({"block": p["block"], "doc_ids": p["doc_ids"], "n_tokens": p["n_tokens"], "held": p["held"], "sums": np.stack((score[part], unigram[part], known[part]))[:2].astype("<f8").tobytes(), "known": known[part].astype("<u4").tobytes()})
+        out.append({"block": p["block"], "doc_ids": p["doc_ids"], "n_tokens": p["n_tokens"], "held": p["held"], "sums": np.stack((score[part], unigram[part])).astype("<f8").tobytes(), "known": known[part].astype("<u4").tobytes()})
         at += size
     schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("held", pa.binary()), ("sums", pa.binary()), ("known", pa.binary())])
     return pa.Table.from_pylist(out, schema)
