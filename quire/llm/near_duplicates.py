@@ -4,8 +4,8 @@ Texts with the same shingle set are one class.  Shingles have one global order:
 documents first.  Two sets of at least the asked similarity share a shingle among the first
 ``n - ceil(t n) + 1`` of either (its prefix).  Classes with the same prefix and size form one group; groups meet
 in the buckets of their prefix shingles; group pairs are filtered by size and by how many prefix shingles they
-share (what is left of the sets bounds the rest), then expanded to their members, and the members' whole sets are
-compared.  The filters lose nothing, whatever the order of the shingles is; the order only decides the cost.
+share (what is left of the sets bounds the rest) and by 512 parities of the sets, then expanded to their members, and
+the members' whole sets are compared.  The filters lose nothing, whatever the order of the shingles is; the order only decides the cost.
 
 Hot shingles.  Boilerplate is last in the order and so leaves the prefixes of all texts that are not made of it.  The
 shingles of a large family of near copies stay: in each bucket of more than ``crowd`` groups a leader is
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.components import components
 from quire.llm.shared import drop, save, text_key
-from quire.llm.textkernel import U, Words, blocks, mix, shingle_sets
+from quire.llm.textkernel import U, Words, blocks, lists, mix, shingle_sets
 
 #: A shingle is common when it is repeated within partitions in at least one of so many documents.
 COMMON_SHARE, COMMON_LEAST = 10_000, 8
@@ -81,6 +81,23 @@ def set_id(s: np.ndarray) -> int:
         return int(mix(np.array([x.sum() ^ (mix(s).sum() << U(1))], U))[0].view(np.int64))
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """512 parities of a set: two sets differ in at least as many elements as their parities do in bits."""
+    bits = np.bincount((s >> U(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _close(a: str, b: str, n1: str, n2: str, num: int, den: int):
+    """False only for pairs whose parities differ in more bits than similar sets differ in elements; null parities pass."""
+    apart = " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(8))
+    return F.expr(f"coalesce({apart} <= {n1} + {n2} - 2 * {_enough(n1, n2, num, den)}, true)")
+
+
+def _enough(n1: str, n2: str, num: int, den: int) -> str:
+    """The least intersection of similar sets."""
+    return f"(({num}L * ({n1} + {n2}) + {num + den - 1}) div {num + den})"
+
+
 def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
@@ -94,12 +111,13 @@ def _prefixes(docs: DataFrame, shingle: int, num: int, den: int, common) -> Data
         kinds, counts = sent.value
         done: set[int] = set()
         for b in batches:
-            n, cls, grp, pre = [], [], [], []
+            n, cls, grp, pre, par = [], [], [], [], []
             for block in blocks(b.column(2)):
                 for s in shingle_sets(Words(block), shingle):
                     k = len(s)
                     n.append(k)
                     cls.append(set_id(s))
+                    par.append(parity(s))
                     if not k:
                         grp.append(0)
                         pre.append(None)
@@ -115,11 +133,11 @@ def _prefixes(docs: DataFrame, shingle: int, num: int, den: int, common) -> Data
                     pre.append(None if g in done else s.tobytes())
                     done.add(g)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(grp, pa.int64()), pa.array(pre, pa.binary())],
-                ["doc_id", "tkey", "n", "cls", "grp", "prefix"],
+                [b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(grp, pa.int64()), pa.array(pre, pa.binary()), lists(par, pa.int64())],
+                ["doc_id", "tkey", "n", "cls", "grp", "prefix", "parity"],
             )
 
-    return save(given.mapInArrow(build, "doc_id long, tkey long, n int, cls long, grp long, prefix binary"), "prefix")
+    return save(given.mapInArrow(build, "doc_id long, tkey long, n int, cls long, grp long, prefix binary, parity array<long>"), "prefix")
 
 
 def _exploded(pref: DataFrame) -> DataFrame:
@@ -212,15 +230,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     pref = _prefixes(docs, shingle, num, den, _common_shingles(docs, shingle))
     sets = _Sets(docs, pref.where("n > 0"), shingle, num, den)
     # members of groups; most groups have one
-    member = save(pref.where("n > 0").groupBy("grp", "cls").agg(F.first("n").alias("n")), "members")
-    heads = member.groupBy("grp").agg(F.min("cls").alias("head"), F.count("*").alias("k"))
+    member = save(pref.where("n > 0").groupBy("grp", "cls").agg(F.first("n").alias("n"), F.first("parity").alias("parity")), "members")
+    one = F.when(F.count("*") == 1, F.first("parity")).alias("parity")  # of groups of one class
+    heads = save(member.groupBy("grp").agg(F.min("cls").alias("head"), F.count("*").alias("k"), F.first("n").alias("hn"), one), "heads")
     # buckets with at least two groups, each group once
     rows = _exploded(pref)
     shared = rows.groupBy("s").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("s")
     bucket = save(rows.join(shared, "s").select("s", "grp", "n").distinct(), "buckets")
     links = [_inside(member, heads, sets, crowd)]
     label = None
-    spare = 20 * bucket.count()  # pairs that are compared as they are: a multiple of the rows
+    spare = 50 * bucket.count() + 10_000_000  # places where groups meet that are looked at as they are: in proportion to the rows
     for r in range(rounds):
         crowded = _crowded(bucket, label, crowd, r)
         n = crowded.agg(F.count("*"), F.coalesce(F.sum("work"), F.lit(0))).first()
@@ -229,7 +248,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         found = _star(bucket, label, crowded, heads, sets, num, den)
         links.append(found)
         label = _labels(spark, links, member)
-    links.append(_rest(bucket, label, member, sets, num, den))
+    links.append(_rest(bucket, label, member, heads, sets, num, den))
     edges = links[0]
     for x in links[1:]:
         edges = edges.union(x)
@@ -283,9 +302,10 @@ def _crowded(bucket: DataFrame, label: DataFrame | None, crowd: int, r: int) ->
 
 def _star(bucket: DataFrame, label: DataFrame | None, crowded: DataFrame, heads: DataFrame, sets: _Sets, num: int, den: int) -> DataFrame:
     pairs = _labelled(bucket, label).join(crowded.drop("work"), "s").select("grp", "n", "label", F.explode("leaders").alias("l")).select("grp", "n", "label", "l.*")
-    pairs = pairs.where("label <> ll").where(_size_fits("n", "ln", num, den)).select("leader", "grp").distinct()
-    head = heads.select("grp", "head")
-    pairs = pairs.join(head.withColumnRenamed("head", "b"), "grp").join(head.select(F.col("grp").alias("leader"), F.col("head").alias("a")), "leader")
+    pairs = pairs.where("label <> ll").where(_size_fits("n", "ln", num, den)).select("leader", "ln", "grp", "n").distinct()
+    head = heads.select("grp", "head", "parity")
+    near = (F.col("leader") == F.col("lead")) & _close("parity", "lparity", "n", "ln", num, den)
+    pairs = pairs.join(head.withColumnRenamed("head", "b"), "grp").join(head.select(F.col("grp").alias("lead"), F.col("head").alias("a"), F.col("parity").alias("lparity")), near)
     return sets.links(save(pairs.where("a <> b").select("a", "b").distinct(), "star"))
 
 
@@ -299,23 +319,22 @@ def _labels(spark: SparkSession, links: list[DataFrame], member: DataFrame) -> D
     return save(by.where("lo = hi and any is not null").select("grp", F.col("lo").alias("label")), "labels")
 
 
-def _rest(bucket: DataFrame, label: DataFrame | None, member: DataFrame, sets: _Sets, num: int, den: int) -> DataFrame:
+def _rest(bucket: DataFrame, label: DataFrame | None, member: DataFrame, heads: DataFrame, sets: _Sets, num: int, den: int) -> DataFrame:
     """All group pairs of unlike labels that share a bucket, filtered, expanded and compared."""
     rows = save(_labelled(bucket, label), "rest")
     by = rows.groupBy("s", "label").agg(F.count("*").alias("c"))
     top = by.groupBy("s").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("s", F.col("top.label").alias("top"))
-    open_ = save(rows.join(top, "s"), "rest")
-    few = open_.where("label <> top").select("s", F.col("grp").alias("g1"), F.col("n").alias("n1"), F.col("label").alias("l1"))
-    all_ = open_.select("s", F.col("grp").alias("g2"), F.col("n").alias("n2"), F.col("label").alias("l2"), F.col("top").alias("top2"))
+    open_ = save(rows.join(top, "s").join(heads.select("grp", "parity"), "grp"), "rest")
+    few = open_.where("label <> top").select("s", F.col("grp").alias("g1"), F.col("n").alias("n1"), F.col("label").alias("l1"), F.col("parity").alias("p1"))
+    all_ = open_.select("s", F.col("grp").alias("g2"), F.col("n").alias("n2"), F.col("label").alias("l2"), F.col("top").alias("top2"), F.col("parity").alias("p2"))
     # of two rows outside the commonest label only one order counts
     once = F.expr("l2 = top2 or g1 < g2")
-    meet = few.join(all_, "s").where(F.expr("l1 <> l2")).where(once).where(_size_fits("n1", "n2", num, den))
+    meet = few.join(all_, "s").where(F.expr("l1 <> l2")).where(once).where(_size_fits("n1", "n2", num, den)).where(_close("p1", "p2", "n1", "n2", num, den))
     pairs = meet.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2"), F.expr("if(g1 < g2, n1, n2)").alias("n1"), F.expr("if(g1 < g2, n2, n1)").alias("n2"))
     pairs = pairs.groupBy("g1", "g2", "n1", "n2").agg(F.count("*").alias("both"))
     # beyond the prefixes at most n - prefix more can be shared: prefix = n - ceil(t n) + 1
     left = lambda n: f"(({num}L * {n} + {den - 1}) div {den} - 1)"
-    enough = f"({num}L * (n1 + n2) + {num + den - 1}) div {num + den}"
-    pairs = pairs.where(F.expr(f"both + greatest({left('n1')}, {left('n2')}) >= {enough}"))
+    pairs = pairs.where(F.expr(f"both + greatest({left('n1')}, {left('n2')}) >= {_enough('n1', 'n2', num, den)}"))
     m = member.select("grp", "cls")
     pairs = pairs.join(m.select(F.col("grp").alias("g1"), F.col("cls").alias("a")), "g1").join(m.select(F.col("grp").alias("g2"), F.col("cls").alias("b")), "g2")
     pairs = save(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
