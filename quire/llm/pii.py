@@ -207,17 +207,17 @@ class Trees:
         return best
 
 
-def train_trees(docs: DataFrame, rounds: int = 24, precision: float = 0.95) -> Trees:
+def train_trees(docs: DataFrame, rounds: int = 24, precision: float = 0.95, given: DataFrame | None = None) -> Trees:
     """Trees from the base matches of all documents; what reaches the driver has at most ``FEATURE_VECTORS`` rows."""
-    span = candidates(docs.select("text")).select(F.explode("__spans").alias("s")).where("s.valid is not null").select("s.*")
+    span = (candidates(docs.select("text")) if given is None else given).select(F.explode("__spans").alias("s")).where("s.valid is not null").select("s.*")
     counts = span.groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum(F.col("valid").cast("long")).alias("y"))
     return Trees().fit([r.asDict() for r in counts.orderBy(*FEATURES).collect()], rounds, precision)
 
 
-def find_spans(docs: DataFrame, trees: Trees) -> DataFrame:
+def find_spans(docs: DataFrame, trees: Trees, given: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (kind, start, end, p) by kind and start, in code points, ends
     exclusive.  Among the candidates that pass and overlap, or overlap a base span of their kind, the likeliest stays."""
-    given = candidates(docs)
+    given = candidates(docs) if given is None else given
     limit = "case s.kind " + " ".join(f"when {i} then {t!r}D" for i, t in enumerate(trees.thresholds)) + " end"
     one = "named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'p', {p})"
     base = f"transform(filter(__spans, s -> coalesce(s.valid, false)), s -> {one.format(p='1D')})"
