@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.shared import save
+
 #: Fixed values of the contract: kinds in order, with their patterns in linear form.
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -239,8 +241,13 @@ def joined(spans: str) -> str:
 
 
 def redact(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
-    """``docs`` with every span of its text replaced by its kind in brackets; columns and rows as before."""
-    found = find_spans(docs, trees or train_trees(docs))
+    """``docs`` with every span of its text replaced by its kind in brackets; columns and rows as before.
+
+    The patterns run once: their candidates are saved.  Other columns travel in one struct, whatever their names."""
+    others = F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    inner = docs.select(others.alias("__row"), "text")
+    given = save(candidates(inner).drop("__t"), "spans").withColumn("__t", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = find_spans(inner, trees or train_trees(inner, given=given), given)
     # spans of different kinds can overlap: ranges merge, the first kind names them
     order = "transform(array_sort(transform(spans, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind))), s -> s)"
     grow = (
@@ -257,4 +264,4 @@ def redact(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
     sections = f"transform(sequence(0, cast((size(__m) - 1) div 64 as int)), b -> {section})"
     piece = f"array_join(transform(c.m, (s, i) -> concat(substring(c.t, if(i = 0, 0, element_at(c.m, greatest(1, i)).end - c.o) + 1, s.start - if(i = 0, c.o, element_at(c.m, greatest(1, i)).end)), {tag})), '')"
     text = f"if(size(__m) = 0, text, concat(array_join(transform({sections}, c -> {piece}), ''), substring(__t, element_at(__m, -1).end + 1, char_length(__t))))"
-    return found.withColumn("text", F.expr(text)).select(*docs.columns)
+    return found.withColumn("text", F.expr(text)).select(*(F.col("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))

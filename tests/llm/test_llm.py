@@ -487,3 +487,9 @@ def test_pipeline_stages_keep_their_contract(spark):
         now = spark.createDataFrame(rows, d.schema)
     packed = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in now.collect()}
+
+
+def test_redaction_keeps_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "write to ann@site.org now", "b", "s", "t"), (2, None, None, None, None)], "doc_id long, text string, base string, spans string, __t string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in pii.redact(docs).collect()}
+    assert got == {1: ("write to [EMAIL] now", "b", "s", "t"), 2: (None, None, None, None)}
