@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.plans import content_queries, page_queries
+from quire.plans import content_queries, page_queries, table_queries
 
 FLAGSHIP = "relationship_edges"
-QUERIES = {**page_queries.QUERIES, **content_queries.QUERIES}
-ORACLES = {**page_queries.ORACLES, **content_queries.ORACLES}
+QUERIES = {**page_queries.QUERIES, **content_queries.QUERIES, **table_queries.QUERIES}
+ORACLES = {**page_queries.ORACLES, **content_queries.ORACLES, **table_queries.ORACLES}
