@@ -159,15 +159,14 @@ def _size_fits(a: str, b: str, num: int, den: int):
 class _Sets:
     """Whole sets of the classes that a batch of pairs names, and the exact comparison."""
 
-    def __init__(self, docs: DataFrame, pref: DataFrame, shingle: int, num: int, den: int):
-        self.docs, self.shingle, self.num, self.den = docs, shingle, num, den
-        self.keys = pref.groupBy("cls").agg(F.min("tkey").alias("tkey"))
+    def __init__(self, docs: DataFrame, keys: DataFrame, shingle: int, num: int, den: int):
+        self.docs, self.keys, self.shingle, self.num, self.den = docs, keys, shingle, num, den
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that are similar enough."""
         spark, num, den = self.docs.sparkSession, self.num, self.den
         asked = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        wanted = asked.join(self.keys, "cls").select("cls", "tkey")
+        wanted = save(asked.join(self.keys, "cls").select("cls", "tkey"), "wanted")
         bloom = spark.sparkContext.broadcast(_bloom(wanted))
         given = self.docs.select(text_key().alias("tkey"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
         shingle = self.shingle
@@ -204,7 +203,7 @@ class _Sets:
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
         out = save(both.mapInArrow(compare, "a long, b long"), "links")
-        drop(sets)
+        drop(sets, wanted)
         return out
 
 
@@ -228,9 +227,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     """
     spark = docs.sparkSession
     pref = _prefixes(docs, shingle, num, den, _common_shingles(docs, shingle))
-    sets = _Sets(docs, pref.where("n > 0"), shingle, num, den)
-    # members of groups; most groups have one
-    member = save(pref.where("n > 0").groupBy("grp", "cls").agg(F.first("n").alias("n"), F.first("parity").alias("parity")), "members")
+    # members of groups, one row a class (equal sets have equal prefixes) with the key of one of its texts; most groups have one
+    member = save(pref.where("n > 0").groupBy("grp", "cls").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.min("tkey").alias("tkey")), "members")
+    sets = _Sets(docs, member.select("cls", "tkey"), shingle, num, den)
     one = F.when(F.count("*") == 1, F.first("parity")).alias("parity")  # of groups of one class
     heads = save(member.groupBy("grp").agg(F.min("cls").alias("head"), F.count("*").alias("k"), F.first("n").alias("hn"), one), "heads")
     # buckets with at least two groups, each group once
@@ -240,6 +239,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     links = [_inside(member, heads, sets, crowd)]
     label = None
     spare = 50 * bucket.count() + 10_000_000  # places where groups meet that are looked at as they are: in proportion to the rows
+    if _meetings(bucket, crowd) <= spare:
+        rounds = 0
     for r in range(rounds):
         crowded = _crowded(bucket, label, crowd, r)
         n = crowded.agg(F.count("*"), F.coalesce(F.sum("work"), F.lit(0))).first()
@@ -290,6 +291,12 @@ def _labelled(bucket: DataFrame, label: DataFrame | None) -> DataFrame:
     return bucket.join(label, "grp", "left").withColumn("label", F.coalesce("label", "grp"))
 
 
+def _meetings(bucket: DataFrame, crowd: int) -> int:
+    """Places where groups meet in crowded buckets while each group is its own label."""
+    m = bucket.groupBy("s").agg(F.count("*").alias("m")).where(F.col("m") > crowd)
+    return m.agg(F.coalesce(F.expr("sum((m - 1) * m)"), F.lit(0))).first()[0]
+
+
 def _crowded(bucket: DataFrame, label: DataFrame | None, crowd: int, r: int) -> DataFrame:
     """Buckets of more than ``crowd`` groups and more than one label, with the pairs that would be left, and leaders:
     by each of ``LEADERS`` hashes the first group of the first label that is not the commonest."""
