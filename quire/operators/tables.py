@@ -75,3 +75,29 @@ def connector_relation(label: Column) -> Column:
         F.when(t.isin("yes", "no"), "decision").when(t.isin("next", "continue"), "process_flow").when(F.contains(t, F.lit("cause")), "cause_effect")
         .when(F.contains(t, F.lit("approve")) | F.contains(t, F.lit("reject")), "decision").otherwise("flow")
     )
+
+
+def cell_model(cells: DataFrame, width: float, row_height: float) -> DataFrame:
+    """Cells with role and place: header rows first, then the first column; columns share the width evenly."""
+    depth = header_depth(table_rows(cells)).groupBy("table_id").agg(F.greatest(F.first("depth"), F.lit(1)).alias("depth"), F.first("n_cols").alias("n_cols"))
+    role = F.when(F.col("row") < F.col("depth"), "header").when(F.col("col") == 0, "row_header").otherwise("data")
+    own = width / F.col("n_cols")
+    return cells.join(depth, "table_id").select(
+        "table_id", "row", "col", role.alias("role"), F.trim("text").alias("text"), (F.col("col") * own).alias("x"), (F.col("row") * F.lit(row_height)).alias("y"),
+        own.alias("width"), F.lit(row_height).alias("height"),
+    )
+
+
+def likely_tables(cells: DataFrame) -> DataFrame:
+    """Whether rows of filled cells are a table: two rows, one with two cells, four cells, and not a small set that is mostly figures."""
+    rows = table_rows(cells).withColumn("words", F.filter(F.split(F.array_join("filled", " "), "[\\t\\n ]+"), lambda w: w != ""))
+    figure = F.filter("words", lambda w: F.contains(w, F.lit("%")) | (F.replace(w, F.lit("."), F.lit("")).rlike("^[0-9]+$") & (F.length(w) <= 3)))
+    t = rows.groupBy("table_id").agg(F.first("n_rows").alias("n_rows"), F.max(F.size("filled")).alias("widest"), F.sum(F.size("filled")).alias("n_cells"), F.sum(F.size("words")).alias("n"), F.sum(F.size(figure)).alias("k"))
+    chart = (10 * F.col("k") > 7 * F.col("n")) & (F.col("n_cells") < 12)
+    return t.select("table_id", "n_cells", ((F.col("n_rows") >= 2) & (F.col("widest") > 1) & (F.col("n_cells") >= 4) & ~chart).alias("likely"))
+
+
+def series_by_category(points: DataFrame) -> DataFrame:
+    """A value for every series and category of a chart; "0" where there is none.  A chart's categories go to its series as one array."""
+    every = points.groupBy("series").agg(F.lit(1).alias("one")).join(points.agg(F.collect_set("category").alias("all")).withColumn("one", F.lit(1)), "one")
+    return every.select("series", F.explode("all").alias("category")).join(points, ["series", "category"], "left").select("series", "category", F.coalesce("value", F.lit("0")).alias("value"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import tables
+from quire.sources import sinks
+from quire.sources.elements import ELEMENTS_SQL, elements_from_events
 
 
 def cells_from_orders(spark, sf_dir: str):
@@ -32,7 +34,29 @@ def connector_relations(spark, sf_dir):
     return c.select("o_orderkey", tables.connector_relation(F.col("label")).alias("relation"))
 
 
-QUERIES = {f.__name__: f for f in (table_profile, section_rows, connector_relations)}
+def table_markdown(spark, sf_dir):
+    return sinks.markdown(cells_from_orders(spark, sf_dir))
+
+
+def cell_model(spark, sf_dir):
+    return tables.cell_model(cells_from_orders(spark, sf_dir), 960.0, 24.0)
+
+
+def likely_tables(spark, sf_dir):
+    return tables.likely_tables(cells_from_orders(spark, sf_dir))
+
+
+def series_values(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    points = li.where("l_linenumber > 1").groupBy(F.col("l_returnflag").alias("series"), F.date_format("l_shipdate", "yyyy-MM").alias("category")).agg(F.count("*").cast("string").alias("value"))
+    return tables.series_by_category(points)
+
+
+def page_records(spark, sf_dir):
+    return sinks.page_records(elements_from_events(spark, sf_dir).select("document_id", "slide_number", "ord", "element_type", "text"))
+
+
+QUERIES = {f.__name__: f for f in (table_profile, section_rows, connector_relations, table_markdown, cell_model, likely_tables, series_values, page_records)}
 
 _ROWS = """cells AS (SELECT o_custkey AS table_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS r,
   [CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END, CASE WHEN o_orderkey % 4 < 2 THEN '' ELSE o_orderstatus END,
@@ -57,4 +81,18 @@ l AS (SELECT *, CASE WHEN regexp_matches(array_to_string(c, ' '), '\b(DoD|BoP|TO
 SELECT table_id, r AS "row", label, 4 AS columns_spanned FROM l WHERE label IS NOT NULL""",
     "connector_relations": """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'decision' WHEN 1 THEN 'decision' WHEN 2 THEN 'process_flow' WHEN 3 THEN 'cause_effect'
   WHEN 4 THEN 'decision' WHEN 5 THEN 'decision' ELSE 'flow' END AS relation FROM orders""",
+    "table_markdown": f"""WITH {_ROWS}, l AS (SELECT table_id, r, '| ' || array_to_string(c, ' | ') || ' |' AS line FROM rs)
+SELECT table_id, string_agg(CASE WHEN r = 0 THEN line || chr(10) || '| --- | --- | --- | --- |' ELSE line END, chr(10) ORDER BY r) AS markdown FROM l GROUP BY 1""",
+    "cell_model": f"""WITH {_ROWS},
+d AS (SELECT *, greatest(1, coalesce(min(CASE WHEN r >= 4 OR r >= n_rows - 1 OR 2 * len(list_distinct(f)) >= 4 THEN r END) OVER (PARTITION BY table_id), least(n_rows, 4))) AS depth FROM rs),
+u AS (SELECT *, unnest([0, 1, 2, 3]) AS col FROM d)
+SELECT table_id, r AS "row", col, CASE WHEN r < depth THEN 'header' WHEN col = 0 THEN 'row_header' ELSE 'data' END AS role, trim(c[col + 1]) AS text, col * 240.0::DOUBLE AS x, r * 24.0::DOUBLE AS y, 240.0::DOUBLE AS width, 24.0::DOUBLE AS height FROM u""",
+    "likely_tables": f"""WITH {_ROWS}, w AS (SELECT table_id, n_rows, f, [x FOR x IN string_split(array_to_string(f, ' '), ' ') IF x <> ''] AS w FROM rs),
+t AS (SELECT table_id, first(n_rows) AS n_rows, max(len(f)) AS widest, CAST(sum(len(f)) AS BIGINT) AS cells, sum(len(w)) AS words,
+  sum(len([x FOR x IN w IF contains(x, '%') OR (regexp_matches(replace(x, '.', ''), '^[0-9]+$') AND length(x) <= 3)])) AS figures FROM w GROUP BY 1)
+SELECT table_id, cells AS n_cells, n_rows >= 2 AND widest > 1 AND cells >= 4 AND NOT (10 * figures > 7 * words AND cells < 12) AS likely FROM t""",
+    "series_values": """WITH p AS (SELECT l_returnflag AS series, strftime(l_shipdate, '%Y-%m') AS category, count(*) AS n FROM lineitem WHERE l_linenumber > 1 GROUP BY 1, 2)
+SELECT s.series, c.category, coalesce(CAST(n AS VARCHAR), '0') AS value FROM (SELECT DISTINCT series FROM p) s CROSS JOIN (SELECT DISTINCT category FROM p) c LEFT JOIN p ON p.series = s.series AND p.category = c.category""",
+    "page_records": f"""WITH {ELEMENTS_SQL} SELECT document_id, slide_number, '{{"document_id":' || document_id || ',"slide_number":' || slide_number || ',"elements":[' ||
+  string_agg('{{"ord":' || ord || ',"element_type":"' || element_type || '","text":"' || text || '"}}', ',' ORDER BY ord) || ']}}' AS record FROM el GROUP BY 1, 2""",
 }
