@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.sources.elements import PAGE
 
 #: Counter by element type.
-COUNTERS = {"text_box": "text_boxes", "shape": "shapes", "image": "images", "table": "tables", "connector": "connectors"}
+COUNTERS = {"text_box": "text_boxes", "shape": "shapes", "image": "images", "table": "tables", "connector": "connectors", "chart": "charts"}
 
 
 def _page() -> Window:
@@ -19,8 +19,8 @@ def inventory(elements: DataFrame) -> DataFrame:
     """Counts by element type and the page's slide type."""
     counts = elements.groupBy(*PAGE).agg(F.count("*").alias("total"), *(F.count_if(F.col("element_type") == t).alias(n) for t, n in COUNTERS.items()), F.count_if(~F.col("element_type").isin(*COUNTERS)).alias("unknown"))
     kind = (
-        F.when(F.col("total") == 0, "blank").when((F.col("tables") > 0) & (F.col("images") > 0), "mixed_content").when(F.col("tables") > 0, "table_slide")
-        .when((F.col("connectors") > 1) & (F.col("shapes") > 1), "diagram").when(F.col("images") > 0, "image_slide").otherwise("text_slide")
+        F.when(F.col("tables") > 0, "table_slide").when(F.col("charts") > 0, "chart_slide").when(F.col("connectors") > 3, "flowchart")
+        .when(F.col("images") > 3, "image_heavy").otherwise("general")
     )
     return counts.withColumn("slide_type", kind)
 
@@ -71,7 +71,7 @@ def layers(elements: DataFrame, canvas_area: float = 12192000.0 * 6858000.0) ->
     share = F.expr("width * height") / canvas_area
     layer = (
         F.when(F.col("element_type") == "image", "Images").when(F.col("element_type") == "table", "Tables").when(F.col("element_type") == "connector", "Lines")
-        .when(F.col("element_type") == "text_box", "Text").when(share > 0.8, "Background").when(share > 0.04, "Large panels").otherwise("Shapes")
+        .when(F.col("element_type") == "text_box", "Text").when(F.col("element_type") == "icon", "Icons").when(share > 0.8, "Background").when(share > 0.25, "Large panels").otherwise("Shapes")
     )
     return elements.select(*PAGE, "element_id", layer.alias("layer"))
 

@@ -100,11 +100,11 @@ _EDGE_COLUMNS = "document_id, slide_number, relationship_type, source_element_id
 
 ORACLES = {
     "inventory_by_page": _sql(
-        """SELECT *, CASE WHEN total = 0 THEN 'blank' WHEN tables > 0 AND images > 0 THEN 'mixed_content' WHEN tables > 0 THEN 'table_slide'
-      WHEN connectors > 1 AND shapes > 1 THEN 'diagram' WHEN images > 0 THEN 'image_slide' ELSE 'text_slide' END AS slide_type FROM c""",
+        """SELECT *, CASE WHEN tables > 0 THEN 'table_slide' WHEN charts > 0 THEN 'chart_slide' WHEN connectors > 3 THEN 'flowchart'
+      WHEN images > 3 THEN 'image_heavy' ELSE 'general' END AS slide_type FROM c""",
         """c AS (SELECT document_id, slide_number, count(*) AS total, count(*) FILTER (element_type = 'text_box') AS text_boxes, count(*) FILTER (element_type = 'shape') AS shapes,
-      count(*) FILTER (element_type = 'image') AS images, count(*) FILTER (element_type = 'table') AS tables, count(*) FILTER (element_type = 'connector') AS connectors,
-      count(*) FILTER (element_type NOT IN ('text_box', 'shape', 'image', 'table', 'connector')) AS unknown FROM el GROUP BY 1, 2)""",
+      count(*) FILTER (element_type = 'image') AS images, count(*) FILTER (element_type = 'table') AS tables, count(*) FILTER (element_type = 'connector') AS connectors, count(*) FILTER (element_type = 'chart') AS charts,
+      count(*) FILTER (element_type NOT IN ('text_box', 'shape', 'image', 'table', 'connector', 'chart')) AS unknown FROM el GROUP BY 1, 2)""",
     ),
     "region_by_element": _sql(f"SELECT document_id, slide_number, element_id, {_REGION} AS region FROM el"),
     "layout_type_by_page": _sql(
@@ -125,8 +125,8 @@ ORACLES = {
         "p AS (SELECT document_id, slide_number, element_id, round_even(greatest(0, x / 9525.0), 3) AS x, round_even(greatest(0, y / 9525.0), 3) AS y, round_even(greatest(0, width / 9525.0), 3) AS width, round_even(greatest(0, height / 9525.0), 3) AS height FROM el)",
     ),
     "layers": _sql(
-        """SELECT document_id, slide_number, element_id, CASE element_type WHEN 'image' THEN 'Images' WHEN 'table' THEN 'Tables' WHEN 'connector' THEN 'Lines' WHEN 'text_box' THEN 'Text'
-      ELSE CASE WHEN width * height / (12192000.0 * 6858000.0) > 0.8 THEN 'Background' WHEN width * height / (12192000.0 * 6858000.0) > 0.04 THEN 'Large panels' ELSE 'Shapes' END END AS layer FROM el"""
+        """SELECT document_id, slide_number, element_id, CASE element_type WHEN 'image' THEN 'Images' WHEN 'table' THEN 'Tables' WHEN 'connector' THEN 'Lines' WHEN 'text_box' THEN 'Text' WHEN 'icon' THEN 'Icons'
+      ELSE CASE WHEN width * height / (12192000.0 * 6858000.0) > 0.8 THEN 'Background' WHEN width * height / (12192000.0 * 6858000.0) > 0.25 THEN 'Large panels' ELSE 'Shapes' END END AS layer FROM el"""
     ),
     "union_box_by_type": _sql("SELECT document_id, slide_number, element_type, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height, count(*) AS members FROM el GROUP BY 1, 2, 3"),
     "proximity_groups": _sql(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import content_queries, form_queries, page_queries, table_queries
+from quire.plans import content_queries, form_queries, page_queries, rule_queries, table_queries
 
 FLAGSHIP = "relationship_edges"
-_ALL = (page_queries, content_queries, table_queries, form_queries)
+_ALL = (page_queries, content_queries, table_queries, form_queries, rule_queries)
 QUERIES = {name: query for m in _ALL for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _ALL for name, sql in m.ORACLES.items()}
