@@ -59,7 +59,8 @@ def kv_pairs(spark, sf_dir):
 
 
 def list_items(spark, sf_dir):
-    return forms.list_items(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    text = F.concat(F.lit(" 1. "), "o_orderpriority", F.lit("\n-"), "o_orderstatus", F.lit("\n\n2024 plain\n3) • both"))
+    return forms.list_items(read(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "o_orderkey")
 
 
 def text_figures(spark, sf_dir):
@@ -148,8 +149,7 @@ SELECT p_partkey, {_HEX.format("p_partkey * 7919")} AS color, r, g, b, light, CA
     "kv_pairs": """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 9 <> 4 AND o_orderkey IS NOT NULL)
 SELECT o_orderkey, 1::BIGINT AS n, 'Status' AS label, o_orderstatus || ' then' AS value FROM o
 UNION ALL SELECT o_orderkey, 2, 'Priority', o_orderpriority || ' x:y' FROM o""",
-    "list_items": rf"""WITH {_LINE}, c AS (SELECT doc_id, pos, line, regexp_replace(regexp_replace(line, '^[0-9]+[.)][\t ]*', ''), '^[•*-][\t ]*', '') AS item FROM lines)
-SELECT doc_id, pos, item FROM c WHERE item <> line""",
+    "list_items": """SELECT o_orderkey, 0 AS pos, o_orderpriority AS item FROM orders UNION ALL SELECT o_orderkey, 1, o_orderstatus FROM orders UNION ALL SELECT o_orderkey, 4, 'both' FROM orders""",
     "text_figures": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 q AS (SELECT doc_id, t, [regexp_replace(m, '^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$', '', 'g') FOR m IN regexp_extract_all(t, '([^.\n"]+\?)', 1)] AS a FROM t),
 d AS (SELECT *, [x FOR x, i IN a IF list_position(a, x) = i] AS u FROM q)
