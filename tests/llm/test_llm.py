@@ -474,6 +474,39 @@ def brute_removed(rows, least):
     return {d: len(gone[d]) for d in own}
 
 
+def windows_of(text, n=50):
+    w = SPACE.findall(lower(text or ""))
+    return [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
+
+
+def test_repeated_windows_of_fifty_words_lose_words_anywhere(spark, docs):
+    r = np.random.default_rng(8)
+    say = lambda n: " ".join(f"w{x}" for x in r.integers(0, 1e9, n))
+    plain, line, two = say(60), say(55), say(40) + ". " + say(40)
+    han = "".join(chr(0x4E00 + x) for x in r.integers(0, 20000, 120))
+    shared = [plain, "\n" + line + "\n", two, han, plain.replace(" ", "\n", 30)]
+    rows = [(2 * k + i, say(30 + i) + f" {p} " + say(33 - i)) for k, p in enumerate(shared[:4]) for i in (0, 1)] + [(8, say(9) + " " + shared[4]), (9, say(90))]
+    got = {x["doc_id"]: x for x in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["cut_words"] > 0 for i, _ in rows] == [False, True] * 4 + [True, False]
+    for k in (0, 1, 2):  # what stays of a passage is its edges, and nothing else goes
+        left, p = SPACE.findall(got[2 * k + 1]["text"]), SPACE.findall(shared[k])
+        assert sum(w in left for w in p) <= 30 and all(w in left for w in SPACE.findall(rows[2 * k + 1][1]) if w not in p)
+    assert got[9]["text"] == rows[9][1] and got[0]["text"] == rows[0][1]
+    # texts under one id stay apart
+    same = spark.createDataFrame([(1, say(20) + f" {plain} " + say(20)), (1, say(25) + f" {plain} " + say(20)), (None, say(18) + f" {plain}")], "doc_id long, text string")
+    assert sorted(x["cut_words"] > 0 for x in substring_dedup.dedup_substrings(same).collect()) == [False, True, True]
+    # against brute force: no window of an earlier document stays whole in a later one
+    texts = {x["doc_id"]: x["text"] for x in docs.collect()}
+    cut = {x["doc_id"]: x for x in substring_dedup.dedup_substrings(docs.select("doc_id", "text")).collect()}
+    seen, held = set(), 0
+    for d in sorted(texts):
+        own = set(windows_of(texts[d]))
+        held += bool(own & seen)
+        assert not set(windows_of(cut[d]["text"])) & own & seen, d
+        seen |= own
+    assert held > 0
+
+
 def test_pipeline_stages_keep_their_contract(spark):
     import corpus_pipeline
 
