@@ -31,8 +31,15 @@ def keywords(docs: DataFrame, k: int = 12) -> DataFrame:
 
 def similarity(a: Column, b: Column) -> Column:
     """Common distinct words over the larger number of distinct words; 1 where both have none."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), F.lit(0)))
-    x, y = words(a), words(b)
+    return shared_words(distinct_words(a), distinct_words(b))
+
+
+def distinct_words(c: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), F.lit(0)))
+
+
+def shared_words(x: Column, y: Column) -> Column:
+    """``similarity`` of arrays of distinct words."""
     most = F.greatest(F.size(x), F.size(y))
     return F.when(most == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / most)
 

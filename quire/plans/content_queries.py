@@ -32,6 +32,13 @@ def text_similarity(spark, sf_dir):
     return met.select("doc_id", "item_id", F.bround(content.similarity(F.col("text"), F.col("item")), 6).alias("similarity"))
 
 
+def text_similarity_all(spark, sf_dir):
+    """Every document with every benchmark item; words are taken once a text."""
+    d = read(spark, sf_dir, "documents").select("doc_id", content.distinct_words(F.col("text")).alias("x"))
+    b = read(spark, sf_dir, "benchmark").select("item_id", content.distinct_words(F.col("text")).alias("y"))
+    return d.crossJoin(b).select("doc_id", "item_id", F.bround(content.shared_words(F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
 def fingerprints(spark, sf_dir):
     return content.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -87,7 +94,7 @@ def multipage_stitch(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (text_lines, garbled_lines, keywords, text_similarity, fingerprints, ocr_currency_repair, doc_sections, nested_turns, chart_profile, flow_degree, flow_type, palette, merged_cell_grid, multipage_stitch)
+    for f in (text_lines, garbled_lines, keywords, text_similarity, text_similarity_all, fingerprints, ocr_currency_repair, doc_sections, nested_turns, chart_profile, flow_degree, flow_type, palette, merged_cell_grid, multipage_stitch)
 }
 
 _LINES = r"""ln AS (SELECT doc_id, p, regexp_replace(line, '^[ \t\r]+|[ \t\r]+$', '', 'g') AS line FROM (
@@ -148,3 +155,5 @@ SELECT doc, page, next_page FROM n WHERE next_page = page + 1 AND len(headers) =
 #: The engines' back references differ before a digit: replace each letter on its own instead.
 ORACLES["ocr_currency_repair"] = """WITH r AS (SELECT 'S' || translate(CAST(CAST(trunc(l_extendedprice) AS BIGINT) AS VARCHAR), '0', 'o') AS read, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT read, '$' || replace(substr(read, 2), 'o', '0') AS repaired, n FROM r"""
+#: The same over all pairs.
+ORACLES["text_similarity_all"] = ORACLES["text_similarity"].replace("d.doc_id % 40 = b.item_id", "TRUE")

@@ -67,6 +67,14 @@ def test_currency_repair(spark):
     assert [r[0] for r in df.select(content.currency_repair(df.t)).collect()] == ["$105", "$400", "$o", "note"]
 
 
+def test_similarity_meets_every_item(spark, tmp_path):
+    texts = ["red green blue", "one two", "Red one", ""]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(90, "one two"), (91, "blue red green")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in registry.QUERIES["text_similarity_all"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 90): 0, (0, 91): 1, (1, 90): 1, (1, 91): 0, (2, 90): 0.5, (2, 91): 0.333333, (3, 90): 0, (3, 91): 0}
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
