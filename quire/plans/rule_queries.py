@@ -11,19 +11,34 @@ from quire.plans.page_queries import ORACLES as PAGES
 from quire.sources.elements import ELEMENTS_SQL, elements_from_events
 
 
-def page_archetype(spark, sf_dir):
-    """Pages of the events, titled by integer arithmetic."""
+def _archetypes(spark, sf_dir, among):
     title = F.expr("element_at(array('Agenda', 'Governance', 'Process flow', 'Road map', 'Roadmap', 'Matrix', 'Next steps', 'Opportunity', null), cast(slide_number % 9 + 1 as int))")
     e = elements_from_events(spark, sf_dir)
-    kind = lambda t: F.count_if(F.expr(f"element_type = '{t}' and ord % 3 = 0"))
+    kind = lambda t: F.count_if(F.expr(f"element_type = '{t}' and {among}"))
     return classify.page_archetype(e.groupBy("document_id", "slide_number").agg(kind("image").alias("charts"), kind("table").alias("tables")).withColumn("title", title))
 
 
+def page_archetype(spark, sf_dir):
+    """Pages of the events, titled by integer arithmetic; charts and tables of every third element, as the SQL has it."""
+    return _archetypes(spark, sf_dir, "ord % 3 = 0")
+
+
+def page_archetype_all(spark, sf_dir):
+    """page_archetype with the charts and tables of all elements."""
+    return _archetypes(spark, sf_dir, "true")
+
+
 def page_complexity(spark, sf_dir):
     e = elements_from_events(spark, sf_dir)
     return classify.complexity(e.where("ord % 3 = 0"), spatial.connector_targets(e))
 
 
+def page_complexity_all(spark, sf_dir):
+    """page_complexity with all elements of a page."""
+    e = elements_from_events(spark, sf_dir)
+    return classify.complexity(e, spatial.connector_targets(e))
+
+
 def color_meaning(spark, sf_dir):
     p = read(spark, sf_dir, "part").select("p_partkey", F.format_string("#%06x", F.expr("cast(p_partkey * 7919 % 16777216 as int)")).alias("color"))
     return classify.color_meaning(forms.color_profile(p))
@@ -40,7 +55,7 @@ def text_rules(spark, sf_dir):
     return o.select("o_orderkey", classify.rewritable(F.col("t")).alias("rewritable"), classify.tick_state(F.col("t")).alias("ticked"), classify.chart_type(F.col("t")).alias("chart_type"))
 
 
-QUERIES = {f.__name__: f for f in (page_archetype, page_complexity, color_meaning, pixel_class, text_rules)}
+QUERIES = {f.__name__: f for f in (page_archetype, page_archetype_all, page_complexity, page_complexity_all, color_meaning, pixel_class, text_rules)}
 
 _TARGETS = PAGES["connector_targets"]
 
@@ -64,3 +79,6 @@ SELECT document_id, slide_number, element_id, CASE WHEN h <= 4 OR w <= 4 OR w /
     "text_rules": """SELECT o_orderkey, o_orderkey % 10 IN (3, 4, 5, 6, 7, 8) AS rewritable, CASE o_orderkey % 10 WHEN 4 THEN TRUE WHEN 5 THEN FALSE END AS ticked,
   CASE o_orderkey % 10 WHEN 6 THEN 'pie_chart' WHEN 7 THEN 'line_chart' WHEN 8 THEN 'stacked_bar_chart' ELSE 'bar_chart' END AS chart_type FROM orders""",
 }
+#: The same over all elements.
+ORACLES["page_archetype_all"] = ORACLES["page_archetype"].replace(" AND ord % 3 = 0", "")
+ORACLES["page_complexity_all"] = ORACLES["page_complexity"].replace(" WHERE ord % 3 = 0", "")

@@ -46,17 +46,26 @@ def likely_tables(spark, sf_dir):
     return tables.likely_tables(cells_from_orders(spark, sf_dir))
 
 
-def series_values(spark, sf_dir):
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    points = li.where("l_linenumber > 1").groupBy(F.col("l_returnflag").alias("series"), F.date_format("l_shipdate", "yyyy-MM").alias("category")).agg(F.count("*").cast("string").alias("value"))
+def _series(li):
+    points = li.groupBy(F.col("l_returnflag").alias("series"), F.date_format("l_shipdate", "yyyy-MM").alias("category")).agg(F.count("*").cast("string").alias("value"))
     return tables.series_by_category(points)
 
 
+def series_values(spark, sf_dir):
+    """Without each order's first line, as the SQL has it."""
+    return _series(spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber > 1"))
+
+
+def series_values_all(spark, sf_dir):
+    """series_values over all lines."""
+    return _series(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
 def page_records(spark, sf_dir):
     return sinks.page_records(elements_from_events(spark, sf_dir).select("document_id", "slide_number", "ord", "element_type", "text"))
 
 
-QUERIES = {f.__name__: f for f in (table_profile, section_rows, connector_relations, table_markdown, cell_model, likely_tables, series_values, page_records)}
+QUERIES = {f.__name__: f for f in (table_profile, section_rows, connector_relations, table_markdown, cell_model, likely_tables, series_values, series_values_all, page_records)}
 
 _ROWS = """cells AS (SELECT o_custkey AS table_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS r,
   [CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END, CASE WHEN o_orderkey % 4 < 2 THEN '' ELSE o_orderstatus END,
@@ -96,3 +105,5 @@ SELECT s.series, c.category, coalesce(CAST(n AS VARCHAR), '0') AS value FROM (SE
     "page_records": f"""WITH {ELEMENTS_SQL} SELECT document_id, slide_number, '{{"document_id":' || document_id || ',"slide_number":' || slide_number || ',"elements":[' ||
   string_agg('{{"ord":' || ord || ',"element_type":"' || element_type || '","text":"' || text || '"}}', ',' ORDER BY ord) || ']}}' AS record FROM el GROUP BY 1, 2""",
 }
+#: The same over all lines.
+ORACLES["series_values_all"] = ORACLES["series_values"].replace(" WHERE l_linenumber > 1", "")

@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from quire.operators import content, layout, spatial
+from quire.operators import classify, content, layout, spatial
 from quire.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -75,6 +75,24 @@ def test_similarity_meets_every_item(spark, tmp_path):
     assert got == {(0, 90): 0, (0, 91): 1, (1, 90): 1, (1, 91): 0, (2, 90): 0.5, (2, 91): 0.333333, (3, 90): 0, (3, 91): 0}
 
 
+def test_complexity_has_all_three_classes(spark):
+    rows = [(1, p, f"{p}-{k}") for p, n in ((1, 3), (2, 8), (3, 9), (4, 2)) for k in range(n)]
+    e = spark.createDataFrame(rows, "document_id long, slide_number long, element_id string")
+    edges = spark.createDataFrame([(1, 2), (1, 2), (1, 4)], "document_id long, slide_number long")
+    got = {r["slide_number"]: (r["n_elements"], r["n_edges"], r["complexity"]) for r in classify.complexity(e, edges).collect()}
+    assert got == {1: (3, 0, "low"), 2: (8, 2, "medium"), 3: (9, 0, "high"), 4: (2, 1, "medium")}
+
+
+def test_whole_queries_count_every_row(spark):
+    from quire.sources.elements import elements_from_events
+
+    e = elements_from_events(spark, SF)
+    assert sum(r["n_elements"] for r in registry.QUERIES["page_complexity_all"](spark, SF).collect()) == e.count()
+    assert registry.QUERIES["page_archetype_all"](spark, SF).count() == e.select("document_id", "slide_number").distinct().count()
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert sum(int(r["value"]) for r in registry.QUERIES["series_values_all"](spark, SF).collect()) == lines
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
