@@ -7,12 +7,14 @@ in the buckets of their prefix shingles; group pairs are filtered by size and by
 share (what is left of the sets bounds the rest) and by 512 parities of the sets, then expanded to their members, and
 the members' whole sets are compared.  The filters lose nothing, whatever the order of the shingles is; the order only decides the cost.
 
-Hot shingles.  Boilerplate is last in the order and so leaves the prefixes of all texts that are not made of it.  The
-shingles of a large family of near copies stay: in each bucket of more than ``crowd`` groups a leader is
-compared with the others, a few times over, and what is linked gets one label.  Then only pairs of unlike
-labels remain, and in each bucket the groups of its commonest label are not paired with each other: they are
-connected already.  So every link between different components would be found, and a family of n
-copies costs a multiple of n.
+``similar_pairs`` returns every link.  ``near_duplicates`` asks only for components, and a family of n near copies need not
+meet in n^2 / 2 pairs for that.  Its rounds are those of a minimum spanning forest: every bucket has a leader, every
+group that is not in its leader's component yet is compared with one leader (that of the nearest parities), and what
+is linked becomes one component.  A round compares at most one pair a group, buckets of one component leave, and the
+rounds end with the first one that links fewer than one in ``QUIET`` of the groups.  All group pairs of unlike components that still share a bucket are then
+joined, filtered and compared, so no link between different components is missed, whatever the rounds found.
+
+What travels for a comparison is the text, once for each pair's one side and once for every ``HUB`` pairs of the other.
 
 Defined results: a text without words has an empty set and is linked with nothing (its component is its own id);
 rows with the same text are in one component, also where ids repeat; null ids do not count as the smallest id
@@ -25,17 +27,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.shared import drop, save, text_key
+from quire.llm.shared import drop, save, skew_join, text_key
 from quire.llm.textkernel import U, Words, blocks, lists, mix, shingle_sets
 
-#: A shingle is common when it is repeated within partitions in at least one of so many documents.
-COMMON_SHARE, COMMON_LEAST = 10_000, 8
+#: A shingle is common when it is repeated within partitions in at least one of so many documents; the commonest are told to
+#: all tasks, at most ``COMMON_MOST`` (16 bytes each).  They only order prefixes.
+COMMON_SHARE, COMMON_LEAST, COMMON_MOST = 10_000, 8, 500_000
 _BLOOM_BITS = 26
-LEADERS = 6
+#: Comparisons with one text in one task.
+HUB = 512
+#: A round that links fewer than one in so many of its groups is the last.
+QUIET = 50
 
 
 def _text(docs: DataFrame):
@@ -44,8 +50,7 @@ def _text(docs: DataFrame):
 
 def _common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles with their counts.  Each task counts its own documents and passes on what it saw twice, so
-    a shingle of the given share of a corpus of any size is found; there are at most (mean set size) x
-    ``COMMON_SHARE`` of them, the bound of the broadcast."""
+    a shingle of the given share of a corpus of any size is found."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -59,14 +64,15 @@ def _common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndar
                 sets = shingle_sets(Words(block), shingle)
                 held += sets
                 size += sum(map(len, sets))
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield out()
                     held, size = [], 0
         if held:
             yield out()
 
     least = max(COMMON_LEAST, docs.count() // COMMON_SHARE)
-    found = _text(docs).mapInArrow(count, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toArrow()
+    found = _text(docs).mapInArrow(count, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    found = found.orderBy(F.desc("c"), "s").limit(COMMON_MOST).toArrow()
     kinds = found["s"].to_numpy().view(np.uint64)
     order = np.argsort(kinds)
     return kinds[order], found["c"].to_numpy()[order].astype(np.int64)
@@ -87,10 +93,13 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def _apart(a: str, b: str) -> str:
+    return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(8))
+
+
 def _close(a: str, b: str, n1: str, n2: str, num: int, den: int):
     """False only for pairs whose parities differ in more bits than similar sets differ in elements; null parities pass."""
-    apart = " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(8))
-    return F.expr(f"coalesce({apart} <= {n1} + {n2} - 2 * {_enough(n1, n2, num, den)}, true)")
+    return F.expr(f"coalesce({_apart(a, b)} <= {n1} + {n2} - 2 * {_enough(n1, n2, num, den)}, true)")
 
 
 def _enough(n1: str, n2: str, num: int, den: int) -> str:
@@ -156,60 +165,52 @@ def _size_fits(a: str, b: str, num: int, den: int):
     return F.expr(f"{den}L * least({a}, {b}) >= {num}L * greatest({a}, {b})")
 
 
-class _Sets:
-    """Whole sets of the classes that a batch of pairs names, and the exact comparison."""
+class _Texts:
+    """Texts of the classes that can meet another one, and the exact comparison of their sets."""
 
-    def __init__(self, docs: DataFrame, keys: DataFrame, shingle: int, num: int, den: int):
-        self.docs, self.keys, self.shingle, self.num, self.den = docs, keys, shingle, num, den
+    def __init__(self, docs: DataFrame, wanted: DataFrame, shingle: int, num: int, den: int):
+        """``wanted``: (cls, tkey), one row a class."""
+        self.shingle, self.num, self.den = shingle, num, den
+        bloom = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
+        given = docs.select(text_key().alias("tkey"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that are similar enough."""
-        spark, num, den = self.docs.sparkSession, self.num, self.den
-        asked = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        wanted = save(asked.join(self.keys, "cls").select("cls", "tkey"), "wanted")
-        bloom = spark.sparkContext.broadcast(_bloom(wanted))
-        given = self.docs.select(text_key().alias("tkey"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-        shingle = self.shingle
-
-        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            done: set[int] = set()
+        def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                keys = np.asarray(b.column(0))
-                at = (keys.view(np.uint64) >> U(64 - _BLOOM_BITS)).astype(np.int64)
-                use = np.flatnonzero((bloom.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-                _, first = np.unique(keys[use], return_index=True)
-                use = use[np.sort(first)]
-                use = use[[k not in done for k in keys[use].tolist()]] if len(use) else use
-                done.update(keys[use].tolist())
-                # the set is binary: one value a row, so a batch is as large as its texts
-                for block in blocks(b.column(1).take(pa.array(use))):
-                    sets = shingle_sets(Words(block), shingle)
-                    k = keys[use[block.first : block.first + block.n]]
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([s.tobytes() for s in sets], pa.binary())], ["tkey", "shingles"])
-
-        sets = given.mapInArrow(build, "tkey long, shingles binary").join(wanted, "tkey").groupBy("cls").agg(F.first("shingles").alias("shingles"))
-        sets = save(sets, "sets", "none")
-        left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
-        both = left.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+                at = (np.asarray(b.column(0)).view(np.uint64) >> U(64 - _BLOOM_BITS)).astype(np.int64)
+                yield b.filter(pa.array(((bloom.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
+
+        once = given.mapInArrow(may, "tkey long, t string").groupBy("tkey").agg(F.first("t").alias("t"))
+        self.rows = save(once.join(wanted, "tkey").select("cls", "t"), "texts")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes that are similar enough, each given pair once; best where few ``a`` have many ``b``."""
+        num, den, shingle = self.num, self.den, self.shingle
+        of = pairs.groupBy("a").agg(F.count("*").alias("k")).select("a", F.expr(f"cast((k - 1) div {HUB} as int) + 1").alias("parts"))
+        member = pairs.join(of, "a").select(F.col("b").alias("cls"), "a", F.expr("pmod(xxhash64(b), parts)").cast("int").alias("part"), F.lit(1).alias("role"))
+        hub = of.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
+        rows = self.rows.join(member.union(hub), "cls").repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine = np.zeros(0, U)
             for b in batches:
-                ok = []
-                for x, y in zip(b.column(2), b.column(3), strict=True):
-                    x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                    same = len(x) + len(y) - len(np.union1d(x, y))
-                    ok.append(den * same >= num * (len(x) + len(y) - same))
-                keep = pa.array(ok, pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+                role, keep = np.asarray(b.column("role")), np.zeros(len(b), bool)
+                for block in blocks(b.column("t")):
+                    for i, s in enumerate(shingle_sets(Words(block), shingle), block.first):
+                        if role[i] == 0:
+                            mine = s
+                        else:
+                            at = np.minimum(np.searchsorted(mine, s), len(mine) - 1)
+                            same = int((mine[at] == s).sum())
+                            keep[i] = den * same >= num * (len(mine) + len(s) - same)
+                keep = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("cls").filter(keep)], ["a", "b"])
 
-        out = save(both.mapInArrow(compare, "a long, b long"), "links")
-        drop(sets, wanted)
-        return out
+        return save(rows.select("a", "cls", "role", "t").mapInArrow(compare, "a long, b long"), "links")
 
 
 def _bloom(wanted: DataFrame) -> np.ndarray:
     """A filter of 2**26 bits (8 MB, at any size of the corpus) over text keys: it spares the shuffle of texts that no
-    pair names; an exact join follows."""
+    pair can name; an exact join follows."""
     bit = wanted.select(F.shiftrightunsigned("tkey", 64 - _BLOOM_BITS).alias("bit"))
     byte = bit.selectExpr("shiftright(bit, 3) at", "shiftleft(1, cast(bit % 8 as int)) v")
     table = byte.groupBy("at").agg(F.bit_or("v").alias("v")).toArrow()
@@ -218,144 +219,168 @@ def _bloom(wanted: DataFrame) -> np.ndarray:
     return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, crowd: int = 32, rounds: int = 2) -> DataFrame:
-    """(doc_id, tkey, n_shingles, component_id, n_links, keep): one row per row of ``docs``.
+class _Join:
+    """What both joins start with: classes in groups, groups in buckets, texts of those that can meet another, and the
+    links inside groups."""
+
+    def __init__(self, docs: DataFrame, shingle: int, num: int, den: int):
+        self.num, self.den = num, den
+        self.pref = pref = _prefixes(docs, shingle, num, den, _common_shingles(docs, shingle))
+        # members of groups, one row a class (equal sets have equal prefixes) with the key of one of its texts; most groups have one
+        self.member = save(pref.where("n > 0").groupBy("grp", "cls").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.min("tkey").alias("tkey")), "members")
+        heads = self.member.groupBy("grp").agg(F.min("cls").alias("head"), F.count("*").alias("k"), F.first("n").alias("n"))
+        # buckets with at least two groups, each group once
+        rows = _exploded(pref)
+        shared = rows.groupBy("s").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("s")
+        shared = save(shared, "shared")
+        self.bucket = save(rows.join(shared, "s").select("s", "grp", "n").distinct(), "buckets")
+        drop(shared)
+        self.heads = save(heads.join(self.bucket.select("grp").distinct().withColumn("meets", F.lit(True)), "grp", "left"), "heads")
+        wanted = self.member.join(self.heads.where("k > 1 or meets").select("grp"), "grp").select("cls", "tkey")
+        self.texts = _Texts(docs, wanted, shingle, num, den)
+
+    def inside(self) -> tuple[DataFrame, DataFrame]:
+        """Links among the members of one group (all against its head, then those that are not linked to it against all), and
+        the members that are not linked to their head."""
+        many = self.member.join(self.heads.where("k > 1").select("grp", "head"), "grp")
+        star = save(many.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"), "grp", "n", "parity"), "inside")
+        got = self.texts.links(star.select("a", "b"))
+        far = save(star.join(got, ["a", "b"], "left_anti").select("grp", F.col("b").alias("cls"), "n", "parity"), "inside")
+        side = far.select("grp", F.col("cls").alias("far"), F.col("parity").alias("p1"))
+        rest = side.join(many.select("grp", "cls", "head", "n", F.col("parity").alias("p2")), "grp").where("far <> cls and cls <> head")
+        rest = rest.where(_close("p1", "p2", "n", "n", self.num, self.den))
+        rest = save(rest.select(F.least("far", "cls").alias("a"), F.greatest("far", "cls").alias("b")).distinct(), "inside")
+        drop(star)
+        return save(got.union(self.texts.links(rest)), "links"), far
+
+    def units(self, far: DataFrame) -> DataFrame:
+        """(grp, unit, n, parity): the classes that stand for a group, its head with what is linked to it and each of the others."""
+        head = self.member.join(self.heads.select("grp", "head"), "grp").where("cls = head").select("grp", "cls", "n", "parity")
+        return save(head.union(far).select("grp", F.col("cls").alias("unit"), "n", "parity"), "units")
+
+    def meet(self, bucket: DataFrame) -> DataFrame:
+        """Links of all unlike-labelled members of groups that share a bucket.  ``bucket``: (s, grp, n, unit, label)."""
+        num, den = self.num, self.den
+        sign = self.member.groupBy("grp").agg(F.when(F.count("*") == 1, F.first("parity")).alias("parity"))  # of groups of one class
+        rows = bucket.select("s", "grp", "n", "label").distinct().join(sign, "grp")
+        by = rows.groupBy("s", "label").agg(F.count("*").alias("c"))
+        # of each bucket's commonest label no row need meet another: only rows of the others look for partners
+        top = by.groupBy("s").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("s", F.col("top.label").alias("top"))
+        rows = save(rows.join(top, "s"), "rest")
+        few = rows.where("label <> top").select("s", F.col("grp").alias("g1"), F.col("n").alias("n1"), F.col("label").alias("l1"), F.col("parity").alias("p1"))
+        all_ = rows.select("s", F.col("grp").alias("g2"), F.col("n").alias("n2"), F.col("label").alias("l2"), F.col("top").alias("top2"), F.col("parity").alias("p2"))
+        met = few.join(all_, "s").where(F.expr("l1 <> l2 and g1 <> g2")).where(F.expr("l2 = top2 or g1 < g2"))
+        met = met.where(_size_fits("n1", "n2", num, den)).where(_close("p1", "p2", "n1", "n2", num, den))
+        pairs = met.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2"), F.expr("if(g1 < g2, n1, n2)").alias("n1"), F.expr("if(g1 < g2, n2, n1)").alias("n2"))
+        # a group of several labels can count a bucket twice: that only weakens the filter
+        pairs = pairs.groupBy("g1", "g2", "n1", "n2").agg(F.count("*").alias("both"))
+        # beyond the prefixes at most n - prefix more can be shared: prefix = n - ceil(t n) + 1
+        left = lambda n: f"(({num}L * {n} + {den - 1}) div {den} - 1)"
+        pairs = pairs.where(F.expr(f"both + greatest({left('n1')}, {left('n2')}) >= {_enough('n1', 'n2', num, den)}"))
+        m = self.member.select("grp", "cls", "parity")
+        pairs = pairs.join(m.select(F.col("grp").alias("g1"), F.col("cls").alias("a"), F.col("parity").alias("p1")), "g1")
+        pairs = pairs.join(m.select(F.col("grp").alias("g2"), F.col("cls").alias("b"), F.col("parity").alias("p2")), "g2").where(_close("p1", "p2", "n1", "n2", num, den))
+        pairs = save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        drop(rows)
+        return self.texts.links(pairs)
+
+    def drop(self) -> None:
+        drop(self.member, self.bucket, self.heads, self.texts.rows)
+
+
+def similar_pairs(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Every link: (a, b) of classes with a < b, and the classes' rows (doc_id, tkey, n_shingles, cls, n_links).
+
+    The work is in proportion to the pairs that share a bucket and pass the filters, so to the links themselves in a family of
+    near copies; ``near_duplicates`` does without."""
+    join = _Join(docs, shingle, num, den)
+    own, far = join.inside()
+    bucket = join.bucket.withColumn("unit", F.col("grp")).withColumn("label", F.col("grp"))
+    # links inside a group of members that are linked to its head are still missing
+    near = join.member.join(join.heads.where("k > 1").select("grp", "head"), "grp").where("cls <> head").join(far.select("cls"), "cls", "left_anti")
+    two = near.select("grp", F.col("cls").alias("a"), "n", F.col("parity").alias("p1")).join(near.select("grp", F.col("cls").alias("b"), F.col("parity").alias("p2")), "grp")
+    two = two.where("a < b").where(_close("p1", "p2", "n", "n", num, den)).select("a", "b")
+    edges = own.union(join.meet(bucket)).union(join.texts.links(save(two, "pairs")))
+    edges = save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    degree = edges.select(F.col("a").alias("cls")).union(edges.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
+    rows = join.pref.select("doc_id", "tkey", F.col("n").cast("long").alias("n_shingles"), "cls")
+    return edges, rows.join(degree, "cls", "left").select("doc_id", "tkey", "n_shingles", "cls", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
 
-    Two texts are linked when their shingle sets have ``den`` * intersection >= ``num`` * union.  ``n_links`` counts the
-    verified links of the row's class with other classes; it is a lower bound, as links inside a component that is
-    connected already are not all looked for.  ``keep`` marks the rows of each component's smallest id and text.
+def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, tkey, n_shingles, component_id, keep): one row per row of ``docs``.
+
+    Two texts are linked when their shingle sets have ``den`` * intersection >= ``num`` * union; a component is what links
+    reach.  ``keep`` marks the rows of each component's smallest id and text.
     """
-    spark = docs.sparkSession
-    pref = _prefixes(docs, shingle, num, den, _common_shingles(docs, shingle))
-    # members of groups, one row a class (equal sets have equal prefixes) with the key of one of its texts; most groups have one
-    member = save(pref.where("n > 0").groupBy("grp", "cls").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.min("tkey").alias("tkey")), "members")
-    sets = _Sets(docs, member.select("cls", "tkey"), shingle, num, den)
-    one = F.when(F.count("*") == 1, F.first("parity")).alias("parity")  # of groups of one class
-    heads = save(member.groupBy("grp").agg(F.min("cls").alias("head"), F.count("*").alias("k"), F.first("n").alias("hn"), one), "heads")
-    # buckets with at least two groups, each group once
-    rows = _exploded(pref)
-    shared = rows.groupBy("s").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("s")
-    bucket = save(rows.join(shared, "s").select("s", "grp", "n").distinct(), "buckets")
-    links = [_inside(member, heads, sets, crowd)]
-    label = None
-    spare = 50 * bucket.count() + 10_000_000  # places where groups meet that are looked at as they are: in proportion to the rows
-    if _meetings(bucket, crowd) <= spare:
-        rounds = 0
-    for r in range(rounds):
-        crowded = _crowded(bucket, label, crowd, r)
-        n = crowded.agg(F.count("*"), F.coalesce(F.sum("work"), F.lit(0))).first()
-        if not n[0] or n[1] <= spare:
-            break
-        found = _star(bucket, label, crowded, heads, sets, num, den)
+    join = _Join(docs, shingle, num, den)
+    own, far = join.inside()
+    links = [own]
+    units = join.units(far)
+    bucket = save(join.bucket.select("s", "grp").join(units.drop("parity"), "grp").withColumn("label", F.col("unit")), "round")
+    n = new = bucket.agg(F.countDistinct("unit")).first()[0]
+    r = 0
+    while n and new * QUIET >= n:
+        found = _round(join, bucket, units, r)
         links.append(found)
-        label = _labels(spark, links, member)
-    links.append(_rest(bucket, label, member, heads, sets, num, den))
-    edges = links[0]
+        new = found.count()
+        label = components(found)
+        after = bucket.join(label.select(F.col("node").alias("label"), "root"), "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+        # buckets of one component have nothing left to find
+        open_ = after.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("s")
+        after = save(after.join(open_, "s", "left_semi"), "round")
+        drop(bucket)
+        bucket, r = after, r + 1
+        n = bucket.agg(F.countDistinct("unit")).first()[0]
+    links.append(join.meet(bucket))
+    drop(bucket, units)
+    edges = links[0].select("a", "b")
     for x in links[1:]:
-        edges = edges.union(x)
-    edges = save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    root = components(edges)
-    degree = edges.select(F.col("a").alias("cls")).union(edges.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
-    classes = pref.groupBy("n", "cls").agg(F.min("doc_id").alias("least"))
-    # empty sets stay alone: they keep their own ids below
-    named = save(classes.where("n > 0").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "roots")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(least, "root").join(degree, "cls", "left").select("cls", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "root")
-    out = pref.select("doc_id", "tkey", "n", "cls").join(of, "cls", "left")
-    best = out.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tkey")).alias("best"))
-    out = out.join(best, "root", "left")
-    same = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.tkey") == F.col("tkey"))
-    return out.select(
-        "doc_id", "tkey", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), ((F.col("n") == 0) | same).alias("keep"),
-    )
-
-
-def _inside(member: DataFrame, heads: DataFrame, sets: _Sets, crowd: int) -> DataFrame:
-    """Links among the members of one group: all against its head, then those that are not linked to it against all."""
-    many = member.join(heads.where("k > 1"), "grp")
-    star = save(many.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"), "grp"), "inside")
-    if star.isEmpty():
-        return star.select("a", "b")
-    got = sets.links(star.select("a", "b").distinct())
-    far = star.join(got, ["a", "b"], "left_anti").select("grp", F.col("b").alias("far"))
-    rest = far.join(many.select("grp", "cls", "head"), "grp").where("far <> cls and cls <> head")
-    rest = save(rest.select(F.least("far", "cls").alias("a"), F.greatest("far", "cls").alias("b")).distinct(), "inside")
-    return got if rest.isEmpty() else got.union(sets.links(rest))
-
-
-def _labelled(bucket: DataFrame, label: DataFrame | None) -> DataFrame:
-    if label is None:
-        return bucket.withColumn("label", F.col("grp"))
-    return bucket.join(label, "grp", "left").withColumn("label", F.coalesce("label", "grp"))
-
-
-def _meetings(bucket: DataFrame, crowd: int) -> int:
-    """Places where groups meet in crowded buckets while each group is its own label."""
-    m = bucket.groupBy("s").agg(F.count("*").alias("m")).where(F.col("m") > crowd)
-    return m.agg(F.coalesce(F.expr("sum((m - 1) * m)"), F.lit(0))).first()[0]
-
-
-def _crowded(bucket: DataFrame, label: DataFrame | None, crowd: int, r: int) -> DataFrame:
-    """Buckets of more than ``crowd`` groups and more than one label, with the pairs that would be left, and leaders:
-    by each of ``LEADERS`` hashes the first group of the first label that is not the commonest."""
-    pick = [F.min(F.struct(F.xxhash64("grp", F.lit(r * LEADERS + i)).alias("h"), "grp", "n", "label")).alias(f"p{i}") for i in range(LEADERS)]
-    by = _labelled(bucket, label).groupBy("s", "label").agg(F.count("*").alias("c"), *pick)
-    top = by.groupBy("s").agg(F.sum("c").alias("m"), F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("top"), *(F.min(F.struct(F.col("c") > 1, f"p{i}")).alias(f"p{i}") for i in range(LEADERS)))
-    lead = F.array_distinct(F.array(*(F.struct(F.col(f"p{i}.p{i}.grp").alias("leader"), F.col(f"p{i}.p{i}.n").alias("ln"), F.col(f"p{i}.p{i}.label").alias("ll")) for i in range(LEADERS))))
-    return top.where((F.col("m") > crowd) & (F.col("labels") > 1)).select("s", lead.alias("leaders"), ((F.col("m") - F.col("top.c")) * F.col("m")).alias("work"))
-
-
-def _star(bucket: DataFrame, label: DataFrame | None, crowded: DataFrame, heads: DataFrame, sets: _Sets, num: int, den: int) -> DataFrame:
-    pairs = _labelled(bucket, label).join(crowded.drop("work"), "s").select("grp", "n", "label", F.explode("leaders").alias("l")).select("grp", "n", "label", "l.*")
-    pairs = pairs.where("label <> ll").where(_size_fits("n", "ln", num, den)).select("leader", "ln", "grp", "n").distinct()
-    head = heads.select("grp", "head", "parity")
-    near = (F.col("leader") == F.col("lead")) & _close("parity", "lparity", "n", "ln", num, den)
-    pairs = pairs.join(head.withColumnRenamed("head", "b"), "grp").join(head.select(F.col("grp").alias("lead"), F.col("head").alias("a"), F.col("parity").alias("lparity")), near)
-    return sets.links(save(pairs.where("a <> b").select("a", "b").distinct(), "star"))
-
-
-def _labels(spark: SparkSession, links: list[DataFrame], member: DataFrame) -> DataFrame:
-    """A label for the groups whose members are all linked so far; groups of unlike members keep none."""
-    edges = links[0]
-    for x in links[1:]:
-        edges = edges.union(x)
-    root = components(edges)
-    by = member.join(root.withColumnRenamed("node", "cls"), "cls", "left").groupBy("grp").agg(F.min(F.coalesce("root", "cls")).alias("lo"), F.max(F.coalesce("root", "cls")).alias("hi"), F.max("root").alias("any"))
-    return save(by.where("lo = hi and any is not null").select("grp", F.col("lo").alias("label")), "labels")
-
-
-def _rest(bucket: DataFrame, label: DataFrame | None, member: DataFrame, heads: DataFrame, sets: _Sets, num: int, den: int) -> DataFrame:
-    """All group pairs of unlike labels that share a bucket, filtered, expanded and compared."""
-    rows = save(_labelled(bucket, label), "rest")
-    by = rows.groupBy("s", "label").agg(F.count("*").alias("c"))
-    top = by.groupBy("s").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("s", F.col("top.label").alias("top"))
-    open_ = save(rows.join(top, "s").join(heads.select("grp", "parity"), "grp"), "rest")
-    few = open_.where("label <> top").select("s", F.col("grp").alias("g1"), F.col("n").alias("n1"), F.col("label").alias("l1"), F.col("parity").alias("p1"))
-    all_ = open_.select("s", F.col("grp").alias("g2"), F.col("n").alias("n2"), F.col("label").alias("l2"), F.col("top").alias("top2"), F.col("parity").alias("p2"))
-    # of two rows outside the commonest label only one order counts
-    once = F.expr("l2 = top2 or g1 < g2")
-    meet = few.join(all_, "s").where(F.expr("l1 <> l2")).where(once).where(_size_fits("n1", "n2", num, den)).where(_close("p1", "p2", "n1", "n2", num, den))
-    pairs = meet.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2"), F.expr("if(g1 < g2, n1, n2)").alias("n1"), F.expr("if(g1 < g2, n2, n1)").alias("n2"))
-    pairs = pairs.groupBy("g1", "g2", "n1", "n2").agg(F.count("*").alias("both"))
-    # beyond the prefixes at most n - prefix more can be shared: prefix = n - ceil(t n) + 1
-    left = lambda n: f"(({num}L * {n} + {den - 1}) div {den} - 1)"
-    pairs = pairs.where(F.expr(f"both + greatest({left('n1')}, {left('n2')}) >= {_enough('n1', 'n2', num, den)}"))
-    m = member.select("grp", "cls")
-    pairs = pairs.join(m.select(F.col("grp").alias("g1"), F.col("cls").alias("a")), "g1").join(m.select(F.col("grp").alias("g2"), F.col("cls").alias("b")), "g2")
-    pairs = save(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    drop(rows, open_)
-    return sets.links(pairs)
+        edges = edges.union(x.select(*(("ua", "ub") if "ua" in x.columns else ("a", "b"))))
+    root = save(components(edges), "root")
+    join.drop()
+    pref = join.pref
+    # by class, then by component: every minimum is taken in each task before it travels
+    row = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tkey")
+    classes = pref.where("n > 0").groupBy("cls").agg(F.min(row).alias("own"), F.count("*").alias("size"))
+    named = classes.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = save(named, "roots")
+    best = save(named.groupBy("root").agg(F.min("own").alias("best"), F.count("*").alias("c")), "best")
+    of = save(skew_join(named.select("cls", "root", "size"), best, "root").select("cls", "best", F.col("size").alias("c")), "components")
+    drop(named, best)
+    out = skew_join(pref.where("n > 0").select("doc_id", "tkey", "n", "cls"), of, "cls")
+    keep = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tkey") == F.col("best.tkey"))
+    out = out.select("doc_id", "tkey", F.col("n").cast("long").alias("n_shingles"), F.col("best.doc_id").alias("component_id"), keep.alias("keep"))
+    empty = pref.where("n = 0").select("doc_id", "tkey", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("keep"))
+    return out.union(empty)
+
+
+def _round(join: _Join, bucket: DataFrame, units: DataFrame, r: int) -> DataFrame:
+    """Compares every unit with one leader of another label, and returns the links: labels (a, b) and classes (ua, ub)."""
+    first = F.struct(F.xxhash64("unit", F.lit(r)).alias("h"), "unit", "n", "label")
+    lead = save(bucket.groupBy("s").agg(F.min(first).alias("lead"), F.count("*").alias("c")), "lead")
+    met = skew_join(bucket, lead, "s").where(F.expr("label <> lead.label")).where(_size_fits("n", "lead.n", join.num, join.den))
+    met = met.select("unit", "label", F.col("lead.unit").alias("lu"), F.col("lead.label").alias("ll"))
+    # of the leaders of a unit's buckets that with the nearest parities
+    met = met.groupBy("unit", "label", "lu", "ll").agg(F.count("*").alias("c"))
+    sign = units.select("unit", F.col("n").alias("n1"), F.col("parity").alias("p1"))
+    met = met.join(sign, "unit").join(sign.select(F.col("unit").alias("lu"), F.col("n1").alias("n2"), F.col("p1").alias("p2")), "lu")
+    met = met.where(_close("p1", "p2", "n1", "n2", join.num, join.den)).withColumn("near", F.expr("-(" + _apart("p1", "p2") + ")"))
+    pick = met.groupBy("unit", "label").agg(F.max(F.struct("near", "c", "lu", "ll")).alias("x"))
+    pick = save(pick.select("unit", "label", "x.lu", "x.ll"), "pick")
+    links = join.texts.links(pick.select(F.col("lu").alias("a"), F.col("unit").alias("b")))
+    out = save(links.select(F.col("a").alias("ua"), F.col("b").alias("unit")).join(pick, "unit").select(F.col("ll").alias("a"), F.col("label").alias("b"), "ua", F.col("unit").alias("ub")), "found")
+    drop(lead, pick, links)
+    return out
 
 
 def distinct_documents(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest id."""
-    found = near_duplicates(docs, **how).where("keep").select(F.col("doc_id").alias("__d"), F.col("tkey").alias("__k")).distinct()
-    keyed = docs.withColumn("__k0", text_key())
-    kept = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__k0") == F.col("__k")), "left_semi")
-    again = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return kept.select(*docs.columns)
-    # ids repeat: of rows equal in id and text with words one stays
-    return kept.withColumn("__e", F.when(F.coalesce(F.length(F.trim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x09-\x0D]", " "))), F.lit(0)) == 0, F.monotonically_increasing_id())).dropDuplicates(["doc_id", "__k0", "__e"]).select(*docs.columns)
+    """``docs`` with one row of each component: that of its smallest id.  Rows without words all stay; of rows equal in id
+    and text with words one stays.  Columns travel in one struct, whatever their names."""
+    found = near_duplicates(docs, **how).where("keep").select(F.col("doc_id").alias("kept_id"), F.col("tkey").alias("kept_key")).distinct()
+    words = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), text_key().alias("tkey"), words.alias("words"))
+    kept = rows.join(found, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("tkey") == F.col("kept_key")), "left_semi")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.withColumn("alone", F.when(~F.col("words"), F.monotonically_increasing_id())).dropDuplicates(["id", "tkey", "alone"])
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

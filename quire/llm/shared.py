@@ -13,20 +13,32 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir as the cluster names it; a temporary folder only where it is unset and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write a table and read it again: cuts lineage, and survives the loss of executors."""
+    """Write a table and read it again: cuts lineage, and survives the loss of executors.
+
+    The shuffle files of the job go when the table is complete, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.quire_path = path
@@ -57,6 +69,24 @@ def _clear() -> None:
             _delete(spark, path)
 
 
+#: A key with more than one in so many of the rows is hot; there are fewer such keys than this.
+HOT_SHARE = 1000
+
+
+def skew_join(rows: DataFrame, sized: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``sized``, a saved table of one row a key with the number ``c`` of its rows.
+
+    The rows of hot keys stay where they are: the fewer than ``HOT_SHARE`` keys with more than that part of all rows are
+    broadcast, the others are joined by a shuffle in which no key is large."""
+    total = sized.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    hot = sized.where(F.col("c") > total // HOT_SHARE + 64).drop("c")
+    cold = sized.where(F.col("c") <= total // HOT_SHARE + 64).drop("c")
+    if hot.isEmpty():
+        return rows.join(cold, key)
+    apart = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return apart.join(cold, key).unionByName(rows.join(F.broadcast(hot), key))
+
+
 def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 

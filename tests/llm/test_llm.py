@@ -107,23 +107,65 @@ def test_jaccard_join_equals_brute_force(docs, odd, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
-def test_jaccard_join_of_crowded_families(spark):
-    """Near copies beyond ``crowd``, with chains whose ends are not similar, beside a shared passage."""
-    r = np.random.default_rng(0)
+def families(r):
+    """Near copies, with chains whose ends are not similar, beside a shared passage and one prefix with several texts."""
     word = lambda: "w" + str(r.integers(1e9))
     base = [word() for _ in range(120)]
-    rows, k = [], 0
+    texts = []
     for _ in range(60):
         t = list(base)
         for _ in range(int(r.integers(0, 4))):
             t[int(r.integers(120))] = word()
-        rows.append((k := k + 1, " ".join(t)))
+        texts.append(" ".join(t))
     passage = [word() for _ in range(40)]
     for _ in range(50):
-        rows.append((k := k + 1, " ".join([word() for _ in range(int(r.integers(0, 60)))] + passage)))
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    got = near_duplicates.near_duplicates(table, crowd=8).select("doc_id", "n_shingles", "component_id").collect()
-    assert sorted((tuple(x) for x in got), key=str) == brute_components(rows)
+        texts.append(" ".join([word() for _ in range(int(r.integers(0, 60)))] + passage))
+    return list(enumerate(texts + texts[:9], 1))
+
+
+def test_jaccard_join_of_crowded_families(spark, monkeypatch):
+    """Leaders link most of a family, the last join the rest, and either alone is enough for no link to be lost."""
+    rows = families(np.random.default_rng(0))
+    table, want = spark.createDataFrame(rows, "doc_id long, text string"), brute_components(rows)
+    seen = []
+    rounds, meet = near_duplicates._round, near_duplicates._Join.meet
+
+    def watched(*args):
+        seen.append(("round", (found := rounds(*args)).count()))
+        return found
+
+    def last(join, bucket):
+        seen.append(("meet", bucket.select("label").distinct().count()))
+        return meet(join, bucket)
+
+    monkeypatch.setattr(near_duplicates, "_round", watched)
+    monkeypatch.setattr(near_duplicates._Join, "meet", last)
+    for quiet in (50, 10**9, 0):  # as it is; rounds until nothing is linked; no rounds
+        monkeypatch.setattr(near_duplicates, "QUIET", quiet)
+        seen.clear()
+        got = near_duplicates.near_duplicates(table).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted((tuple(x) for x in got), key=str) == want
+        assert quiet == 0 or sum(n for kind, n in seen if kind == "round") > 20, seen
+    assert seen[0][0] == "meet" and seen[0][1] > 50
+
+
+def test_every_link_is_counted(spark, docs):
+    for rows in (families(np.random.default_rng(1)), [(r["doc_id"], r["text"]) for r in docs.collect()]):
+        sets = {}
+        for d, t in rows:
+            w = SPACE.findall(lower(t or ""))
+            sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+        kinds = [s for s in set(sets.values()) if s]
+        of = Counter()
+        for i, x in enumerate(kinds):
+            for y in kinds[:i]:
+                same = len(x & y)
+                if 100 * same >= 80 * (len(x) + len(y) - same) > 0:
+                    of[x] += 1
+                    of[y] += 1
+        edges, classes = near_duplicates.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r["doc_id"]: r["n_links"] for r in classes.collect()} == {d: of[s] for d, s in sets.items()}
+        assert 2 * edges.count() == sum(of.values())
 
 
 def test_one_document_of_each_component_stays(docs, odd):
