@@ -38,8 +38,8 @@ from quire.llm.textkernel import U, Words, blocks, lists, mix, shingle_sets
 #: all tasks, at most ``COMMON_MOST`` (16 bytes each).  They only order prefixes.
 COMMON_SHARE, COMMON_LEAST, COMMON_MOST = 10_000, 8, 500_000
 _BLOOM_BITS = 26
-#: Comparisons with one text in one task.
-HUB = 512
+#: Comparisons with one text in one task, and pairs of which the keys (at most 100 bytes a pair) are told to all tasks, so that no other texts travel.
+HUB, FEW = 512, 50_000
 #: A round that links fewer than one in so many of its groups is the last.
 QUIET = 50
 
@@ -188,7 +188,10 @@ class _Texts:
         of = pairs.groupBy("a").agg(F.count("*").alias("k")).select("a", F.expr(f"cast((k - 1) div {HUB} as int) + 1").alias("parts"))
         member = pairs.join(of, "a").select(F.col("b").alias("cls"), "a", F.expr("pmod(xxhash64(b), parts)").cast("int").alias("part"), F.lit(1).alias("role"))
         hub = of.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
-        rows = self.rows.join(member.union(hub), "cls").repartition("a", "part").sortWithinPartitions("a", "part", "role")
+        side = member.union(hub)
+        # the number of pairs is checked: beyond it the texts are joined by a shuffle
+        few = pairs.count() <= FEW
+        rows = self.rows.join(F.broadcast(side) if few else side, "cls").repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = np.zeros(0, U)
@@ -262,7 +265,7 @@ class _Join:
         """Links of all unlike-labelled members of groups that share a bucket.  ``bucket``: (s, grp, n, unit, label)."""
         num, den = self.num, self.den
         sign = self.member.groupBy("grp").agg(F.when(F.count("*") == 1, F.first("parity")).alias("parity"))  # of groups of one class
-        rows = bucket.select("s", "grp", "n", "label").distinct().join(sign, "grp")
+        rows = bucket.select("s", "grp", "n", "label").join(sign, "grp")
         by = rows.groupBy("s", "label").agg(F.count("*").alias("c"))
         # of each bucket's commonest label no row need meet another: only rows of the others look for partners
         top = by.groupBy("s").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("s", F.col("top.label").alias("top"))
