@@ -6,12 +6,15 @@ that belong to one predicted word each: log(c(u, w) + mu * p(w)) for w after u,
 context of what follows.  So all counts that a term needs meet in the shard of its word, and
 the corpus is read twice: once for N, V and the hottest words, once for everything else.
 
-Shards.  Each task sends to each shard of the words the bigrams of its documents, sorted and packed in bytes, with the
-documents they come from.  The shard counts the training ones, lays them into a trie (words, then the contexts of
-each word: monotone sequences in Elias-Fano form, values quantised to 1/64 of a decade), looks up every bigram it
-was sent, and returns sums by document.  Words above 1 / (4 * shards) of all tokens, at most 4 * shards of them, are
-dealt over all shards by their contexts, with their counts known from the first pass.  The number of shards
-grows with the tokens, so memory does not.
+Shards.  Documents are cut into packets.  A packet's bigrams are sorted and told to the shards of their words, one row a shard
+that has any, so at most one a distinct word of the packet, however many shards there are.  Shards come one
+after the other in the sorted partitions of a shuffle, so a task holds one shard at a time.  The shard adds up the training
+counts, lays them into a trie (words, then the contexts of each word: monotone sequences in Elias-Fano form, values quantised
+to 1/64 of a decade) in an anonymous memory map, looks up every bigram it was sent, and answers each row with a count a
+word and a value a bigram.  The packet's documents travel beside it as they are, and meet the answers where its sums are taken.
+
+Words above 1 / (4 * shards) of all tokens, so fewer than 4 * shards and at most ``HOT_MOST`` of them, are dealt over all shards
+by their contexts, with their counts known from the first pass.  The number of shards grows with the tokens, so memory does not.
 
 Words are told apart by 64-bit hashes, contexts of one word by 48 bits of theirs.
 
@@ -21,10 +24,12 @@ as the empty text in the fold; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import mmap
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +39,11 @@ from quire.llm.textkernel import U, Words, blocks, mix
 
 START, END = U(0x5354415254), U(0x454E44)
 GRID = 64
-#: Tokens a shard, and bytes of text a packet.
-SHARD_TOKENS, PACKET = 2_000_000, 4 << 20
-_PACKET = "shard int, block long, held binary, doc_ids array<long>, n_tokens array<int>, words binary, runs binary, contexts binary, times binary, docs binary"
+#: Tokens a shard, bytes of text a packet, and words whose counts are told to all tasks (16 bytes each).
+SHARD_TOKENS, PACKET, HOT_MOST = 500_000, 3 << 20, 1_000_000
+#: ``body`` asks a shard (words, runs of contexts, contexts, training counts), ``echo`` passes it by (times and documents of bigrams).
+_PACKET = "shard int, block long, doc_ids array<long>, n_tokens array<int>, held binary, sizes array<int>, body binary, echo binary"
+_ANSWER = "block long, doc_ids array<long>, n_tokens array<int>, held binary, sizes array<int>, body binary, echo binary"
 
 
 class EliasFano:
@@ -174,7 +181,7 @@ def _totals(given: DataFrame) -> tuple[int, int, int, dict[int, int], int]:
                 use = tok[~np.repeat(skip[first : first + len(n)], n)]
                 held.append(use)
                 size += len(use)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield out()
                     held, size = [], 0
         if held:
@@ -185,8 +192,10 @@ def _totals(given: DataFrame) -> tuple[int, int, int, dict[int, int], int]:
     got = kinds.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = got["n"] or 0, got["v"]
     shards = max(4, n // SHARD_TOKENS + 1)
-    hot = {r["h"]: r["n"] for r in kinds.where(F.col("n") > n // (4 * shards)).collect()}  # at most 4 * shards words
-    docs = hot.get(int(END.view(np.int64))) or (kinds.where(F.col("h") == int(END.view(np.int64))).select("n").first() or [0])[0]
+    often = kinds.where(F.col("n") > n // (4 * shards)).orderBy(F.desc("n"), "h").limit(HOT_MOST).toArrow()
+    hot = dict(zip(often["h"].to_pylist(), often["n"].to_pylist(), strict=True))
+    end = int(END.view(np.int64))
+    docs = hot.get(end) or (kinds.where(F.col("h") == end).select("n").first() or [0])[0]
     drop(kinds)
     return n, v, docs, hot, shards
 
@@ -229,79 +238,80 @@ def _packet(number: int, parts: list[tuple], skip: np.ndarray, ids: pa.Array, ho
     doc = np.repeat(np.arange(len(n), dtype=np.uint16), n)[order]
     head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     times = np.diff(np.append(head, len(key))).astype("<u4")
+    train = np.add.reduceat((skip == 0)[doc].astype("<u4"), head).astype("<u4")
     two, one = (key[head] // m), key[head] % m
-    cut = np.searchsorted(two // m, np.arange(shards + 1))
-    rows = []
-    for s in range(shards):
-        a, b = cut[s], cut[s + 1]
-        if a == b and s:
-            continue
+    of = two // m
+    cut = np.flatnonzero(np.append(True, of[1:] != of[:-1]))  # the shards that have any
+    tight = zstandard.ZstdCompressor(level=1)
+    rows = [{"shard": number % shards, "block": number, "doc_ids": ids.to_pylist(), "n_tokens": n.tolist(), "held": skip.tobytes()}]
+    for a, b in zip(cut, np.append(cut[1:], len(of)), strict=True):
         w = two[a:b] % m
-        new = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if b > a else np.zeros(0, int)
-        context = (kinds[one[a:b]] >> U(16)).astype("<u8")
-        at = (head[a] if a < len(head) else len(key), head[b] if b < len(head) else len(key))
-        rows.append({
-            "shard": s, "block": number, "held": skip.tobytes(), "doc_ids": ids.to_pylist() if not s else None, "n_tokens": n.tolist() if not s else None,
-            "words": kinds[w[new]].tobytes(), "runs": np.diff(np.append(new, b - a)).astype("<u4").tobytes(),
-            "contexts": context.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), "times": times[a:b].tobytes(), "docs": doc[at[0] : at[1]].tobytes(),
-        })
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("held", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), *((c, pa.binary()) for c in ("words", "runs", "contexts", "times", "docs"))])
-    yield pa.RecordBatch.from_pylist(rows, schema)
-
-
-def _score_shard(table: pa.Table, hot: dict[int, int], n: int, v: int, mu: float) -> pa.Table:
-    """Builds the trie of a shard's training bigrams, looks all bigrams up, and sums by document."""
-    word, context, times, docs, train, sizes = [], [], [], [], [], []
-    packets = []
-    base = 0
-    for i in range(len(table)):
-        p = {c: table[c][i].as_py() for c in table.column_names if c != "shard"}
-        runs = np.frombuffer(p["runs"], "<u4")
-        word.append(np.repeat(np.frombuffer(p["words"], U), runs))
-        c = np.zeros((len(p["contexts"]) // 6, 8), np.uint8)
-        c[:, :6] = np.frombuffer(p["contexts"], np.uint8).reshape(-1, 6)
-        context.append(c.view("<u8")[:, 0])
-        t, d = np.frombuffer(p["times"], "<u4"), np.frombuffer(p["docs"], "<u2")
-        held = np.frombuffer(p["held"], np.uint8)
-        live = np.concatenate(([0], np.cumsum(held[d] == 0)))
-        ends = np.cumsum(t)
-        train.append((live[ends] - live[ends - t]) if len(t) else np.zeros(0, int))
-        times.append(t.astype(np.int64))
-        docs.append(d.astype(np.int64) + base)
-        sizes.append(len(held))
-        base += len(held)
-        packets.append({c: p[c] for c in ("block", "held", "doc_ids", "n_tokens")})
-    word, context, times, docs, train = (np.concatenate(x) for x in (word, context, times, docs, train))
-    words, w = np.unique(word, return_inverse=True)
-    contexts, c = np.unique(context, return_inverse=True)
-    end = words == END
-    count = np.bincount(w, train, len(words))
-    for k, x in hot.items():
-        count[words == np.int64(k).view(U)] = x
+        new = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        words = kinds[w[new]].astype("<u8")
+        context = (kinds[one[a:b]] >> U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        runs = np.diff(np.append(new, b - a)).astype("<u4")
+        body = words.tobytes() + runs.tobytes() + context.tobytes() + train[a:b].tobytes()
+        echo = times[a:b].tobytes() + doc[head[a] : head[b] if b < len(head) else len(key)].astype("<u2").tobytes()
+        rows.append({"shard": int(of[a]), "block": number, "sizes": [len(words), b - a], "body": tight.compress(body), "echo": tight.compress(echo)})
+    schema = pa.schema([("shard", pa.int32()), *_ROW])
+    for i in range(0, len(rows), 1000):
+        yield pa.RecordBatch.from_pylist(rows[i : i + 1000], schema)
+
+
+_ROW = [("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("held", pa.binary()), ("sizes", pa.list_(pa.int32())), ("body", pa.binary()), ("echo", pa.binary())]
+
+
+def _split(raw: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
+    """Arrays laid end to end: their types and lengths; what is left over is the last one, where its length is -1."""
+    out, at = [], 0
+    for kind, n in kinds:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def _answers(rows: list[dict], hot: dict[int, int], n: int, v: int, mu: float) -> Iterator[dict]:
+    """Builds the trie of one shard's training bigrams, looks all bigrams up, and answers every row."""
+    loose = zstandard.ZstdDecompressor()
+    asked = []
+    for r in rows:
+        words, runs, context, train = _split(loose.decompress(r.pop("body")), ("<u8", r["sizes"][0]), ("<u4", r["sizes"][0]), ("u1", 6 * r["sizes"][1]), ("<u4", r["sizes"][1]))
+        wide = np.zeros((len(train), 8), np.uint8)
+        wide[:, :6] = context.reshape(-1, 6)
+        asked.append((words, runs, wide.view("<u8")[:, 0], train))
+    kinds, place = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+    runs = np.concatenate([a[1] for a in asked])
+    w = np.repeat(place, runs)
+    contexts, c = np.unique(np.concatenate([a[2] for a in asked]), return_inverse=True)
+    train = np.concatenate([a[3] for a in asked])
+    del asked
+    count = np.bincount(w, train, len(kinds)).astype(np.int64)
+    for k in np.flatnonzero(np.isin(kinds.view(np.int64), np.fromiter(hot, np.int64, len(hot)))):
+        count[k] = hot[int(kinds.view(np.int64)[k])]
     share = mu * (count + 1) / (n + v + 1)
     seen = np.flatnonzero(train)
-    pair = w[seen].astype(np.int64) * max(1, len(contexts)) + c[seen]
-    pairs, place = np.unique(pair, return_inverse=True)
-    both = np.bincount(place, train[seen], len(pairs))
+    pairs, at = np.unique(w[seen] * max(1, len(contexts)) + c[seen], return_inverse=True)
+    both = np.bincount(at, train[seen], len(pairs))
     pw, pc = pairs // max(1, len(contexts)), pairs % max(1, len(contexts))
-    value = np.round(GRID * np.log10(both + share[pw]))
-    trie = Trie(Trie.pack(words, contexts, pw, pc, value))
-    # the same search a reader of a stored trie makes: by hash to places, then context-relative
-    del seen, pair, pairs, place, pw, pc, train
-    got = trie.lookup(trie.words.find(word), trie.contexts.find(context))
-    del word, context, c
-    unseen = np.round(GRID * np.log10(share)) / GRID
-    log = np.where(np.isnan(got), unseen[w], got)
-    log = log - np.where(end, 0.0, np.log10(count + mu))[w]
-    each = lambda x: np.bincount(docs, np.repeat(x, times), base)
-    score, unigram, known = each(log), each(np.log10(count + 1)[w]), each((count > 0)[w].astype(float))
-    out, at = [], 0
-    for p, size in zip(packets, sizes, strict=True):
-        part = slice(at, at + size)
-        out.append({"block": p["block"], "doc_ids": p["doc_ids"], "n_tokens": p["n_tokens"], "held": p["held"], "sums": np.stack((score[part], unigram[part])).astype("<f8").tobytes(), "known": known[part].astype("<u4").tobytes()})
-        at += size
-    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("held", pa.binary()), ("sums", pa.binary()), ("known", pa.binary())])
-    return pa.Table.from_pylist(out, schema)
+    raw = Trie.pack(kinds, contexts, pw, pc, np.round(GRID * np.log10(both + share[pw])))
+    del seen, pairs, at, both, pw, pc, train
+    level = mmap.mmap(-1, len(raw))
+    level.write(raw)
+    trie = Trie(level)
+    unseen = np.round(GRID * np.log10(share))
+    tight = zstandard.ZstdCompressor(level=1)
+    at = word = 0
+    for r in rows:
+        a, b = r["sizes"]
+        own, cs = w[at : at + b], c[at : at + b]
+        # the search that a reader of a stored trie makes: by hash to places, then context-relative
+        got = GRID * trie.lookup(trie.words.find(kinds[own]), trie.contexts.find(contexts[cs]))
+        value = np.where(np.isnan(got), unseen[own], got).astype("<i2")
+        mine = kinds[place[word : word + a]]
+        end = np.flatnonzero(mine == END)
+        body = count[place[word : word + a]].astype("<i8").tobytes() + runs[word : word + a].astype("<u4").tobytes() + value.tobytes()
+        yield {"block": r["block"], "sizes": [a, b, int(end[0]) if len(end) else -1], "body": tight.compress(body), "echo": r["echo"]}
+        at, word = at + b, word + a
 
 
 def score_texts(docs: DataFrame, held_out=None, mu: float = 100.0) -> DataFrame:
@@ -312,18 +322,45 @@ def score_texts(docs: DataFrame, held_out=None, mu: float = 100.0) -> DataFrame:
     given = _given(docs, held)
     n, v, n_docs, hot, shards = _totals(given)
 
-    def score(table: pa.Table) -> pa.Table:
-        return _score_shard(table, hot, n, v, mu)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held_rows = None, []
+        for b in batches:
+            for i in range(len(b)):
+                r = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                if r["body"] is None:
+                    yield pa.RecordBatch.from_pylist([r], pa.schema(_ROW))
+                    continue
+                if r["shard"] != now and held_rows:
+                    yield pa.RecordBatch.from_pylist(list(_answers(held_rows, hot, n, v, mu)), pa.schema(_ROW))
+                    held_rows = []
+                now = r["shard"]
+                held_rows.append(r)
+        if held_rows:
+            yield pa.RecordBatch.from_pylist(list(_answers(held_rows, hot, n, v, mu)), pa.schema(_ROW))
 
     def gather(table: pa.Table) -> pa.Table:
-        meta = next(i for i in range(len(table)) if table["doc_ids"][i].is_valid)
-        tokens = np.array(table["n_tokens"][meta].as_py(), np.int64)
-        sums = sum(np.frombuffer(x.as_py(), "<f8").reshape(2, -1) for x in table["sums"])
-        known = sum(np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in table["known"])
-        held_ = np.frombuffer(table["held"][meta].as_py(), np.uint8).astype(bool)
-        cols = [pa.array(table["doc_ids"][meta].as_py(), pa.int64()), pa.array(held_), pa.array(tokens), pa.array(known), pa.array(np.full(len(tokens), n))]
+        meta = table.filter(table["doc_ids"].is_valid()).to_pylist()[0]
+        tokens = np.array(meta["n_tokens"], np.int64)
+        sums, known = np.zeros((2, len(tokens))), np.zeros(len(tokens), np.int64)
+        loose = zstandard.ZstdDecompressor()
+        for i in range(len(table)):
+            r = {c: table[c][i].as_py() for c in ("sizes", "body", "echo")}
+            if r["body"] is None:
+                continue
+            a, b, end = r["sizes"]
+            count, runs, value = _split(loose.decompress(r["body"]), ("<i8", a), ("<u4", a), ("<i2", b))
+            times, doc = _split(loose.decompress(r["echo"]), ("<u4", b), ("<u2", -1))
+            as_context = np.log10(count + mu)
+            if end >= 0:
+                as_context[end] = 0.0
+            log = np.repeat(value / GRID - np.repeat(as_context, runs), times)
+            sums[0] += np.bincount(doc, log, len(tokens))
+            each = np.repeat(np.repeat(np.arange(a), runs), times)
+            sums[1] += np.bincount(doc, np.log10(count + 1)[each], len(tokens))
+            known += np.bincount(doc, (count > 0)[each], len(tokens)).astype(np.int64)
+        cols = [pa.array(meta["doc_ids"], pa.int64()), pa.array(np.frombuffer(meta["held"], np.uint8).astype(bool)), pa.array(tokens), pa.array(known), pa.array(np.full(len(tokens), n))]
         cols += [pa.array(sums[1] - tokens * np.log10(n + v + 1)), pa.array(sums[0] - np.log10(n_docs + mu))]
         return pa.Table.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    sums = _packets(given, hot, shards).groupBy("shard").applyInArrow(score, "block long, doc_ids array<long>, n_tokens array<int>, held binary, sums binary, known binary")
-    return sums.groupBy("block").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    sent = _packets(given, hot, shards).repartition("shard").sortWithinPartitions("shard")
+    return sent.mapInArrow(score, _ANSWER).groupBy("block").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -8,6 +8,7 @@ between executors and between runs.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,19 @@ import pyarrow as pa
 
 BLOCK = 2 << 20
 U = np.uint64
+
+
+def _return_memory() -> None:
+    """Arrays of a megabyte and more go back to the system when they are freed: a worker that lives for many tasks
+    holds what it uses, not what it once used."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+_return_memory()
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Bytes of words: anything but ASCII white space.
@@ -125,6 +139,19 @@ def windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, mix(h)
 
 
+def run_hasher(words: np.ndarray):
+    """Hashes of runs of words a to b - 1: a polynomial, taken as a difference of running sums and scaled to its start."""
+    odd = U(0x9E3779B97F4A7C15)
+    power = np.full(len(words) + 1, odd, U)
+    power[0] = 1
+    power = np.cumprod(power)
+    back = np.full(len(words) + 1, U(pow(int(odd), -1, 1 << 64)), U)
+    back[0] = 1
+    back = np.cumprod(back)
+    run = np.concatenate((np.zeros(1, U), np.cumsum(mix(words) * power[:-1])))
+    return lambda a, b: mix((run[b] - run[a]) * back[a] + mix((b - a).astype(U)))
+
+
 def shingle_sets(words: Words, n: int = 5) -> list[np.ndarray]:
     """Each document's sorted distinct shingles; a document of fewer words has its sequence as one."""
     at, h = windows(words, n)
