@@ -16,7 +16,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # the patterns run once: the saved candidates, without texts, serve training and scoring
-    given = save(pii.candidates(docs).select("doc_id", "__spans"), "spans")
+    given = save(pii.candidates(docs).select("doc_id", pii.held_out(F.col("text")).alias("__held"), "__spans"), "spans")
     found = pii.find_spans(docs, pii.train_trees(docs, given=given), given)
     count = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
     return found.select("doc_id", *count, F.sha2(F.expr(pii.joined("base")), 256).alias("base_sha256"), F.expr(pii.joined("spans")).alias("spans"))
