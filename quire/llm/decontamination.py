@@ -3,8 +3,10 @@
 The words of each shard of training text become ids in the benchmark's vocabulary (0: not in it).  A
 suffix that does not begin with at least as many known words as the shortest window can match
 no window, so the shard's suffix array holds the others, all of them, ordered by prefix doubling.  Every
-suffix of every benchmark item is then binary-searched in it; the matches that reach a window's length
-give the longest verbatim match, its place, the hit words and the items.
+suffix of every benchmark item is then binary-searched in it, all suffixes of a page at once and a word at a time; those
+that reach a window's length keep a range of the suffix array.  Equal windows have equal ranges, so ranges are
+opened once: they give the hit words and the items.  The longest verbatim match and its place are then found
+by bisection over its length, so a text that repeats one word a thousand times costs little more than its length.
 
 The benchmark is read in pages of at most ``page_words`` words, each page broadcast by itself, so that
 what goes to the executors has that bound however large the benchmark is.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.textkernel import ALNUM, Words, blocks, lists
+from quire.llm.textkernel import ALNUM, Words, blocks, lists, run_hasher
 
 WINDOW = 13
 FOUND = "n_words long, spans array<int>, items array<string>, longest int, longest_at int, longest_item string"
@@ -43,6 +45,15 @@ class Page:
         self.ids = [i for i, h in zip(ids, hashes, strict=True) if len(h)]
         self.items = [np.searchsorted(self.vocab, h).astype(np.int64) + 1 for h in hashes if len(h)]
         self.least = min((min(window, len(x)) for x in self.items), default=0)
+        # all suffixes of at least a window: their words, item and window length
+        length = np.array([len(x) for x in self.items], np.int64)
+        self.begin = np.cumsum(length) - length
+        self.words = np.concatenate([*self.items, np.zeros(window, np.int64)])
+        item = np.repeat(np.arange(len(length)), length)
+        size = np.minimum(length, window)[item]
+        at = np.arange(len(item))
+        self.suffix = at[at + size <= (self.begin + length)[item]] if len(item) else at
+        self.item, self.size = item[self.suffix], size[self.suffix]
 
     def encode(self, h: np.ndarray) -> np.ndarray:
         if not len(self.vocab):
@@ -63,15 +74,33 @@ def suffix_array(text: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
     return start[np.argsort(rank[start], kind="stable")]
 
 
-def search(text: np.ndarray, order: np.ndarray, want: np.ndarray) -> tuple[int, int]:
-    """The range of suffixes in ``order`` that begin with ``want``, narrowed a word at a time."""
-    lo, hi = 0, len(order)
-    for k, w in enumerate(want):
-        col = text[order[lo:hi] + k]
-        lo, hi = lo + int(np.searchsorted(col, w)), lo + int(np.searchsorted(col, w, "right"))
-        if lo == hi:
-            break
-    return lo, hi
+def _bound(text: np.ndarray, order: np.ndarray, k: int, lo: np.ndarray, hi: np.ndarray, want: np.ndarray, right: bool) -> np.ndarray:
+    """In each range lo:hi of ``order`` the first suffix whose k-th word is not below ``want`` (right: is above it)."""
+    lo, hi = lo.copy(), hi.copy()
+    live = np.flatnonzero(lo < hi)
+    while len(live):
+        mid = (lo[live] + hi[live]) >> 1
+        word = text[order[mid] + k]
+        up = word <= want[live] if right else word < want[live]
+        lo[live[up]] = mid[up] + 1
+        hi[live[~up]] = mid[~up]
+        live = live[lo[live] < hi[live]]
+    return lo
+
+
+def search(text: np.ndarray, order: np.ndarray, page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The page's suffixes that occur with their whole window, and the range of ``order`` where each does."""
+    at = np.arange(len(page.suffix))
+    lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(order))
+    for k in range(page.window):
+        go = page.size[at] > k
+        want = page.words[page.suffix[at[go]] + k]
+        a, b = lo[go], hi[go]
+        lo[go] = _bound(text, order, k, a, b, want, False)
+        hi[go] = _bound(text, order, k, lo[go], b, want, True)
+        some = lo < hi
+        at, lo, hi = at[some], lo[some], hi[some]
+    return at, lo, hi
 
 
 def scan(page: Page, column: pa.Array) -> Iterator[tuple]:
@@ -106,26 +135,65 @@ def _search_page(page: Page, text: np.ndarray, start: np.ndarray, w: Words, hit:
     keep = np.zeros(len(compact) + 2 * page.window + 16, np.int64)
     keep[: len(compact)] = text[compact]
     order = suffix_array(keep, np.searchsorted(compact, start), page.window)
-    head = keep[order]
+    at, lo, hi = search(keep, order, page)
+    if not len(at):
+        return
     doc_at = w.bounds[:-1] + np.arange(w.block.n)  # place of each document's first word in text
-    spans: dict[int, list] = {}
-    for item, words in zip(page.ids, page.items, strict=True):
-        size = min(page.window, len(words))
-        lo, hi = np.searchsorted(head, words), np.searchsorted(head, words, "right")
-        for k in np.flatnonzero(hi > lo):
-            if k + size > len(words):
-                break
-            a, b = search(keep, order[lo[k] : hi[k]], words[k : k + size])
-            for p in order[lo[k] : hi[k]][a:b]:
-                real = compact[p]
-                d = int(np.searchsorted(doc_at, real, "right")) - 1
-                length = size
-                while k + length < len(words) and text[real + length] == words[k + length]:
-                    length += 1
-                spans.setdefault(d, []).append((int(real - doc_at[d]), size, length, item))
-    for d, found in spans.items():
-        best = max(found, key=lambda f: (f[2], -f[0], f[3]))
-        hit[d] = (merge([x for f in found for x in (f[0], f[0] + f[1])]), sorted({f[3] for f in found}), best[2], best[0], best[3])
+    # hit words: every distinct range once
+    ranges = np.unique(np.stack((lo, hi, page.size[at])), axis=1)
+    real, size = compact[order[_opened(ranges[0], ranges[1])]], np.repeat(ranges[2], ranges[1] - ranges[0])
+    cover = np.bincount(real, minlength=len(text)) - np.bincount(real + size, minlength=len(text))[: len(text)]
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(cover) > 0).astype(np.int8), [0]))))
+    # items: every distinct range of an item once
+    ranges = np.unique(np.stack((page.item[at], lo, hi)), axis=1)
+    places = compact[order[_opened(ranges[1], ranges[2])]]
+    item, doc = np.repeat(ranges[0], ranges[2] - ranges[1]), np.searchsorted(doc_at, places, "right") - 1
+    pairs = np.unique(np.stack((doc, item)), axis=1)
+    by_doc = np.argsort(doc, kind="stable")
+    cut, own, spans = np.searchsorted(doc[by_doc], np.arange(w.block.n + 1)), np.searchsorted(pairs[0], np.arange(w.block.n + 1)), np.searchsorted(edge, np.append(doc_at, len(text)))
+    hasher, item_hasher = run_hasher(text.astype(np.uint64)), run_hasher(page.words.astype(np.uint64))
+    for d in np.unique(doc):
+        mine = pairs[1, own[d] : own[d + 1]]
+        starts = np.unique(places[by_doc[cut[d] : cut[d + 1]]])
+        length, place, best = _longest(page, mine, starts, len(text), hasher, item_hasher)
+        hit[int(d)] = ((edge[spans[d] : spans[d + 1]] - doc_at[d]).tolist(), sorted({page.ids[i] for i in mine}), length, int(place - doc_at[d]), best)
+
+
+def _opened(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges lo:hi, one range after the other."""
+    n = hi - lo
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
+
+def _longest(page: Page, items: np.ndarray, starts: np.ndarray, end: int, hasher, item_hasher) -> tuple[int, int, str]:
+    """The longest run of words of a document that one of ``items`` has, its first place, and the last such item by id.
+
+    A shorter run is there wherever a longer one is, so its length is found by bisection.  ``starts`` are the places where
+    windows occur: a run of an item's window length or more begins at one of them."""
+    begin = page.begin[items]
+    length = np.array([len(page.items[i]) for i in items], np.int64)
+    least = np.minimum(length, page.window)
+
+    def runs(n: int) -> tuple[np.ndarray, np.ndarray]:
+        fit = np.flatnonzero((length >= n) & (least <= n))
+        at = _opened(begin[fit], begin[fit] + length[fit] - n + 1)
+        return item_hasher(at, at + n), np.repeat(items[fit], length[fit] - n + 1)
+
+    def found(n: int) -> np.ndarray:
+        here = starts[starts + n <= end]
+        return here[np.isin(hasher(here, here + n), runs(n)[0])]
+
+    # windows of whole short items reach no further than the item
+    short = [int(n) for n in np.unique(least[least < page.window])]
+    best = max((n for n in short if len(found(n))), default=0)
+    lo, hi = page.window - 1, int(length.max())
+    while lo < hi:
+        mid = (lo + hi + 1) >> 1
+        lo, hi = (mid, hi) if len(found(mid)) else (lo, mid - 1)
+    best = lo if lo >= page.window else best
+    place = found(best)[0]
+    h, of = runs(best)
+    return best, int(place), max(page.ids[i] for i in np.unique(of[h == hasher(np.array([place]), np.array([place + best]))[0]]))
 
 
 def merge(flat: list[int]) -> list[int]:

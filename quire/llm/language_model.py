@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.shared import drop, fold, save
-from quire.llm.textkernel import U, Words, blocks, mix
+from quire.llm.textkernel import U, Words, blocks, mix, return_memory
 
 START, END = U(0x5354415254), U(0x454E44)
 GRID = 64
@@ -169,6 +169,7 @@ def _totals(given: DataFrame) -> tuple[int, int, int, dict[int, int], int]:
     """Training tokens and types, training documents, hot words with their counts, and the number of shards."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_memory()
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
@@ -204,6 +205,7 @@ def _packets(given: DataFrame, hot: dict[int, int], shards: int) -> DataFrame:
     hot_words = np.sort(np.array(list(hot), np.int64).view(U))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_memory()
         number = TaskContext.get().partitionId() << 33
         for b in batches:
             skip = np.asarray(b.column(1).fill_null(False).cast(pa.int8())).astype(np.uint8)
@@ -323,6 +325,7 @@ def score_texts(docs: DataFrame, held_out=None, mu: float = 100.0) -> DataFrame:
     n, v, n_docs, hot, shards = _totals(given)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_memory()
         now, held_rows = None, []
         for b in batches:
             for i in range(len(b)):

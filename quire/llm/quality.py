@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.rules import _repeated_lines, _repeated_words
-from quire.llm.shared import fold
+from quire.llm.shared import as_out, boxed, fold, text_of, unboxed
 from quire.llm.textkernel import Block, Words, blocks, per_doc
 from quire.llm.training import Adam, labelled_sample, platt, sigmoid
 
@@ -150,26 +150,25 @@ def usable(doc_id):
 
 
 def _n_chars(docs: DataFrame):
+    """The table's own n_chars, 0 where it is null or missing: the same number in training and in scoring."""
     return F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)) if "n_chars" in docs.columns else F.lit(0.0)
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, epochs: int = 8) -> Machine:
-    sample, share = labelled_sample(docs, labels, label, usable, per_class)
-    # a statistic of the text takes the place of a missing n_chars, so both sides agree
-    n = np.array([len(t) for t in sample["text"].to_pylist()], float) if "n_chars" in docs.columns else np.zeros(len(sample))
-    return Machine().fit(sample, share, epochs, n)
+    sample, share = labelled_sample(docs, labels, label, usable, per_class, _n_chars(docs))
+    return Machine().fit(sample, share, epochs, sample["extra"].to_numpy())
 
 
 def score_quality(docs: DataFrame, model: Machine, threshold: float = 0.3) -> DataFrame:
     """``docs`` with ``score`` (probability of label 1) and ``predicted``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits * (1 + rank) numbers: 1.3 MB
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("score", "predicted")))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    given = docs.withColumns({"__t": F.coalesce(F.col("text").cast("string"), F.lit("")), "__n": _n_chars(docs)})
+    mine = ("score", "predicted")
+    given = docs.select(boxed(docs, *mine), text_of(docs), _n_chars(docs).alias("n"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = sent.value.score(b.column(len(b.schema) - 2), np.asarray(b.column(len(b.schema) - 1)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(s, pa.float64())], [*b.schema.names[:-2], "score"])
+            s = sent.value.score(b.column("t"), np.asarray(b.column("n")))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(s, pa.float64())], ["row", "score"])
 
-    return given.mapInArrow(score, f"{kinds}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = given.mapInArrow(score, as_out(given.drop("n"), "score double"))
+    return scored.select(*unboxed(docs, *mine), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -6,7 +6,7 @@ fitted to the hosts' rates by the method of moments, and the verdict goes back t
 
 Defined results: a null or empty text has no words and fails the base rules; a null host is a host of
 its own, and so is any other value; repeated rows count as often as they occur; an empty table
-gives an empty result; columns other than those named below pass by untouched in ``host_rules``.
+gives an empty result; other columns pass by untouched, whatever their names, and columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import save
+from quire.llm.shared import as_out, boxed, save, skew_join, text_of, unboxed
 from quire.llm.textkernel import Words, blocks, mix, per_doc, slices_hash, windows
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -94,29 +94,30 @@ def host_rules(docs: DataFrame, host: str = "source", min_words: int = 50, max_r
     whose rate is above ``host_limit`` loses all its documents; of the others only those that fail
     the base rules go.
     """
-    clash = [c for c in docs.columns if c.lower() in {k.split()[0] for k in COUNTS.split(", ")} | {"text", "base_failed", "rule_failed", "host_rate", "kept"}]
-    slim = docs.select("text", *(c for c in docs.columns if c not in clash))
-    kept = [c for c in slim.columns if c != "text"]
+    names = [k.split()[0] for k in COUNTS.split(", ")]
+    mine = (*names, "text", "base_failed", "rule_failed", "host_rate", "kept")
+    key = F.coalesce(F.concat(F.lit("h"), F.col(f"`{host}`").cast("string")), F.lit("n"))
+    given = docs.select(boxed(docs, *mine), key.alias("host_key"), text_of(docs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = text_counts(b.column(0))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(c[k], pa.int64()) for k in c)], [*b.schema.names[1:], *c])
+            c = text_counts(b.column("t"))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("host_key"), *(pa.array(c[k], pa.int64()) for k in c)], ["row", "host_key", *c])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "text")
-    counted = slim.withColumn("text", F.col("text").cast("string")).mapInArrow(count, f"{kinds}{', ' * bool(kinds)}{COUNTS}")
+    counted = given.mapInArrow(count, as_out(given, COUNTS))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     # the text is read once; the slim table feeds both the sums by host and the verdicts
     judged = counted.withColumns({"base_failed": base, "rule_failed": base | (100 * F.col("n_symbols") > max_symbol_pct * F.col("word_chars"))})
     judged = save(judged, "rules")
-    key = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("n"))
     # one row per host; partial sums leave each task, so a host with a third of the rows is no heavier
-    hosts = judged.groupBy(key.alias("host_key")).agg(F.count("*").alias("n"), F.sum(F.col("rule_failed").cast("long")).alias("x"))
+    hosts = judged.groupBy("host_key").agg(F.count("*").alias("n"), F.sum(F.col("rule_failed").cast("long")).alias("x"))
+    hosts = save(hosts, "hosts")
     m = hosts.agg(
         F.sum("x").alias("x"), F.sum("n").alias("n"), F.count("*").alias("k"),
         F.sum(F.col("x") * F.col("x") / F.col("n")).alias("sq"), F.sum(F.col("n").cast("double") ** 2).alias("nn"),
     ).first()
     a, b = beta_prior(m["x"] or 0, m["n"] or 0, m["k"], m["sq"] or 0.0, m["nn"] or 0.0)
-    rates = hosts.select("host_key", ((F.col("x") + a) / (F.col("n") + a + b)).alias("host_rate"))
-    out = judged.withColumn("host_key", key).join(rates, "host_key").drop("host_key")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_limit)).select(*kept, *(k.split()[0] for k in COUNTS.split(", ")), "base_failed", "rule_failed", "host_rate", "kept")
+    rates = hosts.select("host_key", ((F.col("x") + a) / (F.col("n") + a + b)).alias("host_rate"), F.col("n").alias("c"))
+    out = skew_join(judged, rates, "host_key")
+    kept = ~F.col("base_failed") & (F.col("host_rate") <= host_limit)
+    return out.select(*unboxed(docs, *mine), *names, "base_failed", "rule_failed", "host_rate", kept.alias("kept"))

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -98,3 +99,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(col: Column, k: int) -> Column:
     """crc32 of an id as text, modulo k; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % k
+
+
+def boxed(docs: DataFrame, *leave: str) -> Column:
+    """All columns of ``docs`` but ``leave`` in one struct, so that no name of theirs meets a name of an operator."""
+    names = [c for c in docs.columns if c.lower() not in leave]
+    return F.struct(F.lit(0).alias("k"), *([F.struct(*(F.col(f"`{c}`") for c in names)).alias("c")] if names else [])).alias("row")
+
+
+def unboxed(docs: DataFrame, *leave: str) -> list[Column]:
+    """The columns that ``boxed`` put away, to select from a table that has its struct as ``row``."""
+    return [F.col(f"row.c.`{c}`").alias(c) for c in docs.columns if c.lower() not in leave]
+
+
+def text_of(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")
+
+
+def as_out(given: DataFrame, fields: str) -> StructType:
+    """The schema of ``given`` without its column ``t``, and further fields."""
+    return StructType([f for f in given.schema.fields if f.name != "t"] + StructType.fromDDL(fields).fields)

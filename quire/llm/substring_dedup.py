@@ -14,8 +14,8 @@ passage that no sentence span covers is up to ``START - 1`` words at its start a
 character of a script that is written without spaces is a word.
 
 The shuffles carry a span's hash and place, not texts.  Spans that occur once leave after a partial count in each task;
-a passage that a third of all documents hold is one row a task there, and in the join back it is an ordinary skewed
-key whose side Spark can split.
+a passage that a third of all documents hold is one row a task there, and in the join back the places of such passages stay
+where they are (``skew_join``).
 
 Defined results: a null or empty text has no sentences and comes back empty; rows equal in id and text are one document
 and share its result; an empty table gives an empty result; other columns pass by.
@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import save, text_key
-from quire.llm.textkernel import PLAIN, U, Block, Words, blocks, lists, mix, slices_hash
+from quire.llm.shared import as_out, boxed, save, skew_join, text_key, text_of, unboxed
+from quire.llm.textkernel import PLAIN, U, Block, Words, blocks, lists, mix, run_hasher, slices_hash
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?;:,\n"]] = True
@@ -84,19 +84,6 @@ class Tokens:
         return len(self.start)
 
 
-def _hasher(words: np.ndarray):
-    """Hashes of runs of words a to b - 1: a polynomial, taken as a difference of running sums and scaled to its start."""
-    odd = U(0x9E3779B97F4A7C15)
-    power = np.full(len(words) + 1, odd, U)
-    power[0] = 1
-    power = np.cumprod(power)
-    back = np.full(len(words) + 1, U(pow(int(odd), -1, 1 << 64)), U)
-    back[0] = 1
-    back = np.cumprod(back)
-    run = np.concatenate((np.zeros(1, U), np.cumsum(mix(words) * power[:-1])))
-    return lambda a, b: mix((run[b] - run[a]) * back[a] + mix((b - a).astype(U)))
-
-
 def chosen_runs(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, document and first word (in its document) of the chosen runs."""
     n = np.maximum(np.diff(t.bounds) - RUN + 1, 0)
@@ -106,7 +93,7 @@ def chosen_runs(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), doc, doc
     first = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
     at = first + t.bounds[doc]
-    h = mix(_hasher(t.hash)(at, at + RUN) ^ U(0x5851F42D4C957F2D))
+    h = mix(run_hasher(t.hash)(at, at + RUN) ^ U(0x5851F42D4C957F2D))
     # the last of the smallest of every START places of one document
     low = np.arange(START - 1, len(h)) - np.lib.stride_tricks.sliding_window_view(h, START)[:, ::-1].argmin(axis=1)
     low = np.unique(low[doc[: len(low)] == doc[START - 1 :]])
@@ -124,25 +111,22 @@ def spans(s: Sentences, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     ok = last < s.bounds[1:][s.doc]
     first, last = first[ok], last[ok]
     a, b = s.first_word[first], s.last_word[last] + 1
-    return _hasher(w.hash)(a, b).view(np.int64), first, last
+    return run_hasher(w.hash)(a, b).view(np.int64), first, last
 
 
-def _with_key(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a key that tells texts of one id apart: their hash, or 0 where an id has one text only.
+def _keyed(docs: DataFrame, *other) -> DataFrame:
+    """(doc_id, tkey, t, ...): ``tkey`` tells texts of one id apart: their hash, or 0 where an id has one text only.
 
     The hash would be a quarter of what every span carries through the shuffles."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("__i"), text_key().alias("__h"))
-    many = save(ids.groupBy("__i").agg(F.min("__h").alias("__a"), F.max("__h").alias("__b")).where("__a <> __b").select("__i"), "many")
+    ids = docs.select(F.col("doc_id").cast("long").alias("i"), text_key().alias("h"))
+    many = save(ids.groupBy("i").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select(F.col("i").alias("many")), "many")
     n = many.count()
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tkey"), text_of(docs), *other)
     if not n:
-        return docs.withColumn(name, F.lit(0).cast("long"))
-    side = (F.broadcast(many) if n < 100_000 else many).withColumn("__m", F.lit(True))
-    met = docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("__i")), "left")
-    return met.withColumn(name, F.when(F.col("__m"), text_key()).otherwise(0)).drop("__i", "__m")
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return _with_key(docs.select("doc_id", "text"), "tkey").select(F.col("doc_id").cast("long").alias("doc_id"), "tkey", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+        return given.withColumn("tkey", F.lit(0).cast("long"))
+    side = (F.broadcast(many) if n < 100_000 else many).withColumn("met", F.lit(True))
+    met = given.join(side, F.col("doc_id").eqNullSafe(F.col("many")), "left")
+    return met.withColumn("tkey", F.when(F.col("met"), F.col("tkey")).otherwise(0)).drop("many", "met")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 16) -> DataFrame:
@@ -163,9 +147,9 @@ def repeated_spans(docs: DataFrame, min_words: int = 16) -> DataFrame:
 
     all_ = save(_keyed(docs).mapInArrow(build, SPANS), "spans")
     place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tkey", "first")
-    twice = all_.groupBy("h").agg(F.count("*").alias("c"), F.min(place).alias("p")).where("c > 1").select("h", "p")
+    twice = save(all_.groupBy("h").agg(F.count("*").alias("c"), F.min(place).alias("p")).where("c > 1"), "twice")
     other = ~(F.col("p.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("p.tkey") == F.col("tkey")) & (F.col("p.first") == F.col("first")))
-    return all_.join(twice, "h").where(other).select("doc_id", "tkey", "first", "last").distinct()
+    return skew_join(all_, twice, "h").where(other).select("doc_id", "tkey", "first", "last")
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = 16) -> DataFrame:
@@ -173,14 +157,12 @@ def dedup_substrings(docs: DataFrame, min_words: int = 16) -> DataFrame:
     repeated spans cover), and ``cut_words``, the words that left with these or in repeated runs."""
     found = repeated_spans(docs, min_words)
     # ranges meet in their document only: their number is bounded by its sentences and words
-    ranges = found.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("first", "last")).alias("__r"))
-    ranges = save(ranges.withColumnRenamed("doc_id", "__d").withColumnRenamed("tkey", "__k"), "ranges")
+    ranges = found.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("first", "last")).alias("r"))
+    ranges = save(ranges.select(F.col("doc_id").alias("d"), F.col("tkey").alias("k"), "r"), "ranges")
     mine = ("text", "n_sentences", "n_removed", "removed", "cut_words")
-    rest = [c for c in docs.columns if c.lower() not in mine]
-    keyed = _with_key(docs, "__k0").select(*rest, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__t"), "__k0")
-    met = keyed.join(ranges, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__k0") == F.col("__k")), "left")
-    given = met.select("__t", F.coalesce("__r", F.expr("array()").cast("array<struct<first:int,last:int>>")).alias("__r"), *rest)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[2:])
+    keyed = _keyed(docs, boxed(docs, *mine))
+    met = keyed.join(ranges, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k")), "left")
+    given = met.select("t", F.coalesce("r", F.expr("array()").cast("array<struct<first:int,last:int>>")).alias("r"), "row")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,9 +187,10 @@ def dedup_substrings(docs: DataFrame, min_words: int = 16) -> DataFrame:
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], out.astype(np.int8), [0]))))
                     edge[1::2] -= 1
                     cut.append(edge.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(texts, pa.string()), pa.array(n, pa.int32()), pa.array(gone, pa.int32()), lists(cut, pa.int32()), pa.array(left, pa.int32())], [*b.schema.names[2:], *mine])
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(texts, pa.string()), pa.array(n, pa.int32()), pa.array(gone, pa.int32()), lists(cut, pa.int32()), pa.array(left, pa.int32())], ["row", *mine])
 
-    return given.mapInArrow(clean, f"{kinds}{', ' * bool(kinds)}text string, n_sentences int, n_removed int, removed array<int>, cut_words int")
+    cleaned = given.mapInArrow(clean, as_out(given.select("row"), "text string, n_sentences int, n_removed int, removed array<int>, cut_words int"))
+    return cleaned.select(*unboxed(docs, *mine), *mine)
 
 
 def _covered(count: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -18,9 +18,9 @@ BLOCK = 2 << 20
 U = np.uint64
 
 
-def _return_memory() -> None:
-    """Arrays of a megabyte and more go back to the system when they are freed: a worker that lives for many tasks
-    holds what it uses, not what it once used."""
+def return_memory() -> None:
+    """From now on arrays of a megabyte and more go back to the system when they are freed: a worker that lives for many tasks
+    holds what it uses, not what it once used.  It costs time, so only operators with large arrays ask for it."""
     pa.set_memory_pool(pa.system_memory_pool())
     try:
         ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
@@ -28,7 +28,6 @@ def _return_memory() -> None:
         pass
 
 
-_return_memory()
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Bytes of words: anything but ASCII white space.

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import fold
+from quire.llm.shared import as_out, boxed, fold, text_of, unboxed
 from quire.llm.textkernel import ALNUM, Words, blocks
 from quire.llm.training import Adam, labelled_sample, platt, sigmoid
 
@@ -228,13 +228,12 @@ def score_toxicity(docs: DataFrame, model: Net, threshold: float = 0.3) -> DataF
     """``docs`` without text, with ``score``, ``n_windows``, ``worst_start`` (words) and ``predicted``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary of a bounded sample
     mine = ("text", "score", "n_windows", "worst_start", "predicted")
-    rest = docs.select(*(c for c in docs.columns if c.lower() not in mine))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest.schema.fields)
-    given = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__t"), *rest.columns)
+    given = docs.select(boxed(docs, *mine), text_of(docs))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s, n, at = sent.value.score(b.column(0))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64()), pa.array(n, pa.int32()), pa.array(at, pa.int32())], [*b.schema.names[1:], *mine[1:4]])
+            s, n, at = sent.value.score(b.column("t"))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(s, pa.float64()), pa.array(n, pa.int32()), pa.array(at, pa.int32())], ["row", *mine[1:4]])
 
-    return given.mapInArrow(score, f"{kinds}score double, n_windows int, worst_start int").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = given.mapInArrow(score, as_out(given, "score double, n_windows int, worst_start int"))
+    return scored.select(*unboxed(docs, *mine), *mine[1:4], (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -8,18 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, per_class: int) -> tuple[pa.Table, float]:
+#: The most characters of a text in the sample.
+MOST = 200_000
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, per_class: int, extra=None) -> tuple[pa.Table, float]:
     """At most ``per_class`` rows of either label whose id fulfils ``usable``, by order of a hash of the id, and the
-    share of label 1 among all of these rows.  Only the sample's texts come to the driver."""
+    share of label 1 among all of these rows.  Only the sample's texts come to the driver, whole;
+    a text of more than ``MOST`` characters is not learnt from, so the sample has a bound in bytes.  Scoring reads all."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).where(usable(F.col("doc_id")))
     share = known.agg(F.avg("y")).first()[0]
     order = F.xxhash64("doc_id", F.lit(17))
     picked = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     # at most 2 * per_class ids: the broadcast has that bound
     ids = picked[0].union(picked[1])
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    one = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).orderBy("doc_id")
-    return one.toArrow(), 0.5 if share is None else float(share)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.where(F.length(text) <= MOST).select("doc_id", F.struct(text.alias("text"), (F.lit(0.0) if extra is None else extra).alias("extra")).alias("own")).join(F.broadcast(ids), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min("own").alias("own"), F.first("y").alias("y")).orderBy("doc_id")
+    return one.select("doc_id", "own.text", "own.extra", "y").toArrow(), 0.5 if share is None else float(share)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -222,6 +222,82 @@ def test_trees_add_what_the_base_swallows(docs, spark, empty):
     assert trees.sql("s").count("if(") == 3 * len(trees.trees)
 
 
+def test_added_spans_against_planted_ones(spark):
+    """Precision and recall of what the method adds, on spans planted in texts of which the base patterns find none."""
+    r = np.random.default_rng(4)
+
+    def card(n=16):
+        d = r.integers(0, 10, n - 1).tolist() + [0]
+        d[0] = 4
+        odd = sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d)))
+        d[-1] = -odd % 10
+        s = "".join(map(str, d))
+        return " ".join(s[i : i + 4] for i in range(0, n, 4))
+
+    digits = lambda n: "".join(str(x) for x in r.integers(0, 10, n))
+    rows, planted, plain = [], {}, set()
+    for i in range(400):
+        if i % 4 == 0:  # base matches to learn from, accepted and not
+            rows.append((i, f"pay by card {card()} or call +1 523 555 {digits(4)} now, not {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(4)}, mail a{i}@b.org"))
+        elif i % 4 == 1:
+            rows.append((i, f"my card {digits(3)} {card()} is new, jo{i}(at)host.org knows"))
+            planted[i] = {"email", "card"}
+        elif i % 4 == 2:
+            rows.append((i, f"write to ann{i} [at] site.net today"))
+            planted[i] = {"email"}
+        else:
+            rows.append((i, f"the {i} words of this text hold no data at all"))
+            plain.add(i)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: {pii.KINDS[s["kind"]] for s in x["spans"]} for x in pii.find_spans(table, pii.train_trees(table)).collect()}
+    assert not any(got[i] for i in plain)
+    asked = [(i, k) for i, kinds in planted.items() for k in kinds if k == "email"]
+    assert np.mean([k in got[i] for i, k in asked]) == 1.0
+    cards = [i for i, kinds in planted.items() if "card" in kinds]
+    assert np.mean(["card" in got[i] for i in cards]) > 0.9
+
+
+def test_a_table_of_digit_groups_is_linear(spark):
+    import time
+
+    groups = " ".join(f"{(i * 7919) % 9000 + 1000}" for i in range(50_000))
+    table = spark.createDataFrame([(1, groups), (2, "x 1.2.3.4 " * 2000)], "doc_id long, text string")
+    trees = pii.Trees()
+    trees.start, trees.thresholds = 9.0, [0.0] * 4
+    pii.find_spans(table.where("doc_id = 2"), trees).count()  # plans and compiles
+    began = time.time()
+    row = pii.find_spans(table, trees).where("doc_id = 1").first()
+    assert time.time() - began < 60
+    ends = [(s["start"], s["end"]) for s in row["spans"]]
+    assert len(ends) > 1000 and all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
+    for a, b in ends[:200]:
+        d = groups[a:b].replace(" ", "")
+        assert 13 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+CLASHING = ("__t", "__n", "__d", "__r", "__k", "__k0", "host_key", "score", "t", "row", "n", "r", "c", "predicted")
+
+
+def test_columns_with_clashing_names_pass_by(spark, docs, labels):
+    given = docs.select("*", *(F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in CLASHING))
+    tox, good = toxicity.train_toxicity(docs, labels, epochs=1), quality.train_quality(docs, labels, epochs=1)
+    for out in (quality.score_quality(given, good), toxicity.score_toxicity(given, tox), rules.host_rules(given), near_duplicates.distinct_documents(given), substring_dedup.dedup_substrings(given), pii.redact(given, pii.Trees()), decontamination.find_contamination(given, docs.sparkSession.createDataFrame([(1, "x y z")], "item_id long, text string"))):
+        made = {"score", "predicted"} if "score" in out.columns and dict(out.dtypes)["score"] == "double" else set()
+        for c in set(CLASHING) - made:
+            assert out.where(F.col(f"`{c}`") != F.concat(F.lit(f"{c} "), "doc_id")).isEmpty() and c in out.columns, c
+
+
+def test_repetitions_cost_decontamination_little(spark):
+    import time
+
+    item, text = "very " * 5000 + "odd", "so " + "very " * 6000 + "nice"
+    d, b = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(7, item), (8, "very " * 20)], "item_id long, text string")
+    began = time.time()
+    row = decontamination.find_contamination(d, b).first()
+    assert time.time() - began < 30
+    assert (row["n_words"], row["n_hit"], row["items"], row["longest"], row["longest_at"], row["longest_item"]) == (6002, 6000, ["7", "8"], 5000, 1, "7")
+
+
 def test_redaction_replaces_spans_only(spark, odd):
     tricky = spark.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redact(tricky, pii.Trees()).collect()}
@@ -265,11 +341,18 @@ def test_toxicity_gradient_is_that_of_the_loss():
         assert g[name][i] == pytest.approx((loss[0] - loss[1]) / 2e-4, abs=2e-4)
 
 
+def auc(score, label):
+    """The share of pairs of unlike labels in their right order."""
+    rank = score.rank()
+    one = label == 1
+    return (rank[one].sum() - one.sum() * (one.sum() + 1) / 2) / (one.sum() * (~one).sum())
+
+
 def test_toxicity_held_out_accuracy(spark):
     d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     known = d.join(lab, "doc_id").where(~toxicity.usable(F.col("doc_id")))
     got = toxicity.score_toxicity(known.select("doc_id", "text", "toxic"), toxicity.train_toxicity(d, lab)).toPandas()
-    assert (got.predicted == got.toxic).mean() > 0.93 and got.score[got.toxic == 1].mean() > 0.6
+    assert got.predicted[got.toxic == 1].mean() > 0.9 and got.predicted[got.toxic == 0].mean() < 0.05 and auc(got.score, got.toxic) > 0.97
 
 
 def test_quality_held_out_accuracy(spark):
@@ -277,7 +360,7 @@ def test_quality_held_out_accuracy(spark):
     known = d.join(lab, "doc_id").where(~quality.usable(F.col("doc_id"))).select("doc_id", "text", "n_chars", F.col("quality").alias("label"))
     got = quality.score_quality(known, quality.train_quality(d, lab)).toPandas()
     good = got[got.label == 1]
-    assert (got.predicted == got.label).mean() > 0.93 and good.predicted.mean() > 0.99
+    assert (got.predicted == got.label).mean() > 0.93 and good.predicted.mean() > 0.99 and got.predicted[got.label == 0].mean() < 0.15 and auc(got.score, got.label) > 0.97
 
 
 def test_quality_pair_term_is_the_sum_over_pairs():
@@ -355,11 +438,25 @@ def test_shards_have_near_equal_bytes(spark, odd, empty):
     assert sharding.kd_shards(empty, 5).count() == 0
 
 
-def test_a_large_group_of_copies_is_dealt_out(spark):
-    d = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'the same text', concat('text ', id)) as text", "'one' as source", "10L as n_chars")
+def test_groups_of_copies_stay_whole_and_shards_equal(spark):
+    """Groups of up to half a shard stay together; one that no shard can take is dealt out."""
+    rows = []
+    for g, n in enumerate((900, 260, 240, 230, 200, 150, 90, 40, 9, 2)):
+        rows += [(g, f"text of group {g} " * 3)] * n
+    rows = [(i, t, f"s{i % 3}", 60) for i, (_, t) in enumerate(rows)] + [(9000 + i, f"single text number {i} and some words", "s1", 40 + i % 7) for i in range(4000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     got = sharding.kd_shards(d, 8).collect()
-    sizes = check_shards([(r["doc_id"], r["text"]) for r in d.collect()], got, 8)
-    assert max(sizes.values()) < 1.1 * min(sizes.values())
+    sizes = check_shards([(r[0], r[1]) for r in rows], got, 8)
+    assert max(sizes.values()) < 1.03 * min(sizes.values())
+    shards_of = defaultdict(set)
+    for r in got:
+        if r["doc_id"] < 9000:
+            shards_of[r["text_crc32"]].add(r["shard"])
+    share = sum(sizes.values()) / 8
+    weight = Counter(r["text_crc32"] for r in got if r["doc_id"] < 9000)
+    size = {r["text_crc32"]: r["size"] for r in got}
+    for c, of in shards_of.items():
+        assert len(of) == 1 or weight[c] * size[c] > 0.5 * share, (weight[c], of)
 
 
 def test_elias_fano_round_trip(tmp_path):
