@@ -28,7 +28,7 @@ from quire.llm.shared import save, skew_join
 
 BINS = 1 << 16
 DIMS = ("n_chars", "source", "lang", "doc_id")
-#: A group is heavy when it weighs more than this part of a shard.
+#: A group of copies is heavy when it weighs more than this part of a shard.
 HEAVY = 0.002
 
 
@@ -56,7 +56,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, group_share: float = 0.5) -> Da
     # the smallest row of a group is found in each task first, so a group of a third of all rows is a few rows
     groups = slim.groupBy("g").agg(F.min(at).alias("at"), F.count("*").alias("c"))
     weight = F.col("c") * F.col("g.size")
-    groups = groups.withColumn("parts", F.ceil(weight / max(1.0, shard * group_share))).withColumn("heavy", weight / F.col("parts") > HEAVY * shard)
+    groups = groups.withColumn("parts", F.ceil(weight / max(1.0, shard * group_share))).withColumn("heavy", (F.col("c") > 1) & (weight / F.col("parts") > HEAVY * shard))
     rows = skew_join(slim.select("doc_id", "size", "crc", "g", "uid"), save(groups, "groups"), "g")
     salt = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("uid"), F.col("parts"))).otherwise(0)
     tie = F.shiftrightunsigned(F.xxhash64("g.h", salt), 33)
