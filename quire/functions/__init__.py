@@ -1,0 +1 @@
+"""Scalar rules over texts and colours."""

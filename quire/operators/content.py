@@ -38,6 +38,25 @@ def distinct_words(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), F.lit(0)))
 
 
+#: Items that a document is compared with at once, and the most bytes of items that go to all tasks.
+ITEM_BLOCK, ITEM_BYTES = 512, 64 << 20
+
+
+def best_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, similarity): every document with the item that is most like it, of equals the smallest id.
+
+    The items are a stated set of queries: they go in blocks, as sets of words, to the documents, and no pair is ever a row."""
+    x = docs.select("doc_id", distinct_words(F.coalesce("text", F.lit(""))).alias("x"))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    if size["b"] > ITEM_BYTES:
+        raise ValueError(f"{size['b']} bytes of items are more than {ITEM_BYTES}: ask in parts")
+    word = items.select(F.pmod(F.xxhash64("item_id"), F.lit(size["n"] // ITEM_BLOCK + 1)).alias("block"), F.struct("item_id", distinct_words(F.coalesce("text", F.lit(""))).alias("y")).alias("i"))
+    blocks = word.groupBy("block").agg(F.collect_list("i").alias("items"), F.lit(1).alias("one"))
+    met = x.withColumn("one", F.lit(1)).join(F.broadcast(blocks), "one")
+    best = F.array_max(F.transform("items", lambda i: F.struct(F.bround(shared_words(F.col("x"), i["y"]), 6).alias("s"), (-i["item_id"]).alias("i"))))
+    return met.groupBy("doc_id").agg(F.max(best).alias("b")).select("doc_id", (-F.col("b.i")).alias("item_id"), F.col("b.s").alias("similarity"))
+
+
 def shared_words(x: Column, y: Column) -> Column:
     """``similarity`` of arrays of distinct words."""
     most = F.greatest(F.size(x), F.size(y))
@@ -50,12 +69,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.substring(F.sha2("text", 256), 1, 16).alias("fingerprint"), words.alias("words"), F.greatest(F.lit(1), F.floor(words / 12).cast("int")).alias("lines"))
 
 
-def currency_repair(column: Column) -> Column:
-    """Amounts whose dollar sign was read as S and whose zeros were read as the letter o."""
-    dollar = F.regexp_replace(column, r"^S([0-9o])", "\\$$1")
-    return F.regexp_replace(dollar, r"[oO](?=[oO]{0,20}[0-9])|(?<=[0-9][oO]{0,20})[oO]", "0")
-
-
 def sections(turns: DataFrame) -> DataFrame:
     """Runs of consecutive turns of one role: first and last turn."""
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -124,9 +137,10 @@ def merged_cells(cells: DataFrame) -> DataFrame:
 
 def multipage_tables(tables: DataFrame, share: float = 0.8) -> DataFrame:
     """Tables (doc, page, ord, columns, headers) that the next page's next table continues: the same number of columns and
-    more than ``share`` of its headers."""
+    more than ``share`` of its headers, trimmed and in lower case."""
     w = Window.partitionBy("doc").orderBy("page", "ord")
     nxt = {f"next_{c}": F.lead(c).over(w) for c in ("page", "columns", "headers")}
     same = F.expr("size(filter(next_headers, h -> array_contains(headers, h))) / size(next_headers)")
+    tables = tables.withColumn("headers", F.transform("headers", lambda h: F.lower(F.trim(F.coalesce(h.cast("string"), F.lit(""))))))
     t = tables.withColumns(nxt).where("next_page = page + 1 and columns = next_columns and columns > 0")
     return t.where(same > share).select("doc", "page", "next_page")

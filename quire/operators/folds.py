@@ -15,9 +15,19 @@ from pyspark.sql import functions as F
 
 from quire.sources.elements import PAGE
 
+#: The most elements of one page that a task takes in Python.
+PAGE_LIMIT = 200_000
 
-def _sorted(elements: DataFrame, *fields: str) -> DataFrame:
-    return elements.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
+
+def bounded(page: pd.DataFrame) -> pd.DataFrame:
+    """The page, if a task may hold it."""
+    if len(page) > PAGE_LIMIT:
+        raise ValueError(f"page {tuple(page.iloc[0][PAGE])} has {len(page)} elements, more than {PAGE_LIMIT}")
+    return page
+
+
+def _sorted(elements: DataFrame, *fields: str, keys=PAGE) -> DataFrame:
+    return elements.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
 
 
 def layers_from_start(elements: DataFrame, height: float = 1_000_000) -> DataFrame:
@@ -44,16 +54,16 @@ def _numbered(pages: DataFrame, fold: str, name: str) -> DataFrame:
     return pages.select(*PAGE, F.expr(f"inline(zip_with(items, {fold}, (i, k) -> named_struct('element_id', i.element_id, '{name}', k)))"))
 
 
-def merge_spans(elements: DataFrame, gap: float = 40_000, rise: float = 20_000) -> DataFrame:
+def merge_spans(elements: DataFrame, gap: float = 40_000, rise: float = 20_000, keys=PAGE, separator: str = "") -> DataFrame:
     """Text spans joined with the span before while they start on its line and not beyond ``gap`` from its end."""
     e = elements.withColumn("text", F.coalesce("text", F.lit("")))
-    one = "named_struct('first_id', i.element_id, 'x', i.x, 'y', i.y, 'width', i.width, 'text', i.text, 'parts', 1)"
+    one = "named_struct('first_id', i.element_id, 'x', i.x, 'y', i.y, 'width', i.width, 'height', i.height, 'text', i.text, 'parts', 1)"
     last = "element_at(a, -1)"
     fits = f"size(a) > 0 and abs(i.y - {last}.y) < {rise}D and i.x - ({last}.x + {last}.width) < {gap}D"
-    grown = f"named_struct('first_id', {last}.first_id, 'x', {last}.x, 'y', {last}.y, 'width', i.x + i.width - {last}.x, 'text', {last}.text || i.text, 'parts', {last}.parts + 1)"
-    empty = "cast(array() as array<struct<first_id:{0},x:double,y:double,width:double,text:string,parts:int>>)".format(dict(e.dtypes)["element_id"])
+    grown = f"named_struct('first_id', {last}.first_id, 'x', {last}.x, 'y', {last}.y, 'width', i.x + i.width - {last}.x, 'height', {last}.height, 'text', {last}.text || '{separator}' || i.text, 'parts', {last}.parts + 1)"
+    empty = "cast(array() as array<struct<first_id:{0},x:double,y:double,width:double,height:double,text:string,parts:int>>)".format(dict(e.dtypes)["element_id"])
     fold = f"aggregate(items, {empty}, (a, i) -> if({fits}, array_append(slice(a, 1, greatest(size(a) - 1, 0)), {grown}), array_append(a, {one})))"
-    return _sorted(e, "y", "x", "ord", "element_id", "width", "text").select(*PAGE, F.expr(f"inline({fold})"))
+    return _sorted(e, "y", "x", "ord", "element_id", "width", "height", "text", keys=keys).select(*keys, F.expr(f"inline({fold})"))
 
 
 def merge_split_numbers(boxes: DataFrame) -> DataFrame:
@@ -82,7 +92,7 @@ def greedy_boxes(elements: DataFrame, order: str, share: float = 0.5, of: str =
     ``of='own'``) lies in a kept one."""
 
     def keep(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values([order, "ord"], ascending=[False, True])
+        page = bounded(page).sort_values([order, "ord"], ascending=[False, True])
         kept: list[tuple] = []
         out = []
         for r in page.itertuples():
@@ -107,7 +117,7 @@ def topological_order(elements: DataFrame, edges: DataFrame) -> DataFrame:
     given = elements.select(*PAGE, "element_id", "x", "y", "ord").join(out, [*PAGE, "element_id"], "left")
 
     def walk(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "x", "ord"])
+        page = bounded(page).sort_values(["y", "x", "ord"])
         follow = {r.element_id: [t for t in r.to] if r.to is not None else [] for r in page.itertuples()}
         degree = dict.fromkeys(follow, 0)
         for targets in follow.values():

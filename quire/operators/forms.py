@@ -11,7 +11,9 @@ from quire.sources.elements import PAGE
 SLIDE_WIDTH, SLIDE_HEIGHT = 12_192_000, 6_858_000
 DECISION_WORDS = ("decision", "approve", "reject", "valid", "invalid", "yes", "no")
 #: Words after which a line goes on.
-CONTINUING = "the a an of in for and or to with from by on at is are was were will shall not its their our this that".split()
+CONTINUING = (
+    "the", "a", "an", "of", "in", "for", "and", "or", "to", "with", "from", "by", "on", "at", "is", "are", "was", "were", "will", "shall", "not", "its", "their", "our", "this", "that",
+)
 SPACE = r"^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$"
 
 
@@ -132,11 +134,14 @@ def list_items(docs: DataFrame, key: str) -> DataFrame:
 def text_figures(docs: DataFrame, key: str) -> DataFrame:
     """Distinct questions and percentages of each text, and the number of its lines that name categories."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    asked = F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(r'([^.\n"]+\?)'), 1), strip))
+    # pieces between stops, up to their last question mark: one pass, however long a text without stops is
+    tail = lambda p: F.substring_index(p, "?", -1)
+    pieces = F.transform(F.filter(F.split(t, r'[.\n"]'), lambda p: F.contains(p, F.lit("?"))), lambda p: F.substr(p, F.lit(1), F.length(p) - F.length(tail(p))))
+    asked = F.array_distinct(F.transform(F.filter(pieces, lambda p: F.length(p) > 1), strip))
     categories = F.size(F.filter(F.transform(F.split(t, "\n"), strip), lambda x: (F.length(x) > 3) & ~x.rlike("[0-9]")))
     return docs.select(
         key, F.size(asked).alias("n_questions"), F.array_join(asked, "|").alias("questions"),
-        F.array_join(F.regexp_extract_all(t, F.lit(r"([0-9]+(?:\.[0-9]+)?%)"), 1), ",").alias("percents"), categories.alias("n_categories"),
+        F.array_join(F.regexp_extract_all(t, F.lit(r"(?<![0-9])[0-9]++(?:\.[0-9]++)?+%"), 0), ",").alias("percents"), categories.alias("n_categories"),
     )
 
 

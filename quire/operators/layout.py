@@ -7,24 +7,10 @@ from pyspark.sql import functions as F
 
 from quire.sources.elements import PAGE
 
-#: Counter by element type.
-COUNTERS = {"text_box": "text_boxes", "shape": "shapes", "image": "images", "table": "tables", "connector": "connectors", "chart": "charts"}
-
-
 def _page() -> Window:
     return Window.partitionBy(*PAGE)
 
 
-def inventory(elements: DataFrame) -> DataFrame:
-    """Counts by element type and the page's slide type."""
-    counts = elements.groupBy(*PAGE).agg(F.count("*").alias("total"), *(F.count_if(F.col("element_type") == t).alias(n) for t, n in COUNTERS.items()), F.count_if(~F.col("element_type").isin(*COUNTERS)).alias("unknown"))
-    kind = (
-        F.when(F.col("tables") > 0, "table_slide").when(F.col("charts") > 0, "chart_slide").when(F.col("connectors") > 3, "flowchart")
-        .when(F.col("images") > 3, "image_heavy").otherwise("general")
-    )
-    return counts.withColumn("slide_type", kind)
-
-
 def regions(elements: DataFrame, canvas_width: float = 12192000, canvas_height: float = 6858000) -> DataFrame:
     """Header, footer, body_left or body_right by the element's centre."""
     cx, cy = F.expr("x + width / 2"), F.expr("y + height / 2")
@@ -32,22 +18,6 @@ def regions(elements: DataFrame, canvas_width: float = 12192000, canvas_height:
     return elements.select(*PAGE, "element_id", region.alias("region"))
 
 
-def layout_type(elements: DataFrame, canvas_width: float = 12192000, canvas_height: float = 6858000) -> DataFrame:
-    """The page's layout by the counts of its elements and regions."""
-    r = elements.join(regions(elements, canvas_width, canvas_height), [*PAGE, "element_id"])
-    has = lambda c: F.count_if(F.expr(c))
-    a = r.groupBy(*PAGE).agg(
-        has("element_type = 'text_box'").alias("texts"), has("element_type in ('table', 'image')").alias("objects"),
-        has("element_type = 'connector'").alias("connectors"), has("element_type = 'shape'").alias("shapes"),
-        has("region = 'body_left'").alias("lefts"), has("region = 'body_right'").alias("rights"),
-    )
-    kind = (
-        F.when(F.expr("shapes >= 2 and connectors >= 1"), "flowchart").when(F.expr("texts <= 2 and objects = 0"), "title_slide")
-        .when(F.expr("lefts > 0 and rights > 0 and abs(lefts - rights) <= 2"), "two_column").when(F.expr("shapes > 0 or objects > 0"), "diagram").otherwise("single_column")
-    )
-    return a.select(*PAGE, kind.alias("layout_type"), "lefts", "rights")
-
-
 def zones(elements: DataFrame, canvas_width: float = 12192000, canvas_height: float = 6858000) -> DataFrame:
     """Horizontal and vertical thirds, nine-grid label, and the box in per mille of the canvas, rounded half to even."""
     part = lambda v, total, a, b: F.when(v / total < 0.33, a).when(v / total > 0.66, b).otherwise("center")

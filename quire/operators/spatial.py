@@ -99,8 +99,9 @@ def nearest_neighbours(elements: DataFrame, peers: DataFrame | None = None) -> D
 
 
 def connector_targets(elements: DataFrame) -> DataFrame:
-    """Each connector with the boxes whose centres are nearest to its two ends; dropped where that is one box."""
-    c = side(elements.where("element_type = 'connector'"), "c")
+    """Each connector or arrow with the boxes whose centres are nearest to its two ends (of its box, from upper left to lower right); dropped
+    where that is one box."""
+    c = side(elements.where("element_type in ('connector', 'arrow')"), "c")
     b = side(boxes(elements), "b")
     bx, by = centre("b")
     both = c.join(b, PAGE).withColumns({"bx": bx, "by": by})
@@ -111,7 +112,7 @@ def connector_targets(elements: DataFrame) -> DataFrame:
     )
     return got.where("source_element_id <> target_element_id").select(
         *PAGE, F.col("c_element_id").alias("connector_id"), "source_element_id", "target_element_id",
-        F.expr("case when abs(c_width) > abs(c_height) then if(c_width > 0, 'right', 'left') else if(c_height > 0, 'down', 'up') end").alias("direction"),
+        F.expr("case when abs(c_width) > abs(c_height) then if(c_width > 0, 'left_to_right', 'right_to_left') else if(c_height > 0, 'top_to_bottom', 'bottom_to_top') end").alias("direction"),
         F.lit(0.95).alias("confidence"),
     )
 

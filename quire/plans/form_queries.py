@@ -53,14 +53,14 @@ def color_profile(spark, sf_dir):
 
 
 def kv_pairs(spark, sf_dir):
-    o = read(spark, sf_dir, "orders")
-    text = F.when(F.expr("o_orderkey % 9 = 4"), F.col("o_orderstatus")).otherwise(F.concat(F.lit(" Status :  "), "o_orderstatus", F.lit("\n\n  then \nPriority:"), "o_orderpriority", F.lit("\nx:y")))
-    return forms.key_values(o.select("o_orderkey", text.alias("text")), "o_orderkey")
+    """Labels and values of the documents, each opened by a label of its own."""
+    return forms.key_values(read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(" Status :  "), "lang", F.lit("\n\n  then \n"), F.coalesce("text", F.lit(""))).alias("text")), "doc_id")
 
 
 def list_items(spark, sf_dir):
-    text = F.concat(F.lit(" 1. "), "o_orderpriority", F.lit("\n-"), "o_orderstatus", F.lit("\n\n2024 plain\n3) • both"))
-    return forms.list_items(read(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "o_orderkey")
+    """List items of the documents, every third line of which is made one."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.expr("array_join(transform(split(text, '\n'), (l, i) -> case i % 3 when 0 then concat(i, '. ', l) when 1 then concat('• ', l) else l end), '\n')").alias("text"))
+    return forms.list_items(d, "doc_id")
 
 
 def text_figures(spark, sf_dir):
@@ -81,10 +81,6 @@ def governance_layers(spark, sf_dir):
     return folds.layers_from_start(elements_from_events(spark, sf_dir))
 
 
-def running_mean_rows(spark, sf_dir):
-    return folds.rows_by_running_mean(elements_from_events(spark, sf_dir))
-
-
 def span_merge(spark, sf_dir):
     return folds.merge_spans(elements_from_events(spark, sf_dir).where("element_type = 'text_box'"), 400_000, 200_000)
 
@@ -98,10 +94,6 @@ def split_numbers(spark, sf_dir):
     return folds.merge_split_numbers(li)
 
 
-def ocr_dedup(spark, sf_dir):
-    return folds.greedy_boxes(elements_from_events(spark, sf_dir).withColumn("confidence", F.expr("cast((ord * 31) % 100 as double)")), "confidence")
-
-
 def kept_cards(spark, sf_dir):
     e = elements_from_events(spark, sf_dir).where("element_type = 'shape'").withColumn("area", F.expr("width * height"))
     return folds.greedy_boxes(e, "area", 0.8, "own")
@@ -115,13 +107,15 @@ def topo_order(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (canvas_by_page, relative_boxes, compass_regions, next_in_order, decision_nodes, page_text, panel_of_element, first_by_text, payload_boxes, color_profile, kv_pairs, list_items,
-              text_figures, line_continuations, legend_labels, governance_layers, running_mean_rows, span_merge, split_numbers, ocr_dedup, kept_cards, topo_order)
+              text_figures, line_continuations, legend_labels, governance_layers, span_merge, split_numbers, kept_cards, topo_order)
 }
 
 _CANVAS = """cv AS (SELECT document_id, slide_number, greatest(12192000.0::DOUBLE, max(x + width)) AS canvas_width, greatest(6858000.0::DOUBLE, max(y + height)) AS canvas_height FROM el GROUP BY 1, 2)"""
 _LINE = r"""raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
 ln AS (SELECT doc_id, CAST(pos AS INT) AS pos, regexp_replace(raw, '^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$', '', 'g') AS line FROM raw), lines AS (SELECT * FROM ln WHERE line <> '')"""
 _PAGE = "document_id, slide_number"
+_TRIM = lambda c: rf"regexp_replace({c}, '^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$', '', 'g')"
+_PAIR = r"^([^:]{2,40}):[\t\n\x0B\f\r ]*(.*)$"
 _HEX = "'#' || lpad(lower(to_hex({} % 16777216)), 6, '0')"
 
 ORACLES = {
@@ -146,10 +140,14 @@ SELECT {_PAGE}, element_id, CASE WHEN width < 0 OR height < 0 THEN 'negative_siz
 greatest(0.0::DOUBLE, least(x, 12000000.0::DOUBLE)) AS x1, greatest(0.0::DOUBLE, least(y, 7000000.0::DOUBLE)) AS y1, greatest(0.0::DOUBLE, least(x + width, 12000000.0::DOUBLE)) AS x2, greatest(0.0::DOUBLE, least(y + height, 7000000.0::DOUBLE)) AS y2 FROM q""",
     "color_profile": f"""WITH c AS (SELECT p_partkey, CAST(p_partkey * 7919 % 16777216 AS INT) AS v FROM part), q AS (SELECT *, v // 65536 AS r, v // 256 % 256 AS g, v % 256 AS b FROM c), l AS (SELECT *, 299 * r + 587 * g + 114 * b AS light FROM q)
 SELECT p_partkey, {_HEX.format("p_partkey * 7919")} AS color, r, g, b, light, CASE WHEN light < 130000 THEN '#FFFFFF' ELSE '#000000' END AS text_color, light < 127500 AS dark FROM l""",
-    "kv_pairs": """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 9 <> 4 AND o_orderkey IS NOT NULL)
-SELECT o_orderkey, 1::BIGINT AS n, 'Status' AS label, o_orderstatus || ' then' AS value FROM o
-UNION ALL SELECT o_orderkey, 2, 'Priority', o_orderpriority || ' x:y' FROM o""",
-    "list_items": """SELECT o_orderkey, 0 AS pos, o_orderpriority AS item FROM orders UNION ALL SELECT o_orderkey, 1, o_orderstatus FROM orders UNION ALL SELECT o_orderkey, 4, 'both' FROM orders""",
+    "kv_pairs": rf"""WITH raw AS (SELECT doc_id, ' Status :  ' || lang || chr(10) || chr(10) || '  then ' || chr(10) || coalesce(text, '') AS t FROM documents),
+li AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM raw), l AS (SELECT doc_id, pos, {_TRIM('raw')} AS line FROM li WHERE {_TRIM('raw')} <> ''),
+p AS (SELECT *, regexp_matches(line, '{_PAIR}') AS pair FROM l), n AS (SELECT *, sum(CASE WHEN pair THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS n, first_value(pair) OVER (PARTITION BY doc_id ORDER BY pos) AS opens FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n, max({_TRIM(f"CASE WHEN pair THEN regexp_extract(line, '{_PAIR}', 1) END")}) AS label,
+  string_agg(CASE WHEN pair THEN {_TRIM(f"regexp_extract(line, '{_PAIR}', 2)")} ELSE line END, ' ' ORDER BY pos) AS value FROM n WHERE opens GROUP BY doc_id, n""",
+    "list_items": rf"""WITH raw AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l, i: CASE (i - 1) % 3 WHEN 0 THEN (i - 1) || '. ' || l WHEN 1 THEN '• ' || l ELSE l END) AS l FROM documents),
+li AS (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS pos FROM raw), t AS (SELECT doc_id, CAST(pos AS INT) AS pos, {_TRIM('raw')} AS line FROM li),
+c AS (SELECT *, regexp_replace(regexp_replace(line, '^[0-9]+[.)][\t ]*', ''), '^[•*-][\t ]*', '') AS item FROM t WHERE line <> '') SELECT doc_id, pos, item FROM c WHERE item <> line""",
     "text_figures": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 q AS (SELECT doc_id, t, [regexp_replace(m, '^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$', '', 'g') FOR m IN regexp_extract_all(t, '([^.\n"]+\?)', 1)] AS a FROM t),
 d AS (SELECT *, [x FOR x, i IN a IF list_position(a, x) = i] AS u FROM q)
@@ -158,6 +156,8 @@ SELECT doc_id, CAST(len(u) AS INT) AS n_questions, array_to_string(u, '|') AS qu
     "line_continuations": rf"""WITH {_LINE}, p AS (SELECT doc_id, pos, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM lines),
 q AS (SELECT *, length(a) < 12 AND length(b) < 12 AND ((regexp_matches(a, '^[$S5]?[0-9]') AND regexp_matches(b, '^[$S5]?[0-9]')) OR a IN ('TBD', 'N/A', 'Yes', 'No') OR b IN ('TBD', 'N/A', 'Yes', 'No')) AS v FROM p WHERE b IS NOT NULL)
 SELECT doc_id, pos, NOT v AND ((NOT regexp_matches(a, '[.!?:]$') AND regexp_matches(b, '^[a-z]')) OR regexp_matches(lower(a), '(^|[\t ])({"|".join(forms.CONTINUING)})$')) AS continues FROM q""",
-    "legend_labels": f"""WITH c AS (SELECT p_partkey, upper({_HEX.format("p_partkey * 7919")}) AS a, upper({_HEX.format("p_partkey * 104729")}) AS b, p_brand, p_type FROM part)
-SELECT p_partkey, a AS color, p_brand AS label FROM c WHERE a <> b UNION ALL SELECT p_partkey, b, p_type FROM c""",
+    "legend_labels": rf"""WITH c AS (SELECT p_partkey, {_HEX.format("p_partkey * 7919")} || ': ' || p_brand || ', ' || p_type || ' (' || {_HEX.format("p_partkey * 104729")} || ')' AS t FROM part),
+a AS (SELECT p_partkey, 0 AS late, unnest(regexp_extract_all(t, '(#[0-9A-Fa-f]{{6}})\s*[:-]\s*([^,\n.]+)')) AS m FROM c UNION ALL SELECT p_partkey, 1, unnest(regexp_extract_all(t, '([^,\n.]+)\s*\((#[0-9A-Fa-f]{{6}})\)')) FROM c),
+e AS (SELECT p_partkey, late, upper(regexp_extract(m, '#[0-9A-Fa-f]{{6}}')) AS color, CASE WHEN late = 0 THEN regexp_extract(m, '#[0-9A-Fa-f]{{6}}\s*[:-]\s*([^,\n.]+)', 1) ELSE regexp_extract(m, '([^,\n.]+)\s*\(#[0-9A-Fa-f]{{6}}\)', 1) END AS label FROM a)
+SELECT p_partkey, color, {_TRIM("arg_max(label, late)")} AS label FROM e GROUP BY p_partkey, color""",
 }

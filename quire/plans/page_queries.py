@@ -19,9 +19,7 @@ def grouped_neighbours(elements: DataFrame) -> DataFrame:
 
 
 QUERIES = {
-    "inventory_by_page": over_elements(layout.inventory),
     "region_by_element": over_elements(layout.regions),
-    "layout_type_by_page": over_elements(layout.layout_type),
     "zones": over_elements(layout.zones),
     "pixel_boxes": over_elements(layout.pixel_boxes),
     "layers": over_elements(layout.layers),
@@ -99,21 +97,7 @@ _DIST = lambda x, y: f"sqrt(({_BX} - {x}) * ({_BX} - {x}) + ({_BY} - {y}) * ({_B
 _EDGE_COLUMNS = "document_id, slide_number, relationship_type, source_element_id, target_element_id, confidence"
 
 ORACLES = {
-    "inventory_by_page": _sql(
-        """SELECT *, CASE WHEN tables > 0 THEN 'table_slide' WHEN charts > 0 THEN 'chart_slide' WHEN connectors > 3 THEN 'flowchart'
-      WHEN images > 3 THEN 'image_heavy' ELSE 'general' END AS slide_type FROM c""",
-        """c AS (SELECT document_id, slide_number, count(*) AS total, count(*) FILTER (element_type = 'text_box') AS text_boxes, count(*) FILTER (element_type = 'shape') AS shapes,
-      count(*) FILTER (element_type = 'image') AS images, count(*) FILTER (element_type = 'table') AS tables, count(*) FILTER (element_type = 'connector') AS connectors, count(*) FILTER (element_type = 'chart') AS charts,
-      count(*) FILTER (element_type NOT IN ('text_box', 'shape', 'image', 'table', 'connector', 'chart')) AS unknown FROM el GROUP BY 1, 2)""",
-    ),
     "region_by_element": _sql(f"SELECT document_id, slide_number, element_id, {_REGION} AS region FROM el"),
-    "layout_type_by_page": _sql(
-        """SELECT document_id, slide_number, CASE WHEN shapes >= 2 AND connectors >= 1 THEN 'flowchart' WHEN texts <= 2 AND objects = 0 THEN 'title_slide'
-      WHEN lefts > 0 AND rights > 0 AND abs(lefts - rights) <= 2 THEN 'two_column' WHEN shapes > 0 OR objects > 0 THEN 'diagram' ELSE 'single_column' END AS layout_type, lefts, rights FROM c""",
-        f"""r AS (SELECT *, {_REGION} AS region FROM el), c AS (SELECT document_id, slide_number, count(*) FILTER (element_type = 'text_box') AS texts,
-      count(*) FILTER (element_type IN ('table', 'image')) AS objects, count(*) FILTER (element_type = 'connector') AS connectors, count(*) FILTER (element_type = 'shape') AS shapes,
-      count(*) FILTER (region = 'body_left') AS lefts, count(*) FILTER (region = 'body_right') AS rights FROM r GROUP BY 1, 2)""",
-    ),
     "zones": _sql(
         "SELECT document_id, slide_number, element_id, zone_x, zone_y, CASE WHEN zone_x = 'center' AND zone_y = 'center' THEN 'center' ELSE zone_y || '-' || zone_x END AS grid, x_pct, y_pct FROM z",
         """z AS (SELECT *, CASE WHEN (x + width / 2) / 12192000 < 0.33 THEN 'left' WHEN (x + width / 2) / 12192000 > 0.66 THEN 'right' ELSE 'center' END AS zone_x,
@@ -180,7 +164,7 @@ ORACLES = {
     ),
     "connector_targets": _sql(
         """SELECT document_id, slide_number, connector_id, source_element_id, target_element_id,
-      CASE WHEN abs(width) > abs(height) THEN CASE WHEN width > 0 THEN 'right' ELSE 'left' END ELSE CASE WHEN height > 0 THEN 'down' ELSE 'up' END END AS direction, CAST(0.95 AS DOUBLE) AS confidence
+      CASE WHEN abs(width) > abs(height) THEN CASE WHEN width > 0 THEN 'left_to_right' ELSE 'right_to_left' END ELSE CASE WHEN height > 0 THEN 'top_to_bottom' ELSE 'bottom_to_top' END END AS direction, CAST(0.95 AS DOUBLE) AS confidence
       FROM t WHERE source_element_id <> target_element_id""",
         _BOX,
         f"""t AS (SELECT a.document_id, a.slide_number, a.element_id AS connector_id, a.width, a.height, arg_min(b.element_id, ({_DIST("a.x", "a.y")}, b.ord)) AS source_element_id,

@@ -30,8 +30,10 @@ def section_rows(spark, sf_dir):
 
 
 def connector_relations(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey", "element_at(array('Yes', ' no', 'next', 'root cause', 'approved', 'reject it', 'note', null), cast(o_orderkey % 8 + 1 as int)) as label")
-    return c.select("o_orderkey", tables.connector_relation(F.col("label")).alias("relation"))
+    """Relations by label, here every word of the documents and a few that matter."""
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", "[ \n]")).alias("label"))
+    few = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("element_at(array('Yes', ' no', 'next', 'root cause', 'approved', 'reject it', 'note', null), cast(o_orderkey % 8 + 1 as int)) as label")
+    return words.unionByName(few).groupBy("label").agg(F.count("*").alias("n")).select("label", tables.connector_relation(F.col("label")).alias("relation"), "n")
 
 
 def table_markdown(spark, sf_dir):
@@ -46,26 +48,17 @@ def likely_tables(spark, sf_dir):
     return tables.likely_tables(cells_from_orders(spark, sf_dir))
 
 
-def _series(li):
+def series_values(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     points = li.groupBy(F.col("l_returnflag").alias("series"), F.date_format("l_shipdate", "yyyy-MM").alias("category")).agg(F.count("*").cast("string").alias("value"))
     return tables.series_by_category(points)
 
 
-def series_values(spark, sf_dir):
-    """Without each order's first line, as the SQL has it."""
-    return _series(spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber > 1"))
-
-
-def series_values_all(spark, sf_dir):
-    """series_values over all lines."""
-    return _series(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-
-
 def page_records(spark, sf_dir):
     return sinks.page_records(elements_from_events(spark, sf_dir).select("document_id", "slide_number", "ord", "element_type", "text"))
 
 
-QUERIES = {f.__name__: f for f in (table_profile, section_rows, connector_relations, table_markdown, cell_model, likely_tables, series_values, series_values_all, page_records)}
+QUERIES = {f.__name__: f for f in (table_profile, section_rows, connector_relations, table_markdown, cell_model, likely_tables, series_values, page_records)}
 
 _ROWS = """cells AS (SELECT o_custkey AS table_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS r,
   [CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END, CASE WHEN o_orderkey % 4 < 2 THEN '' ELSE o_orderstatus END,
@@ -88,8 +81,9 @@ SELECT table_id, n_rows, 4 AS n_cols, greatest(depth, 1) AS header_depth, is_piv
 l AS (SELECT *, CASE WHEN regexp_matches(array_to_string(c, ' '), '\b(DoD|BoP|TOTAL|VA|IHS|FAR|DFARS|SUBTOTAL|SECTION|APPENDIX|SUMMARY)\b', 'i') THEN trim(array_to_string(c, ' '))
   WHEN len(f) = 1 AND r > 0 THEN trim(f[1]) END AS label FROM rs)
 SELECT table_id, r AS "row", label, 4 AS columns_spanned FROM l WHERE label IS NOT NULL""",
-    "connector_relations": """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'decision' WHEN 1 THEN 'decision' WHEN 2 THEN 'process_flow' WHEN 3 THEN 'cause_effect'
-  WHEN 4 THEN 'decision' WHEN 5 THEN 'decision' ELSE 'flow' END AS relation FROM orders""",
+    "connector_relations": """WITH l AS (SELECT unnest(regexp_split_to_array(text, '[ \n]')) AS label FROM documents UNION ALL SELECT (['Yes', ' no', 'next', 'root cause', 'approved', 'reject it', 'note', NULL])[o_orderkey % 8 + 1] FROM orders),
+g AS (SELECT label, count(*) AS n, lower(trim(coalesce(label, ''))) AS t FROM l GROUP BY label)
+SELECT label, CASE WHEN t IN ('yes', 'no') THEN 'decision' WHEN t IN ('next', 'continue') THEN 'process_flow' WHEN contains(t, 'cause') THEN 'cause_effect' WHEN contains(t, 'approve') OR contains(t, 'reject') THEN 'decision' ELSE 'flow' END AS relation, n FROM g""",
     "table_markdown": f"""WITH {_ROWS}, l AS (SELECT table_id, r, '| ' || array_to_string(c, ' | ') || ' |' AS line FROM rs)
 SELECT table_id, string_agg(CASE WHEN r = 0 THEN line || chr(10) || '| --- | --- | --- | --- |' ELSE line END, chr(10) ORDER BY r) AS markdown FROM l GROUP BY 1""",
     "cell_model": f"""WITH {_ROWS},
@@ -100,10 +94,8 @@ SELECT table_id, r AS "row", col, CASE WHEN r < depth THEN 'header' WHEN col = 0
 t AS (SELECT table_id, first(n_rows) AS n_rows, max(len(f)) AS widest, CAST(sum(len(f)) AS BIGINT) AS cells, sum(len(w)) AS words,
   sum(len([x FOR x IN w IF contains(x, '%') OR (regexp_matches(replace(x, '.', ''), '^[0-9]+$') AND length(x) <= 3)])) AS figures FROM w GROUP BY 1)
 SELECT table_id, cells AS n_cells, n_rows >= 2 AND widest > 1 AND cells >= 4 AND NOT (10 * figures > 7 * words AND cells < 12) AS likely FROM t""",
-    "series_values": """WITH p AS (SELECT l_returnflag AS series, strftime(l_shipdate, '%Y-%m') AS category, count(*) AS n FROM lineitem WHERE l_linenumber > 1 GROUP BY 1, 2)
+    "series_values": """WITH p AS (SELECT l_returnflag AS series, strftime(l_shipdate, '%Y-%m') AS category, count(*) AS n FROM lineitem GROUP BY 1, 2)
 SELECT s.series, c.category, coalesce(CAST(n AS VARCHAR), '0') AS value FROM (SELECT DISTINCT series FROM p) s CROSS JOIN (SELECT DISTINCT category FROM p) c LEFT JOIN p ON p.series = s.series AND p.category = c.category""",
     "page_records": f"""WITH {ELEMENTS_SQL} SELECT document_id, slide_number, '{{"document_id":' || document_id || ',"slide_number":' || slide_number || ',"elements":[' ||
   string_agg('{{"ord":' || ord || ',"element_type":"' || element_type || '","text":"' || text || '"}}', ',' ORDER BY ord) || ']}}' AS record FROM el GROUP BY 1, 2""",
 }
-#: The same over all lines.
-ORACLES["series_values_all"] = ORACLES["series_values"].replace(" WHERE l_linenumber > 1", "")

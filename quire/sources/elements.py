@@ -39,3 +39,44 @@ ELEMENTS_SQL = """el AS (
     CAST(200000 + (event_id * 1299709) % 3000000 AS DOUBLE) AS width, CAST(100000 + (event_id * 15485863) % 1500000 AS DOUBLE) AS height,
     event_type || ' ' || CAST(event_id % 100 AS VARCHAR) AS text, event_id % 7 AS z_order, event_id % 7 AS stacking_order
   FROM events)"""
+
+#: Texts, types and styles of ``styled_elements`` by integer arithmetic over ord.
+TEXTS = (
+    "Overview of goals", "What is next?", "Warning: do not open", "Step 2 of the plan", "Best for: Urgent matters", "- one item", None, "", "Key point: Use it, then follow up in writing",
+    " Status : open ", "Email", "The committee reads the summary and the results of every survey before it approves what the next steps should be, and it publishes the metrics afterwards.",
+    "Sales 45% and $20 and 30% of respondents agree", "Confidential draft", "Spot the AI errors below and find problems.", "1. First\n2. Second\nplain",
+)
+KINDS = {3: "chart", 5: "icon", 7: "arrow", 9: "group", 11: "placeholder", 13: "smartart"}
+FILLS = ("#ffffff", "#1F2937", None, "#ff0000", "#4169e1", "")
+INKS = ("#000000", "#336699", None)
+FONTS = ("Arial", None, "Calibri", "Georgia")
+
+
+def _among(values, key: str) -> str:
+    quoted = ", ".join("null" if v is None else "'" + v.replace("'", "''").replace("\n", "\\n") + "'" for v in values)
+    return f"element_at(array({quoted}), cast({key} % {len(values)} as int) + 1)"
+
+
+def styled_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements of the events with texts, types and styles of every kind, and the columns font_size, bold, fill_color, text_color,
+    font_family, shape_type, group_id and parent."""
+    e = elements_from_events(spark, sf_dir)
+    kind = "case ord % 17 " + " ".join(f"when {k} then '{v}'" for k, v in KINDS.items()) + " else element_type end"
+    return e.withColumns({
+        "text": F.expr(_among(TEXTS, "ord")), "element_type": F.expr(kind), "font_size": F.expr("if(ord % 6 = 0, null, cast(8 + ord % 5 * 4 as double))"), "bold": F.expr("ord % 3 = 0"),
+        "fill_color": F.expr(_among(FILLS, "ord div 3")), "text_color": F.expr(_among(INKS, "ord div 2")), "font_family": F.expr(_among(FONTS, "ord div 5")),
+        "shape_type": F.expr("case when ord % 8 = 0 then 'panel' when ord % 29 = 4 then 'wedgeCallout' end"), "group_id": F.expr("if(ord % 10 = 0, concat('g', ord % 3), null)"),
+        "parent": F.lit(None).cast("long"),
+    })
+
+
+def _listed(values, key: str) -> str:
+    quoted = ", ".join("NULL" if v is None else " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in v.split("\n")) for v in values)
+    return f"([{quoted}])[{key} % {len(values)} + 1]"
+
+
+#: The same for DuckDB, after ELEMENTS_SQL.
+STYLED_SQL = f"""st AS (SELECT * REPLACE ({_listed(TEXTS, 'ord')} AS text, CASE ord % 17 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in KINDS.items())} ELSE element_type END AS element_type),
+  CASE WHEN ord % 6 = 0 THEN NULL ELSE CAST(8 + ord % 5 * 4 AS DOUBLE) END AS font_size, ord % 3 = 0 AS bold, {_listed(FILLS, '(ord // 3)')} AS fill_color, {_listed(INKS, '(ord // 2)')} AS text_color,
+  {_listed(FONTS, '(ord // 5)')} AS font_family, CASE WHEN ord % 8 = 0 THEN 'panel' WHEN ord % 29 = 4 THEN 'wedgeCallout' END AS shape_type, CASE WHEN ord % 10 = 0 THEN 'g' || (ord % 3) END AS group_id,
+  CAST(NULL AS BIGINT) AS parent FROM el)"""

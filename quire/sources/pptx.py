@@ -2,11 +2,13 @@
 
 One task reads whole decks, one at a time; rows leave slide by slide.  Groups are flattened: a child knows its group
 (``parent``) and its place is mapped from the group's own coordinates.  A part that is missing or not XML gives no rows;
-a shape without a place lies at 0 with no size; an empty folder gives an empty result.
+a shape without a place lies at 0 with no size; an empty folder gives an empty result.  Colours are those given as RGB; colours of the
+theme are null, as is every style that a shape takes from its layout.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import posixpath
 import re
@@ -16,14 +18,23 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Namespaces of the format.
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+C = "{http://schemas.openxmlformats.org/drawingml/2006/chart}"
 KINDS = {"sp": "shape", "pic": "image", "cxnSp": "connector", "grpSp": "group", "graphicFrame": "graphic"}
 SCHEMA = """document_id string, slide_number int, element_id string, ord int, element_type string, x double, y double, width double, height double,
-  text string, z_order int, parent string, placeholder string, slide_width double, slide_height double, table array<array<string>>, rotation double"""
+  text string, z_order int, parent string, placeholder string, slide_width double, slide_height double, table array<array<string>>, rotation double, name string, shape_type string,
+  fill_color string, border_color string, border_width double, font_size double, font_family string, bold boolean, italic boolean, underline boolean, text_color string,
+  paragraphs array<struct<level:int,text:string,list_type:string,bullet:string,alignment:string>>, begin_x double, begin_y double, end_x double, end_y double,
+  merges array<struct<row:int,col:int,row_span:int,col_span:int>>, row_heights array<double>, column_widths array<double>, image_hash string, description string, image_role string,
+  chart struct<title:string,chart_type:string,categories:array<string>,series:array<struct<name:string,values:array<string>>>>"""
+SLIDES = "document_id string, slide_number int, title string, background_type string, background_color string, slide_width double, slide_height double, author string, presentation_title string, subject string, created string, modified string, document_hash string"
+EMU_POINT = 12_700
 
 
 def _parse(deck: zipfile.ZipFile, name: str):
@@ -47,11 +58,76 @@ def _number(node, key: str) -> float:
 
 
 def _paragraphs(node) -> str:
-    return "\n".join("".join("\n" if t.tag == f"{A}br" else t.text or "" for t in p.iter() if t.tag in (f"{A}t", f"{A}br")) for p in node.iter(f"{A}p"))
-
-
-def shapes(tree, scale=(1.0, 0.0, 1.0, 0.0), parent: str | None = None) -> Iterator[dict]:
-    """Rows of a shape tree in drawing order; ``scale`` maps a group's inner coordinates to the slide's."""
+    return "\n".join(_line(p) for p in node.iter(f"{A}p"))
+
+
+def _line(p) -> str:
+    return "".join("\n" if t.tag == f"{A}br" else t.text or "" for t in p.iter() if t.tag in (f"{A}t", f"{A}br"))
+
+
+def _rgb(node) -> str | None:
+    """The RGB colour of a solid fill below ``node``."""
+    color = node.find(f"{A}solidFill/{A}srgbClr") if node is not None else None
+    return f"#{color.get('val', '').lower()}" if color is not None else None
+
+
+def _lists(body) -> list[dict]:
+    """Paragraphs with a text: level, list type, bullet or kind of number, alignment."""
+    out = []
+    for p in body.findall(f"{A}p"):
+        own = p.find(f"{A}pPr")
+        char, auto = (own.find(f"{A}buChar"), own.find(f"{A}buAutoNum")) if own is not None else (None, None)
+        kind = "bulleted" if char is not None else "numbered" if auto is not None else None
+        mark = char.get("char") if char is not None else auto.get("type", "arabicPeriod") if auto is not None else None
+        text = _line(p).strip()
+        if text:
+            out.append({"level": int(own.get("lvl", 0)) if own is not None else 0, "text": text, "list_type": kind, "bullet": mark, "alignment": own.get("algn") if own is not None else None})
+    return out
+
+
+def _font(body) -> dict:
+    """The style of a shape's first run."""
+    run = next((r for p in body.findall(f"{A}p")[:1] for r in p.findall(f"{A}r")), None)
+    own = run.find(f"{A}rPr") if run is not None else None
+    if own is None:
+        return {}
+    face = own.find(f"{A}latin")
+    yes = lambda k: own.get(k) in ("1", "true")
+    return {"font_size": float(own.get("sz")) / 100 if own.get("sz") else None, "font_family": face.get("typeface") if face is not None else None, "bold": yes("b"), "italic": yes("i"), "underline": own.get("u", "none") != "none", "text_color": _rgb(own)}
+
+
+def _grid(table) -> dict:
+    """Texts, spans and sizes of a table."""
+    cells, merges = [], []
+    for i, row in enumerate(table.iter(f"{A}tr")):
+        cells.append([_paragraphs(c) for c in row.findall(f"{A}tc")])
+        for k, c in enumerate(row.findall(f"{A}tc")):
+            if int(c.get("rowSpan", 1)) > 1 or int(c.get("gridSpan", 1)) > 1:
+                merges.append({"row": i, "col": k, "row_span": int(c.get("rowSpan", 1)), "col_span": int(c.get("gridSpan", 1))})
+    return {"table": cells, "merges": merges, "row_heights": [_number(r, "h") for r in table.iter(f"{A}tr")], "column_widths": [_number(c, "w") for c in table.iter(f"{A}gridCol")]}
+
+
+def chart_data(tree) -> dict:
+    """Title, type, categories and series of a chart part."""
+    plot = next((n for n in tree.iter() if n.tag.startswith(C) and n.tag.endswith("Chart") and n.tag != f"{C}chart"), None)
+    values = lambda node: [v.text or "" for v in node.iter(f"{C}v")] if node is not None else []
+    series, categories = [], []
+    for s in plot.findall(f"{C}ser") if plot is not None else []:
+        categories = categories or values(s.find(f"{C}cat"))
+        series.append({"name": (values(s.find(f"{C}tx")) or [""])[0], "values": values(s.find(f"{C}val"))})
+    title = tree.find(f"{C}chart/{C}title")
+    return {"title": _paragraphs(title) if title is not None else "", "chart_type": plot.tag.rsplit("}", 1)[-1] if plot is not None else "unknown", "categories": categories, "series": series}
+
+
+def image_role(width: float, height: float, slide: tuple[float, float]) -> str:
+    """Background above four fifths of the slide, icon below 48 points, else illustration."""
+    if slide[0] * slide[1] > 0 and width * height / (slide[0] * slide[1]) > 0.8:
+        return "background"
+    return "icon" if width / EMU_POINT < 48 and height / EMU_POINT < 48 else "illustration"
+
+
+def shapes(tree, scale=(1.0, 0.0, 1.0, 0.0), parent: str | None = None, part=lambda rid: None, slide=(12_192_000.0, 6_858_000.0)) -> Iterator[dict]:
+    """Rows of a shape tree in drawing order; ``scale`` maps a group's inner coordinates to the slide's, ``part`` gives the bytes of a related part."""
     for node in tree:
         kind = KINDS.get(node.tag.rsplit("}", 1)[-1]) if node.tag.startswith(P) else None
         if kind is None:
@@ -67,48 +143,113 @@ def shapes(tree, scale=(1.0, 0.0, 1.0, 0.0), parent: str | None = None) -> Itera
         text = _paragraphs(body) if body is not None else ""
         if kind == "shape" and node.find(f"{P}nvSpPr/{P}cNvSpPr") is not None and node.find(f"{P}nvSpPr/{P}cNvSpPr").get("txBox") == "1" or ph is not None:
             kind = "text_box" if kind == "shape" else kind
-        cells = [[_paragraphs(c) for c in row.iter(f"{A}tc")] for row in table.iter(f"{A}tr")] if table is not None else None
         kind = ("table" if table is not None else "chart") if kind == "graphic" else kind
         at = (scale[0] * x + scale[1], scale[2] * y + scale[3], scale[0] * w, scale[2] * h)
-        yield {"element_id": name, "element_type": kind, "x": at[0], "y": at[1], "width": at[2], "height": at[3], "text": text, "parent": parent,
-               "placeholder": ph.get("type", "body") if ph is not None else None, "table": cells, "rotation": _number(xfrm, "rot") / 60_000}
+        props = node.find(f"{P}spPr")
+        form, border = (props.find(f"{A}prstGeom"), props.find(f"{A}ln")) if props is not None else (None, None)
+        row = {
+            "element_id": name, "element_type": kind, "x": at[0], "y": at[1], "width": at[2], "height": at[3], "text": text, "parent": parent, "placeholder": ph.get("type", "body") if ph is not None else None,
+            "rotation": _number(xfrm, "rot") / 60_000, "name": own.get("name") if own is not None else None, "description": own.get("descr") if own is not None else None,
+            "shape_type": form.get("prst") if form is not None else None, "fill_color": _rgb(props), "border_color": _rgb(border), "border_width": _number(border, "w") / EMU_POINT if border is not None else None,
+        }
+        if body is not None:
+            row |= {**_font(body), "paragraphs": _lists(body)}
+        if table is not None:
+            row |= _grid(table)
+        if kind == "connector":
+            right, down = (xfrm is None or xfrm.get("flipH") != "1"), (xfrm is None or xfrm.get("flipV") != "1")
+            xs, ys = ((at[0], at[0] + at[2]) if right else (at[0] + at[2], at[0])), ((at[1], at[1] + at[3]) if down else (at[1] + at[3], at[1]))
+            row |= {"begin_x": xs[0], "begin_y": ys[0], "end_x": xs[1], "end_y": ys[1]}
+        if kind == "image":
+            blip = next((n for n in node.iter(f"{A}blip")), None)
+            raw = part(blip.get(f"{R}embed")) if blip is not None else None
+            row |= {"image_hash": hashlib.sha256(raw).hexdigest() if raw else None, "image_role": image_role(at[2], at[3], slide)}
+        if kind == "chart":
+            ref = next((n for n in node.iter(f"{C}chart")), None)
+            raw = part(ref.get(f"{R}id")) if ref is not None else None
+            try:
+                row["chart"] = chart_data(ElementTree.fromstring(raw)) if raw else None
+            except ElementTree.ParseError:
+                row["chart"] = None
+        yield row
         if kind == "group":
             inner = (xfrm.find(f"{A}chOff"), xfrm.find(f"{A}chExt")) if xfrm is not None else (None, None)
             sx = w / _number(inner[1], "cx") if _number(inner[1], "cx") else 1.0
             sy = h / _number(inner[1], "cy") if _number(inner[1], "cy") else 1.0
             dx, dy = x - sx * _number(inner[0], "x"), y - sy * _number(inner[0], "y")
-            yield from shapes(node, (scale[0] * sx, scale[0] * dx + scale[1], scale[2] * sy, scale[2] * dy + scale[3]), name)
+            yield from shapes(node, (scale[0] * sx, scale[0] * dx + scale[1], scale[2] * sy, scale[2] * dy + scale[3]), name, part, slide)
+
+
+def _related(deck: zipfile.ZipFile, name: str):
+    """A function from relationship ids of a part to the bytes of what they name."""
+    folder, base = posixpath.split(name)
+    rels = _parse(deck, f"{folder}/_rels/{base}.rels")
+    target = {r.get("Id"): posixpath.normpath(posixpath.join(folder, r.get("Target", ""))).lstrip("/") for r in rels} if rels is not None else {}
+
+    def part(rid: str | None) -> bytes | None:
+        try:
+            return deck.read(target[rid])
+        except KeyError:
+            return None
+
+    return part
 
 
-def deck_rows(path: str, content: bytes) -> Iterator[list[dict]]:
-    """Rows of a deck, one list a slide.  A file that is no zip package gives none."""
+def background(slide) -> tuple[str, str | None]:
+    """Type and colour of a slide's own background; white where it has none."""
+    own = slide.find(f"{P}cSld/{P}bg/{P}bgPr")
+    if own is None:
+        return "solid", "#ffffff"
+    if own.find(f"{A}blipFill") is not None:
+        return "picture", None
+    if own.find(f"{A}gradFill") is not None:
+        first = next((c for c in own.iter(f"{A}srgbClr")), None)
+        return "gradient", f"#{first.get('val', '').lower()}" if first is not None else "#ffffff"
+    return "solid", _rgb(own) or "#ffffff"
+
+
+def deck_rows(path: str, content: bytes, pages: frozenset[int] | None = None) -> Iterator[tuple[list[dict], dict]]:
+    """Rows of a deck's elements and its slide row, slide by slide; only of ``pages``, if given.  A file that is no zip package gives none."""
     try:
         deck = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile:
         return
-    root = _parse(deck, "ppt/presentation.xml")
+    root, core = _parse(deck, "ppt/presentation.xml"), _parse(deck, "docProps/core.xml")
     size = root.find(f"{P}sldSz") if root is not None else None
+    wide, high = _number(size, "cx") or 12_192_000.0, _number(size, "cy") or 6_858_000.0
+    said = {n.tag.rsplit("}", 1)[-1]: n.text for n in core} if core is not None else {}
+    meta = {"author": said.get("creator"), "presentation_title": said.get("title"), "subject": said.get("subject"), "created": said.get("created"), "modified": said.get("modified"), "document_hash": hashlib.sha256(content).hexdigest()}
     for k, part in enumerate(slide_parts(deck), 1):
-        slide = _parse(deck, part)
+        slide = _parse(deck, part) if pages is None or k in pages else None
         tree = slide.find(f"{P}cSld/{P}spTree") if slide is not None else None
         if tree is not None:
-            yield [
-                {"document_id": path, "slide_number": k, "ord": i, "z_order": i, "slide_width": _number(size, "cx") or 12_192_000.0, "slide_height": _number(size, "cy") or 6_858_000.0, **r}
-                for i, r in enumerate(shapes(tree))
-            ]
+            found = list(shapes(tree, part=_related(deck, part), slide=(wide, high)))
+            titles = [r["text"].strip() for r in found if r["placeholder"] in ("title", "ctrTitle") and r["text"].strip()] or [r["text"].strip() for r in found if r["text"].strip()]
+            kind, color = background(slide)
+            base = {"document_id": path, "slide_number": k, "slide_width": wide, "slide_height": high}
+            yield [{**base, "ord": i, "z_order": i, **r} for i, r in enumerate(found)], {**base, "title": titles[0] if titles else None, "background_type": kind, "background_color": color, **meta}
 
 
-def read_pptx(spark: SparkSession, path: str) -> DataFrame:
-    """The elements of every ``.pptx`` file below ``path``."""
+def _read(spark: SparkSession, path: str, fields: str, which: int, pages) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pptx").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    names = [c.split()[0] for c in re.sub(r"array<array<string>>", "string", SCHEMA).split(",")]
-    kinds = pa.schema([(n, pa.list_(pa.list_(pa.string())) if n == "table" else pa.float64() if n in ("x", "y", "width", "height", "slide_width", "slide_height", "rotation")
-                        else pa.int32() if n in ("slide_number", "ord", "z_order") else pa.string()) for n in names])
+    kinds = StructType.fromDDL(fields)
+    arrow, wanted = to_arrow_schema(kinds), frozenset(pages) if pages is not None else None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0), b.column(1), strict=True):
-                for rows in deck_rows(name.as_py(), content.as_py()):
-                    yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+                for found in deck_rows(name.as_py(), content.as_py(), wanted):
+                    rows = found[0] if which == 0 else [found[1]]
+                    yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in arrow.names} for r in rows], schema=arrow)
+
+    return files.mapInArrow(scan, kinds)
+
+
+def read_pptx(spark: SparkSession, path: str, pages=None) -> DataFrame:
+    """The elements of every ``.pptx`` file below ``path``; other slides than ``pages`` are not parsed."""
+    return _read(spark, path, SCHEMA, 0, pages)
+
 
-    return files.mapInArrow(scan, SCHEMA)
+def read_slides(spark: SparkSession, path: str, pages=None) -> DataFrame:
+    """One row a slide: title (its placeholder's, else the first text), background, size, and the deck's own data and hash."""
+    return _read(spark, path, SLIDES, 1, pages)

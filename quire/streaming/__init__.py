@@ -1,0 +1 @@
+"""Streams of documents over the batch operators."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from quire.operators import folds
-from quire.plans import form_queries, registry
+from quire.plans import form_queries
 from quire.sources.elements import elements_from_events
 
 SF = "/root/testdata/sf0.001"
@@ -74,8 +74,3 @@ def test_topological_order(spark, pairs, order):
     edges = spark.createDataFrame([(1, 1, *p) for p in pairs], "document_id long, slide_number long, source_element_id string, target_element_id string")
     want = order if order != "abcd" else "adbc"
     assert "".join(r["element_id"] for r in folds.topological_order(b, edges).orderBy("position").collect()) == want
-
-
-@pytest.mark.parametrize("name", sorted(set(form_queries.QUERIES) - set(form_queries.ORACLES)))
-def test_rows_only_queries_have_rows(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() > 0

@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from quire.operators import classify, content, layout, spatial
+from quire.operators import classify, layout, ocr, pagefacts, spatial
 from quire.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -58,21 +58,25 @@ def test_first_anchor_pairs_the_first_box_only(spark):
 
 def test_empty_page_set(spark):
     e = page(spark, ("a", 1, "shape", 0.0, 0.0, 1.0, 1.0, "", 0)).where("false")
-    for op in (layout.inventory, layout.row_islands, layout.gap_splits, spatial.relationship_edges, spatial.nearest_neighbours, spatial.connector_targets):
+    for op in (pagefacts.full_inventory, layout.row_islands, layout.gap_splits, spatial.relationship_edges, spatial.nearest_neighbours, spatial.connector_targets):
         assert op(e).count() == 0
 
 
 def test_currency_repair(spark):
-    df = spark.createDataFrame([("S1o5",), ("S4oo",), ("So",), ("note",)], "t string")
-    assert [r[0] for r in df.select(content.currency_repair(df.t)).collect()] == ["$105", "$400", "$o", "note"]
+    want = {
+        "Solution": "Solution", "So": "So", "note": "note", "5295,000": "$295,000", "S305,000": "$305,000", "8720,000": "$720,000", "Ss00,000": "$600,000", "$40,0C0": "$40,000", "$70,000_$100,000": "$70,000 – $100,000",
+        "S1,595,000": "$1,595,000", "572, 0o0": "$72,000", "S1o5": "$105", "55,000": "$5,000",
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r["t"]: r["r"] for r in df.select("t", ocr.currency_repair(df.t).alias("r")).collect()} == want
 
 
-def test_similarity_meets_every_item(spark, tmp_path):
+def test_every_document_meets_every_item(spark, tmp_path):
     texts = ["red green blue", "one two", "Red one", ""]
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(90, "one two"), (91, "blue red green")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in registry.QUERIES["text_similarity_all"](spark, str(tmp_path)).collect()}
-    assert got == {(0, 90): 0, (0, 91): 1, (1, 90): 1, (1, 91): 0, (2, 90): 0.5, (2, 91): 0.333333, (3, 90): 0, (3, 91): 0}
+    got = {r["doc_id"]: (r["item_id"], r["similarity"]) for r in registry.QUERIES["text_similarity"](spark, str(tmp_path)).collect()}
+    assert got == {0: (91, 1), 1: (90, 1), 2: (90, 0.5), 3: (90, 0)}
 
 
 def test_complexity_has_all_three_classes(spark):
@@ -83,16 +87,6 @@ def test_complexity_has_all_three_classes(spark):
     assert got == {1: (3, 0, "low"), 2: (8, 2, "medium"), 3: (9, 0, "high"), 4: (2, 1, "medium")}
 
 
-def test_whole_queries_count_every_row(spark):
-    from quire.sources.elements import elements_from_events
-
-    e = elements_from_events(spark, SF)
-    assert sum(r["n_elements"] for r in registry.QUERIES["page_complexity_all"](spark, SF).collect()) == e.count()
-    assert registry.QUERIES["page_archetype_all"](spark, SF).count() == e.select("document_id", "slide_number").distinct().count()
-    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
-    assert sum(int(r["value"]) for r in registry.QUERIES["series_values_all"](spark, SF).collect()) == lines
-
-
 def test_entry_has_rows(spark):
     import __spark_entry__
 
