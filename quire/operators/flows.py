@@ -134,7 +134,7 @@ def layout_words(elements: DataFrame) -> DataFrame:
 def location_texts(elements: DataFrame) -> DataFrame:
     """(page, element_id, location, inventory): where an element is in per cent of the canvas, and what it is."""
     reach = elements.groupBy(*PAGE).agg(F.greatest(F.lit(float(SLIDE_WIDTH)), F.max(F.expr("x + width"))).alias("cw"), F.greatest(F.lit(float(SLIDE_HEIGHT)), F.max(F.expr("y + height"))).alias("ch"))
-    pct = lambda c, total: F.format_string("%.1f%%", F.col(c) / F.col(total) * 100)
+    pct = lambda c, total: F.format_string("%.1f%%", F.bround(F.col(c) / F.col(total) * 100, 1))
     text = F.replace(strip(F.col("text")), F.lit("\n"), F.lit(" "))
     some = lambda c, words, end="": F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(words), c, F.lit(end))).otherwise("")
     return elements.join(reach, PAGE).select(

@@ -125,7 +125,7 @@ FROM q LEFT JOIN rn ON q.document_id = rn.document_id AND q.slide_number = rn.sl
 p AS (SELECT {_PAGE}, region, string_agg(label, '; ' ORDER BY ord) AS items FROM l WHERE NOT starts_with(label, '[') GROUP BY {_PAGE}, region)
 SELECT {_PAGE}, string_agg(upper(region[1]) || region[2:] || ' section: ' || items, '; ' ORDER BY list_position(['left', 'right', 'top', 'bottom', 'center'], region)) AS layout FROM p GROUP BY {_PAGE}""",
     "location_texts": f"""WITH {ELEMENTS_SQL}, {STYLED_SQL}, rc AS (SELECT {_PAGE}, greatest(12192000.0, max(x + width)) AS cw, greatest(6858000.0, max(y + height)) AS ch FROM st GROUP BY {_PAGE})
-SELECT {_PAGE}, element_id, 'Element ''' || element_id || ''' (' || element_type || ') is positioned at: left: ' || printf('%.1f', x / cw * 100) || '%, top: ' || printf('%.1f', y / ch * 100) || '%, width: ' || printf('%.1f', width / cw * 100) ||
-  '%, height: ' || printf('%.1f', height / ch * 100) || '%' AS location, 'ID: ' || element_id || ' | Type: ' || element_type || CASE WHEN coalesce(text, '') <> '' THEN ' | Text content: ''' || replace({_TRIM('text')}, chr(10), ' ') || '''' ELSE '' END ||
+SELECT {_PAGE}, element_id, 'Element ''' || element_id || ''' (' || element_type || ') is positioned at: left: ' || printf('%.1f', CAST(round_even(CAST(CAST(x / cw * 100 AS VARCHAR) AS DECIMAL(38, 20)), 1) AS DOUBLE)) || '%, top: ' || printf('%.1f', CAST(round_even(CAST(CAST(y / ch * 100 AS VARCHAR) AS DECIMAL(38, 20)), 1) AS DOUBLE)) || '%, width: ' || printf('%.1f', CAST(round_even(CAST(CAST(width / cw * 100 AS VARCHAR) AS DECIMAL(38, 20)), 1) AS DOUBLE)) ||
+  '%, height: ' || printf('%.1f', CAST(round_even(CAST(CAST(height / ch * 100 AS VARCHAR) AS DECIMAL(38, 20)), 1) AS DOUBLE)) || '%' AS location, 'ID: ' || element_id || ' | Type: ' || element_type || CASE WHEN coalesce(text, '') <> '' THEN ' | Text content: ''' || replace({_TRIM('text')}, chr(10), ' ') || '''' ELSE '' END ||
   CASE WHEN coalesce(fill_color, '') <> '' THEN ' | Background color: ' || fill_color ELSE '' END || CASE WHEN coalesce(text_color, '') <> '' THEN ' | Text color: ' || text_color ELSE '' END AS inventory FROM st JOIN rc USING ({_PAGE})""",
 }

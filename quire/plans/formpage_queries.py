@@ -87,6 +87,7 @@ _GEO = f"""pg AS (SELECT {_PAGE}, CASE slide_number % 3 WHEN 0 THEN 816.0 WHEN 1
   CASE slide_number % 3 WHEN 0 THEN 96.0::DOUBLE / 72 WHEN 1 THEN 1.0::DOUBLE / 9525 ELSE 1.0::DOUBLE END AS scale, CASE WHEN slide_number % 5 = 0 THEN 90.0 ELSE 0.0 END::DOUBLE AS rotation FROM st GROUP BY {_PAGE})"""
 #: Half to even on the shortest decimal form of a number.
 _FIVE = lambda v: f"CAST(round_even(CAST(CAST({v} AS VARCHAR) AS DECIMAL(30, 20)), 5) AS DOUBLE)"
+_THREE = lambda v: f"CAST(round_even(CAST(CAST({v} AS VARCHAR) AS DECIMAL(38, 20)), 3) AS DOUBLE)"
 _TRIM = lambda c: rf"regexp_replace({c}, '^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$', '', 'g')"
 
 
@@ -104,15 +105,15 @@ def _repaired(c: str) -> str:
 
 _FORM = f"""{ELEMENTS_SQL}, {STYLED_SQL}, {_GEO}, fe AS (SELECT * REPLACE (CASE ord % 19 WHEN 3 THEN '[ ]' WHEN 5 THEN ' [x] ' WHEN 7 THEN 'Sign here please' WHEN 9 THEN 'Authorized signature' ELSE text END AS text,
   CASE WHEN ord % 9 = 2 THEN 20000.0 ELSE height END::DOUBLE AS height, CASE WHEN ord % 9 = 5 THEN 20000.0 ELSE width END::DOUBLE AS width) FROM st),
-fs AS (SELECT fe.*, page_width, page_height, CAST(row_number() OVER (PARTITION BY {_PAGE} ORDER BY z_order, y, x, ord) - 1 AS INT) AS reading_order, round_even(greatest(0, x * scale), 3) AS px, round_even(greatest(0, y * scale), 3) AS py,
-  round_even(greatest(0, width * scale), 3) AS w, round_even(greatest(0, height * scale), 3) AS h FROM fe JOIN pg USING ({_PAGE})),
+fs AS (SELECT fe.*, page_width, page_height, CAST(row_number() OVER (PARTITION BY {_PAGE} ORDER BY z_order, y, x, ord) - 1 AS INT) AS reading_order, {_THREE('greatest(0, x * scale)')} AS px, {_THREE('greatest(0, y * scale)')} AS py,
+  {_THREE('greatest(0, width * scale)')} AS w, {_THREE('greatest(0, height * scale)')} AS h FROM fe JOIN pg USING ({_PAGE})),
 fl AS (SELECT * REPLACE ({_repaired('text')} AS text), element_type = 'shape' AND w > 0 AND h > 0 AND h <= greatest(3.0, w * 0.08) AS flat FROM fs),
 ft AS (SELECT *, element_type = 'shape' AND w > 0 AND h > 0 AND NOT flat AND w <= greatest(3.0, h * 0.08) AS tall, CASE WHEN element_type IN ('text_box', 'text') AND trim(text) IN ('[ ]', '[]', '☐') THEN false
   WHEN element_type IN ('text_box', 'text') AND trim(text) IN ('[x]', '[X]', '☑', '☒') THEN true END AS checked FROM fl),
 fm AS (SELECT *, CASE WHEN flat OR tall THEN 'line' WHEN checked IS NOT NULL THEN 'checkbox' ELSE element_type END AS type, w * h / (page_width * page_height) AS share FROM ft),
 form AS (SELECT {_PAGE}, element_id, type, reading_order, CAST(z_order AS BIGINT) AS z_order, px AS x, py AS y, w AS width, h AS height, text, checked, CAST(NULL AS BOOLEAN) AS filled,
-  CASE WHEN tall THEN round_even(px + w / 2, 3) WHEN flat THEN px END AS x1, CASE WHEN flat THEN round_even(py + h / 2, 3) WHEN tall THEN py END AS y1, CASE WHEN tall THEN round_even(px + w / 2, 3) WHEN flat THEN round_even(px + w, 3) END AS x2,
-  CASE WHEN flat THEN round_even(py + h / 2, 3) WHEN tall THEN round_even(py + h, 3) END AS y2, CASE WHEN flat THEN greatest(1.0, h) WHEN tall THEN greatest(1.0, w) END AS stroke_width,
+  CASE WHEN tall THEN {_THREE('px + w / 2')} WHEN flat THEN px END AS x1, CASE WHEN flat THEN {_THREE('py + h / 2')} WHEN tall THEN py END AS y1, CASE WHEN tall THEN {_THREE('px + w / 2')} WHEN flat THEN {_THREE('px + w')} END AS x2,
+  CASE WHEN flat THEN {_THREE('py + h / 2')} WHEN tall THEN {_THREE('py + h')} END AS y2, CASE WHEN flat THEN greatest(1.0, h) WHEN tall THEN greatest(1.0, w) END AS stroke_width,
   CASE WHEN type = 'image' THEN 'Images' WHEN type = 'table' THEN 'Tables' WHEN type IN ('line', 'connector') THEN 'Lines' WHEN type IN ('text_box', 'text') THEN 'Text' WHEN type = 'shape' AND w < 48 AND h < 48 THEN 'Icons'
     WHEN type IN ('shape', 'rectangle', 'group') AND share > 0.8 THEN 'Background' WHEN type IN ('shape', 'rectangle', 'group') AND share > 0.25 THEN 'Large panels' ELSE 'Shapes' END AS layer,
   {_FIVE('px / page_width')} AS x_share, {_FIVE('py / page_height')} AS y_share, {_FIVE('w / page_width')} AS width_share, {_FIVE('h / page_height')} AS height_share FROM fm)"""
