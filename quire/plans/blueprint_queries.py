@@ -27,7 +27,7 @@ def _blocks(spark, sf_dir):
 
 def blueprint_lines(spark, sf_dir):
     lines = blueprint.text_lines(_low(spark, sf_dir))
-    return lines.select(*PAGE, "line_no", "text", "x", "y", "width", "height", F.bround("font", 1).alias("font"), "bold", "font_size", "fill_color", "text_color", "card_id", "parts")
+    return lines.select(*PAGE, "line_no", "text", "x", "y", "width", "height", "bold", "font_size", "fill_color", "text_color", "card_id", "parts")
 
 
 def blueprint_blocks(spark, sf_dir):
@@ -93,7 +93,7 @@ ORACLES = {
     "blueprint_canvas": f"""WITH {ELEMENTS_SQL}, r AS (SELECT {_PAGE}, max(CASE WHEN slide_number % 4 = 0 THEN x / 9525 + width / 9525 ELSE x + width END) AS mx, max(CASE WHEN slide_number % 4 = 0 THEN y / 9525 + height / 9525 ELSE y + height END) AS my FROM el GROUP BY {_PAGE}),
 c AS (SELECT {_PAGE}, CASE WHEN mx > 100000 THEN greatest(mx, 12192000.0) ELSE greatest(mx, 1920.0) END AS canvas_width, CASE WHEN mx > 100000 THEN greatest(my, 6858000.0) ELSE greatest(my, 1080.0) END AS canvas_height FROM r)
 SELECT *, CASE WHEN abs(canvas_width / canvas_height - 16 / 9) < 0.1 THEN '16:9' WHEN abs(canvas_width / canvas_height - 4 / 3) < 0.1 THEN '4:3' ELSE printf('%.2f:1', canvas_width / canvas_height) END AS aspect FROM c""",
-    "blueprint_lines": f"WITH {_LINES} SELECT {_PAGE}, CAST(line_no AS BIGINT) AS line_no, text, x, y, width, height, round_even(font, 1) AS font, s.bold AS bold, s.font_size AS font_size, s.fill_color AS fill_color, s.text_color AS text_color, s.card_id AS card_id, parts FROM ln",
+    "blueprint_lines": f"WITH {_LINES} SELECT {_PAGE}, CAST(line_no AS BIGINT) AS line_no, text, x, y, width, height, s.bold AS bold, s.font_size AS font_size, s.fill_color AS fill_color, s.text_color AS text_color, s.card_id AS card_id, parts FROM ln",
     "blueprint_blocks": f"WITH {_BLOCKS} SELECT * EXCLUDE (font) FROM br",
     "blueprint_sections": f"WITH {_SECTIONS} SELECT * FROM sc",
     "section_meaning": f"""WITH {_SECTIONS}, al AS (SELECT {_PAGE}, section_no, role, y_pct FROM sc UNION ALL SELECT {_PAGE}, ord + 1000000, 'table', NULL FROM st WHERE element_type = 'table')

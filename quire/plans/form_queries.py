@@ -140,6 +140,15 @@ SELECT {_PAGE}, element_id, CASE WHEN width < 0 OR height < 0 THEN 'negative_siz
 greatest(0.0::DOUBLE, least(x, 12000000.0::DOUBLE)) AS x1, greatest(0.0::DOUBLE, least(y, 7000000.0::DOUBLE)) AS y1, greatest(0.0::DOUBLE, least(x + width, 12000000.0::DOUBLE)) AS x2, greatest(0.0::DOUBLE, least(y + height, 7000000.0::DOUBLE)) AS y2 FROM q""",
     "color_profile": f"""WITH c AS (SELECT p_partkey, CAST(p_partkey * 7919 % 16777216 AS INT) AS v FROM part), q AS (SELECT *, v // 65536 AS r, v // 256 % 256 AS g, v % 256 AS b FROM c), l AS (SELECT *, 299 * r + 587 * g + 114 * b AS light FROM q)
 SELECT p_partkey, {_HEX.format("p_partkey * 7919")} AS color, r, g, b, light, CASE WHEN light < 130000 THEN '#FFFFFF' ELSE '#000000' END AS text_color, light < 127500 AS dark FROM l""",
+    "governance_layers": f"""WITH {ELEMENTS_SQL}, l AS (SELECT {_PAGE}, list(element_id ORDER BY y, ord) AS ids, list({{'y': y, 's': y, 'n': 1, 'o': [1]}} ORDER BY y, ord) AS l FROM el WHERE element_type IN ('text_box', 'shape') GROUP BY {_PAGE}),
+f AS (SELECT {_PAGE}, ids, list_reduce(l, lambda a, b: CASE WHEN b.y - a.s > 1000000 THEN {{'y': b.y, 's': b.y, 'n': a.n + 1, 'o': list_append(a.o, a.n + 1)}} ELSE {{'y': b.y, 's': a.s, 'n': a.n, 'o': list_append(a.o, a.n)}} END).o AS o FROM l)
+SELECT {_PAGE}, unnest(ids) AS element_id, CAST(unnest(o) AS INT) AS layer FROM f""",
+    "span_merge": f"""WITH {ELEMENTS_SQL}, l AS (SELECT {_PAGE}, list({{'i': element_id, 'x': x, 'y': y, 'w': width, 'h': height, 't': text, 'p': 1, 'd': list_value({{'i': element_id, 'x': x, 'y': y, 'w': width, 'h': height, 't': text, 'p': 1}})[2:]}} ORDER BY y, x, ord) AS l
+  FROM el WHERE element_type = 'text_box' GROUP BY {_PAGE}),
+f AS (SELECT {_PAGE}, list_reduce(l, lambda a, b: CASE WHEN abs(b.y - a.y) < 200000 AND b.x - (a.x + a.w) < 400000 THEN {{'i': a.i, 'x': a.x, 'y': a.y, 'w': b.x + b.w - a.x, 'h': a.h, 't': a.t || b.t, 'p': a.p + 1, 'd': a.d}}
+  ELSE {{'i': b.i, 'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h, 't': b.t, 'p': 1, 'd': list_append(a.d, {{'i': a.i, 'x': a.x, 'y': a.y, 'w': a.w, 'h': a.h, 't': a.t, 'p': a.p}})}} END) AS r FROM l),
+u AS (SELECT {_PAGE}, unnest(list_append(r.d, {{'i': r.i, 'x': r.x, 'y': r.y, 'w': r.w, 'h': r.h, 't': r.t, 'p': r.p}})) AS s FROM f)
+SELECT {_PAGE}, s.i AS first_id, s.x AS x, s.y AS y, s.w AS width, s.h AS height, s.t AS text, s.p AS parts FROM u""",
     "kv_pairs": rf"""WITH raw AS (SELECT doc_id, ' Status :  ' || lang || chr(10) || chr(10) || '  then ' || chr(10) || coalesce(text, '') AS t FROM documents),
 li AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM raw), l AS (SELECT doc_id, pos, {_TRIM('raw')} AS line FROM li WHERE {_TRIM('raw')} <> ''),
 p AS (SELECT *, regexp_matches(line, '{_PAIR}') AS pair FROM l), n AS (SELECT *, sum(CASE WHEN pair THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS n, first_value(pair) OVER (PARTITION BY doc_id ORDER BY pos) AS opens FROM p)
