@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import decontamination, language_model, near_duplicates, packing, pii, quality, rules, sharding, substring_dedup, textkernel, toxicity
 from quire.llm.components import components
+from quire.llm.shared import skew_join
 
 SF = "/root/testdata/sf0.001"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -176,6 +177,16 @@ def test_one_document_of_each_component_stays(docs, odd):
     assert sorted(str(r["doc_id"]) for r in few.collect()) == sorted(map(str, (1, 3, 4, 5, 7, 8, 9, 11, 12)))
 
 
+def test_hot_keys_join_like_others(spark):
+    """Keys beyond the share are broadcast, the others shuffled; rows are those of a plain join."""
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, 7, id % 500) as k", "id").withColumn("k", F.when(F.col("id") % 11 == 5, None).otherwise(F.col("k")))
+    sized = rows.where("k is not null and k % 5 <> 1").groupBy("k").agg(F.count("*").alias("c"), F.max("id").alias("top"))
+    got, want = skew_join(rows, sized, "k"), rows.join(sized.drop("c"), "k")
+    assert sized.where("c > 70").count() == 1 and got.columns == want.columns
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not got.isEmpty()
+    assert skew_join(rows, sized.where("k > 7"), "k").exceptAll(rows.join(sized.drop("c").where("k > 7"), "k")).isEmpty()
+
+
 def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, 201), (202, 201), (5, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
