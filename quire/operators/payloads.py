@@ -13,6 +13,7 @@ from quire.operators.classify import first_of
 from quire.operators.content import similarity
 from quire.operators.folds import bounded
 from quire.operators.forms import SLIDE_HEIGHT, SLIDE_WIDTH, strip
+from quire.operators.semantics import plain_rewrite
 from quire.sources.elements import PAGE
 
 #: Drawing layers in their order, with the types that they hold, and the keys of a page's integrity record.
@@ -48,6 +49,34 @@ def model_elements(elements: DataFrame) -> DataFrame:
     )
 
 
+def visual_objects(elements: DataFrame, canvases: DataFrame) -> DataFrame:
+    """One row an object for a blueprint: rewritten text, box in per cent (two places) of its page's canvas, and style with the defaults of what is missing."""
+    pct = lambda c, total: F.when(F.col(total) > 0, F.bround(F.col(c) / F.col(total) * 100, 2)).otherwise(0.0)
+    shape = F.expr("nullif(shape_type, '')")
+    return elements.join(canvases, PAGE).select(
+        *PAGE, "element_id", "element_type", F.coalesce(shape, F.lit("rectangle")).alias("shape_type"), F.when(F.col("text") != "", F.nullif(plain_rewrite(F.col("text")), F.lit(""))).alias("text"),
+        pct("x", "canvas_width").alias("left_pct"), pct("y", "canvas_height").alias("top_pct"), pct("width", "canvas_width").alias("width_pct"), pct("height", "canvas_height").alias("height_pct"),
+        F.coalesce("z_order", F.lit(0)).alias("z_order"), F.lit("top-left").alias("anchor"), F.col("parent"), F.col("group_id"), F.col("fill_color"), F.coalesce("font_family", F.lit("Arial")).alias("font_family"),
+        F.coalesce("font_size", F.lit(12.0)).alias("font_size"), F.coalesce("bold", F.lit(False)).alias("bold"), F.coalesce("text_color", F.lit("#000000")).alias("color"),
+        F.concat(F.lit("Visual object representing a "), "element_type", F.lit(" of type "), F.coalesce(shape, F.lit("rect")), F.lit(".")).alias("semantic_meaning"),
+    )
+
+
+def connector_instructions(relations: DataFrame) -> DataFrame:
+    """(page, source_element_id, target_element_id, instruction): how to draw each relation again; an empty label is none."""
+    said = F.when(F.coalesce("label", F.lit("")) != "", F.concat(F.lit(" with visible label '"), "label", F.lit("'"))).otherwise("")
+    line = F.concat(F.lit("Draw a connector from "), F.col("source_element_id").cast("string"), F.lit(" to "), F.col("target_element_id").cast("string"), said, F.lit("."))
+    return relations.select(*PAGE, "source_element_id", "target_element_id", line.alias("instruction"))
+
+
+def page_purpose(flow: Column, summary: Column, title: Column) -> Column:
+    """What a page is drawn again for: its flow's summary, else the first line of its own, else its title, else a general sentence."""
+    first = F.trim(F.replace(F.split(F.trim(summary), "\n")[0], F.lit("#"), F.lit("")))
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    general = "Recreate the presentation slide from extracted visual and semantic structure."
+    return F.when(some(flow), flow).when(some(summary), first).when(some(title), F.concat(F.lit("Recreate a slide explaining "), title, F.lit("."))).otherwise(general)
+
+
 def draw_list(form: DataFrame) -> DataFrame:
     """(page, seq, layer, element_id): a form's elements (page, element_id, type, reading_order), each id once, layer by layer."""
     kind = F.lower("type")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import naming
-from quire.operators import enrich, pagefacts, payloads, semantics
+from quire.operators import blueprint, enrich, pagefacts, payloads, semantics, spatial
 from quire.plans.content_queries import read
 from quire.plans.formpage_queries import _FORM, _MERGES, _form, _tables
-from quire.plans.semantic_queries import OBJECTS
+from quire.plans.semantic_queries import _ENDS, OBJECTS
+from quire.plans.semantic_queries import ORACLES as SEMANTIC
 from quire.sources import sinks
 from quire.sources.elements import ELEMENTS_SQL, PAGE, STYLED_SQL, styled_elements
 
@@ -23,6 +24,22 @@ def model_elements(spark, sf_dir):
     return payloads.model_elements(styled_elements(spark, sf_dir))
 
 
+def visual_objects(spark, sf_dir):
+    e = styled_elements(spark, sf_dir)
+    return payloads.visual_objects(e, blueprint.canvas(e))
+
+
+def connector_instructions(spark, sf_dir):
+    r = spatial.connector_targets(styled_elements(spark, sf_dir))
+    return payloads.connector_instructions(r.withColumn("label", F.expr("case source_element_id % 3 when 0 then 'if late' when 1 then '' end")))
+
+
+def page_purposes(spark, sf_dir):
+    p = styled_elements(spark, sf_dir).groupBy(*PAGE).agg(F.max(F.when(F.col("text") != "", F.col("text"))).alias("t"))
+    p = p.selectExpr(*PAGE, "if(slide_number % 4 = 0, concat('Flow of ', t), '') as flow", "if(slide_number % 4 = 1, concat('  ## ', t, '\\nmore'), null) as summary", "if(slide_number % 4 = 2, t, null) as title")
+    return p.select(*PAGE, payloads.page_purpose(F.col("flow"), F.col("summary"), F.col("title")).alias("purpose"))
+
+
 def draw_list(spark, sf_dir):
     return payloads.draw_list(_form(spark, sf_dir))
 
@@ -149,7 +166,7 @@ def ruled_answers(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (fidelity_objects, model_elements, draw_list, clamped_boxes, cells_outside, final_violations, integrity_violations, image_hash_violations, consistent_readings, consumed_spans, background_colors, boxes_without_text,
+    for f in (fidelity_objects, model_elements, visual_objects, connector_instructions, page_purposes, draw_list, clamped_boxes, cells_outside, final_violations, integrity_violations, image_hash_violations, consistent_readings, consumed_spans, background_colors, boxes_without_text,
               boxes_in_crop, appended_elements, suppressed_cells, wrapped_lines, run_statistics, page_summaries, form_records, reconstruction_records, ruled_answers)
 }
 
@@ -169,6 +186,18 @@ SELECT {_PAGE}, element_id, element_type, lower(coalesce(shape_type, element_typ
   CASE WHEN coalesce(text, '') <> '' THEN coalesce(font_size, 12.0) END AS font_size, CASE WHEN coalesce(text, '') <> '' THEN CASE WHEN bold THEN 'bold' ELSE 'normal' END END AS font_weight FROM f""",
     "model_elements": f"""WITH {_ST}, rc AS (SELECT {_PAGE}, greatest(12192000.0, max(x + width)) AS cw, greatest(6858000.0, max(y + height)) AS ch FROM st GROUP BY {_PAGE})
 SELECT {_PAGE}, element_id, element_type, replace({_TRIM("coalesce(text, '')")}, chr(10), ' ') AS content, {_R('x / cw * 100', 2)} AS "left", {_R('y / ch * 100', 2)} AS top, {_R('width / cw * 100', 2)} AS width, {_R('height / ch * 100', 2)} AS height, z_order FROM st JOIN rc USING ({_PAGE})""",
+    "visual_objects": f"""WITH {_ST}, r AS (SELECT {_PAGE}, max(x + width) AS mx, max(y + height) AS my FROM st GROUP BY {_PAGE}),
+c AS (SELECT {_PAGE}, CASE WHEN mx > 100000 THEN greatest(mx, 12192000.0) ELSE greatest(mx, 1920.0) END AS cw, CASE WHEN mx > 100000 THEN greatest(my, 6858000.0) ELSE greatest(my, 1080.0) END AS ch FROM r),
+pl AS (SELECT DISTINCT text AS said, plain FROM ({SEMANTIC['rewritten_texts']}))
+SELECT {_PAGE}, element_id, element_type, coalesce(shape_type, 'rectangle') AS shape_type, CASE WHEN text <> '' THEN nullif(plain, '') END AS text, {_R('x / cw * 100', 2)} AS left_pct, {_R('y / ch * 100', 2)} AS top_pct,
+  {_R('width / cw * 100', 2)} AS width_pct, {_R('height / ch * 100', 2)} AS height_pct, coalesce(z_order, 0) AS z_order, 'top-left' AS anchor, parent, group_id, fill_color, coalesce(font_family, 'Arial') AS font_family,
+  coalesce(font_size, 12.0) AS font_size, coalesce(bold, false) AS bold, coalesce(text_color, '#000000') AS color, 'Visual object representing a ' || element_type || ' of type ' || coalesce(shape_type, 'rect') || '.' AS semantic_meaning
+FROM st JOIN c USING ({_PAGE}) LEFT JOIN pl ON st.text = pl.said""",
+    "connector_instructions": f"""WITH {_ST}, {_ENDS} SELECT {_PAGE}, source AS source_element_id, target AS target_element_id,
+  'Draw a connector from ' || source || ' to ' || target || CASE WHEN source % 3 = 0 THEN concat(' with visible label ', chr(39), 'if late', chr(39)) ELSE '' END || '.' AS instruction FROM rl""",
+    "page_purposes": f"""WITH {_ST}, p AS (SELECT {_PAGE}, max(text) FILTER (text <> '') AS t FROM st GROUP BY {_PAGE})
+SELECT {_PAGE}, CASE WHEN t IS NULL THEN 'Recreate the presentation slide from extracted visual and semantic structure.' WHEN slide_number % 4 = 0 THEN 'Flow of ' || t WHEN slide_number % 4 = 1 THEN trim(replace(split_part(t, chr(10), 1), '#', ''))
+  WHEN slide_number % 4 = 2 THEN 'Recreate a slide explaining ' || t || '.' ELSE 'Recreate the presentation slide from extracted visual and semantic structure.' END AS purpose FROM p""",
     "draw_list": f"""WITH {_FORM}, d AS (SELECT {_PAGE}, element_id, reading_order, {_RANK} AS rank FROM form) SELECT {_PAGE}, CAST(row_number() OVER (PARTITION BY {_PAGE} ORDER BY rank, reading_order, element_id) AS INT) AS seq,
   ([{', '.join(repr(n) for n, _ in payloads.LAYERS)}])[rank + 1] AS layer, element_id FROM d WHERE rank IS NOT NULL""",
     "clamped_boxes": f"""WITH {_BX}, o AS (SELECT *, x + width - pw AS ox, y + height - ph AS oy, row_number() OVER (PARTITION BY {_PAGE}, text, x, y, width, height ORDER BY ord) AS k FROM bx)
