@@ -101,3 +101,12 @@ def series_by_category(points: DataFrame) -> DataFrame:
     """A value for every series and category of a chart; "0" where there is none.  A chart's categories go to its series as one array."""
     every = points.groupBy("series").agg(F.lit(1).alias("one")).join(points.agg(F.collect_set("category").alias("all")).withColumn("one", F.lit(1)), "one")
     return every.select("series", F.explode("all").alias("category")).join(points, ["series", "category"], "left").select("series", "category", F.coalesce("value", F.lit("0")).alias("value"))
+
+
+def reconstruction(cells: DataFrame, width: float, row_height: float) -> DataFrame:
+    """A table's profile with all that draws it again: its cells (row, col, role, text, box) in order and its section rows (row, label), empty where it has none."""
+    model = cell_model(cells, width, row_height)
+    drawn = model.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("row", "col", "role", "text", "x", "y", "width", "height"))).alias("cells"))
+    heads = section_headers(cells).groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("row", "label"))).alias("sections"))
+    whole = table_profile(cells).join(drawn, "table_id").join(heads, "table_id", "left")
+    return whole.withColumn("sections", F.coalesce("sections", F.array().cast("array<struct<row:int,label:string>>")))

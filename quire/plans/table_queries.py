@@ -58,7 +58,15 @@ def page_records(spark, sf_dir):
     return sinks.page_records(elements_from_events(spark, sf_dir).select("document_id", "slide_number", "ord", "element_type", "text"))
 
 
-QUERIES = {f.__name__: f for f in (table_profile, section_rows, connector_relations, table_markdown, cell_model, likely_tables, series_values, page_records)}
+def table_reconstruction(spark, sf_dir):
+    """Tables with all that draws them again, their cells and sections as text."""
+    t = tables.reconstruction(cells_from_orders(spark, sf_dir), 960.0, 24.0)
+    cell = F.transform("cells", lambda c: F.concat_ws(":", c["row"], c["col"], c["role"], c["text"]))
+    section = F.transform("sections", lambda s: F.concat_ws(":", s["row"], s["label"]))
+    return t.select("table_id", "archetype", "header_depth", "n_rows", "n_cols", F.array_join(cell, "|").alias("cells"), F.array_join(section, "|").alias("sections"))
+
+
+QUERIES = {f.__name__: f for f in (table_profile, section_rows, connector_relations, table_markdown, cell_model, likely_tables, series_values, page_records, table_reconstruction)}
 
 _ROWS = """cells AS (SELECT o_custkey AS table_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS r,
   [CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END, CASE WHEN o_orderkey % 4 < 2 THEN '' ELSE o_orderstatus END,
@@ -99,3 +107,6 @@ SELECT s.series, c.category, coalesce(CAST(n AS VARCHAR), '0') AS value FROM (SE
     "page_records": f"""WITH {ELEMENTS_SQL} SELECT document_id, slide_number, '{{"document_id":' || document_id || ',"slide_number":' || slide_number || ',"elements":[' ||
   string_agg('{{"ord":' || ord || ',"element_type":"' || element_type || '","text":"' || text || '"}}', ',' ORDER BY ord) || ']}}' AS record FROM el GROUP BY 1, 2""",
 }
+ORACLES["table_reconstruction"] = f"""WITH m AS (SELECT table_id, string_agg("row" || ':' || col || ':' || role || ':' || text, '|' ORDER BY "row", col) AS cells FROM ({ORACLES['cell_model']}) GROUP BY table_id),
+s AS (SELECT table_id, string_agg("row" || ':' || label, '|' ORDER BY "row") AS sections FROM ({ORACLES['section_rows']}) GROUP BY table_id)
+SELECT table_id, archetype, header_depth, n_rows, n_cols, cells, coalesce(sections, '') AS sections FROM ({ORACLES['table_profile']}) JOIN m USING (table_id) LEFT JOIN s USING (table_id)"""
