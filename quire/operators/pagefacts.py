@@ -50,7 +50,7 @@ REGION_PURPOSES = (
 )
 #: Counters of the inventory.
 COUNTED = ("text_box", "shape", "arrow", "connector", "image", "table", "group", "chart", "placeholder", "unknown", "title", "header", "footer", "figure", "icon")
-HEADER_END, FOOTER_START = 820_000, 6_030_000
+HEADER_END, FOOTER_START, TITLE_END = 820_000, 6_030_000, 500_000
 
 
 def _has(text: Column, words) -> Column:
@@ -216,6 +216,20 @@ def header_footer(elements: DataFrame) -> DataFrame:
     return a.join(f, PAGE, "left").select(*PAGE, F.col("h.t").alias("header"), F.col("f.t").alias("footer"), F.col("n.t").alias("slide_number_text"))
 
 
+def furniture(elements: DataFrame, placeholders: DataFrame) -> DataFrame:
+    """(page, header, footer, slide_number_text, date_text): by placeholders (page, level, ord, type, text, y) of slide, layout and master (levels 0, 1, 2), the first filled
+    one of each type; a title is the header only near the top. What they leave open is found by place, as in :func:`header_footer`."""
+    p = placeholders.withColumn("t", strip(F.coalesce("text", F.lit("")))).where("t <> ''")
+    first = lambda kind, near=F.lit(True): F.min(F.when((F.col("type") == kind) & near, F.struct("level", "ord", "t")))["t"]
+    said = p.groupBy(*PAGE).agg(first("title", F.col("y") < TITLE_END).alias("p_header"), first("ftr").alias("p_footer"), first("sldNum").alias("p_number"), first("dt").alias("p_date"))
+    low = elements.withColumn("t", strip(F.coalesce("text", F.lit("")))).where(f"t <> '' and y + height > {FOOTER_START}").groupBy(*PAGE).agg(F.min_by("t", "ord").alias("lowest"))
+    a = elements.select(*PAGE).unionByName(placeholders.select(*PAGE)).distinct().join(header_footer(elements), PAGE, "left").join(said, PAGE, "left").join(low, PAGE, "left")
+    return a.select(
+        *PAGE, F.coalesce("p_header", "header").alias("header"), F.coalesce("p_footer", F.when(F.col("p_header").isNotNull(), F.col("lowest")).otherwise(F.col("footer"))).alias("footer"),
+        F.coalesce("p_number", "slide_number_text").alias("slide_number_text"), F.col("p_date").alias("date_text"),
+    )
+
+
 def image_role(width: Column, height: Column, canvas_area: float = float(SLIDE_WIDTH) * SLIDE_HEIGHT) -> Column:
     """Background above four fifths of the page, icon below 48 points in both directions, else illustration."""
     return F.when(width * height / canvas_area > 0.8, "background").when((width / 12700 < 48) & (height / 12700 < 48), "icon").otherwise("illustration")

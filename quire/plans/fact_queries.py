@@ -102,6 +102,13 @@ def header_footer(spark, sf_dir):
     return pagefacts.header_footer(e).withColumn("mark", naming.confidentiality(F.col("footer")))
 
 
+def furniture(spark, sf_dir):
+    """Header and footer by placeholders, here every seventh element, and by place."""
+    e = styled_elements(spark, sf_dir).withColumn("text", F.expr("if(ord % 9 = 4, cast(ord % 50 as string), text)"))
+    placed = e.where("ord % 7 = 0 and slide_number % 3 <> 1").withColumns({"level": F.expr("ord % 3"), "type": F.expr("element_at(array('title', 'ftr', 'sldNum', 'dt', 'body'), cast(ord % 5 + 1 as int))"), "y": F.expr("y / 10")})
+    return pagefacts.furniture(e, placed)
+
+
 def image_roles(spark, sf_dir):
     e = styled_elements(spark, sf_dir).where("element_type = 'image'").withColumns({"width": F.expr("case ord % 3 when 0 then width / 10 when 1 then width * 20 else width end"), "height": F.expr("case ord % 3 when 0 then height / 10 when 1 then height * 20 else height end")})
     return e.select(*PAGE, "element_id", pagefacts.image_role(F.col("width"), F.col("height")).alias("role"))
@@ -217,7 +224,7 @@ def distributed_texts(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (inventory_by_page, layout_type_by_page, visual_class, chart_test, native_chart_types, archetype_confidence, page_intent, document_structure, slide_facts, text_roles, region_purpose, header_footer, image_roles,
+    for f in (inventory_by_page, layout_type_by_page, visual_class, chart_test, native_chart_types, archetype_confidence, page_intent, document_structure, slide_facts, text_roles, region_purpose, header_footer, furniture, image_roles,
               title_from_boxes, title_by_font, visual_hierarchy, title_typography, color_usage, shape_counts, text_points, dashboard, capability_map, process_sequence, span_of_control, payload_counts, chart_groups, color_names,
               color_clusters, chart_colors, metric_texts, chart_titles, concepts, cleaned_answers, heading_sections, distributed_texts)
 }
@@ -291,6 +298,12 @@ SELECT {_PAGE}, element_id, CAST(row_number() OVER (PARTITION BY {_PAGE}, elemen
   {_CASE('role', pagefacts.TEXT_GOALS, 'Convey information to the reader')} AS goal, {_CASE('role', pagefacts.TEXT_INTENTS, 'Gain understanding of the detailed content and its implications')} AS intent, CAST(words AS INT) AS words, CAST(greatest(1, words // 12) AS INT) AS lines FROM r""",
     "region_purpose": f"""WITH {_ST}, r AS (SELECT {_PAGE}, CASE WHEN y + height / 2 < 0.18 * 6858000 THEN 'header' WHEN y + height / 2 > 0.85 * 6858000 THEN 'footer' WHEN x + width / 2 < 0.5 * 12192000 THEN 'body_left' ELSE 'body_right' END AS region FROM st)
 SELECT {_PAGE}, region, count(*) AS n, {_CASE('region', dict(pagefacts.REGION_PURPOSES), '')} AS purpose FROM r GROUP BY ALL""",
+    "furniture": f"""WITH {_ST}, t AS (SELECT {_PAGE}, ord, y, y + height AS low, {_TRIM("coalesce(CASE WHEN ord % 9 = 4 THEN CAST(ord % 50 AS VARCHAR) ELSE text END, '')")} AS t FROM st), u AS (SELECT * FROM t WHERE t <> ''),
+p AS (SELECT {_PAGE}, arg_min(t, [ord % 3, ord]) FILTER (ord % 5 = 0 AND y / 10 < 500000) AS ph, arg_min(t, [ord % 3, ord]) FILTER (ord % 5 = 1) AS pf, arg_min(t, [ord % 3, ord]) FILTER (ord % 5 = 2) AS pn, arg_min(t, [ord % 3, ord]) FILTER (ord % 5 = 3) AS pd
+  FROM u WHERE ord % 7 = 0 AND slide_number % 3 <> 1 GROUP BY {_PAGE}),
+h AS (SELECT {_PAGE}, min(ord) FILTER (y < 820000) AS h, arg_min(t, ord) FILTER (y < 820000) AS header, arg_min(t, ord) FILTER (low > 6030000 AND regexp_matches(t, '^[0-9]+$')) AS n, arg_min(t, ord) FILTER (low > 6030000) AS lowest FROM u GROUP BY {_PAGE}),
+f AS (SELECT u.document_id, u.slide_number, arg_min(t, ord) AS footer FROM u JOIN h USING ({_PAGE}) WHERE low > 6030000 AND ord IS DISTINCT FROM h GROUP BY ALL)
+SELECT {_PAGE}, coalesce(ph, header) AS header, coalesce(pf, CASE WHEN ph IS NOT NULL THEN lowest ELSE footer END) AS footer, coalesce(pn, n) AS slide_number_text, pd AS date_text FROM (SELECT DISTINCT {_PAGE} FROM st) LEFT JOIN h USING ({_PAGE}) LEFT JOIN f USING ({_PAGE}) LEFT JOIN p USING ({_PAGE})""",
     "header_footer": f"""WITH {_ST}, t AS (SELECT {_PAGE}, ord, y, y + height AS low, {_TRIM("coalesce(CASE WHEN ord % 9 = 4 THEN CAST(ord % 50 AS VARCHAR) ELSE text END, '')")} AS t FROM st), u AS (SELECT * FROM t WHERE t <> ''),
 h AS (SELECT {_PAGE}, min(ord) FILTER (y < 820000) AS h, arg_min(t, ord) FILTER (y < 820000) AS header, arg_min(t, ord) FILTER (low > 6030000 AND regexp_matches(t, '^[0-9]+$')) AS slide_number_text FROM u GROUP BY {_PAGE}),
 f AS (SELECT u.document_id, u.slide_number, arg_min(t, ord) AS footer FROM u JOIN h USING ({_PAGE}) WHERE low > 6030000 AND ord IS DISTINCT FROM h GROUP BY ALL)

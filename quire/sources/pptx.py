@@ -180,11 +180,17 @@ def shapes(tree, scale=(1.0, 0.0, 1.0, 0.0), parent: str | None = None, part=lam
             yield from shapes(node, (scale[0] * sx, scale[0] * dx + scale[1], scale[2] * sy, scale[2] * dy + scale[3]), name, part, slide)
 
 
-def _related(deck: zipfile.ZipFile, name: str):
-    """A function from relationship ids of a part to the bytes of what they name."""
+def _targets(deck: zipfile.ZipFile, name: str) -> list[tuple[str, str, str]]:
+    """Id, kind and part of each relationship of a part."""
     folder, base = posixpath.split(name)
     rels = _parse(deck, f"{folder}/_rels/{base}.rels")
-    target = {r.get("Id"): posixpath.normpath(posixpath.join(folder, r.get("Target", ""))).lstrip("/") for r in rels} if rels is not None else {}
+    where = lambda r: posixpath.normpath(posixpath.join(folder, r.get("Target", ""))).lstrip("/")
+    return [(r.get("Id"), r.get("Type", "").rsplit("/", 1)[-1], where(r)) for r in rels] if rels is not None else []
+
+
+def _related(deck: zipfile.ZipFile, name: str):
+    """A function from relationship ids of a part to the bytes of what they name."""
+    target = {rid: where for rid, _, where in _targets(deck, name)}
 
     def part(rid: str | None) -> bytes | None:
         try:
@@ -195,6 +201,18 @@ def _related(deck: zipfile.ZipFile, name: str):
     return part
 
 
+def placeholders(deck: zipfile.ZipFile, name: str, found: list[dict]) -> Iterator[dict]:
+    """Placeholders of a slide (level 0, its rows given), of its layout (1) and of that one's master (2)."""
+    for level, kind in enumerate(("slideLayout", "slideMaster", "")):
+        for i, r in enumerate(found):
+            if r["placeholder"]:
+                yield {"level": level, "ord": i, "type": r["placeholder"], "text": r["text"], "y": r["y"]}
+        name = next((where for _, k, where in _targets(deck, name) if k == kind), "")
+        part = _parse(deck, name) if name else None
+        tree = part.find(f"{P}cSld/{P}spTree") if part is not None else None
+        found = list(shapes(tree)) if tree is not None else []
+
+
 def background(slide) -> tuple[str, str | None]:
     """Type and colour of a slide's own background; white where it has none."""
     own = slide.find(f"{P}cSld/{P}bg/{P}bgPr")
@@ -208,8 +226,8 @@ def background(slide) -> tuple[str, str | None]:
     return "solid", _rgb(own) or "#ffffff"
 
 
-def deck_rows(path: str, content: bytes, pages: frozenset[int] | None = None) -> Iterator[tuple[list[dict], dict]]:
-    """Rows of a deck's elements and its slide row, slide by slide; only of ``pages``, if given.  A file that is no zip package gives none."""
+def deck_rows(path: str, content: bytes, pages: frozenset[int] | None = None) -> Iterator[tuple[list[dict], list[dict], Iterator[dict]]]:
+    """Rows of a deck's elements, its slide row and its placeholders, slide by slide; only of ``pages``, if given.  A file that is no zip package gives none."""
     try:
         deck = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile:
@@ -227,7 +245,7 @@ def deck_rows(path: str, content: bytes, pages: frozenset[int] | None = None) ->
             titles = [r["text"].strip() for r in found if r["placeholder"] in ("title", "ctrTitle") and r["text"].strip()] or [r["text"].strip() for r in found if r["text"].strip()]
             kind, color = background(slide)
             base = {"document_id": path, "slide_number": k, "slide_width": wide, "slide_height": high}
-            yield [{**base, "ord": i, "z_order": i, **r} for i, r in enumerate(found)], {**base, "title": titles[0] if titles else None, "background_type": kind, "background_color": color, **meta}
+            yield [{**base, "ord": i, "z_order": i, **r} for i, r in enumerate(found)], [{**base, "title": titles[0] if titles else None, "background_type": kind, "background_color": color, **meta}], ({**base, **r} for r in placeholders(deck, part, found))
 
 
 def _read(spark: SparkSession, path: str, fields: str, which: int, pages) -> DataFrame:
@@ -239,8 +257,7 @@ def _read(spark: SparkSession, path: str, fields: str, which: int, pages) -> Dat
         for b in batches:
             for name, content in zip(b.column(0), b.column(1), strict=True):
                 for found in deck_rows(name.as_py(), content.as_py(), wanted):
-                    rows = found[0] if which == 0 else [found[1]]
-                    yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in arrow.names} for r in rows], schema=arrow)
+                    yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in arrow.names} for r in found[which]], schema=arrow)
 
     return files.mapInArrow(scan, kinds)
 
@@ -253,3 +270,8 @@ def read_pptx(spark: SparkSession, path: str, pages=None) -> DataFrame:
 def read_slides(spark: SparkSession, path: str, pages=None) -> DataFrame:
     """One row a slide: title (its placeholder's, else the first text), background, size, and the deck's own data and hash."""
     return _read(spark, path, SLIDES, 1, pages)
+
+
+def read_placeholders(spark: SparkSession, path: str, pages=None) -> DataFrame:
+    """One row a placeholder of a slide, its layout and its master (levels 0, 1, 2)."""
+    return _read(spark, path, "document_id string, slide_number int, level int, ord int, type string, text string, y double", 2, pages)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zipfile
 
+from quire.operators import pagefacts
 from quire.sources import pptx, sinks
 from quire.sources.elements import elements_from_events
 
@@ -44,6 +45,22 @@ def test_deck(spark, tmp_path):
     assert rows[2, "5"]["element_type"] == "table" and rows[2, "5"]["table"] == [["A", ""], ["", "D"]]
 
 
+def test_placeholders_of_layout_and_master(spark, tmp_path):
+    part = lambda tag, shapes: f"<p:{tag} {NS}><p:cSld><p:spTree>{shapes}</p:spTree></p:cSld></p:{tag}>"
+    one = lambda i, kind, text, y: f'<p:sp><p:nvSpPr><p:cNvPr id="{i}" name="n"/><p:cNvSpPr/><p:nvPr><p:ph type="{kind}"/></p:nvPr></p:nvSpPr><p:spPr>{place(0, y, 10, 10)}</p:spPr><p:txBody><a:p><a:r><a:t>{text}</a:t></a:r></a:p></p:txBody></p:sp>'
+    rel = lambda kind, target: f'<Relationships><Relationship Id="r1" Type="http://x/{kind}" Target="{target}"/></Relationships>'
+    deck(tmp_path / "d.pptx", one(2, "title", "Own title", 10) + one(3, "ftr", "", 0))
+    with zipfile.ZipFile(tmp_path / "d.pptx", "a") as z:
+        z.writestr("ppt/slides/_rels/slide1.xml.rels", rel("slideLayout", "../slideLayouts/l.xml"))
+        z.writestr("ppt/slideLayouts/l.xml", part("sldLayout", one(2, "ftr", "Layout footer", 0)))
+        z.writestr("ppt/slideLayouts/_rels/l.xml.rels", rel("slideMaster", "../slideMasters/m.xml"))
+        z.writestr("ppt/slideMasters/m.xml", part("sldMaster", one(2, "ftr", "Master footer", 0) + one(3, "dt", "May", 0)))
+    placed = pptx.read_placeholders(spark, str(tmp_path))
+    assert sorted((r["level"], r["type"], r["text"]) for r in placed.collect()) == [(0, "ftr", ""), (0, "title", "Own title"), (1, "ftr", "Layout footer"), (2, "dt", "May"), (2, "ftr", "Master footer")]
+    r = pagefacts.furniture(pptx.read_pptx(spark, str(tmp_path)), placed).first()
+    assert (r["header"], r["footer"], r["slide_number_text"], r["date_text"]) == ("Own title", "Layout footer", None, "May")
+
+
 def test_pages_round_trip(spark, tmp_path):
     e = elements_from_events(spark, "/root/testdata/sf0.001")
     sinks.write_pages(e, str(tmp_path / "p"))
