@@ -7,11 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
+from quire.operators.forms import SLIDE_HEIGHT, SLIDE_WIDTH
 from quire.sources.elements import PAGE
 
 #: How many of a list are kept.
 CAPS = {"points": 15, "keywords": 12, "categories": 10, "colors": 8, "row_items": 6, "texts": 4, "concepts": 3}
+#: Keys that hold pictures, and keys that a payload's metadata leaves out.
+PICTURES = ("image_data", "image_hash", "image_base64", "image_type", "image_bytes", "__image_bytes", "embedded_images", "screenshots", "raster_images")
+BLOBS = ("image_data", "image_base64", "raw_bytes", "text")
 
 
 def with_intelligence(tables: DataFrame, answers: DataFrame) -> DataFrame:
@@ -109,3 +114,43 @@ def grid_summary(cells: DataFrame) -> DataFrame:
 def guides(profile: DataFrame) -> DataFrame:
     """(table_id, guide): how to rebuild a table, by its profile (archetype, header_depth)."""
     return profile.select("table_id", F.format_string(GUIDE, F.coalesce("archetype", F.lit("standard")), F.coalesce("header_depth", F.lit(1))).alias("guide"))
+
+
+def position_map(elements: DataFrame) -> DataFrame:
+    """(page, element_id, element_type, x, y, width, height)."""
+    return elements.select(*PAGE, "element_id", "element_type", "x", "y", "width", "height")
+
+
+def canvas_record(pages: DataFrame) -> DataFrame:
+    """(page, width, height, unit and axes, aspect_ratio, background): the canvas of each page (page, slide_width, slide_height, background_color); a missing or zero size is a wide slide's."""
+    size = lambda c, d: F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(0.0)), F.lit(float(d)))
+    p = pages.select(*PAGE, size("slide_width", SLIDE_WIDTH).alias("width"), size("slide_height", SLIDE_HEIGHT).alias("height"), F.col("background_color").alias("fill_color"))
+    known = {"coordinate_unit": "EMU_or_source_units", "origin": "top_left", "x_axis": "left_to_right", "y_axis": "top_to_bottom", "theme_role": "slide_background"}
+    return p.withColumns({"aspect_ratio": F.bround(F.col("width") / F.col("height"), 6), "preserve_exactly": F.lit(True), **{k: F.lit(v) for k, v in known.items()}})
+
+
+def public_keys(metadata: Column) -> Column:
+    """A map without its private keys, those that begin with two underscores; empty for a null one."""
+    return F.map_filter(F.coalesce(metadata, F.create_map().cast("map<string,string>")), lambda k, _: ~F.startswith(k, F.lit("__")))
+
+
+def light_keys(metadata: Column) -> Column:
+    """A map without what holds pictures, bytes or the text."""
+    return F.map_filter(metadata, lambda k, _: ~k.isin(*BLOBS))
+
+
+def _without(c: Column, kind: DataType) -> Column:
+    if isinstance(kind, StructType):
+        kept = [_without(c[f.name], f.dataType).alias(f.name) for f in kind if f.name not in PICTURES]
+        return F.when(c.isNotNull(), F.struct(*kept)) if kept else F.lit(None).cast("string")
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _without(x, kind.elementType))
+    if isinstance(kind, MapType):
+        own = F.map_filter(c, lambda k, _: ~k.isin(*PICTURES)) if isinstance(kind.keyType, StringType) else c
+        return F.transform_values(own, lambda _, v: _without(v, kind.valueType))
+    return c
+
+
+def without_pictures(df: DataFrame) -> DataFrame:
+    """``df`` without the columns, fields and map keys that hold pictures, at any depth; an unnamed depth of nothing else is null."""
+    return df.select(*(_without(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema if f.name not in PICTURES))

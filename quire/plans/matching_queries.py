@@ -77,7 +77,26 @@ def table_guides(spark, sf_dir):
     return matching.guides(tables.table_profile(cells_from_orders(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (table_intelligence, element_regions, first_enrichments, zipped_turns, merged_extraction, capped_lists, frequent_colors, image_rows, texts_to_rewrite, markdown_lists, inventory_sentences, grid_summaries, table_guides)}
+def position_map(spark, sf_dir):
+    return matching.position_map(styled_elements(spark, sf_dir))
+
+
+def canvas_records(spark, sf_dir):
+    p = styled_elements(spark, sf_dir).select(*PAGE).distinct()
+    return matching.canvas_record(p.selectExpr(*PAGE, "case slide_number % 3 when 0 then 0 when 1 then 9144000 end as slide_width", "if(slide_number % 2 = 0, 5143500, null) as slide_height", "if(slide_number % 4 = 0, '#ffffff', null) as background_color"))
+
+
+def public_metadata(spark, sf_dir):
+    """Keys of maps and nested fields that payloads keep, as JSON."""
+    p = read(spark, sf_dir, "pages").selectExpr(
+        "page_id", "map('__raw', url, 'text', left(html, 40), 'url', url) as metadata",
+        "named_struct('url', url, 'image_hash', html, 'elements', array(named_struct('id', page_id, 'image_data', url), null), 'metadata', map('image_type', html, 'title', left(html, 40))) as page", "url as screenshots",
+    )
+    p = matching.without_pictures(p).withColumns({"public": F.to_json(matching.public_keys(F.col("metadata"))), "light": F.to_json(matching.light_keys(F.col("metadata")))})
+    return p.select("page_id", "public", "light", F.to_json("page").alias("page"), F.lit("screenshots" in p.columns).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (table_intelligence, element_regions, first_enrichments, zipped_turns, merged_extraction, capped_lists, frequent_colors, image_rows, texts_to_rewrite, markdown_lists, inventory_sentences, grid_summaries, table_guides, position_map, canvas_records, public_metadata)}
 
 _ST = f"{ELEMENTS_SQL}, {STYLED_SQL}"
 _BARE = lambda c: rf"lower(trim(regexp_replace({c}, '[\s\x0B]+', ' ', 'g')))"
@@ -105,4 +124,10 @@ SELECT {_PAGE}, CAST(row_number() OVER (PARTITION BY {_PAGE} ORDER BY ord) AS IN
   CASE WHEN {_N('arrow')} + {_N('connector')} > 3 THEN 'flowchart' WHEN {_N('table')} > 0 THEN 'table_slide' WHEN {_N('chart')} > 0 THEN 'chart_slide' WHEN {_N('image')} > 3 THEN 'image_heavy' ELSE 'general' END AS archetype FROM st GROUP BY {_PAGE}""",
     "grid_summaries": "SELECT o_custkey AS table_id, count(*) AS row_count, CAST(4 AS BIGINT) AS column_count, 'grid' AS layout_type, count(*) || ' rows detected' AS summary, 'consulting_framework' AS table_category, CAST(0.8 AS DOUBLE) AS confidence FROM orders GROUP BY o_custkey",
     "table_guides": f"SELECT table_id, replace(replace('{matching.GUIDE.replace(chr(39), chr(39) * 2)}', '%s', archetype), '%d', CAST(header_depth AS VARCHAR)) AS guide FROM ({TABLES['table_profile']})",
+    "position_map": f"WITH {_ST} SELECT {_PAGE}, element_id, element_type, x, y, width, height FROM st",
+    "canvas_records": f"""WITH {_ST}, p AS (SELECT DISTINCT {_PAGE}, CASE WHEN slide_number % 3 = 1 THEN 9144000.0::DOUBLE ELSE 12192000.0 END AS width, CASE WHEN slide_number % 2 = 0 THEN 5143500.0::DOUBLE ELSE 6858000.0 END AS height FROM st)
+SELECT {_PAGE}, width, height, CASE WHEN slide_number % 4 = 0 THEN '#ffffff' END AS fill_color, CAST(round_even(width / height, 6) AS DOUBLE) AS aspect_ratio, true AS preserve_exactly, 'EMU_or_source_units' AS coordinate_unit, 'top_left' AS origin, 'left_to_right' AS x_axis,
+  'top_to_bottom' AS y_axis, 'slide_background' AS theme_role FROM p""",
+    "public_metadata": """SELECT page_id, '{"text":' || to_json(left(html, 40)) || ',"url":' || to_json(url) || '}' AS public, '{"__raw":' || to_json(url) || ',"url":' || to_json(url) || '}' AS light,
+  '{"url":' || to_json(url) || ',"elements":[{"id":' || page_id || '},null],"metadata":{"title":' || to_json(left(html, 40)) || '}}' AS page, false AS kept FROM pages""",
 }
