@@ -1,11 +1,11 @@
-"""The queries op1 to op10 and pipeline, each over its whole table, with SQL where SQL can express them."""
+"""The queries op1 to op13 and pipeline, each over its whole table, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontamination, language_model, near_duplicates, packing, pii, quality, rules, sharding, substring_dedup, toxicity
+from quire.llm import decontamination, fill_in_middle, language_model, near_duplicates, packing, pii, prefix_trie, quality, rules, sharding, simhash, substring_dedup, toxicity
 from quire.llm.shared import fold, save, table
 
 
@@ -70,6 +70,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = fill_in_middle.restored(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+    digests = (F.sha2(F.col(c).cast("binary"), 256).alias(f"{n}_sha256") for c, n in (("output", "output"), ("restored", "restored")))
+    return turned.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +92,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_pii, op3_toxicity, op4_quality, op5_decontamination, op6_sharding, op7_lm_scoring, op8_packing, op9_quality_rules, op10_substring_dedup, pipeline)
+    for f in (
+        op1_ngram_jaccard_join, op2_pii, op3_toxicity, op4_quality, op5_decontamination, op6_sharding, op7_lm_scoring, op8_packing, op9_quality_rules, op10_substring_dedup,
+        op11_prefix_trie, op12_simhash_near_dedup, op13_fill_in_middle, pipeline,
+    )
 }
 
 _SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -144,4 +161,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM j JOIN r ON j.source IS NOT DISTINCT FROM r.source
 """
 
-ORACLES = {"op1_ngram_jaccard_join": _OP1, "op5_decontamination": _OP5, "op9_quality_rules": _OP9}
+#: crc32 of a decimal by the table of its 256 bytes, made from the polynomial.
+_OP11 = """
+WITH RECURSIVE steps(b, k, v) AS (
+  SELECT b, 0, b FROM range(256) t(b) UNION ALL SELECT b, k + 1, xor(v >> 1, 3988292384 * (v & 1)) FROM steps WHERE k < 8
+), crc AS (SELECT list(v ORDER BY b) AS t FROM steps WHERE k = 8),
+o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), t AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY pos) AS l FROM o GROUP BY 1),
+h AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, l,
+    xor(list_reduce(list_prepend(4294967295, [ord(x) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]), lambda c, x: xor(c >> 8, crc.t[(xor(c, x) & 255) + 1])), 4294967295) % 9 AS h
+  FROM t, crc
+), r AS (
+  SELECT h.conv_id, CASE WHEN h.conv_id = h.base THEN h.l ELSE coalesce(b.l, [])[1:h.h] || h.l[h.h + 1:] END AS l FROM h LEFT JOIN t b ON b.conv_id = h.base
+), p AS (SELECT conv_id, d, l[1:d] AS k, d = len(l) AS last FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM r)),
+n AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(octet_length(encode(any_value(k)[d].t)), 0) AS size,
+    sha256(coalesce(string_agg(CASE WHEN last THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM p GROUP BY 1, 2
+), kids AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (k)),
+up AS (SELECT k[1:e] AS k, sum((n_convs - 1) * size) AS saved, sum(CAST(n_children = 0 AS BIGINT)) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM f) GROUP BY 1)
+SELECT f.conv_id, f.d AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(up.leaves AS BIGINT) AS n_leaves, CAST(up.saved AS BIGINT) AS saved_tokens, f.ends_sha256, CAST(f.size AS BIGINT) AS length
+FROM f JOIN up USING (k) LEFT JOIN f q ON q.k = f.k[1:f.d - 1] AND q.d = f.d - 1
+"""
+
+_OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    [CAST('0x' || sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), ''))[i:i + 7] AS BIGINT) FOR i IN [1, 9, 17, 25]] AS h FROM documents
+), r AS (
+  SELECT *, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d
+), s AS (
+  SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid, coalesce(array_to_string(u[b + 1:], ''), '') AS suf FROM r
+)
+SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM s
+"""
+
+ORACLES = {"op1_ngram_jaccard_join": _OP1, "op5_decontamination": _OP5, "op9_quality_rules": _OP9, "op11_prefix_trie": _OP11, "op13_fill_in_middle": _OP13}
