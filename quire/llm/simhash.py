@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -253,30 +254,24 @@ def close_pairs(prints: DataFrame, radius: int, model: BitModel | None = None, m
     """(a, b): all pairs a < b of ``prints`` (fp, distinct) that differ in at most ``radius`` bits, each once."""
     model = model or BitModel(bit_counts(prints), prints.count())
     rows = prints.select(F.lit(0).cast("long").alias("grp"), F.lit("S").alias("side"), "fp")
-    todo, found, made = [(rows, list(range(BITS)), radius)], [], []
-    while todo:
-        given, bits, r = todo.pop()
-        probed = _probes(given, plan(model, bits, r), bits, r)
-        kinds = [x.withColumn("kind", F.lit(k)) for k, (x, _, _) in enumerate(probed)]
-        every = kinds[0]
-        for x in kinds[1:]:
-            every = every.union(x)
-        n = lambda s: F.count(F.when(F.col("side") == s, 1))
+    level, found, made = [(rows, list(range(BITS)), radius)], [], []
+    n = lambda s: F.count(F.when(F.col("side") == s, 1))
+    while level:
+        probed = [x for given, bits, r in level for x in _probes(given, plan(model, bits, r), bits, r)]
+        every = reduce(DataFrame.union, [x.withColumn("kind", F.lit(k)) for k, (x, _, _) in enumerate(probed)])
         sized = every.groupBy("grp", "kind").agg(n("S").alias("s"), n("A").alias("a"), n("B").alias("b"))
         sized = sized.withColumn("pairs", F.expr("s * (s - 1) / 2 + a * cast(b as double)")).where("pairs > 0").select("grp", "kind", "pairs")
-        open_ = save(every.join(sized, ["grp", "kind"]), "buckets")
-        made.append(open_)
-        found.append(_met(open_.where(F.col("pairs") <= many), radius))
-        for k in sorted(x["kind"] for x in open_.where(F.col("pairs") > many).select("kind").distinct().collect()):
-            hot = open_.where((F.col("pairs") > many) & (F.col("kind") == k)).select("grp", "side", "fp")
+        met = save(every.join(sized, ["grp", "kind"]), "buckets")
+        made.append(met)
+        found.append(_met(met.where(F.col("pairs") <= many), radius))
+        level = []
+        for k in sorted(x["kind"] for x in met.where(F.col("pairs") > many).select("kind").distinct().collect()):
+            hot = met.where((F.col("pairs") > many) & (F.col("kind") == k)).select("grp", "side", "fp")
             if probed[k][1]:
-                todo.append((hot, probed[k][1], probed[k][2]))
+                level.append((hot, probed[k][1], probed[k][2]))
             else:  # no bits are left: all that meet are links, as many as there are
                 found.append(_met(hot, radius))
-    links = found[0]
-    for x in found[1:]:
-        links = links.union(x)
-    links = save(links.distinct(), "links")
+    links = save(reduce(DataFrame.union, found).distinct(), "links")
     drop(*made)
     return links
 
