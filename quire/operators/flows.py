@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.forms import SLIDE_HEIGHT, SLIDE_WIDTH, compass, strip
+from quire.operators.graphs import climb
 from quire.sources.elements import PAGE
 
 #: Types of flowchart boxes and arrows, and the families of panels by their words.
@@ -144,13 +145,10 @@ def location_texts(elements: DataFrame) -> DataFrame:
     )
 
 
-def contained(edges: DataFrame, elements: DataFrame, depth: int = 12) -> DataFrame:
-    """(page, element_id, root, level): containment edges (page, source_element_id, target_element_id) as a forest: every contained element with the
-    outermost one that holds it.  An element's holder is its last source; ``depth`` levels at most are climbed, and cycles end there."""
-    up = edges.groupBy(*PAGE, F.col("target_element_id").alias("element_id")).agg(F.max("source_element_id").alias("parent"))
-    now = elements.select(*PAGE, "element_id", F.col("element_id").alias("root"), F.lit(0).alias("level"))
-    for _ in range(depth):
-        step = now.join(up.select(*PAGE, F.col("element_id").alias("root"), "parent"), [*PAGE, "root"], "left")
-        after = step.select(*PAGE, "element_id", F.coalesce("parent", "root").alias("root"), F.expr("if(parent is null, level, level + 1)").alias("level"))
-        now = after
-    return now
+def contained(edges: DataFrame, elements: DataFrame) -> DataFrame:
+    """(page, element_id, root, level): containment edges (page, source_element_id, target_element_id) as a forest of any depth: every element with the
+    outermost one that holds it and the steps to it.  An element's holder is its last source; below a cycle of holders root and level are null."""
+    up = edges.groupBy(*PAGE, F.col("target_element_id").alias("node")).agg(F.max("source_element_id").alias("parent"))
+    found = climb(up, list(PAGE)).select(*PAGE, F.col("node").alias("element_id"), F.struct("root", "level").alias("held"))
+    own = F.struct(F.col("element_id").alias("root"), F.lit(0).cast("long").alias("level"))
+    return elements.join(found, [*PAGE, "element_id"], "left").select(*PAGE, "element_id", F.coalesce("held", own).alias("held")).select(*PAGE, "element_id", "held.*")

@@ -191,16 +191,6 @@ def median_colors(pixels: DataFrame, cell: int = 2) -> DataFrame:
     return pixels.withColumns(at).groupBy("image_id", "cell_x", "cell_y").agg(*(F.expr(f"percentile({c}, 0.5)").alias(c) for c in "rgb"))
 
 
-def dominant_colors(pixels: DataFrame, k: int = 8, seed: int = 42) -> list[str]:
-    """The centres of ``k`` clusters of all pixels (r, g, b), as hex; k-means of the platform."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    given = VectorAssembler(inputCols=["r", "g", "b"], outputCol="features").transform(pixels.select(*(F.col(c).cast("double").alias(c) for c in "rgb")))
-    centres = KMeans(k=k, seed=seed, maxIter=20).fit(given).clusterCenters()
-    return sorted("#{:02X}{:02X}{:02X}".format(*(int(v) for v in c)) for c in centres)
-
-
 def next_titles(pages: DataFrame) -> DataFrame:
     """Pages (document_id, slide_number, title) with the last title before them: what a page without one is read against."""
     by = Window.partitionBy("document_id").orderBy("slide_number").rowsBetween(Window.unboundedPreceding, -1)

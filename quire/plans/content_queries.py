@@ -90,8 +90,8 @@ _PG = "a.document_id = b.document_id AND a.slide_number = b.slide_number"
 _D = lambda x, y: f"sqrt((b.x + b.width / 2 - {x}) * (b.x + b.width / 2 - {x}) + (b.y + b.height / 2 - {y}) * (b.y + b.height / 2 - {y}))"
 _EDGES = f"""{ELEMENTS_SQL}, bx AS (SELECT * FROM el WHERE element_type <> 'connector'), ed AS (
   SELECT document_id, slide_number, s AS source_element_id, t AS target_element_id FROM (
-    SELECT a.document_id, a.slide_number, a.element_id, arg_min(b.element_id, ({_D("a.x", "a.y")}, b.ord)) AS s,
-      arg_min(b.element_id, ({_D("(a.x + a.width)", "(a.y + a.height)")}, b.ord)) AS t FROM el a JOIN bx b ON {_PG} WHERE a.element_type = 'connector' GROUP BY 1, 2, 3) WHERE s <> t)"""
+    SELECT a.document_id, a.slide_number, a.element_id, arg_min(b.element_id, ({_D("a.begin_x", "a.begin_y")}, b.ord)) AS s,
+      arg_min(b.element_id, ({_D("a.end_x", "a.end_y")}, b.ord)) AS t FROM el a JOIN bx b ON {_PG} WHERE a.element_type = 'connector' AND a.begin_x IS NOT NULL GROUP BY 1, 2, 3) WHERE s <> t)"""
 _LUM = lambda c: f"(0.299 * CAST('0x' || substr({c}, 2, 2) AS INT) + 0.587 * CAST('0x' || substr({c}, 4, 2) AS INT) + 0.114 * CAST('0x' || substr({c}, 6, 2) AS INT))"
 
 ORACLES = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import flows, folds, spatial
+from quire.plans.page_queries import _EDGES
 from quire.plans.semantic_queries import _ENDS
 from quire.sources.elements import ELEMENTS_SQL, PAGE, STYLED_SQL, styled_elements
 
@@ -128,4 +129,9 @@ SELECT {_PAGE}, string_agg(upper(region[1]) || region[2:] || ' section: ' || ite
 SELECT {_PAGE}, element_id, 'Element ''' || element_id || ''' (' || element_type || ') is positioned at: left: ' || printf('%.1f', CAST(round_even(CAST(CAST(x / cw * 100 AS VARCHAR) AS DECIMAL(38, 20)), 1) AS DOUBLE)) || '%, top: ' || printf('%.1f', CAST(round_even(CAST(CAST(y / ch * 100 AS VARCHAR) AS DECIMAL(38, 20)), 1) AS DOUBLE)) || '%, width: ' || printf('%.1f', CAST(round_even(CAST(CAST(width / cw * 100 AS VARCHAR) AS DECIMAL(38, 20)), 1) AS DOUBLE)) ||
   '%, height: ' || printf('%.1f', CAST(round_even(CAST(CAST(height / ch * 100 AS VARCHAR) AS DECIMAL(38, 20)), 1) AS DOUBLE)) || '%' AS location, 'ID: ' || element_id || ' | Type: ' || element_type || CASE WHEN coalesce(text, '') <> '' THEN ' | Text content: ''' || replace({_TRIM('text')}, chr(10), ' ') || '''' ELSE '' END ||
   CASE WHEN coalesce(fill_color, '') <> '' THEN ' | Background color: ' || fill_color ELSE '' END || CASE WHEN coalesce(text_color, '') <> '' THEN ' | Text color: ' || text_color ELSE '' END AS inventory FROM st JOIN rc USING ({_PAGE})""",
+    "containment_forest": f"""WITH RECURSIVE {ELEMENTS_SQL}, {STYLED_SQL}, bx AS (SELECT * FROM st WHERE element_type NOT IN ('connector', 'arrow')), {_EDGES},
+up AS (SELECT {_PAGE}, target_element_id AS child, max(source_element_id) AS parent FROM edges WHERE relationship_type = 'contains' GROUP BY ALL),
+cl AS (SELECT {_PAGE}, element_id, element_id AS root, CAST(0 AS BIGINT) AS level FROM bx
+  UNION ALL SELECT cl.document_id, cl.slide_number, cl.element_id, up.parent, level + 1 FROM cl JOIN up ON up.document_id = cl.document_id AND up.slide_number = cl.slide_number AND up.child = cl.root)
+SELECT {_PAGE}, element_id, arg_max(root, level) AS root, max(level) AS level FROM cl GROUP BY ALL""",
 }

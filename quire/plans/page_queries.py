@@ -164,11 +164,12 @@ ORACLES = {
     ),
     "connector_targets": _sql(
         """SELECT document_id, slide_number, connector_id, source_element_id, target_element_id,
-      CASE WHEN abs(width) > abs(height) THEN CASE WHEN width > 0 THEN 'left_to_right' ELSE 'right_to_left' END ELSE CASE WHEN height > 0 THEN 'top_to_bottom' ELSE 'bottom_to_top' END END AS direction, CAST(0.95 AS DOUBLE) AS confidence
-      FROM t WHERE source_element_id <> target_element_id""",
+      CASE WHEN abs(dx) > abs(dy) THEN CASE WHEN dx > 0 THEN 'left_to_right' ELSE 'right_to_left' END ELSE CASE WHEN dy > 0 THEN 'top_to_bottom' ELSE 'bottom_to_top' END END AS direction,
+      CAST(0.95 AS DOUBLE) AS confidence FROM t WHERE source_element_id <> target_element_id""",
         _BOX,
-        f"""t AS (SELECT a.document_id, a.slide_number, a.element_id AS connector_id, a.width, a.height, arg_min(b.element_id, ({_DIST("a.x", "a.y")}, b.ord)) AS source_element_id,
-      arg_min(b.element_id, ({_DIST("(a.x + a.width)", "(a.y + a.height)")}, b.ord)) AS target_element_id FROM el a JOIN bx b ON {_PG} WHERE a.element_type = 'connector' GROUP BY 1, 2, 3, 4, 5)""",
+        f"""t AS (SELECT a.document_id, a.slide_number, a.element_id AS connector_id, a.end_x - a.begin_x AS dx, a.end_y - a.begin_y AS dy,
+      arg_min(b.element_id, ({_DIST("a.begin_x", "a.begin_y")}, b.ord)) AS source_element_id, arg_min(b.element_id, ({_DIST("a.end_x", "a.end_y")}, b.ord)) AS target_element_id
+      FROM el a JOIN bx b ON {_PG} WHERE a.element_type = 'connector' AND a.begin_x IS NOT NULL GROUP BY 1, 2, 3, 4, 5)""",
     ),
     "text_in_card": _sql(
         "SELECT document_id, slide_number, element_id, card_id FROM el LEFT JOIN c USING (document_id, slide_number, element_id) WHERE element_type = 'text_box'",

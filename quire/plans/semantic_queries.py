@@ -131,9 +131,9 @@ cn AS (SELECT *, 'visual_region_' || row_number() OVER (PARTITION BY {_PAGE} ORD
 gr AS (SELECT {_PAGE}, group_id, 'explicit_group' AS kind, m, x, y, width, height, 1.0::DOUBLE AS confidence FROM nm UNION ALL
   SELECT {_PAGE}, group_id, 'proximity_group', m, x, y, width, height, 0.65::DOUBLE FROM cn WHERE len(m) >= 2 AND NOT EXISTS (SELECT 1 FROM nm WHERE nm.document_id = cn.document_id AND nm.slide_number = cn.slide_number AND nm.m = cn.m))"""
 _ENDS = f"""bx AS (SELECT * FROM st WHERE element_type NOT IN ('connector', 'arrow')),
-cx AS (SELECT c.document_id, c.slide_number, c.element_id, arg_min(b.element_id, (sqrt((b.x + b.width / 2 - c.x) ** 2 + (b.y + b.height / 2 - c.y) ** 2), b.ord)) AS s,
-  arg_min(b.element_id, (sqrt((b.x + b.width / 2 - c.x - c.width) ** 2 + (b.y + b.height / 2 - c.y - c.height) ** 2), b.ord)) AS d
-  FROM st c JOIN bx b ON c.document_id = b.document_id AND c.slide_number = b.slide_number WHERE c.element_type IN ('connector', 'arrow') GROUP BY ALL),
+cx AS (SELECT c.document_id, c.slide_number, c.element_id, arg_min(b.element_id, (sqrt((b.x + b.width / 2 - c.begin_x) ** 2 + (b.y + b.height / 2 - c.begin_y) ** 2), b.ord)) AS s,
+  arg_min(b.element_id, (sqrt((b.x + b.width / 2 - c.end_x) ** 2 + (b.y + b.height / 2 - c.end_y) ** 2), b.ord)) AS d
+  FROM st c JOIN bx b ON c.document_id = b.document_id AND c.slide_number = b.slide_number WHERE c.element_type IN ('connector', 'arrow') AND c.begin_x IS NOT NULL GROUP BY ALL),
 rl AS (SELECT {_PAGE}, s AS source, d AS target FROM cx WHERE s <> d)"""
 _READ = f"rd AS (SELECT {_PAGE}, element_id AS source, lead(element_id) OVER (PARTITION BY {_PAGE} ORDER BY y, x, z_index, ord) AS target FROM ob)"
 _EDGES = f"""le AS (SELECT {_PAGE}, source, target, 'connector' AS relation, 0.95::DOUBLE AS confidence FROM rl UNION ALL SELECT {_PAGE}, parent, element_id, 'contains', 1.0 FROM ob WHERE parent IS NOT NULL

@@ -71,15 +71,11 @@ def median_colors(spark, sf_dir):
     return wording.median_colors(_pixels(spark, sf_dir))
 
 
-def dominant_colors(spark, sf_dir):
-    return spark.createDataFrame([(c,) for c in wording.dominant_colors(_pixels(spark, sf_dir))], "color string")
-
-
 def titles_before(spark, sf_dir):
     return wording.next_titles(_titles(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (table_classes, table_words, render_cells, table_sections, picture_facts, plain_flow, concept_layers, chart_answers, file_kinds, fidelity_scores, median_colors, dominant_colors, titles_before)}
+QUERIES = {f.__name__: f for f in (table_classes, table_words, render_cells, table_sections, picture_facts, plain_flow, concept_layers, chart_answers, file_kinds, fidelity_scores, median_colors, titles_before)}
 
 _TRIM = lambda c: rf"regexp_replace({c}, '^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$', '', 'g')"
 _PROFILE = f"({TABLES['table_profile']}) p"

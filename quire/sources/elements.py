@@ -1,7 +1,8 @@
 """The ``elements`` relation: one row per positioned, typed element of a page.
 
 Columns: document_id, slide_number (the page key), element_id, ord (input order, the last key of every ordering),
-element_type, x, y, width, height (doubles, top-left origin), text, z_order, stacking_order.
+element_type, x, y, width, height (doubles, top-left origin), text, z_order, stacking_order, and begin_x, begin_y,
+end_x, end_y: where a connector starts and ends (null where that is not known).
 """
 
 from __future__ import annotations
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 
 PAGE = ["document_id", "slide_number"]
 TYPES = {"view": "text_box", "click": "shape", "purchase": "image", "signup": "table", "error": "connector"}
+#: Ends of connectors at corners of their boxes: turned left to right in every second, upside down in every third, unknown in every eleventh.
+ENDS = {
+    "begin_x": "x + if(event_id % 2 = 1, width, 0D)", "begin_y": "y + if(event_id % 3 = 1, height, 0D)",
+    "end_x": "x + if(event_id % 2 = 1, 0D, width)", "end_y": "y + if(event_id % 3 = 1, 0D, height)",
+}
 
 
 def elements_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,13 +27,15 @@ def elements_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind = F.when(F.col("event_type") == event, element).otherwise(kind)
     at = lambda step, size, least=0: F.expr(f"cast({least} + (event_id * {step}) % {size} as double)")
     return e.select(
-        F.expr("user_id div 10").alias("document_id"), F.col("user_id").alias("slide_number"),
+        "event_id", F.expr("user_id div 10").alias("document_id"), F.col("user_id").alias("slide_number"),
         F.col("event_id").alias("element_id"), F.col("event_id").alias("ord"), kind.alias("element_type"),
         at(7919, 11000000).alias("x"), at(104729, 6000000).alias("y"),
         at(1299709, 3000000, 200000).alias("width"), at(15485863, 1500000, 100000).alias("height"),
         F.concat_ws(" ", "event_type", F.expr("cast(event_id % 100 as string)")).alias("text"),
         F.expr("event_id % 7").alias("z_order"), F.expr("event_id % 7").alias("stacking_order"),
-    )
+    ).select(
+        "*", *(F.expr(f"if(event_id % 11 = 0, null, {at})").alias(name) for name, at in ENDS.items()),
+    ).drop("event_id")
 
 
 #: The same relation for DuckDB.
@@ -37,7 +45,11 @@ ELEMENTS_SQL = """el AS (
       WHEN 'signup' THEN 'table' WHEN 'error' THEN 'connector' ELSE 'unknown' END AS element_type,
     CAST((event_id * 7919) % 11000000 AS DOUBLE) AS x, CAST((event_id * 104729) % 6000000 AS DOUBLE) AS y,
     CAST(200000 + (event_id * 1299709) % 3000000 AS DOUBLE) AS width, CAST(100000 + (event_id * 15485863) % 1500000 AS DOUBLE) AS height,
-    event_type || ' ' || CAST(event_id % 100 AS VARCHAR) AS text, event_id % 7 AS z_order, event_id % 7 AS stacking_order
+    event_type || ' ' || CAST(event_id % 100 AS VARCHAR) AS text, event_id % 7 AS z_order, event_id % 7 AS stacking_order,
+    CASE WHEN event_id % 11 <> 0 THEN x + CASE WHEN event_id % 2 = 1 THEN width ELSE 0 END END AS begin_x,
+    CASE WHEN event_id % 11 <> 0 THEN y + CASE WHEN event_id % 3 = 1 THEN height ELSE 0 END END AS begin_y,
+    CASE WHEN event_id % 11 <> 0 THEN x + CASE WHEN event_id % 2 = 1 THEN 0 ELSE width END END AS end_x,
+    CASE WHEN event_id % 11 <> 0 THEN y + CASE WHEN event_id % 3 = 1 THEN 0 ELSE height END END AS end_y
   FROM events)"""
 
 #: Texts, types and styles of ``styled_elements`` by integer arithmetic over ord.
