@@ -10,17 +10,23 @@ from pyspark.sql import functions as F
 from quire.sources.tables import kept
 
 
-def climb(up: DataFrame, keys: list[str]) -> DataFrame:
+def climb(up: DataFrame, keys: list[str], hops: int = 2) -> DataFrame:
     """(keys, node, root, level) for every row (keys, node, parent) of ``up``, one row a node: the last node on the way up and the steps
-    to it.  Every round doubles the steps known.  Where the way up ends in a cycle, root and level are null."""
+    to it.  Every hop doubles the steps known, every job makes ``hops``.  Where the way up ends in a cycle, root and level are null."""
     tops = up.select(*keys, F.col("node").alias("parent"), F.lit(True).alias("goes_on"))
     now = up.join(tops, [*keys, "parent"], "left").select(*keys, "node", F.col("parent").alias("at"), F.lit(1).cast("long").alias("level"), F.coalesce("goes_on", F.lit(False)).alias("open"))
     now = kept(now, "climb")
-    steps, nodes = 1, now.count()
-    while steps <= nodes and not now.where("open").isEmpty():
-        further = now.select(*keys, F.col("node").alias("at"), F.col("at").alias("at2"), F.col("level").alias("level2"), F.col("open").alias("open2"))
-        on = now.where("open").join(further, [*keys, "at"]).select(*keys, "node", F.col("at2").alias("at"), F.expr("level + level2").alias("level"), F.col("open2").alias("open"))
-        now, steps = kept(now.where("not open").unionByName(on), "climb"), 2 * steps
+    steps, nodes, left = 1, None, now.where("open").count()
+    while left:
+        nodes = nodes or now.count()
+        if steps > nodes:
+            break
+        for _ in range(hops):
+            further = now.select(*keys, F.col("node").alias("at"), F.col("at").alias("at2"), F.col("level").alias("level2"), F.col("open").alias("open2"))
+            on = now.where("open").join(further, [*keys, "at"]).select(*keys, "node", F.col("at2").alias("at"), F.expr("level + level2").alias("level"), F.col("open2").alias("open"))
+            now, steps = now.where("not open").unionByName(on), 2 * steps
+        now = kept(now, "climb")
+        left = now.where("open").count()
     return now.select(*keys, "node", F.expr("if(open, null, at)").alias("root"), F.expr("if(open, null, level)").alias("level"))
 
 
@@ -33,7 +39,7 @@ def connected(edges: DataFrame, keys: list[str]) -> DataFrame:
     left, rounds = kept(left, "edges"), []
     while not left.isEmpty():
         up = left.groupBy(*keys, F.col("a").alias("node")).agg(F.min("b").alias("parent"))
-        tree = kept(climb(up, keys).select(*keys, "node", "root"), "trees")
+        tree = climb(up, keys).select(*keys, "node", "root")
         rounds.append(tree)
         end = lambda c: tree.select(*keys, F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
         both = left.join(end("a"), [*keys, "a"]).join(end("b"), [*keys, "b"], "left").withColumns({"u": F.col("a_root"), "v": F.coalesce("b_root", "b")}).where("u <> v")
