@@ -25,10 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from quire.llm.shared import boxed, text_of, unboxed
 from quire.llm.textkernel import ALNUM, Words, blocks, lists, run_hasher
 
 WINDOW = 13
+#: Words of the benchmark that travel to the executors together.
+PAGE_WORDS = 2_000_000
 FOUND = "n_words long, spans array<int>, items array<string>, longest int, longest_at int, longest_item string"
 
 
@@ -221,30 +225,34 @@ def _pages(benchmark: DataFrame, window: int, page_words: int) -> Iterator[Page]
         yield Page(ids, texts, window)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, page_words: int = 2_000_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, page_words: int = PAGE_WORDS) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``items`` (ids with occurring windows, sorted), the longest
-    match (words, place in words, item) and ``contaminated``: a hit, and 20 hits or more in 400 words."""
+    match (words, place in words, item) and ``contaminated``: a hit, and 20 hits or more in 400 words.  Columns of ``docs`` named like these are replaced."""
+    return _found(docs, benchmark, window, page_words).select(*unboxed(docs, *_MINE), *(F.col(c) for c in _MINE))
+
+
+_MINE = ["n_words", "spans", "items", "longest", "longest_at", "longest_item", "n_hit", "contaminated"]
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, page_words: int) -> DataFrame:
+    """All columns of ``docs`` in one struct ``row``, and what was found, so that no name of theirs meets one of these."""
     spark = docs.sparkSession
-    mine = ["n_words", "spans", "items", "longest", "longest_at", "longest_item", "n_hit", "contaminated"]
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in mine)).withColumn("text", F.col("text").cast("string"))
-    names = docs.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs
+    out = docs.select(boxed(docs), text_of(docs))
+    fields = StructType(out.schema.fields + StructType.fromDDL(FOUND).fields)
     for i, page in enumerate(_pages(benchmark, window, page_words)):
         sent = spark.sparkContext.broadcast(page)
 
         def found(batches: Iterator[pa.RecordBatch], sent=sent, first=not i) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                text = b.column(b.schema.get_field_index("text"))
-                rows = list(scan(sent.value, text))
+                rows = list(scan(sent.value, b.column(1)))
                 if not first:
-                    before = [b.column(b.schema.get_field_index(c)).to_pylist() for c in mine[1:6]]
+                    before = [b.column(b.schema.get_field_index(c)).to_pylist() for c in _MINE[1:6]]
                     rows = [_both(r, old) for r, old in zip(rows, zip(*before, strict=True), strict=True)]
                 cols = [pa.array([r[0] for r in rows], pa.int64()), lists([np.array(r[1], np.int32) for r in rows], pa.int32())]
                 cols += [pa.array([r[k] for r in rows], t) for k, t in ((2, pa.list_(pa.string())), (3, pa.int32()), (4, pa.int32()), (5, pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), *cols], [*names, *mine[:6]])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["row", "t", *_MINE[:6]])
 
-        out = out.mapInArrow(found, f"{kinds}, {FOUND}")
+        out = out.mapInArrow(found, fields)
     n_hit = F.expr("aggregate(transform(spans, (x, i) -> if(i % 2 = 0, -x, x)), 0, (a, x) -> a + x)").cast("long")
     return out.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
@@ -256,7 +264,7 @@ def _both(new: tuple, old: tuple) -> tuple:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with their own columns only."""
-    return find_contamination(docs, benchmark, window).where(~F.col("contaminated")).select(*docs.columns)
+    return _found(docs, benchmark, window, PAGE_WORDS).where(~F.col("contaminated")).select(*unboxed(docs))
 
 
 def items_digest(items: list[str]) -> str:

@@ -38,9 +38,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": r"(?i)[a-z0-9._%+-]++[\x20]?+(?:\(at\)|\[at\])[\x20]?+[a-z0-9-]++(?:[\x20]?+(?:\(dot\)|\[dot\]|\.)[\x20]?+[a-z0-9-]++)++",
+    "email": r"(?i)[a-z0-9._%+-]++[\x20]?+(?:\(at\)|\[at\])[\x20]?+[a-z0-9-]++(?:(?:[\x20]?+(?:\(dot\)|\[dot\])[\x20]?+|\.)[a-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]{1,3}+(?:\[\.\][0-9]{1,3}+){3}",
-    "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
+    "phone": r"(?<![0-9+.-])\(?[2-9][0-9]{2}\)?[\x20.-][2-9][0-9]{2}[\x20.-][0-9]{4}(?![0-9-])",
 }
 #: Something that a text with a match must contain; cheaper to look for.
 NEEDS = {"email": "@", "phone": "+"}
@@ -135,7 +135,9 @@ def candidates(docs: DataFrame) -> DataFrame:
         at = f"element_at({c}m, i)"
         valid = "cast(null as boolean)" if w else _valid(k, at)
         span = _span(k, at, f"element_at({c}e, i) - char_length({at})", f"element_at({c}e, i)", f"element_at({c}g, i)", f"element_at({c}g, i + 1)", valid, str(w).lower())
-        parts.append(F.expr(f"if(size({c}m) = 0, array(), transform(sequence(1, greatest(1, size({c}m))), i -> {span}))"))
+        # a wide candidate must pass what its kind's check asks for, too
+        good = f"filter(sequence(1, greatest(1, size({c}m))), i -> {_valid(k, f"replace(replace({at}, '[', ''), ']', '')")})" if w and k == "ip" else f"sequence(1, greatest(1, size({c}m)))"
+        parts.append(F.expr(f"if(size({c}m) = 0, array(), transform({good}, i -> {span}))"))
     chain = F.expr(f"if(size(__cardm) = 0, array(), transform(sequence(1, greatest(1, size(__cardm))), i -> named_struct('m', element_at(__cardm, i), 'start', element_at(__carde, i) - char_length(element_at(__cardm, i)), 'valid', {_valid('card', 'element_at(__cardm, i)')}, 'before', right(element_at(__cardg, i), 24), 'after', left(element_at(__cardg, i + 1), 1))))")
     out = out.withColumn("__plain", F.concat(*parts)).withColumn("__chain", F.filter(chain, lambda x: ~x["valid"] & (F.length(x["m"]) >= 13)))
     # each step is a projection of its own, so that groups and sums are made once a match

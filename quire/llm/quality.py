@@ -172,3 +172,9 @@ def score_quality(docs: DataFrame, model: Machine, threshold: float = 0.3) -> Da
 
     scored = given.mapInArrow(score, as_out(given.drop("n"), "score double"))
     return scored.select(*unboxed(docs, *mine), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Machine, threshold: float = 0.3) -> DataFrame:
+    """The documents that the model accepts, with their own columns only, whatever their names."""
+    scored = score_quality(docs.select(boxed(docs).alias("mine"), text_of(docs).alias("text"), _n_chars(docs).alias("n_chars")), model, threshold)
+    return scored.where("predicted = 1").select(*(F.col(f"mine.c.`{c}`").alias(c) for c in docs.columns))
