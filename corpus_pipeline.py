@@ -16,7 +16,7 @@ from quire.llm.shared import save, table
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
