@@ -196,7 +196,7 @@ def metric_texts(spark, sf_dir):
 
 
 def chart_titles(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.expr("concat(case doc_id % 3 when 0 then 'The chart showing ' when 1 then 'A Figure of ' else 'Graph ' end, substr(text, 1, 300))").alias("text"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.expr("concat(case doc_id % 3 when 0 then 'The chart showing ' when 1 then 'A Figure of ' else 'Graph ' end, text)").alias("text"))
     return d.select("doc_id", naming.chart_title(F.col("text")).alias("title"))
 
 
@@ -349,7 +349,7 @@ SELECT p_partkey, given, printf('#%06x', v) AS hex, '#' || printf('%02x', CAST(f
 SELECT DISTINCT p_brand, 's1' AS label, '#111111' AS color FROM part UNION ALL SELECT p_brand, label, arg_min(color, p_partkey) FROM s WHERE color <> '' AND label <> 's1' GROUP BY p_brand, label""",
     "metric_texts": rf"""WITH w AS (SELECT unnest(regexp_split_to_array(text, '[ \n]')) AS word FROM documents UNION ALL SELECT CASE p_partkey % 5 WHEN 0 THEN '$' || (p_partkey % 90) || '.5M' WHEN 1 THEN '(' || p_partkey || ')' WHEN 2 THEN p_partkey || '%' WHEN 3 THEN p_partkey || '.25' ELSE '$' || p_partkey || 'T' END FROM part)
 SELECT regexp_matches({_TRIM('word')}, '^([0-9]+(\.[0-9]+)?|\([0-9]+\)|\$[0-9]+(\.[0-9]+)?[KM]?)$') AS metric, count(*) AS n, count(DISTINCT word) AS kinds FROM w WHERE word <> '' GROUP BY 1""",
-    "chart_titles": rf"""WITH d AS (SELECT doc_id, lower((['The chart showing ', 'A Figure of ', 'Graph '])[doc_id % 3 + 1] || substr(text, 1, 300)) AS t FROM documents),
+    "chart_titles": rf"""WITH d AS (SELECT doc_id, lower((['The chart showing ', 'A Figure of ', 'Graph '])[doc_id % 3 + 1] || text) AS t FROM documents),
 x AS (SELECT doc_id, regexp_matches(t, '(?:chart|figure|graph)(?:\s+showing|\s+of)?\s+([^.\n]+)') AS m, {_TRIM("regexp_extract(t, '(?:chart|figure|graph)(?:" + chr(92) + "s+showing|" + chr(92) + "s+of)?" + chr(92) + "s+([^." + chr(92) + "n]+)', 1)")} AS t FROM d)
 SELECT doc_id, CASE WHEN m THEN upper(substr(t, 1, 1)) || substr(t, 2) END AS title FROM x""",
     "concepts": f"SELECT doc_id, CASE WHEN length(text) > 80 THEN array_to_string(({_CHARS('text')})[1:8], ' ') || '...' ELSE text END AS concept FROM documents",

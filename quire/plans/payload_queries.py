@@ -8,6 +8,7 @@ from quire.functions import naming
 from quire.operators import blueprint, enrich, pagefacts, payloads, semantics, spatial
 from quire.plans.content_queries import read
 from quire.plans.formpage_queries import _FORM, _MERGES, _form, _tables
+from quire.plans.formpage_queries import ORACLES as FORM_PAGES
 from quire.plans.semantic_queries import _ENDS, OBJECTS
 from quire.plans.semantic_queries import ORACLES as SEMANTIC
 from quire.sources import sinks
@@ -144,18 +145,18 @@ def page_summaries(spark, sf_dir):
 
 
 def form_records(spark, sf_dir):
-    """One JSON text a page; its length and hash stand for it."""
+    """The elements of a form page as its JSON record has them."""
     from quire.operators import formpage
     from quire.plans.formpage_queries import _pages
 
-    r = sinks.form_records(_form(spark, sf_dir), formpage.page_geometry(_pages(spark, sf_dir)))
-    return r.select(*PAGE, F.length("record").alias("characters"), F.sha2("record", 256).alias("sha256"))
+    form = _form(spark, sf_dir)
+    return sinks.reread(sinks.form_records(form, formpage.page_geometry(_pages(spark, sf_dir))), "elements", form)
 
 
 def reconstruction_records(spark, sf_dir):
-    """The high-fidelity objects of a page as one JSON text; its length and hash stand for it."""
-    r = sinks.records(fidelity_objects(spark, sf_dir), "element_id", "objects")
-    return r.select(*PAGE, F.length("record").alias("characters"), F.sha2("record", 256).alias("sha256"))
+    """The high-fidelity objects of a page as its JSON record has them."""
+    objects = fidelity_objects(spark, sf_dir)
+    return sinks.reread(sinks.records(objects, "element_id", "objects"), "objects", objects)
 
 
 def ruled_answers(spark, sf_dir):
@@ -240,3 +241,7 @@ SELECT {_PAGE}, concat_ws(' ', CASE WHEN titled THEN 'This slide, titled ''Overv
   CASE WHEN shown <> '' THEN 'The slide utilizes a visual layout featuring ' || shown || ' to support the explanation.' ELSE 'The layout is structured as a ' || layout || ' presentation.' END, 'It covers the following points: ' || points || '.') AS summary FROM s""",
     "ruled_answers": f"WITH {OBJECTS} SELECT role, min(text) AS text, upper(min(text)) AS answer, 'rule' AS answered_by FROM ob WHERE characters > 0 GROUP BY role",
 }
+
+# what a reader of the records gets is what went in
+ORACLES["reconstruction_records"] = ORACLES["fidelity_objects"]
+ORACLES["form_records"] = FORM_PAGES["form_elements"]

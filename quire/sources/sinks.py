@@ -75,6 +75,14 @@ def read_pages(spark, path: str, schema) -> DataFrame:
     return given.select(*PAGE, F.inline("elements")).select(*kinds)
 
 
+def reread(records: DataFrame, name: str, rows: DataFrame) -> DataFrame:
+    """The rows of the list ``name`` of JSON records (record), with the columns and types of ``rows``: what a reader of the records gets."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    inner = ", ".join(f"`{n}`: {t}" for n, t in kinds.items() if n not in PAGE)
+    given = records.select(F.from_json("record", ", ".join(f"`{c}` {kinds[c]}" for c in PAGE) + f", `{name}` array<struct<{inner}>>").alias("r"))
+    return given.select(*(F.col(f"r.{c}").alias(c) for c in PAGE), F.inline(F.col(f"r.{name}"))).select(*kinds)
+
+
 def write_stage(df: DataFrame, path: str, stage: str) -> None:
     """A stage's rows, by document, page and stage."""
     df.withColumn("stage", F.lit(stage)).write.mode("append").partitionBy(*PAGE, "stage").json(path)
