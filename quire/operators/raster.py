@@ -117,6 +117,21 @@ def grown(rows: DataFrame, by: int, width: int, height: int) -> DataFrame:
     return new.withColumn("i", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("image_id", "y", "i").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2")).drop("i")
 
 
+def unset(rows: DataFrame, images: DataFrame, width: int, height: int) -> DataFrame:
+    """The runs of the pixels that are not set, in all rows of ``images`` (image_id)."""
+    order = Window.partitionBy("image_id", "y").orderBy("x1")
+    ends = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"), F.lit(width).alias("x1"), F.lit(width).alias("x2"))
+    gaps = rows.select("image_id", "y", "x1", "x2").unionByName(ends).withColumn("from", F.coalesce(F.lag("x2").over(order) + 1, F.lit(0)))
+    return gaps.where(F.col("from") < F.col("x1")).select("image_id", "y", F.col("from").alias("x1"), (F.col("x1") - 1).alias("x2"))
+
+
+def closed(rows: DataFrame, by: int, width: int, height: int) -> DataFrame:
+    """Runs of a mask whose gaps of up to twice ``by`` pixels are filled: grown, and what is not set grown back.  What lies beyond the image takes nothing away."""
+    images = rows.select("image_id").distinct()
+    free = unset(grown(rows, by, width, height), images, width, height)
+    return unset(grown(free, by, width, height), images, width, height)
+
+
 def run_links(rows: DataFrame, reach: int = 1) -> DataFrame:
     """(image_id, a, b): runs (``run`` = their name) that touch a run of the next row, corners included where ``reach`` is 1.  They meet in spans of
     ``SPAN`` pixels, each pair in one of them."""
@@ -311,3 +326,57 @@ def content_rectangles(pixels: DataFrame, width: int, height: int, least: float
     some = s.where(f"outline >= {least} * {width * height} and w * h < {0.95 * width * height} and w / h > 0.5 and w / h < 3")
     best = some.groupBy("image_id").agg(F.expr("min_by(struct(x, y, w, h), struct(-w * h, box_id))").alias("b"))
     return best.select("image_id", "b.*").where(f"not (w > 0.95 * {width} and h > 0.95 * {height})")
+
+
+def blurred(image: DataFrame) -> DataFrame:
+    """A dense gray image with every pixel the rounded mean of the nine around it, weighted 1 2 1 both ways, mirrored at the border."""
+    near = lambda c, w: F.coalesce(F.lag(c).over(w), F.lead(c).over(w), F.col(c)) + 2 * F.col(c) + F.coalesce(F.lead(c).over(w), F.lag(c).over(w), F.col(c))
+    both = image.withColumn("v", near("v", _row())).withColumn("v", near("v", _column()))
+    return both.select("image_id", "x", "y", F.expr("cast((v + 8) div 16 as int)").alias("v"))
+
+
+def contour_objects(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, x, y, w, h, source, confidence): boxes of closed edge shapes, from a two-thousandth to most of the image, no hair lines; the confidence is how much of its box an outline fills."""
+    edges = closed(runs(canny(blurred(gray(pixels)), 40, 120)), 4, width, height)
+    some = shapes(edges).where(f"w * h between {0.0005 * width * height} and {0.92 * width * height} and w >= 3 and h >= 3 and w / h between 0.0125 and 80")
+    return some.select("image_id", "x", "y", "w", "h", F.lit("contour").alias("source"), F.expr("bround(least(0.95D, greatest(0.45D, outline / (w * h))), 3)").alias("confidence"))
+
+
+def color_regions(pixels: DataFrame, width: int, height: int, step: int = 24, most: int = 10, by: int = 8) -> DataFrame:
+    """(image_id, x, y, w, h, source, confidence): boxes of closed areas of one of the ``most`` most frequent colours, in steps of ``step``, that cover from a hundredth to four fifths of the image."""
+    quantised = pixels.select("image_id", "x", "y", *(F.expr(f"{c} div {step}").alias(c) for c in "rgb"))
+    n = quantised.groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n"))
+    n = n.withColumn("place", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("n"), "r", "g", "b"))).where(f"place <= {most} and n between {0.01 * width * height} and {0.8 * width * height}")
+    # every colour of an image is a mask of its own
+    masks = quantised.join(n, ["image_id", "r", "g", "b"]).select(F.expr(f"image_id * {most} + place - 1").alias("image_id"), "x", "y")
+    found = shapes(closed(runs(masks), by, width, height)).where(f"w * h between {0.004 * width * height} and {0.85 * width * height}")
+    return found.select(F.expr(f"image_id div {most}").alias("image_id"), "x", "y", "w", "h", F.lit("color_region").alias("source"), F.lit(0.72).alias("confidence"))
+
+
+def classified(objects: DataFrame, width: int, height: int) -> DataFrame:
+    """``objects`` (x, y, w, h, source) with ``element_type`` and ``shape_type``: lines by their form, large panels, small icons, other shapes."""
+    line = F.expr("source = 'line' or h <= 4 or w <= 4 or w / h > 12 or w / h < 0.08")
+    panel, icon = F.expr(f"w * h / {width * height}D > 0.04"), F.expr(f"greatest(w, h) < {0.08 * max(width, height)}")
+    kind = F.when(line, "line").when(panel, "panel").when(icon, "pixel_icon").otherwise("rect")
+    of = F.when(line, "line").when(panel, "shape").when(icon, "icon").otherwise("shape")
+    return objects.withColumns({"element_type": of, "shape_type": kind})
+
+
+def sampled_styles(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``boxes`` (image_id, box_id, x, y, w, h) with ``fill`` and ``stroke``: the medians of their pixels and of those of their border, corners counted twice."""
+    cells = boxes.withColumn("py", F.explode(F.expr("sequence(y, y + h - 1)"))).withColumn("px", F.explode(F.expr("sequence(x, x + w - 1)")))
+    times = F.expr("cast(px = x as int) + cast(px = x + w - 1 as int) + cast(py = y as int) + cast(py = y + h - 1 as int)")
+    cells = cells.select("image_id", "box_id", times.alias("edge"), F.col("px").cast("int").alias("x"), F.col("py").cast("int").alias("y"))
+    seen = cells.join(pixels, ["image_id", "x", "y"])
+    mid = [F.expr(f"cast(percentile({c}, 0.5) as long)").alias(f"f{c}") for c in "rgb"] + [F.expr(f"cast(percentile({c}, 0.5, edge) as long)").alias(f"s{c}") for c in "rgb"]
+    code = lambda p: F.lower(F.concat(F.lit("#"), *(F.lpad(F.hex(f"{p}{c}"), 2, "0") for c in "rgb")))
+    style = seen.groupBy("image_id", "box_id").agg(*mid).select("image_id", "box_id", code("f").alias("fill"), code("s").alias("stroke"))
+    return boxes.join(style, ["image_id", "box_id"], "left")
+
+
+def image_objects(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """The objects that an image shows, by contours and by colours, with their class and style; lines have no fill."""
+    every = contour_objects(pixels, width, height).unionByName(color_regions(pixels, width, height)).withColumns({c: F.col(c).cast("int") for c in ("x", "y", "w", "h")})
+    every = kept(_numbered(every, "source", "w", "h"), "objects")
+    out = sampled_styles(pixels, classified(every, width, height))
+    return out.withColumn("fill", F.when(F.col("element_type") != "line", F.col("fill")))

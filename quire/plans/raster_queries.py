@@ -30,6 +30,7 @@ def page_images(spark, sf_dir, which="true"):
     return raster.painted(drawn_boxes(spark, sf_dir).where(which), WIDTH, HEIGHT)
 
 
+FEW = "element_type = 'image' and ord % 3 = 0"
 PICTURES, FORM, CHANGED = "element_type <> 'table' and element_type <> 'connector'", "element_type <> 'image'", "ord % 10 <> 0"
 
 
@@ -92,12 +93,21 @@ def image_cards(spark, sf_dir):
 
 
 def content_rectangles(spark, sf_dir):
-    return raster.content_rectangles(page_images(spark, sf_dir, "element_type = 'image' and ord % 3 = 0"), WIDTH, HEIGHT, 0.02)
+    return raster.content_rectangles(page_images(spark, sf_dir, FEW), WIDTH, HEIGHT, 0.02)
+
+
+def color_regions(spark, sf_dir):
+    """Regions of one colour of pages without the many small things; areas grow together over gaps of four pixels."""
+    return raster.color_regions(page_images(spark, sf_dir, FEW), WIDTH, HEIGHT, by=2)
+
+
+def image_objects(spark, sf_dir):
+    return raster.image_objects(page_images(spark, sf_dir, FEW), WIDTH, HEIGHT).drop("box_id")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (raster_ssim, stroke_overlap, raster_fidelity, picture_shapes, box_colors, image_thresholds, image_lines, image_checkboxes, ink_shares, dominant_colors, image_cards, content_rectangles)
+    for f in (raster_ssim, stroke_overlap, raster_fidelity, picture_shapes, box_colors, image_thresholds, image_lines, image_checkboxes, ink_shares, dominant_colors, image_cards, content_rectangles, color_regions, image_objects)
 }
 
 _SHADE = lambda k: f"CAST(CASE WHEN element_type IN ('image', 'table', 'connector') THEN ord * {k} % 90 ELSE 210 + ord * {k} % 45 END AS INT)"

@@ -1,7 +1,8 @@
 """Documents that arrive as files: an addition of this library over its batch operators.
 
-Every micro-batch is one DataFrame that any batch operator takes.  Pages that were seen before, by the hash of their content, are left
-out, so a file that arrives twice changes nothing; the hashes are a table of their own beside the results.
+Every micro-batch is one DataFrame that any batch operator takes.  A page that was seen before with the same content is left out, so a
+file that arrives twice changes nothing; two pages of equal content both count.  The hashes are a table of their own beside the results, one row for
+each page and content; of its Parquet files a batch reads the pages' keys and hashes only.
 """
 
 from __future__ import annotations
@@ -23,10 +24,15 @@ def page_hash(*columns: str) -> Column:
     return F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ""), 256)
 
 
+def page_hashes(elements: DataFrame) -> DataFrame:
+    """(page, content_hash) of every page."""
+    return elements.groupBy(*PAGE).agg(page_hash(*(c for c in elements.columns if c not in PAGE)).alias("content_hash"))
+
+
 def new_pages(elements: DataFrame, seen: DataFrame | None) -> DataFrame:
-    """(page, content_hash) of the pages whose content is not in ``seen`` (content_hash)."""
-    own = elements.groupBy(*PAGE).agg(page_hash(*(c for c in elements.columns if c not in PAGE)).alias("content_hash"))
-    return own if seen is None else own.join(seen.select("content_hash"), "content_hash", "left_anti")
+    """(page, content_hash) of the pages that are not in ``seen`` (page, content_hash) with this content."""
+    own = page_hashes(elements)
+    return own if seen is None else own.join(seen.select(*PAGE, "content_hash"), [*PAGE, "content_hash"], "left_anti")
 
 
 def run(spark: SparkSession, folder: str, schema: StructType, operator: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:

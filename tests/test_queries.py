@@ -41,8 +41,8 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def page(spark, *rows):
-    cols = "document_id long, slide_number long, element_id string, ord long, element_type string, x double, y double, width double, height double, text string, z_order long"
-    return spark.createDataFrame([(1, 1, *r) for r in rows], cols)
+    cols = "document_id long, slide_number long, element_id string, ord long, element_type string, x double, y double, width double, height double, text string, z_order long, begin_x double, begin_y double, end_x double, end_y double"
+    return spark.createDataFrame([(1, 1, *r, None, None, None, None) for r in rows], cols)
 
 
 def test_equal_boxes_make_no_cycle(spark):
