@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.tables import kept
+
 #: Fixed value: consonant runs that mark garbled words.
 CONSONANTS = r"[^aeiouAEIOU\s\d]{4,}"
 
@@ -38,23 +42,28 @@ def distinct_words(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), F.lit(0)))
 
 
-#: Items that a document is compared with at once, and the most bytes of items that go to all tasks.
+#: Items that a document is compared with at once, and the bytes of items, about, that go to all tasks at once.
 ITEM_BLOCK, ITEM_BYTES = 512, 64 << 20
 
 
-def best_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+def best_items(docs: DataFrame, items: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, similarity): every document with the item that is most like it, of equals the smallest id.
 
-    The items are a stated set of queries: they go in blocks, as sets of words, to the documents, and no pair is ever a row."""
+    The items are a stated set of queries: they go in blocks, as sets of words, to the documents, and no pair is ever a row.  More items than fit in
+    ``item_bytes`` go in pages, one pass over the documents each, of which only the best item so far is kept."""
     x = docs.select("doc_id", distinct_words(F.coalesce("text", F.lit(""))).alias("x"))
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
-    if size["b"] > ITEM_BYTES:
-        raise ValueError(f"{size['b']} bytes of items are more than {ITEM_BYTES}: ask in parts")
-    word = items.select(F.pmod(F.xxhash64("item_id"), F.lit(size["n"] // ITEM_BLOCK + 1)).alias("block"), F.struct("item_id", distinct_words(F.coalesce("text", F.lit(""))).alias("y")).alias("i"))
-    blocks = word.groupBy("block").agg(F.collect_list("i").alias("items"), F.lit(1).alias("one"))
-    met = x.withColumn("one", F.lit(1)).join(F.broadcast(blocks), "one")
+    pages = size["b"] // item_bytes + 1
+    spread = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "item_id"), F.lit(n))
+    word = items.select(spread(1, pages).alias("page"), spread(2, size["n"] // (ITEM_BLOCK * pages) + 1).alias("block"), F.struct("item_id", distinct_words(F.coalesce("text", F.lit(""))).alias("y")).alias("i"))
     best = F.array_max(F.transform("items", lambda i: F.struct(F.bround(shared_words(F.col("x"), i["y"]), 6).alias("s"), (-i["item_id"]).alias("i"))))
-    return met.groupBy("doc_id").agg(F.max(best).alias("b")).select("doc_id", (-F.col("b.i")).alias("item_id"), F.col("b.s").alias("similarity"))
+
+    def page(k: int) -> DataFrame:
+        blocks = word.where(F.col("page") == k).groupBy("block").agg(F.collect_list("i").alias("items"), F.lit(1).alias("one"))
+        return x.withColumn("one", F.lit(1)).join(F.broadcast(blocks), "one").select("doc_id", best.alias("b"))
+
+    met = page(0) if pages == 1 else reduce(DataFrame.union, (kept(page(k).groupBy("doc_id").agg(F.max("b").alias("b")), "best") for k in range(pages)))
+    return met.groupBy("doc_id").agg(F.max("b").alias("b")).select("doc_id", (-F.col("b.i")).alias("item_id"), F.col("b.s").alias("similarity"))
 
 
 def shared_words(x: Column, y: Column) -> Column:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import assembly, fitting, raster, vectors
+from quire.operators import assembly, chains, content, fitting, raster, vectors
 from quire.streaming import pages as arriving
 from test_raster import dense, flood, mask_rows
 
@@ -153,3 +153,29 @@ def test_blur_equals_a_loop(spark):
     want = {(x, y): (int((p[y : y + 3, x : x + 3] * k).sum()) + 8) // 16 for y in range(7) for x in range(9)}
     assert {(r["x"], r["y"]): r["v"] for r in raster.blurred(df).collect()} == want
     assert raster.blurred(df).where(F.col("v").isNull()).count() == 0
+
+
+def test_items_in_one_page_or_many(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 40").select("doc_id", "text")
+    items = spark.createDataFrame([(k, " ".join(random.Random(k).choices(["the", "of", "and", "que", "die", "x"], k=5))) for k in range(30)], "item_id long, text string")
+    once = sorted(map(tuple, content.best_items(docs, items).collect()))
+    assert sorted(map(tuple, content.best_items(docs, items, item_bytes=100).collect())) == once and len(once) == 40
+
+
+def test_the_chain_of_flows(spark):
+    kind = "document_id long, slide_number long, title string, plain string, flow_section string, flow_description string, summaries string, interpretation string"
+    none = (None,) * 3
+    sections = {
+        1: "- Flow Sequence: go: on", 2: "Reading order:\nA --> B", 3: "flow sequence", 4: "→ only\nStep 2: [x] → Step 3: y → Step 4: [ z ]", 5: "nothing\r\n  - reading order : left", 6: "", 7: None,
+    }
+    want = {
+        1: "The slide shows the process flow: go: on", 2: "The slide shows a progression from A → B", 3: "The slide shows the process flow: flow sequence", 4: "The slide shows a progression from x → z",
+        5: "The slide shows the process flow: left", 6: "The slide presents and explains the slide content.", 7: "The slide presents and explains the slide content.", 8: "The slide shows 5 Things.", 9: "Step 1: alone", 10: chains.TRANSFORMATION, 11: "So it is.",
+        12: "The slide focuses on First.", 13: "The slide shows a progression from First → Last",
+    }
+    rows = [(1, k, None, None, s, *none) for k, s in sections.items()] + [
+        (1, 8, "t", "5 Things. And", "A --> B", *none), (1, 9, "t", None, None, "Step 1: alone", None, None), (1, 10, "t", None, None, None, "temporal", "x"), (1, 11, "t", " ", "", "", "", "So it is. Or"), (1, 12, "t", *none, None, "i"), (1, 13, "t", *none, None, "i"),
+    ]
+    e = spark.createDataFrame([(1, 12, 1, 1, "First"), (1, 12, 2, 2, None), (1, 13, 3, 1, "First"), (1, 13, 4, 2, "mid"), (1, 13, 5, 3, "Last")], "document_id long, slide_number long, element_id long, ord long, text string")
+    order = e.select("document_id", "slide_number", "element_id", F.col("ord").alias("position"))
+    assert {r["slide_number"]: r["flow"] for r in chains.overall_flow(spark.createDataFrame(rows, kind), e, order).collect()} == want
