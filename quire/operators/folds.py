@@ -1,19 +1,22 @@
 """Operators whose state depends on the order of a page's elements.
 
 A page is one group: its elements are few by nature (a slide, a sheet), and only they meet in a task.  Folds over one
-sorted array stay in the JVM; greedy choices with several kept boxes and the walk over a graph run in Python per page.
+sorted array stay in the JVM, greedy choices go in rounds over the pairs that matter; the walk over a graph runs in Python per page.
 Null texts count as empty; ties are broken by ``ord``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.spatial import touching
 from quire.sources.elements import PAGE
+from quire.sources.tables import kept
 
 #: The most elements of one page that a task takes in Python.
 PAGE_LIMIT = 200_000
@@ -89,25 +92,24 @@ def _schema(elements: DataFrame, extra: str) -> str:
 
 def greedy_boxes(elements: DataFrame, order: str, share: float = 0.5, of: str = "smaller") -> DataFrame:
     """Boxes in falling ``order``, each kept unless more than ``share`` of the smaller box (or of its own area, with
-    ``of='own'``) lies in a kept one."""
-
-    def keep(page: pd.DataFrame) -> pd.DataFrame:
-        page = bounded(page).sort_values([order, "ord"], ascending=[False, True])
-        kept: list[tuple] = []
-        out = []
-        for r in page.itertuples():
-            box = (r.x, r.y, r.x + r.width, r.y + r.height, r.width * r.height)
-            for k in kept:
-                both = max(0.0, min(box[2], k[2]) - max(box[0], k[0])) * max(0.0, min(box[3], k[3]) - max(box[1], k[1]))
-                if both > share * (box[4] if of == "own" else min(box[4], k[4])):
-                    break
-            else:
-                kept.append(box)
-                out.append(r.element_id)
-        return page[page["element_id"].isin(out)][[*PAGE, "element_id"]]
-
-    given = elements.select(*PAGE, "element_id", "ord", "x", "y", "width", "height", *([order] if order not in ("x", "y", "width", "height", "ord") else []))
-    return given.groupBy(*PAGE).applyInPandas(keep, _schema(elements, ""))
+    ``of='own'``) lies in a kept one.
+
+    Only pairs that cover each other that much matter; they are found by cells.  In a round the boxes that no undecided earlier one covers are
+    kept, what they cover goes, and so do the pairs of both; no page is ever in one task."""
+    cols = tuple(dict.fromkeys(("element_id", "ord", "x", "y", "width", "height", order)))
+    both = "greatest(0D, least(a_x + a_width, b_x + b_width) - greatest(a_x, b_x)) * greatest(0D, least(a_y + a_height, b_y + b_height) - greatest(a_y, b_y))"
+    size = "b_width * b_height" if of == "own" else "least(a_width * a_height, b_width * b_height)"
+    pairs = touching(elements, cols).where(f"{both} > {share} * {size}").where(f"a_{order} > b_{order} or (a_{order} = b_{order} and a_ord < b_ord)")
+    pairs = kept(pairs.select(*PAGE, F.col("a_element_id").alias("a"), F.col("b_element_id").alias("b")), "covers")
+    gone = []
+    while not pairs.isEmpty():
+        later = pairs.select(*PAGE, F.col("b").alias("a")).distinct()
+        out = kept(pairs.join(later, [*PAGE, "a"], "left_anti").select(*PAGE, "b").distinct(), "covered")
+        gone.append(out)
+        pairs = pairs.join(out, [*PAGE, "b"], "left_anti").join(out.withColumnRenamed("b", "a"), [*PAGE, "a"], "left_anti")
+        pairs = kept(pairs, "covers")
+    out = elements.select(*PAGE, "element_id")
+    return out.join(reduce(DataFrame.union, gone).withColumnRenamed("b", "element_id"), [*PAGE, "element_id"], "left_anti") if gone else out
 
 
 def topological_order(elements: DataFrame, edges: DataFrame) -> DataFrame:

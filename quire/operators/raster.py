@@ -325,7 +325,58 @@ def content_rectangles(pixels: DataFrame, width: int, height: int, least: float
     s = edge_shapes(pixels, 30, 100, 4, width, height)
     some = s.where(f"outline >= {least} * {width * height} and w * h < {0.95 * width * height} and w / h > 0.5 and w / h < 3")
     best = some.groupBy("image_id").agg(F.expr("min_by(struct(x, y, w, h), struct(-w * h, box_id))").alias("b"))
-    return best.select("image_id", "b.*").where(f"not (w > 0.95 * {width} and h > 0.95 * {height})")
+    return best.select("image_id", "b.*")
+
+
+def chrome_bounds(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, x, y, w, h): what is left of an image without bars at its upper, lower and left edge, where they are more than a twentieth of it.
+
+    An image is cut into strips of a hundredth.  A bar above ends where, beyond a twentieth and within a quarter of the height, a strip varies (by more than 30) and
+    is unlike the one before (by more than 15); one below begins at the lowest dark strip (below 60) of the last 8 per cent that lies above 95; one at the left
+    ends where, beyond a twentieth and within 30 per cent, a strip is unlike the one before by more than 20."""
+    s = F.expr("cast(r + g + b as long)")
+    n, total = F.count("*"), F.sum(s)
+
+    def strips(key: Column, start: Column) -> DataFrame:
+        rows = pixels.groupBy("image_id", key.alias("k")).agg((total / n / 3).alias("mean"), F.sqrt(F.greatest(F.sum(s * s) / n - (total / n) * (total / n), F.lit(0.0)) / 9).alias("std"))
+        return rows.withColumn("before", F.lag("mean").over(Window.partitionBy("image_id").orderBy("k"))).withColumn("at", start)
+
+    high, wide = max(1, height // 100), max(1, width // 100)
+    k = F.col("k")
+    top = strips(F.expr(f"y div {high}"), k * high).where(f"at < {int(height * 0.25)} and at > {height * 0.05} and std > 30 and abs(before - mean) > 15").groupBy("image_id").agg(F.min("at").alias("top"))
+    low = strips(F.expr(f"({height - 1} - y) div {high}"), height - (k + 1) * high).where(f"at > {int(height * 0.92)} and at < {height * 0.95} and mean < 60").groupBy("image_id").agg(F.max("at").alias("low"))
+    left = strips(F.expr(f"x div {wide}"), k * wide).where(f"at < {int(width * 0.3)} and at > {width * 0.05} and abs(before - mean) > 20").groupBy("image_id").agg(F.min("at").alias("left"))
+    out = pixels.select("image_id").distinct()
+    for x in (top, low, left):
+        out = out.join(x, "image_id", "left")
+    out = out.select("image_id", F.coalesce("left", F.lit(0)).alias("x"), F.coalesce("top", F.lit(0)).alias("y"), F.coalesce("low", F.lit(height)).alias("low"))
+    out = out.where(f"y * {width} + ({height} - low) * {width} + x * (low - y) > {0.05 * width * height}")
+    return out.select("image_id", *(F.expr(e).cast("long").alias(c) for c, e in (("x", "x"), ("y", "y"), ("w", f"{width} - x"), ("h", "low - y"))))
+
+
+def page_regions(pixels: DataFrame, width: int, height: int, least: float = 0.15) -> DataFrame:
+    """(image_id, x, y, w, h): the page that an image of a screen shows: its content rectangle, else what is left without bars; none where that is less than
+    ``least`` of the image or nearly all of it."""
+    found = kept(content_rectangles(pixels, width, height, least), "rectangles")
+    rest = chrome_bounds(pixels, width, height).join(found, "image_id", "left_anti")
+    return found.unionByName(rest).where(f"w * h >= {least * width * height} and not (w > {0.95 * width} and h > {0.95 * height})")
+
+
+def resized(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Dense images in the sizes (image_id, width, height), every new pixel the mean of the four old ones around its centre, weighted by how near
+    they are, rounded half up; an image that has its size already comes back as it was."""
+    old = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("ow"), (F.max("y") + 1).alias("oh"))
+    spots = sizes.join(old, "image_id").withColumn("y", F.explode(F.expr("sequence(0, height - 1)"))).withColumn("x", F.explode(F.expr("sequence(0, width - 1)")))
+
+    def axis(c: str, new: str, size: str) -> str:
+        at = f"least(greatest(({c} + 0.5D) * {size} / {new} - 0.5D, 0D), {size} - 1D)"
+        return f"filter(array(struct(cast(floor({at}) as int) as at, 1 - ({at} - floor({at})) as part), struct(cast(floor({at}) + 1 as int) as at, {at} - floor({at}) as part)), s -> s.part > 0)"
+
+    spots = spots.withColumn("a", F.explode(F.expr(axis("x", "width", "ow")))).withColumn("b", F.explode(F.expr(axis("y", "height", "oh"))))
+    spots = spots.select("image_id", F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("a.at").alias("x"), F.col("b.at").alias("y"), F.expr("a.part * b.part").alias("part"))
+    seen = spots.join(pixels, ["image_id", "x", "y"])
+    mean = [F.expr(f"cast(floor(round(sum({c} * part), 6) + 0.5) as int)").alias(c) for c in "rgb"]
+    return seen.groupBy("image_id", F.col("nx").alias("x"), F.col("ny").alias("y")).agg(*mean)
 
 
 def blurred(image: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import assembly, fitting, vectors
-from quire.plans import content_queries, fact_queries, flow_queries, form_queries, page_queries, payload_queries
+from quire.plans import blueprint_queries, content_queries, fact_queries, flow_queries, form_queries, page_queries, payload_queries
 from quire.plans.content_queries import read
 from quire.sources.elements import ELEMENTS_SQL, PAGE, STYLED_SQL, elements_from_events, styled_elements
 
@@ -73,7 +73,18 @@ def vector_lines(spark, sf_dir):
     return vectors.vector_lines(d, 1.5)
 
 
-QUERIES = {f.__name__: f for f in (page_payloads, fitted_texts, fitted_documents, page_hashes, page_pictures, vector_checkboxes, vector_lines)}
+def blueprint_records(spark, sf_dir):
+    """The sections of a page's blueprint as a reader of its JSON record gets them, with the canvas that the record has above them."""
+    sections = blueprint_queries.blueprint_sections(spark, sf_dir)
+    canvas = form_queries.QUERIES["canvas_by_page"](spark, sf_dir)
+    made = assembly.assembled([assembly.Part("canvas", canvas, many=False), assembly.Part("sections", sections, ("section_no",))])
+    record = made.select(F.to_json(F.struct(*PAGE, "canvas", "sections")).alias("record"))
+    kinds = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in sections.schema.fields if f.name not in PAGE)
+    read_ = record.select(F.from_json("record", f"document_id bigint, slide_number bigint, canvas struct<canvas_width: double, aspect: string>, sections array<struct<{kinds}>>").alias("r"))
+    return read_.select("r.document_id", "r.slide_number", "r.canvas.canvas_width", "r.canvas.aspect", F.inline("r.sections"))
+
+
+QUERIES = {f.__name__: f for f in (page_payloads, fitted_texts, fitted_documents, page_hashes, page_pictures, vector_checkboxes, vector_lines, blueprint_records)}
 
 _PAGE = "document_id, slide_number"
 _SQL = {part: f"({module.ORACLES[query]})" for part, module, query in _PARTS}
@@ -104,4 +115,5 @@ SELECT {_PAGE}, 'vector_cb_' || slide_number || '_' || drawing AS element_id, x0
   SELECT *, 0 AS segment, x0 AS a, y1 AS b, x1 AS c, y0 AS d FROM dr UNION ALL SELECT *, 1, x1, y0, x1, y1 FROM dr))
 SELECT {_PAGE}, 'vector_line_' || slide_number || '_' || drawing || '_' || segment AS element_id, least(x1, x2) AS x, least(y1, y2) AS y, greatest(abs(x2 - x1), sw) AS width, greatest(abs(y2 - y1), sw) AS height, x1, y1, x2, y2,
   greatest(1.0, sw * 1.5)::DOUBLE AS stroke_width, color AS stroke_color FROM s""",
+    "blueprint_records": f"""SELECT s.*, canvas_width, aspect FROM ({blueprint_queries.ORACLES["blueprint_sections"]}) s JOIN {_SQL["canvas"]} c USING ({_PAGE})""",
 }

@@ -88,12 +88,25 @@ def dominant_colors(spark, sf_dir):
     return palettes.dominant_colors(page_images(spark, sf_dir))
 
 
+def chrome_bounds(spark, sf_dir):
+    """Pages under a bar and beside one: rows and columns of the drawn pages made dark."""
+    p = page_images(spark, sf_dir).withColumn("dark", F.expr("(x < 12 and image_id % 3 <> 0) or (y < 8 and image_id % 2 = 0)"))
+    return raster.chrome_bounds(p.select("image_id", "x", "y", *(F.expr(f"if(dark, 20, {c})").alias(c) for c in "rgb")), WIDTH, HEIGHT)
+
+
+def halved_images(spark, sf_dir):
+    """The colours of the drawn pages at half their size, counted by the top of each channel."""
+    p = page_images(spark, sf_dir)
+    half = raster.resized(p, p.select("image_id").distinct().selectExpr("image_id", f"{WIDTH // 2} as width", f"{HEIGHT // 2} as height"))
+    return half.groupBy("image_id").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in "rgb"))
+
+
 def image_cards(spark, sf_dir):
     return raster.cards(page_images(spark, sf_dir, PICTURES), WIDTH, HEIGHT, 40, 6, 4, 8)
 
 
 def content_rectangles(spark, sf_dir):
-    return raster.content_rectangles(page_images(spark, sf_dir, FEW), WIDTH, HEIGHT, 0.02)
+    return raster.page_regions(page_images(spark, sf_dir, FEW), WIDTH, HEIGHT, 0.02)
 
 
 def color_regions(spark, sf_dir):
@@ -107,7 +120,7 @@ def image_objects(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (raster_ssim, stroke_overlap, raster_fidelity, picture_shapes, box_colors, image_thresholds, image_lines, image_checkboxes, ink_shares, dominant_colors, image_cards, content_rectangles, color_regions, image_objects)
+    for f in (raster_ssim, stroke_overlap, raster_fidelity, picture_shapes, box_colors, image_thresholds, image_lines, image_checkboxes, ink_shares, dominant_colors, image_cards, content_rectangles, color_regions, image_objects, chrome_bounds, halved_images)
 }
 
 _SHADE = lambda k: f"CAST(CASE WHEN element_type IN ('image', 'table', 'connector') THEN ord * {k} % 90 ELSE 210 + ord * {k} % 45 END AS INT)"
@@ -200,4 +213,12 @@ SELECT image_id, 'horizontal' AS direction, x, y, w, h FROM sa WHERE w > 10 AND
 f AS (SELECT q.*, {_FILL} AS f FROM q) SELECT * EXCLUDE (f), round_even(f, 6) AS ink, f > 0.15 AS checked FROM f""",
     "ink_shares": f"""WITH {_FORM}, q AS (SELECT image_id, z AS box_id, x, y, w, h FROM bx WHERE element_type = 'table' AND z % 2 = 0 AND x + w <= {WIDTH} AND y + h <= {HEIGHT}),
 f AS (SELECT q.*, {_FILL} AS f FROM q) SELECT * EXCLUDE (f), round_even(f, 6) AS ink, f > 0.15 AS checked FROM f""",
+    "halved_images": f"""WITH {_BOXES}, {_image("im")}, hf AS (SELECT image_id, x // 2 AS x, y // 2 AS y, {', '.join(f"floor(sum({c}) / 4 + 0.5) AS {c}" for c in "rgb")} FROM im GROUP BY 1, 2, 3)
+SELECT image_id, count(*) AS n, {', '.join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in "rgb")} FROM hf GROUP BY 1""",
+    "chrome_bounds": f"""WITH {_BOXES}, {_image("i0")}, im AS (SELECT image_id, x, y, CASE WHEN (x < 12 AND image_id % 3 <> 0) OR (y < 8 AND image_id % 2 = 0) THEN 60 ELSE r + g + b END / 3 AS v FROM i0),
+ys AS (SELECT image_id, y, avg(v) AS m, stddev_pop(v) AS s, lag(avg(v)) OVER (PARTITION BY image_id ORDER BY y) AS p FROM im GROUP BY 1, 2), xs AS (SELECT image_id, x, avg(v) AS m, lag(avg(v)) OVER (PARTITION BY image_id ORDER BY x) AS p FROM im GROUP BY 1, 2),
+b AS (SELECT image_id, coalesce((SELECT min(y) FROM ys WHERE ys.image_id = i.image_id AND y < {int(HEIGHT * 0.25)} AND y > {HEIGHT * 0.05} AND s > 30 AND abs(p - m) > 15), 0) AS t,
+  coalesce((SELECT max(y) FROM ys WHERE ys.image_id = i.image_id AND y > {int(HEIGHT * 0.92)} AND y < {HEIGHT * 0.95} AND m < 60), {HEIGHT}) AS l,
+  coalesce((SELECT min(x) FROM xs WHERE xs.image_id = i.image_id AND x < {int(WIDTH * 0.3)} AND x > {WIDTH * 0.05} AND abs(p - m) > 20), 0) AS f FROM (SELECT DISTINCT image_id FROM im) i)
+SELECT image_id, CAST(f AS BIGINT) AS x, CAST(t AS BIGINT) AS y, CAST({WIDTH} - f AS BIGINT) AS w, CAST(l - t AS BIGINT) AS h FROM b WHERE t * {WIDTH} + ({HEIGHT} - l) * {WIDTH} + f * (l - t) > {0.05 * WIDTH * HEIGHT}""",
 }

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import flows, spatial
+from quire.operators import flows, folds, spatial
 
 COLUMNS = "document_id long, slide_number long, element_id long, ord long, element_type string, x double, y double, width double, height double, text string, z_order long, begin_x double, begin_y double, end_x double, end_y double"
 KINDS = ["text_box", "shape", "image", "connector", "group"]
@@ -127,3 +127,18 @@ def test_containment_of_fifty_levels(spark):
     ring = chain.union(spark.createDataFrame([(1, 1, 9, 5)], chain.schema)).where("target_element_id <> 5 or source_element_id = 9")
     got = {r["element_id"]: (r["root"], r["level"]) for r in flows.contained(ring, e).collect()}
     assert got[4] == (0, 4) and got[5] == got[49] == (None, None)
+
+
+@pytest.mark.parametrize("of", ["smaller", "own"])
+def test_greedy_boxes_equal_a_loop(large, of):
+    df, rows = large
+    df = df.where("width > 0 and height > 0").withColumn("sure", F.expr("cast(z_order as double)"))
+    want = set()
+    for p, page in by_page([r for r in rows if r[7] > 0 and r[8] > 0]):
+        stay = []
+        for r in sorted(page, key=lambda r: (-r[10], r[3])):
+            cover = lambda k: max(0.0, min(r[5] + r[7], k[5] + k[7]) - max(r[5], k[5])) * max(0.0, min(r[6] + r[8], k[6] + k[8]) - max(r[6], k[6]))  # noqa: B023, E731
+            if all(cover(k) <= 0.5 * (r[7] * r[8] if of == "own" else min(r[7] * r[8], k[7] * k[8])) for k in stay):
+                stay.append(r)
+                want.add((p, r[2]))
+    assert {(r["slide_number"], r["element_id"]) for r in folds.greedy_boxes(df, "sure", 0.5, of).collect()} == want

@@ -205,11 +205,11 @@ def test_cards_and_a_page_inside_a_screen(spark):
     a[15:60, 20:90] = (30, 60, 120)
     a[25:30, 30:60] = 250
     a[70:75, 100:103] = 0
-    pixels = dense(spark, {1: a, 2: np.full((90, 160, 3), 9, np.uint8)})
+    pixels = dense(spark, {1: a, 2: np.full((90, 160, 3), 200, np.uint8)})
     got = raster.cards(pixels, 160, 90, 1000, 30, 15).collect()
     assert [(r["image_id"], r["color"]) for r in got] == [(1, "#1e3c78")]
     assert all(abs(got[0][c] - v) <= 3 for c, v in (("x", 20), ("y", 15), ("w", 70), ("h", 45)))
-    page = raster.content_rectangles(pixels, 160, 90).collect()
+    page = raster.page_regions(pixels, 160, 90).collect()
     assert len(page) == 1 and all(abs(page[0][c] - v) <= 12 for c, v in (("x", 20), ("y", 15), ("w", 70), ("h", 45)))
 
 
@@ -276,3 +276,18 @@ def test_palettes_equal_a_loop(spark):
         want = brute_palette(a)
         assert [c for _, c, _ in sorted(got[i])] == [c for _, c in want]
         assert [s for *_, s in sorted(got[i])] == pytest.approx([-m / a[..., 0].size for m, _ in want], abs=1e-6)
+
+
+def test_resized_images_equal_a_loop(spark):
+    a = np.random.default_rng(9).integers(0, 256, (9, 13, 3))
+    sizes = spark.createDataFrame([(1, 13, 9), (2, 7, 5), (3, 20, 11)], "image_id long, width int, height int")
+    got = {(r["image_id"], r["x"], r["y"]): (r["r"], r["g"], r["b"]) for r in raster.resized(dense(spark, {1: a, 2: a, 3: a}), sizes).collect()}
+    for i, w, h in ((1, 13, 9), (2, 7, 5), (3, 20, 11)):
+        for y in range(h):
+            for x in range(w):
+                u, v = min(max((x + 0.5) * 13 / w - 0.5, 0), 12), min(max((y + 0.5) * 9 / h - 0.5, 0), 8)
+                x0, y0, p, q = int(u), int(v), u - int(u), v - int(v)
+                x1, y1 = min(x0 + 1, 12), min(y0 + 1, 8)
+                want = (1 - q) * ((1 - p) * a[y0, x0] + p * a[y0, x1]) + q * ((1 - p) * a[y1, x0] + p * a[y1, x1])
+                assert got[i, x, y] == tuple(int(c) for c in np.floor(np.round(want, 6) + 0.5))
+    assert all(got[1, x, y] == tuple(a[y, x]) for y in range(9) for x in range(13))
