@@ -358,4 +358,11 @@ w AS (SELECT r.*, coalesce(new, '') AS new, sum(n) OVER (PARTITION BY conv_id) A
 z AS (SELECT *, CAST(CASE WHEN total = 0 THEN CASE WHEN k = 1 THEN length(new) ELSE 0 END ELSE round_even(n / total * length(new), 0) END AS BIGINT) AS size FROM w),
 b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM z)
 SELECT conv_id, ord, substr(new, CAST(before + 1 AS BIGINT), CASE WHEN k = last AND (total > 0 OR last = 1) THEN length(new) ELSE size END) AS part FROM b""",
+    "heading_sections": f"""WITH t AS (SELECT conv_id, string_agg((['## 1. Scene Overview', '## 7. Text Elements', '## Notes ', 'plain'])[turn % 4 + 1] || chr(10) || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1),
+l AS (SELECT conv_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM t),
+n AS (SELECT *, starts_with(line, '## ') AS head, sum(CAST(starts_with(line, '## ') AS INT)) OVER (PARTITION BY conv_id ORDER BY pos) AS n FROM l),
+b AS (SELECT conv_id, n, {_TRIM("max(substr(line, 4)) FILTER (head)")} AS heading, {_TRIM("coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT head), '')")} AS body FROM n WHERE n > 0 GROUP BY 1, 2),
+s AS (SELECT conv_id, heading, arg_max(body, n) AS body FROM b WHERE heading <> '' GROUP BY 1, 2),
+a(r, new, old) AS (VALUES {', '.join(f"({i}, '{new}', '{old}')" for i, (new, olds) in enumerate(naming.ALIASES) for old in olds)})
+SELECT * FROM s UNION ALL SELECT conv_id, old, arg_min(body, r) FROM s JOIN a ON a.new = s.heading WHERE (conv_id, old) NOT IN (SELECT (conv_id, heading) FROM s) GROUP BY 1, 2""",
 }

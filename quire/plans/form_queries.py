@@ -170,3 +170,11 @@ a AS (SELECT p_partkey, 0 AS late, unnest(regexp_extract_all(t, '(#[0-9A-Fa-f]{{
 e AS (SELECT p_partkey, late, upper(regexp_extract(m, '#[0-9A-Fa-f]{{6}}')) AS color, CASE WHEN late = 0 THEN regexp_extract(m, '#[0-9A-Fa-f]{{6}}\s*[:-]\s*([^,\n.]+)', 1) ELSE regexp_extract(m, '([^,\n.]+)\s*\(#[0-9A-Fa-f]{{6}}\)', 1) END AS label FROM a)
 SELECT p_partkey, color, {_TRIM("arg_max(label, late)")} AS label FROM e GROUP BY p_partkey, color""",
 }
+
+_COVER = "greatest(0, least(b.x + b.w, c.x + c.width) - greatest(b.x, c.x)) * greatest(0, least(b.y + b.h, c.y + c.height) - greatest(b.y, c.y))"
+_CLEAR = f"len(list_filter(boxes, lambda b: {_COVER} > 0.8 * c.width * c.height)) = 0"
+ORACLES["kept_cards"] = f"""WITH RECURSIVE {ELEMENTS_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY document_id, slide_number ORDER BY width * height DESC, ord) AS k FROM el WHERE element_type = 'shape'),
+g(document_id, slide_number, k, boxes, element_id) AS (SELECT document_id, slide_number, k, [{{'x': x, 'y': y, 'w': width, 'h': height}}], element_id FROM c WHERE k = 1 UNION ALL
+  SELECT c.document_id, c.slide_number, c.k, CASE WHEN {_CLEAR} THEN list_append(boxes, {{'x': c.x, 'y': c.y, 'w': c.width, 'h': c.height}}) ELSE boxes END, CASE WHEN {_CLEAR} THEN c.element_id END
+  FROM g JOIN c ON c.document_id = g.document_id AND c.slide_number = g.slide_number AND c.k = g.k + 1)
+SELECT document_id, slide_number, element_id FROM g WHERE element_id IS NOT NULL"""

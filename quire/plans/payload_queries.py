@@ -245,3 +245,7 @@ SELECT {_PAGE}, concat_ws(' ', CASE WHEN titled THEN 'This slide, titled ''Overv
 # what a reader of the records gets is what went in
 ORACLES["reconstruction_records"] = ORACLES["fidelity_objects"]
 ORACLES["form_records"] = FORM_PAGES["form_elements"]
+ORACLES["wrapped_lines"] = r"""WITH RECURSIVE w AS (SELECT item_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '\s+') IF x <> ''] AS w FROM benchmark),
+g(item_id, i, line_no, line) AS (SELECT item_id, 1, 0, coalesce(w[1], '') FROM w UNION ALL
+  SELECT g.item_id, i + 1, CASE WHEN length(line) + 1 + length(w[i + 1]) <= 40 THEN line_no ELSE line_no + 1 END, CASE WHEN length(line) + 1 + length(w[i + 1]) <= 40 THEN line || ' ' || w[i + 1] ELSE w[i + 1] END FROM g JOIN w USING (item_id) WHERE i < len(w))
+SELECT item_id, line_no, arg_max(line, i) AS line FROM g GROUP BY 1, 2"""
