@@ -365,4 +365,15 @@ b AS (SELECT conv_id, n, {_TRIM("max(substr(line, 4)) FILTER (head)")} AS headin
 s AS (SELECT conv_id, heading, arg_max(body, n) AS body FROM b WHERE heading <> '' GROUP BY 1, 2),
 a(r, new, old) AS (VALUES {', '.join(f"({i}, '{new}', '{old}')" for i, (new, olds) in enumerate(naming.ALIASES) for old in olds)})
 SELECT * FROM s UNION ALL SELECT conv_id, old, arg_min(body, r) FROM s JOIN a ON a.new = s.heading WHERE (conv_id, old) NOT IN (SELECT (conv_id, heading) FROM s) GROUP BY 1, 2""",
+    "color_clusters": """WITH RECURSIVE c AS (SELECT p_brand, p_partkey AS ord, p_partkey * 37 % 128 AS r, p_partkey * 11 % 64 AS g, p_partkey % 32 AS b, printf('#%02x%02x%02x', CAST(p_partkey * 37 % 128 AS INT), CAST(p_partkey * 11 % 64 AS INT), CAST(p_partkey % 32 AS INT)) AS color,
+  row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part),
+z(p_brand, k, heads, ord, color, head) AS (SELECT p_brand, k, [{'r': r, 'g': g, 'b': b, 'c': color}], ord, color, color FROM c WHERE k = 1 UNION ALL
+  SELECT p_brand, k, CASE WHEN len(near) > 0 THEN heads ELSE list_append(heads, {'r': r, 'g': g, 'b': b, 'c': color}) END, ord, color, CASE WHEN len(near) > 0 THEN near[1].c ELSE color END
+  FROM (SELECT c.*, z.heads, list_filter(z.heads, lambda h: sqrt((h.r - c.r) ** 2 + (h.g - c.g) ** 2 + (h.b - c.b) ** 2) < 30) AS near FROM z JOIN c ON c.p_brand = z.p_brand AND c.k = z.k + 1))
+SELECT p_brand, ord, color, head FROM z""",
+    "chart_groups": f"""WITH RECURSIVE {_ST}, c AS (SELECT {_PAGE}, element_id, x, y, {_TRIM("coalesce(text, '')")} AS t, row_number() OVER (PARTITION BY {_PAGE} ORDER BY ord) AS k FROM st WHERE element_type = 'chart'),
+z(document_id, slide_number, k, seeds, seed_id, t) AS (SELECT {_PAGE}, k, [{{'i': element_id, 'x': x, 'y': y}}], element_id, t FROM c WHERE k = 1 UNION ALL
+  SELECT {_PAGE}, k, CASE WHEN len(near) > 0 THEN seeds ELSE list_append(seeds, {{'i': element_id, 'x': x, 'y': y}}) END, CASE WHEN len(near) > 0 THEN near[1].i ELSE element_id END, t
+  FROM (SELECT c.*, z.seeds, list_filter(z.seeds, lambda s: abs(s.x - c.x) < 1500000 AND abs(s.y - c.y) < 1500000) AS near FROM z JOIN c ON c.document_id = z.document_id AND c.slide_number = z.slide_number AND c.k = z.k + 1))
+SELECT {_PAGE}, seed_id, CAST(count(*) AS INT) AS members, coalesce(arg_min(t, k) FILTER (length(t) > 15), 'Untitled Chart') AS title FROM z GROUP BY {_PAGE}, seed_id""",
 }
