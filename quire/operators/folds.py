@@ -11,7 +11,7 @@ from collections import deque
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.spatial import touching
@@ -73,16 +73,20 @@ def merge_split_numbers(boxes: DataFrame) -> DataFrame:
     """Boxes (page, element_id, ord, x, y, width, text) with a number that was cut at its comma put together again: a text
     that ends with a comma or starts an amount takes the next box if that has three digits, less than 50 away in y
     and less than 100 to the right.  A box is used once."""
-    b = boxes.withColumn("text", F.trim(F.coalesce("text", F.lit(""))))
-    opens = r"(last.text rlike ',$' or last.text rlike '^[$][0-9]{1,3},?$')".replace("last", "element_at(a, -1)")
-    near = "abs(i.y - element_at(a, -1).y) < 50 and i.x - (element_at(a, -1).x + element_at(a, -1).width) > 0 and i.x - (element_at(a, -1).x + element_at(a, -1).width) < 100"
-    takes = f"size(a) > 0 and element_at(a, -1).parts = 1 and {opens} and i.text rlike '^[0-9]{{3}}$' and {near}"
-    last = "element_at(a, -1)"
-    both = f"named_struct('first_id', {last}.first_id, 'x', {last}.x, 'y', {last}.y, 'width', i.x + i.width - {last}.x, 'text', {last}.text || i.text, 'parts', 2)"
-    one = "named_struct('first_id', i.element_id, 'x', i.x, 'y', i.y, 'width', i.width, 'text', i.text, 'parts', 1)"
-    empty = "cast(array() as array<struct<first_id:{0},x:double,y:double,width:double,text:string,parts:int>>)".format(dict(b.dtypes)["element_id"])
-    fold = f"aggregate(items, {empty}, (a, i) -> if({takes}, array_append(slice(a, 1, greatest(size(a) - 1, 0)), {both}), array_append(a, {one})))"
-    return _sorted(b, "y", "x", "ord", "element_id", "width", "text").select(*PAGE, F.expr(f"inline({fold})"))
+    order = Window.partitionBy(*PAGE).orderBy("y", "x", "ord")
+    b = boxes.select(*PAGE, "element_id", "ord", "x", "y", "width", F.trim(F.coalesce("text", F.lit(""))).alias("text"))
+    b = b.withColumn("last", F.lag(F.struct("x", "y", "width", "text")).over(order))
+    near = "abs(y - last.y) < 50 and x - (last.x + last.width) > 0 and x - (last.x + last.width) < 100"
+    goes_on = F.coalesce(F.expr(f"(last.text rlike ',$' or last.text rlike '^[$][0-9]{{1,3}},?$') and text rlike '^[0-9]{{3}}$' and {near}"), F.lit(False))
+    # of boxes that each go on with the one before, every second is taken by it: a box is used once
+    b = b.withColumn("fits", goes_on).withColumn("run", F.sum((~F.col("fits")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    b = b.withColumn("taken", F.row_number().over(Window.partitionBy(*PAGE, "run").orderBy("y", "x", "ord")) % 2 == 0)
+    b = b.withColumn("next", F.lead(F.struct("x", "width", "text", "taken")).over(order)).where("not taken")
+    two = F.coalesce(F.col("next.taken"), F.lit(False))
+    return b.select(
+        *PAGE, F.col("element_id").alias("first_id"), "x", "y", F.when(two, F.expr("next.x + next.width - x")).otherwise(F.col("width")).alias("width"), F.when(two, F.concat("text", "next.text")).otherwise(F.col("text")).alias("text"),
+        F.when(two, 2).otherwise(1).alias("parts"),
+    )
 
 
 def _schema(elements: DataFrame, extra: str) -> str:

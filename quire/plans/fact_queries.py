@@ -250,6 +250,22 @@ it AS (SELECT {_PAGE}, CASE WHEN slide_number % 11 = 0 THEN 'process_flow' WHEN
   FROM pi JOIN lt USING ({_PAGE})), se AS (SELECT *, {_CASE('intent', pagefacts.SECTIONS, 'Findings & Data Section')} AS section FROM it)"""
 _CHARS = lambda c: f"[w FOR w IN regexp_split_to_array({c}, '\\s+') IF w <> '']"
 
+def _cleaned() -> str:
+    """The steps of the cleaning, one common table expression each."""
+    quote = lambda t: t.replace("'", "''")
+    parts, gap = "string_split(t, chr(10) || chr(10))", "chr(10) || chr(10)"
+    inner, rest = _TRIM("substr(t, 2, length(t) - 2)"), _TRIM(f"array_to_string({parts}[2:], {gap})")
+    unquoted = f"CASE WHEN length(t) > 1 AND regexp_matches(t, '(?s)^\".*\"$|^''.*''$') THEN {inner} ELSE t END"
+    paragraph = f"CASE WHEN contains(t, {gap}) AND regexp_matches(lower({parts}[1]), 'here is|here''s|rewritten') THEN {rest} ELSE t END"
+    drop = [rf"(?i)^\Q{w}\E\s*" for w in naming.BEFORE] + [rf"(?i){w}\.?$" for w in naming.AFTER]
+    cut = [_TRIM(f"regexp_replace(t, '{quote(form)}', '', 'g')") for form in drop]
+    steps = [f"s{k + 1} AS (SELECT conv_id, turn, {e} AS t FROM s{k})" for k, e in enumerate([unquoted, *cut, paragraph, unquoted])]
+    before, after = ('"Here is the rewritten text: ', "Sure, here is it:\n\n", "'Rewritten text: ", ""), ('"', " Hope this helps.", "'", " Let me know if you need anything else")
+    pick = lambda texts: "([" + ", ".join(" || chr(10) || ".join(f"'{quote(p)}'" for p in t.split("\n")) for t in texts) + "])[turn % 4 + 1]"
+    given = _TRIM(f"coalesce({pick(before)} || text || {pick(after)}, '')")
+    return f"WITH s0 AS (SELECT conv_id, turn, {given} AS t FROM conversations), {', '.join(steps)} SELECT conv_id, turn, t AS clean FROM s{len(steps)}"
+
+
 ORACLES = {
     "inventory_by_page": f"""WITH {_ST}, n AS (SELECT {_PAGE}, count(*) AS total, {', '.join(f'{_COUNT(k)} AS {k}s' for k in pagefacts.COUNTED if k not in ('unknown', 'figure', 'icon'))},
   count(*) FILTER (element_type = 'unknown' OR element_type NOT IN {pagefacts.COUNTED}) AS unknowns, count(*) FILTER (element_type IN ('figure', 'smartart', 'diagram')) AS figures, 2 * {_COUNT('icon')} AS icons FROM st GROUP BY {_PAGE})
@@ -376,4 +392,5 @@ z(document_id, slide_number, k, seeds, seed_id, t) AS (SELECT {_PAGE}, k, [{{'i'
   SELECT {_PAGE}, k, CASE WHEN len(near) > 0 THEN seeds ELSE list_append(seeds, {{'i': element_id, 'x': x, 'y': y}}) END, CASE WHEN len(near) > 0 THEN near[1].i ELSE element_id END, t
   FROM (SELECT c.*, z.seeds, list_filter(z.seeds, lambda s: abs(s.x - c.x) < 1500000 AND abs(s.y - c.y) < 1500000) AS near FROM z JOIN c ON c.document_id = z.document_id AND c.slide_number = z.slide_number AND c.k = z.k + 1))
 SELECT {_PAGE}, seed_id, CAST(count(*) AS INT) AS members, coalesce(arg_min(t, k) FILTER (length(t) > 15), 'Untitled Chart') AS title FROM z GROUP BY {_PAGE}, seed_id""",
+    "cleaned_answers": _cleaned(),
 }

@@ -178,3 +178,10 @@ g(document_id, slide_number, k, boxes, element_id) AS (SELECT document_id, slide
   SELECT c.document_id, c.slide_number, c.k, CASE WHEN {_CLEAR} THEN list_append(boxes, {{'x': c.x, 'y': c.y, 'w': c.width, 'h': c.height}}) ELSE boxes END, CASE WHEN {_CLEAR} THEN c.element_id END
   FROM g JOIN c ON c.document_id = g.document_id AND c.slide_number = g.slide_number AND c.k = g.k + 1)
 SELECT document_id, slide_number, element_id FROM g WHERE element_id IS NOT NULL"""
+ORACLES["split_numbers"] = r"""WITH RECURSIVE b AS (SELECT o_custkey AS document_id, o_custkey AS slide_number, o_orderkey AS id, CAST(o_orderkey % 12 * 60 AS DOUBLE) AS x, CAST(o_orderkey // 12 % 40 * 30 AS DOUBLE) AS y, 40.0::DOUBLE AS width,
+  CASE WHEN o_orderkey % 2 = 0 THEN '$' || (o_orderkey % 900 + 1) || ',' ELSE CAST(o_orderkey % 900 + 100 AS VARCHAR) END AS text FROM orders),
+o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY y, x, id) AS k FROM b),
+n AS (SELECT a.*, c.k IS NOT NULL AND (a.text LIKE '%,' OR regexp_matches(a.text, '^[$][0-9]{1,3},?$')) AND regexp_matches(c.text, '^[0-9]{3}$') AND abs(c.y - a.y) < 50 AND c.x - (a.x + a.width) > 0 AND c.x - (a.x + a.width) < 100 AS fits,
+  c.x + c.width - a.x AS w2, a.text || c.text AS t2 FROM o a LEFT JOIN o c ON c.document_id = a.document_id AND c.k = a.k + 1),
+g(document_id, k, two) AS (SELECT document_id, k, coalesce(fits, false) FROM n WHERE k = 1 UNION ALL SELECT n.document_id, n.k, coalesce(n.fits, false) FROM g JOIN n ON n.document_id = g.document_id AND n.k = g.k + CASE WHEN two THEN 2 ELSE 1 END)
+SELECT n.document_id, n.slide_number, n.id AS first_id, n.x, n.y, CASE WHEN two THEN w2 ELSE width END AS width, CASE WHEN two THEN t2 ELSE text END AS text, CASE WHEN two THEN 2 ELSE 1 END AS parts FROM g JOIN n USING (document_id, k)"""
