@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from quire.operators.folds import PAGE_LIMIT, bounded, rows_by_running_mean
 from quire.operators.forms import CONTINUING, strip
 from quire.operators.layout import islands
+from quire.operators.spatial import touching
 from quire.sources.elements import PAGE
 
 #: Letters that are misread digits, and the signs of figures.
@@ -111,34 +111,32 @@ def table_from_boxes(boxes: DataFrame, width: float, height: float) -> DataFrame
     return met.groupBy(*PAGE, "row", F.col("near.col").alias("col")).agg(cell.alias("text"))
 
 
-def _overlap(page: pd.DataFrame, i: int, others: np.ndarray) -> np.ndarray:
-    x, y, r, b = (page[c].to_numpy() for c in ("x", "y", "right", "bottom"))
-    wide = np.minimum(r[i], r[others]) - np.maximum(x[i], x[others])
-    high = np.minimum(b[i], b[others]) - np.maximum(y[i], y[others])
-    return np.where((wide > 0) & (high > 0), wide * high, 0.0)
-
-
 def dedup_boxes(boxes: DataFrame, share: float = 0.5) -> DataFrame:
     """(page, element_id) of the boxes that stay: from first to last, a box takes out every later one that it covers by more
     than ``share`` of the smaller and that it is not less sure than, and leaves at the first that is surer; what it took out stays out."""
 
-    def keep(page: pd.DataFrame) -> pd.DataFrame:
-        page = bounded(page.sort_values("ord", ignore_index=True))
-        page["right"], page["bottom"] = page["x"] + page["width"], page["y"] + page["height"]
-        area, sure = (page["width"] * page["height"]).to_numpy(), page["confidence"].to_numpy()
-        stays = np.ones(len(page), bool)
-        for i in range(len(page)):
-            if not stays[i] or area[i] <= 0:
+    sure = boxes.withColumn("confidence", F.col("confidence").cast("double"))
+    both = "greatest(0D, least(a_x + a_width, b_x + b_width) - greatest(a_x, b_x)) * greatest(0D, least(a_y + a_height, b_y + b_height) - greatest(a_y, b_y))"
+    pairs = touching(sure, ("element_id", "ord", "x", "y", "width", "height", "confidence")).where(f"a_ord < b_ord and {both} > {share} * least(a_width * a_height, b_width * b_height)")
+    given = pairs.select(*PAGE, "a_ord", "b_ord", F.expr("b_confidence > a_confidence").alias("surer"), F.col("a_element_id").alias("a"), F.col("b_element_id").alias("b"))
+
+    def out(page: pd.DataFrame) -> pd.DataFrame:
+        """Only covering pairs come here: what leaves, from first to last."""
+        gone: dict = {}
+        for at, own in page.sort_values(["a_ord", "b_ord"]).groupby("a_ord", sort=True):
+            if at in gone:
                 continue
-            later = np.flatnonzero(stays[i + 1 :] & (area[i + 1 :] > 0)) + i + 1
-            hit = later[_overlap(page, i, later) > share * np.minimum(area[i], area[later])]
-            surer = np.flatnonzero(sure[hit] > sure[i])
-            stays[hit[: surer[0]] if len(surer) else hit] = False
-            stays[i] = not len(surer)
-        return page.loc[stays, [*PAGE, "element_id"]]
-
-    given = boxes.select(*PAGE, "element_id", "ord", "x", "y", "width", "height", F.col("confidence").cast("double").alias("confidence"))
-    return given.groupBy(*PAGE).applyInPandas(keep, given.select(*PAGE, "element_id").schema)
+            for r in own.itertuples():
+                if r.b_ord in gone:
+                    continue
+                if r.surer:
+                    gone[at] = r.a
+                    break
+                gone[r.b_ord] = r.b
+        return pd.DataFrame({**{c: [page[c].iloc[0]] * len(gone) for c in PAGE}, "element_id": list(gone.values())})
+
+    left = boxes.select(*PAGE, "element_id")
+    return left.join(given.groupBy(*PAGE).applyInPandas(out, left.schema), [*PAGE, "element_id"], "left_anti")
 
 
 def continues(a: str, b: str) -> bool:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import flows, folds, spatial
+from quire.operators import flows, folds, ocr, spatial
 
 COLUMNS = "document_id long, slide_number long, element_id long, ord long, element_type string, x double, y double, width double, height double, text string, z_order long, begin_x double, begin_y double, end_x double, end_y double"
 KINDS = ["text_box", "shape", "image", "connector", "group"]
@@ -142,3 +142,25 @@ def test_greedy_boxes_equal_a_loop(large, of):
                 stay.append(r)
                 want.add((p, r[2]))
     assert {(r["slide_number"], r["element_id"]) for r in folds.greedy_boxes(df, "sure", 0.5, of).collect()} == want
+
+
+def test_readings_of_one_place_equal_a_loop(large):
+    df, rows = large
+    want = set()
+    for p, page in by_page(rows):
+        page = sorted(page, key=lambda r: r[3])
+        stays = [True] * len(page)
+        for i, a in enumerate(page):
+            if not stays[i] or a[7] * a[8] <= 0:
+                continue
+            for j in range(i + 1, len(page)):
+                b = page[j]
+                both = max(0.0, min(a[5] + a[7], b[5] + b[7]) - max(a[5], b[5])) * max(0.0, min(a[6] + a[8], b[6] + b[8]) - max(a[6], b[6]))
+                if stays[j] and both > 0.5 * min(a[7] * a[8], b[7] * b[8]) > 0:
+                    if b[10] > a[10]:
+                        stays[i] = False
+                        break
+                    stays[j] = False
+        want |= {(p, r[2]) for r, s in zip(page, stays, strict=True) if s}
+    got = ocr.dedup_boxes(df.withColumn("confidence", F.col("z_order") / 10.0))
+    assert {(r["slide_number"], r["element_id"]) for r in got.collect()} == want
