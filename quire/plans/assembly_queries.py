@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import assembly, fitting, vectors
+from quire.operators import assembly, fitting, spatial, vectors
 from quire.plans import blueprint_queries, content_queries, fact_queries, flow_queries, form_queries, page_queries, payload_queries
 from quire.plans.content_queries import read
+from quire.plans.semantic_queries import _ENDS
+from quire.sources import sinks
 from quire.sources.elements import ELEMENTS_SQL, PAGE, STYLED_SQL, elements_from_events, styled_elements
 
 _PARTS = (
@@ -84,9 +86,19 @@ def blueprint_records(spark, sf_dir):
     return read_.select("r.document_id", "r.slide_number", "r.canvas.canvas_width", "r.canvas.aspect", F.inline("r.sections"))
 
 
-QUERIES = {f.__name__: f for f in (page_payloads, fitted_texts, fitted_documents, page_hashes, page_pictures, vector_checkboxes, vector_lines, blueprint_records)}
+def stage_logs(spark, sf_dir):
+    """The log of two stages, read by what both have in common and what only one has."""
+    e = styled_elements(spark, sf_dir).select(*PAGE, "element_id", "element_type", "text")
+    r = spatial.connector_targets(styled_elements(spark, sf_dir)).selectExpr(*PAGE, "connector_id as element_id", "source_element_id", "target_element_id", "direction")
+    log = sinks.stage_records(e, "elements").unionByName(sinks.stage_records(r, "relations"))
+    own = F.from_json("record", "element_id bigint, element_type string, text string, source_element_id bigint, target_element_id bigint, direction string")
+    return log.select(*PAGE, "stage", own.alias("r")).select(*PAGE, "stage", "r.*")
+
+
+QUERIES = {f.__name__: f for f in (page_payloads, fitted_texts, fitted_documents, page_hashes, page_pictures, vector_checkboxes, vector_lines, blueprint_records, stage_logs)}
 
 _PAGE = "document_id, slide_number"
+_NO_TARGETS = "NULL::BIGINT AS source_element_id, NULL::BIGINT AS target_element_id, NULL::VARCHAR AS direction"
 _SQL = {part: f"({module.ORACLES[query]})" for part, module, query in _PARTS}
 _PAGES = f"""{ELEMENTS_SQL}, {STYLED_SQL}, pg AS (SELECT DISTINCT {_PAGE}, CASE WHEN slide_number % 2 = 0 THEN 'A \\\"title\\\" of ' || slide_number END AS title, CASE WHEN slide_number % 3 = 0 THEN 'page ' || slide_number END AS own FROM st)"""
 _DRAWN = f"{ELEMENTS_SQL}, dr AS (SELECT {_PAGE}, ord AS drawing, x / 16000 AS x0, y / 16000 AS y0, x / 16000 + 3 + ord % 20 AS x1, y / 16000 + 3 + ord * 7 % 20 AS y1, CASE WHEN ord % 4 <> 0 THEN '#112233' END AS color FROM el)"
@@ -116,4 +128,8 @@ SELECT {_PAGE}, 'vector_cb_' || slide_number || '_' || drawing AS element_id, x0
 SELECT {_PAGE}, 'vector_line_' || slide_number || '_' || drawing || '_' || segment AS element_id, least(x1, x2) AS x, least(y1, y2) AS y, greatest(abs(x2 - x1), sw) AS width, greatest(abs(y2 - y1), sw) AS height, x1, y1, x2, y2,
   greatest(1.0, sw * 1.5)::DOUBLE AS stroke_width, color AS stroke_color FROM s""",
     "blueprint_records": f"""SELECT s.*, canvas_width, aspect FROM ({blueprint_queries.ORACLES["blueprint_sections"]}) s JOIN {_SQL["canvas"]} c USING ({_PAGE})""",
+    "stage_logs": f"""WITH {ELEMENTS_SQL}, {STYLED_SQL}, {_ENDS}, w AS (SELECT {_PAGE}, element_id, end_x - begin_x AS dx, end_y - begin_y AS dy FROM st WHERE element_type IN ('connector', 'arrow'))
+SELECT {_PAGE}, 'elements' AS stage, element_id, element_type, text, {_NO_TARGETS} FROM st UNION ALL
+SELECT {_PAGE}, 'relations', element_id, NULL, NULL, s, d, CASE WHEN abs(dx) > abs(dy) THEN CASE WHEN dx > 0 THEN 'left_to_right' ELSE 'right_to_left' END ELSE CASE WHEN dy > 0 THEN 'top_to_bottom' ELSE 'bottom_to_top' END END
+FROM cx JOIN w USING ({_PAGE}, element_id) WHERE s <> d""",
 }

@@ -83,6 +83,11 @@ def reread(records: DataFrame, name: str, rows: DataFrame) -> DataFrame:
     return given.select(*(F.col(f"r.{c}").alias(c) for c in PAGE), F.inline(F.col(f"r.{name}"))).select(*kinds)
 
 
+def stage_records(rows: DataFrame, stage: str) -> DataFrame:
+    """(page, stage, record): a stage's rows as JSON texts, to be written by page and stage; stages of unlike columns go in one log."""
+    return rows.select(*PAGE, F.lit(stage).alias("stage"), F.to_json(F.struct(*(c for c in rows.columns if c not in PAGE))).alias("record"))
+
+
 def write_stage(df: DataFrame, path: str, stage: str) -> None:
     """A stage's rows, by document, page and stage."""
     df.withColumn("stage", F.lit(stage)).write.mode("append").partitionBy(*PAGE, "stage").json(path)
