@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from quire.operators.classify import first_of
 from quire.operators.content import similarity
-from quire.operators.folds import bounded
 from quire.operators.forms import SLIDE_HEIGHT, SLIDE_WIDTH, strip
 from quire.operators.semantics import plain_rewrite
 from quire.sources.elements import PAGE
@@ -189,28 +188,28 @@ def suppressed_cells(cells: DataFrame, texts: DataFrame, reach: float = 400.0) -
     """(page, table_id, row, col, element_id): cells whose text a loose text of their page has too: by row and column each takes the nearest text that equals, holds
     or lies in its own without spaces and case, if that is nearer than ``reach``; a text is taken once."""
     squeeze = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", "")
-    c = cells.where(F.coalesce("text", F.lit("")) != "").select(*PAGE, F.lit(0).alias("side"), "table_id", "row", "col", F.lit(None).cast(dict(texts.dtypes)["element_id"]).alias("element_id"), F.expr("x + width / 2").alias("cx"), F.expr("y + height / 2").alias("cy"), F.col("x"), F.col("y"), squeeze("text").alias("t"))
-    t = texts.select(*PAGE, F.lit(1).alias("side"), F.lit(None).cast(dict(cells.dtypes)["table_id"]).alias("table_id"), F.lit(0).alias("row"), F.lit(0).alias("col"), "element_id", F.expr("x + width / 2").alias("cx"), F.expr("y + height / 2").alias("cy"), "x", "y", squeeze("text").alias("t"))
+    square = lambda c: f"cast(floor({c} / {reach * 1.001}) as long)"
+    middle = {"cx": F.expr("x + width / 2"), "cy": F.expr("y + height / 2")}
+    c = cells.where(F.coalesce("text", F.lit("")) != "").withColumns(middle).select(*PAGE, "table_id", "row", "col", "cx", "cy", squeeze(F.col("text")).alias("t"), F.monotonically_increasing_id().alias("cell"))
+    t = texts.withColumns(middle).select(*PAGE, "element_id", "x", "y", F.col("cx").alias("tx"), F.col("cy").alias("ty"), squeeze(F.col("text")).alias("u"))
+    # a cell looks for texts in the nine squares around it
+    c = c.withColumn("i", F.explode(F.expr(f"transform(sequence(-1L, 1L), d -> {square('cx')} + d)"))).withColumn("j", F.explode(F.expr(f"transform(sequence(-1L, 1L), d -> {square('cy')} + d)")))
+    met = c.join(t.withColumns({"i": F.expr(square("tx")), "j": F.expr(square("ty"))}), [*PAGE, "i", "j"]).withColumn("d", F.expr("sqrt((cx - tx) * (cx - tx) + (cy - ty) * (cy - ty))"))
+    met = met.where(F.col("d") < reach).where(F.contains("u", F.col("t")) | F.contains("t", F.col("u")))
+    met = met.select(*PAGE, "table_id", "row", "col", "cell", "element_id", "d", "y", "x")
 
     def match(page: pd.DataFrame) -> pd.DataFrame:
-        page = bounded(page)
-        own, loose = page[page["side"] == 0].sort_values(["row", "col", "table_id"]), page[page["side"] == 1].sort_values(["y", "x", "element_id"])
-        used, out = set(), []
-        for k in own.itertuples():
-            best, at = reach, None
-            for r in loose.itertuples():
-                if r.element_id in used or not (k.t in r.t or r.t in k.t):
-                    continue
-                d = ((k.cx - r.cx) ** 2 + (k.cy - r.cy) ** 2) ** 0.5
-                if d < best:
-                    best, at = d, r.element_id
-            if at is not None:
-                used.add(at)
-                out.append((*(getattr(k, c) for c in PAGE), k.table_id, k.row, k.col, at))
-        return pd.DataFrame(out, columns=[*PAGE, "table_id", "row", "col", "element_id"])
-
-    both = c.unionByName(t)
-    return both.groupBy(*PAGE).applyInPandas(match, both.select(*PAGE, "table_id", "row", "col", "element_id").schema)
+        """Only pairs that could match come here, the nearest of a cell first."""
+        page = page.sort_values(["row", "col", "table_id", "cell", "d", "y", "x", "element_id"])
+        used, done, take = set(), set(), []
+        for at, r in enumerate(page.itertuples()):
+            if r.cell not in done and r.element_id not in used:
+                done.add(r.cell)
+                used.add(r.element_id)
+                take.append(at)
+        return page.iloc[take][[*PAGE, "table_id", "row", "col", "element_id"]]
+
+    return met.groupBy(*PAGE).applyInPandas(match, met.select(*PAGE, "table_id", "row", "col", "element_id").schema)
 
 
 def wrapped_lines(texts: DataFrame, key: str, width: int) -> DataFrame:

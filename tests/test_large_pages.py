@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import flows, folds, ocr, spatial
+from quire.operators import flows, folds, ocr, payloads, spatial
 
 COLUMNS = "document_id long, slide_number long, element_id long, ord long, element_type string, x double, y double, width double, height double, text string, z_order long, begin_x double, begin_y double, end_x double, end_y double"
 KINDS = ["text_box", "shape", "image", "connector", "group"]
@@ -164,3 +164,28 @@ def test_readings_of_one_place_equal_a_loop(large):
         want |= {(p, r[2]) for r, s in zip(page, stays, strict=True) if s}
     got = ocr.dedup_boxes(df.withColumn("confidence", F.col("z_order") / 10.0))
     assert {(r["slide_number"], r["element_id"]) for r in got.collect()} == want
+
+
+def test_cells_take_the_nearest_loose_texts(large):
+    _, rows = large
+    spark = large[0].sparkSession
+    r = np.random.default_rng(8)
+    words = ["Total", "total cost", "cost", "a b", "ab", "12", " 1 2 "]
+    place = lambda: (float(r.integers(0, 6000)), float(r.integers(0, 4000)), float(r.integers(1, 90)), float(r.integers(1, 30)))
+    cells = [(1, p, k % 3, k // 3, k % 4, *place(), words[int(r.integers(0, 7))] if k % 9 else "") for p in (1, 2) for k in range(400)]
+    texts = [(1, p, k, *place(), words[int(r.integers(0, 7))]) for p in (1, 2) for k in range(500)]
+    kind = "x double, y double, width double, height double, text string"
+    got = payloads.suppressed_cells(spark.createDataFrame(cells, f"document_id long, slide_number long, table_id int, row int, col int, {kind}"), spark.createDataFrame(texts, f"document_id long, slide_number long, element_id int, {kind}"))
+    squeeze = lambda s: "".join(s.lower().split())
+    want = set()
+    for p in (1, 2):
+        used = set()
+        for c in sorted((c for c in cells if c[1] == p and c[9]), key=lambda c: (c[3], c[4], c[2])):
+            best = min(
+                ((((c[5] + c[7] / 2 - t[3] - t[5] / 2) ** 2 + (c[6] + c[8] / 2 - t[4] - t[6] / 2) ** 2) ** 0.5, t[4], t[3], t[2]) for t in texts if t[1] == p and t[2] not in used and (squeeze(c[9]) in squeeze(t[7]) or squeeze(t[7]) in squeeze(c[9]))),
+                default=(400.0,),
+            )
+            if best[0] < 400:
+                used.add(best[3])
+                want.add((p, c[2], c[3], c[4], best[3]))
+    assert {tuple(x)[1:] for x in got.collect()} == want and len(want) > 100
