@@ -78,3 +78,44 @@ SELECT {_PAGE}, CAST(split_1 AS BIGINT) AS split_1, CAST(split_2 AS BIGINT) AS s
   greatest(0, x0 - pad) AS x, greatest(0, y0 - pad) AS y, x1 - x0 + 2 * pad AS width, y1 - y0 + 2 * pad AS height FROM k
 WHERE (d >= 2 OR pc OR p) AND (w >= 3 OR p) AND NOT regexp_matches(text, '{"|".join(detector.NO_CHART)}') AND (pc OR p OR d >= 3 OR regexp_matches(text, '{"|".join(detector.CHART_WORDS)}'))""",
 }
+
+_TABLE = f"{_PAGE}, table_no"
+
+
+def _grid(c: str, size: str) -> str:
+    """The grid lines of a table: its spans' edges in clusters, as the list g{c}."""
+    return f"""e{c} AS (SELECT DISTINCT {_TABLE}, unnest([{c}, {c} + {size}]) AS v FROM sp), q{c} AS (SELECT *, lag(v) OVER (PARTITION BY {_TABLE} ORDER BY v) AS b FROM e{c}),
+k{c} AS (SELECT *, sum(CASE WHEN b IS NULL OR v - b > 80000 THEN 1 ELSE 0 END) OVER (PARTITION BY {_TABLE} ORDER BY v ROWS UNBOUNDED PRECEDING) AS k FROM q{c}),
+g{c} AS (SELECT {_TABLE}, list(v ORDER BY v) AS g{c} FROM (SELECT {_TABLE}, k, avg(v) AS v FROM k{c} GROUP BY {_TABLE}, k) GROUP BY {_TABLE})"""
+
+
+def _slot(g: str, c: str) -> str:
+    return f"""coalesce(nullif(list_position([{g}[i] <= {c} AND {c} <= {g}[i + 1] FOR i IN range(1, len({g}))], true), 0) - 1,
+  list_min([{{'d': abs({c} - ({g}[i] + {g}[i + 1]) / 2), 'i': i - 1}} FOR i IN range(1, len({g}))]).i)"""
+
+
+_STRIP = rf"regexp_replace(text, '^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$', '', 'g')"
+_SPAN = "{{'i': {p}i, 'x': {p}x, 'y': {p}y, 'w': {p}w, 'h': {p}h, 't': {p}t}}"
+_CELLS = f"""{_VIS}, vk AS (SELECT {_TABLE} FROM ({ORACLES["visual_tables"]})),
+sl AS (SELECT {_TABLE}, list({{'i': element_id, 'x': x, 'y': y, 'w': width, 'h': height, 't': text, 'd': list_value({_SPAN.format(p="").replace(": i", ": element_id").replace(": w", ": width").replace(": h", ": height").replace(": t}", ": text}")})[2:]}} ORDER BY y, x, ord) AS l
+  FROM vt JOIN vk USING ({_TABLE}) GROUP BY {_TABLE}),
+sf AS (SELECT {_TABLE}, list_reduce(l, lambda a, b: CASE WHEN abs(b.y - a.y) < 20000 AND b.x - (a.x + a.w) < 40000 THEN {{'i': a.i, 'x': a.x, 'y': a.y, 'w': b.x + b.w - a.x, 'h': a.h, 't': a.t || b.t, 'd': a.d}}
+  ELSE {{'i': b.i, 'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h, 't': b.t, 'd': list_append(a.d, {_SPAN.format(p="a.")})}} END) AS r FROM sl),
+su AS (SELECT {_TABLE}, unnest(list_append(r.d, {_SPAN.format(p="r.")})) AS s FROM sf), sp AS (SELECT {_TABLE}, s.i AS first_id, s.x AS x, s.y AS y, s.w AS w, s.h AS h, s.t AS text FROM su),
+{_grid("x", "w")}, {_grid("y", "h")},
+gc AS (SELECT sp.*, x + w / 2 AS cx, y + h / 2 AS cy, gx, gy FROM sp JOIN gx USING ({_TABLE}) JOIN gy USING ({_TABLE}) WHERE len(gx) > 1 AND len(gy) > 1),
+cl AS (SELECT *, {_slot("gy", "cy")} AS "row", {_slot("gx", "cx")} AS col, {_STRIP} AS t FROM gc)"""
+_FIRST = lambda g, at, size: f"CASE WHEN {g}[1] <= {at} + 50000 THEN nullif(list_position([{g}[i + 1] >= {at} + {size} - 50000 FOR i IN range(1, len({g}))], true), 0) - 1 END"
+_LAST = lambda g, at, end: f"list_max([i FOR i IN range(0, {end} + 1) IF {g}[i + 1] <= {at} + 50000])"
+_FREE = "len(list_filter(z.l, lambda q: m.rs BETWEEN q.r AND q.r + q.h - 1 AND m.cs BETWEEN q.c AND q.c + q.w - 1)) = 0"
+_MERGE = "{'r': m.rs, 'c': m.cs, 'h': m.re - m.rs + 1, 'w': m.ce - m.cs + 1}"
+
+ORACLES["visual_grid"] = f"""WITH {_CELLS} SELECT {_PAGE}, CAST(table_no AS BIGINT) AS table_no, CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, string_agg(t, chr(10) ORDER BY y, x, first_id, t) AS text,
+  CAST(any_value(len(gy)) - 1 AS INT) AS n_rows, CAST(any_value(len(gx)) - 1 AS INT) AS n_cols FROM cl GROUP BY {_TABLE}, "row", col"""
+ORACLES["visual_merges"] = f"""WITH RECURSIVE {_CELLS}, m0 AS (SELECT *, {_FIRST("gy", "y", "h")} AS re, {_FIRST("gx", "x", "w")} AS ce FROM cl),
+m1 AS (SELECT *, {_LAST("gy", "y", "re")} AS rs, {_LAST("gx", "x", "ce")} AS cs FROM m0 WHERE re IS NOT NULL AND ce IS NOT NULL),
+m2 AS (SELECT *, row_number() OVER (PARTITION BY {_TABLE} ORDER BY y, x, first_id) AS k FROM m1 WHERE re > rs OR ce > cs),
+z(document_id, slide_number, table_no, k, l) AS (SELECT {_TABLE}, k, [{_MERGE}] FROM m2 m WHERE k = 1 UNION ALL
+  SELECT m.document_id, m.slide_number, m.table_no, m.k, CASE WHEN {_FREE} THEN list_append(z.l, {_MERGE}) ELSE z.l END FROM z JOIN m2 m ON m.document_id = z.document_id AND m.slide_number = z.slide_number AND m.table_no = z.table_no AND m.k = z.k + 1),
+u AS (SELECT {_TABLE}, unnest(arg_max(l, k)) AS s FROM z GROUP BY {_TABLE})
+SELECT {_PAGE}, CAST(table_no AS BIGINT) AS table_no, CAST(s.r AS INT) AS "row", CAST(s.c AS INT) AS col, CAST(s.h AS INT) AS row_span, CAST(s.w AS INT) AS col_span FROM u"""
