@@ -122,3 +122,16 @@ SELECT {_PAGE}, "row", CAST(col AS BIGINT) AS col, string_agg(trim(text), ' ' OR
   AND least(s.x + s.width, t.x + t.width) > greatest(s.x, t.x) AND least(s.y + s.height, t.y + t.height) > greatest(s.y, t.y)
   AND (least(s.x + s.width, t.x + t.width) - greatest(s.x, t.x)) * (least(s.y + s.height, t.y + t.height) - greatest(s.y, t.y)) > 0.45 * least(s.width * s.height, t.width * t.height))""",
 }
+
+#: A page's boxes one after the other, with the list of those that left; a box's later ones that it covers are listed with it.
+_BOTH = "(least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * (least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y))"
+_SURER = "list_position([q.s FOR q IN own], true)"
+ORACLES["ocr_dedup"] = f"""WITH RECURSIVE {ELEMENTS_SQL}, e AS (SELECT *, ord * 31 % 100 AS c FROM el),
+p AS (SELECT a.document_id, a.slide_number, a.element_id, a.ord, list({{'b': b.element_id, 's': b.c > a.c}} ORDER BY b.ord) AS l FROM e a JOIN e b ON a.document_id = b.document_id AND a.slide_number = b.slide_number AND a.ord < b.ord
+  AND least(a.x + a.width, b.x + b.width) > greatest(a.x, b.x) AND least(a.y + a.height, b.y + b.height) > greatest(a.y, b.y) AND {_BOTH} > 0.5 * least(a.width * a.height, b.width * b.height) GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY {_PAGE} ORDER BY ord) AS k FROM p),
+z(document_id, slide_number, k, gone) AS (SELECT DISTINCT {_PAGE}, CAST(0 AS BIGINT), [CAST(-1 AS BIGINT)] FROM n UNION ALL
+  SELECT {_PAGE}, k, CASE WHEN list_contains(gone, element_id) THEN gone WHEN coalesce({_SURER}, 0) = 0 THEN list_concat(gone, [q.b FOR q IN own]) ELSE list_concat(gone, list_append([q.b FOR q IN own[1:{_SURER} - 1]], element_id)) END
+  FROM (SELECT n.document_id, n.slide_number, n.k, z.gone, n.element_id, list_filter(n.l, lambda q: NOT list_contains(z.gone, q.b)) AS own FROM z JOIN n ON n.document_id = z.document_id AND n.slide_number = z.slide_number AND n.k = z.k + 1)),
+g AS (SELECT {_PAGE}, unnest(arg_max(gone, k)) AS element_id FROM z GROUP BY {_PAGE})
+SELECT {_PAGE}, element_id FROM el ANTI JOIN g USING ({_PAGE}, element_id)"""

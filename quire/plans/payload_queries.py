@@ -249,3 +249,14 @@ ORACLES["wrapped_lines"] = r"""WITH RECURSIVE w AS (SELECT item_id, [x FOR x IN
 g(item_id, i, line_no, line) AS (SELECT item_id, 1, 0, coalesce(w[1], '') FROM w UNION ALL
   SELECT g.item_id, i + 1, CASE WHEN length(line) + 1 + length(w[i + 1]) <= 40 THEN line_no ELSE line_no + 1 END, CASE WHEN length(line) + 1 + length(w[i + 1]) <= 40 THEN line || ' ' || w[i + 1] ELSE w[i + 1] END FROM g JOIN w USING (item_id) WHERE i < len(w))
 SELECT item_id, line_no, arg_max(line, i) AS line FROM g GROUP BY 1, 2"""
+_TIGHT = lambda c: rf"regexp_replace(lower(coalesce({c}, '')), '\s+', '', 'g')"
+ORACLES["suppressed_cells"] = f"""WITH RECURSIVE {_ST}, e AS (SELECT *, x / 9525 + width / 9525 / 2 AS cx, y / 9525 + height / 9525 / 2 AS cy, {_TIGHT("text")} AS t FROM st),
+c AS (SELECT *, CAST(ord % 3 AS INT) AS r, CAST(ord % 2 AS INT) AS col FROM e WHERE element_type = 'table' AND coalesce(text, '') <> ''),
+m AS (SELECT c.document_id, c.slide_number, c.element_id AS table_id, r, col, list(l.element_id ORDER BY sqrt((c.cx - l.cx) * (c.cx - l.cx) + (c.cy - l.cy) * (c.cy - l.cy)), l.y, l.x, l.element_id) AS l
+  FROM c JOIN e l ON l.document_id = c.document_id AND l.slide_number = c.slide_number AND l.element_type = 'text_box' AND l.text <> '' AND (contains(l.t, c.t) OR contains(c.t, l.t))
+    AND sqrt((c.cx - l.cx) * (c.cx - l.cx) + (c.cy - l.cy) * (c.cy - l.cy)) < 400 GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY {_PAGE} ORDER BY r, col, table_id) AS k FROM m),
+z(document_id, slide_number, k, used, table_id, r, col, take) AS (SELECT DISTINCT {_PAGE}, CAST(0 AS BIGINT), [CAST(-1 AS BIGINT)], CAST(NULL AS BIGINT), 0, 0, CAST(NULL AS BIGINT) FROM n UNION ALL
+  SELECT {_PAGE}, k, CASE WHEN len(free) > 0 THEN list_append(used, free[1]) ELSE used END, table_id, r, col, free[1]
+  FROM (SELECT n.*, z.used, list_filter(n.l, lambda q: NOT list_contains(z.used, q)) AS free FROM z JOIN n ON n.document_id = z.document_id AND n.slide_number = z.slide_number AND n.k = z.k + 1))
+SELECT {_PAGE}, table_id, r AS "row", col, take AS element_id FROM z WHERE take IS NOT NULL"""
