@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import flows, folds, spatial
+from quire.plans.form_queries import kahn
 from quire.plans.page_queries import _EDGES
 from quire.plans.semantic_queries import _ENDS
 from quire.sources.elements import ELEMENTS_SQL, PAGE, STYLED_SQL, styled_elements
@@ -134,4 +135,6 @@ up AS (SELECT {_PAGE}, target_element_id AS child, max(source_element_id) AS par
 cl AS (SELECT {_PAGE}, element_id, element_id AS root, CAST(0 AS BIGINT) AS level FROM bx
   UNION ALL SELECT cl.document_id, cl.slide_number, cl.element_id, up.parent, level + 1 FROM cl JOIN up ON up.document_id = cl.document_id AND up.slide_number = cl.slide_number AND up.child = cl.root)
 SELECT {_PAGE}, element_id, arg_max(root, level) AS root, max(level) AS level FROM cl GROUP BY ALL""",
+    "process_summary": f"""WITH RECURSIVE {_REL}, {_BOX}, {_BOTH}, {kahn("bo", "(SELECT document_id, slide_number, source, target FROM be)")}
+SELECT {_PAGE}, 'Process flow: ' || string_agg(label, ' -> ' ORDER BY position, label) AS summary FROM od JOIN lb USING ({_PAGE}, element_id) GROUP BY {_PAGE} HAVING count(*) >= 2""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import folds, forms, spatial
 from quire.plans.content_queries import read
+from quire.plans.page_queries import ORACLES as PAGES
 from quire.sources.elements import ELEMENTS_SQL, elements_from_events
 
 
@@ -185,3 +186,28 @@ n AS (SELECT a.*, c.k IS NOT NULL AND (a.text LIKE '%,' OR regexp_matches(a.text
   c.x + c.width - a.x AS w2, a.text || c.text AS t2 FROM o a LEFT JOIN o c ON c.document_id = a.document_id AND c.k = a.k + 1),
 g(document_id, k, two) AS (SELECT document_id, k, coalesce(fits, false) FROM n WHERE k = 1 UNION ALL SELECT n.document_id, n.k, coalesce(n.fits, false) FROM g JOIN n ON n.document_id = g.document_id AND n.k = g.k + CASE WHEN two THEN 2 ELSE 1 END)
 SELECT n.document_id, n.slide_number, n.id AS first_id, n.x, n.y, CASE WHEN two THEN w2 ELSE width END AS width, CASE WHEN two THEN t2 ELSE text END AS text, CASE WHEN two THEN 2 ELSE 1 END AS parts FROM g JOIN n USING (document_id, k)"""
+
+
+def kahn(nodes: str, edges: str) -> str:
+    """Common table expressions (WITH RECURSIVE) that end in od (page, element_id, position): one step takes the first of a page's queue and adds those
+    whose sources are all done.  ``nodes``: page, element_id, x, y, ord; ``edges``: page, source, target."""
+    page = "document_id, slide_number"
+    return f"""ek AS (SELECT DISTINCT e.* FROM {edges} e JOIN {nodes} a ON a.document_id = e.document_id AND a.slide_number = e.slide_number AND a.element_id = e.source
+  JOIN {nodes} b ON b.document_id = e.document_id AND b.slide_number = e.slide_number AND b.element_id = e.target),
+tg AS (SELECT {page}, target, list(source) AS src FROM ek GROUP BY ALL),
+fo AS (SELECT n.document_id, n.slide_number, n.element_id, coalesce(list({{'t': ek.target, 's': tg.src}} ORDER BY ek.target) FILTER (ek.target IS NOT NULL), []) AS nx FROM {nodes} n
+  LEFT JOIN ek ON ek.document_id = n.document_id AND ek.slide_number = n.slide_number AND ek.source = n.element_id
+  LEFT JOIN tg ON tg.document_id = n.document_id AND tg.slide_number = n.slide_number AND tg.target = ek.target GROUP BY ALL),
+q0 AS (SELECT {page}, coalesce(list(element_id ORDER BY element_id) FILTER ((document_id, slide_number, element_id) NOT IN (SELECT (document_id, slide_number, target) FROM tg)), []) AS q FROM {nodes} GROUP BY {page}),
+kz(document_id, slide_number, k, q, done) AS (SELECT {page}, 0, q, CAST([] AS BIGINT[]) FROM q0 UNION ALL
+  SELECT z.document_id, z.slide_number, z.k + 1, list_concat(z.q[2:], [v.t FOR v IN list_filter(fo.nx, lambda v: len(list_filter(v.s, lambda s: s <> z.q[1] AND NOT list_contains(z.done, s))) = 0)]), list_append(z.done, z.q[1])
+  FROM kz z JOIN fo ON fo.document_id = z.document_id AND fo.slide_number = z.slide_number AND fo.element_id = z.q[1]),
+kd AS (SELECT {page}, arg_max(done, k) AS done FROM kz GROUP BY {page}),
+od AS (SELECT {page}, unnest(done) AS element_id, generate_subscripts(done, 1) AS position FROM kd UNION ALL
+  SELECT n.document_id, n.slide_number, n.element_id, len(kd.done) + row_number() OVER (PARTITION BY n.document_id, n.slide_number ORDER BY y, x, ord) FROM {nodes} n JOIN kd ON kd.document_id = n.document_id AND kd.slide_number = n.slide_number
+  WHERE NOT list_contains(kd.done, n.element_id))"""
+
+
+ORACLES["topo_order"] = f"""WITH RECURSIVE {ELEMENTS_SQL}, kn AS (SELECT * FROM el WHERE element_type <> 'connector'),
+ke AS (SELECT document_id, slide_number, source_element_id AS source, target_element_id AS target FROM ({PAGES["connector_targets"]})), {kahn("kn", "ke")}
+SELECT document_id, slide_number, element_id, CAST(position AS BIGINT) AS position FROM od"""
