@@ -5,16 +5,22 @@ page; ``scale`` turns them to pixels.  A null width is 1; an empty table gives a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.spatial import touching
 from quire.sources.elements import PAGE
 
 
+def half_even(value: Column, digits: int) -> Column:
+    """A double rounded to ``digits``, ties to even, in doubles alone: what counts as a tie is the scaled double, not the shortest decimal that stands for
+    it (277.94850000000002 * 1000 is a tie, its decimal is not)."""
+    return F.rint(value * float(10**digits)) / float(10**digits)
+
+
 def vector_lines(segments: DataFrame, scale: float) -> DataFrame:
     """Every segment as a line element: its ends, its box (as thick as the stroke at least), its stroke of a pixel at least."""
-    at = {c: F.bround(F.col(c) * scale, 3) for c in ("x1", "y1", "x2", "y2")}
+    at = {c: half_even(F.col(c) * scale, 3) for c in ("x1", "y1", "x2", "y2")}
     width = F.expr("if(coalesce(stroke_width, 0) = 0, 1D, cast(stroke_width as double))")
     s = segments.withColumn("sw", width).withColumns(at)
     return s.select(

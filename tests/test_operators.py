@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import naming
-from quire.operators import detector, enrich, flows, folds, formpage, ocr, pagefacts, payloads
+from quire.operators import detector, enrich, flows, folds, formpage, ocr, pagefacts, payloads, vectors
 from quire.plans import detector_queries, fact_queries, formpage_queries, ocr_queries, payload_queries, registry
 from quire.sources import pdf, sinks
 from quire.sources.elements import PAGE, styled_elements
@@ -289,3 +289,11 @@ def test_empty_tables_give_empty_results(spark):
     e = styled_elements(spark, SF).where("false")
     for op in (pagefacts.header_footer, pagefacts.text_points, flows.labels, flows.layout_words, flows.standout_regions, detector.visual_tables, detector.chart_regions, payloads.fidelity_objects, pagefacts.capability_map):
         assert op(e).isEmpty()
+
+
+def test_lines_are_rounded_as_doubles(spark):
+    import duckdb
+
+    given = [((i * 7919 % 11000000) / 16000 + 3 + i % 20) * 1.5 for i in range(4000)] + [677.0745, 510.77549999999997, -0.0005, -2.0025]
+    got = [r["r"] for r in spark.createDataFrame(list(enumerate(given)), "i int, v double").orderBy("i").select(vectors.half_even(F.col("v"), 3).alias("r")).collect()]
+    assert got == [r[0] for r in duckdb.execute("select round_even(unnest(?::double[]), 3)", [given]).fetchall()]
