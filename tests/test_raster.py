@@ -291,3 +291,31 @@ def test_resized_images_equal_a_loop(spark):
                 want = (1 - q) * ((1 - p) * a[y0, x0] + p * a[y0, x1]) + q * ((1 - p) * a[y1, x0] + p * a[y1, x1])
                 assert got[i, x, y] == tuple(int(c) for c in np.floor(np.round(want, 6) + 0.5))
     assert all(got[1, x, y] == tuple(a[y, x]) for y in range(9) for x in range(13))
+
+
+def joins(df):
+    return [line.strip(" +-:*()0123456789").split(" ")[0] for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+
+
+def test_drawn_pixels_are_never_sent_whole(spark):
+    """A few boxes are many pixels, which Spark takes for as few bytes: a join of them by broadcast would hold them all in the driver."""
+    boxes = spark.createDataFrame([(1, 0, -1, 0, 3, 2, False, 1, 2, 3), (1, 1, 0, 0, 4, 3, True, 9, 9, 9), (1, 2, 3, 1, 9, 1, False, 5, 5, 5), (2, 0, 7, 7, 1, 1, False, 0, 0, 0)], "image_id long, z long, x int, y int, w int, h int, outline boolean, r int, g int, b int").coalesce(1)
+    drawn = raster.painted(boxes, 5, 4)
+    assert not joins(drawn)
+    w, a, o, b = (255,) * 3, (1, 2, 3), (9, 9, 9), (5, 5, 5)
+    want = [[o, o, o, o, w], [o, a, w, b, b], [o, o, o, o, w], [w] * 5]
+    got = {(r["image_id"], r["x"], r["y"]): (r["r"], r["g"], r["b"]) for r in drawn.collect()}
+    assert got == {(i, x, y): want[y][x] if i == 1 else w for i in (1, 2) for y in range(4) for x in range(5)}
+    gray = raster.gray(drawn)
+    spots = boxes.selectExpr("image_id", "z as box_id", "0 as x", "0 as y", "2 as w", "2 as h").where("box_id = 0")
+    for df in (raster.ssim(gray, gray, 3), raster.box_sums(gray.withColumnRenamed("v", "ink"), spots, "ink"), raster.resized(drawn, spots.selectExpr("image_id", "2 as width", "2 as height"))):
+        assert any(j == "SortMergeJoin" for j in joins(df))
+    assert joins(raster.gray(drawn).join(raster.apart(gray), ["image_id", "x", "y"])) == ["SortMergeJoin"]
+
+
+def test_kept_tables_of_many_rows_are_joined_by_a_shuffle(spark):
+    from quire.sources import tables
+
+    few, many = (tables.kept(spark.range(n).selectExpr("id % 7 as id", "1 as one"), "rows") for n in (10, tables.MANY + 1))
+    assert joins(spark.range(5).join(many, "id")) == ["SortMergeJoin"]
+    assert joins(spark.range(5).join(few, "id")) == ["BroadcastHashJoin"]
