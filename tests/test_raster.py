@@ -319,3 +319,10 @@ def test_kept_tables_of_many_rows_are_joined_by_a_shuffle(spark):
     few, many = (tables.kept(spark.range(n).selectExpr("id % 7 as id", "1 as one"), "rows") for n in (10, tables.MANY + 1))
     assert joins(spark.range(5).join(many, "id")) == ["SortMergeJoin"]
     assert joins(spark.range(5).join(few, "id")) == ["BroadcastHashJoin"]
+
+
+def test_empty_tables_are_kept(spark):
+    from quire.sources import tables
+
+    for none in (spark.range(0), spark.range(5).where("false"), spark.createDataFrame([], "id long"), spark.range(3).join(spark.range(0), "id")):
+        assert tables.kept(none, "none").count() == 0
