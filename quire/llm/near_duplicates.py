@@ -3,9 +3,9 @@
 Texts with the same shingle set are one class.  Shingles have one global order: those of the fewest
 documents first.  Two sets of at least the asked similarity share a shingle among the first
 ``n - ceil(t n) + 1`` of either (its prefix).  Classes with the same prefix and size form one group; groups meet
-in the buckets of their prefix shingles; group pairs are filtered by size and by how many prefix shingles they
-share (what is left of the sets bounds the rest) and by 512 parities of the sets, then expanded to their members, and
-the members' whole sets are compared.  The filters lose nothing, whatever the order of the shingles is; the order only decides the cost.
+in the buckets of their prefix shingles; group pairs are filtered by size, by the shingle's place in either set (behind the first
+one that they share there must be enough of both) and by 512 parities of the sets, then expanded to their members, filtered by
+as many parities as a set has shingles, and the members' whole sets are compared.  The filters lose nothing, whatever the order of the shingles is; the order only decides the cost.
 
 ``similar_pairs`` returns every link.  ``near_duplicates`` asks only for components, and a family of n near copies need not
 meet in n^2 / 2 pairs for that.  Its rounds are those of a minimum spanning forest: every bucket has a leader, every
@@ -34,9 +34,9 @@ from quire.llm.components import components
 from quire.llm.shared import drop, save, skew_join, text_key
 from quire.llm.textkernel import U, Words, blocks, lists, mix, shingle_sets
 
-#: A shingle is common when it is repeated within partitions in at least one of so many documents; the commonest are told to
-#: all tasks, at most ``COMMON_MOST`` (16 bytes each).  They only order prefixes.
-COMMON_SHARE, COMMON_LEAST, COMMON_MOST = 10_000, 8, 500_000
+#: A shingle is common when it is repeated within partitions in at least so many documents, however many there are: else buckets would grow with the
+#: corpus.  The commonest are told to all tasks, at most ``COMMON_MOST`` (16 bytes each).  They only order prefixes.
+COMMON_LEAST, COMMON_MOST = 8, 500_000
 _BLOOM_BITS = 26
 #: Comparisons with one text in one task, and pairs of which the keys (at most 100 bytes a pair) are told to all tasks, so that no other texts travel.
 HUB, FEW = 512, 50_000
@@ -49,8 +49,7 @@ def _text(docs: DataFrame):
 
 
 def _common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles with their counts.  Each task counts its own documents and passes on what it saw twice, so
-    a shingle of the given share of a corpus of any size is found."""
+    """Common shingles with their counts.  Each task counts its own documents and passes on what it saw twice."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -70,8 +69,7 @@ def _common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndar
         if held:
             yield out()
 
-    least = max(COMMON_LEAST, docs.count() // COMMON_SHARE)
-    found = _text(docs).mapInArrow(count, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    found = _text(docs).mapInArrow(count, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON_LEAST)
     found = found.orderBy(F.desc("c"), "s").limit(COMMON_MOST).toArrow()
     kinds = found["s"].to_numpy().view(np.uint64)
     order = np.argsort(kinds)
@@ -93,6 +91,23 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def wide_parity(s: np.ndarray) -> bytes | None:
+    """At least as many parities as a set of more than 512 has elements, a power of two of them."""
+    if len(s) <= 512:
+        return None
+    m = (len(s) - 1).bit_length()
+    return np.packbits(np.bincount((s >> U(64 - m)).astype(np.int64), minlength=1 << m).astype(np.uint8) & 1).tobytes()
+
+
+def wide_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two wide parities differ; the longer one is folded to the other's length."""
+    x, y = (np.unpackbits(np.frombuffer(p, np.uint8)) for p in (a, b))
+    while len(x) != len(y):
+        x, y = (y, x) if len(x) < len(y) else (x, y)
+        x = x[::2] ^ x[1::2]
+    return int((x != y).sum())
+
+
 def _apart(a: str, b: str) -> str:
     return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(8))
 
@@ -112,7 +127,7 @@ def prefix_size(n: int, num: int, den: int) -> int:
 
 
 def _prefixes(docs: DataFrame, shingle: int, num: int, den: int, common) -> DataFrame:
-    """By document: set size, class, group, and (for the first of a group in its task) the prefix."""
+    """By document: set size, class, group, and (for the first of a group in its task) the prefix, in the order of the shingles."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
     given = docs.select(F.col("doc_id").cast("long"), text_key().alias("tkey"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
 
@@ -120,13 +135,14 @@ def _prefixes(docs: DataFrame, shingle: int, num: int, den: int, common) -> Data
         kinds, counts = sent.value
         done: set[int] = set()
         for b in batches:
-            n, cls, grp, pre, par = [], [], [], [], []
+            n, cls, grp, pre, par, wide = [], [], [], [], [], []
             for block in blocks(b.column(2)):
                 for s in shingle_sets(Words(block), shingle):
                     k = len(s)
                     n.append(k)
                     cls.append(set_id(s))
                     par.append(parity(s))
+                    wide.append(wide_parity(s))
                     if not k:
                         grp.append(0)
                         pre.append(None)
@@ -136,17 +152,17 @@ def _prefixes(docs: DataFrame, shingle: int, num: int, den: int, common) -> Data
                         at = np.minimum(np.searchsorted(kinds, s), len(kinds) - 1)
                         often = np.where(kinds[at] == s, counts[at], 0)
                         s = s[np.lexsort((s, often))] if often.any() else s
-                    s = np.sort(s[:p])
+                    s = s[:p]
                     g = set_id(np.append(s, U(k)))
                     grp.append(g)
                     pre.append(None if g in done else s.tobytes())
                     done.add(g)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(grp, pa.int64()), pa.array(pre, pa.binary()), lists(par, pa.int64())],
-                ["doc_id", "tkey", "n", "cls", "grp", "prefix", "parity"],
+                [b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(grp, pa.int64()), pa.array(pre, pa.binary()), lists(par, pa.int64()), pa.array(wide, pa.binary())],
+                ["doc_id", "tkey", "n", "cls", "grp", "prefix", "parity", "wide"],
             )
 
-    return save(given.mapInArrow(build, "doc_id long, tkey long, n int, cls long, grp long, prefix binary, parity array<long>"), "prefix")
+    return save(given.mapInArrow(build, "doc_id long, tkey long, n int, cls long, grp long, prefix binary, parity array<long>, wide binary"), "prefix")
 
 
 def _exploded(pref: DataFrame) -> DataFrame:
@@ -156,9 +172,10 @@ def _exploded(pref: DataFrame) -> DataFrame:
                 part = b.slice(i, 2000)
                 sizes = np.array([len(x) // 8 for x in part.column(2).to_pylist()], np.int64)
                 flat = np.frombuffer(b"".join(part.column(2).to_pylist()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), *(pa.array(np.repeat(np.asarray(part.column(k)), sizes)) for k in (0, 1))], ["s", "grp", "n"])
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), *(pa.array(np.repeat(np.asarray(part.column(k)), sizes)) for k in (0, 1)), pa.array(place.astype(np.int32))], ["s", "grp", "n", "place"])
 
-    return pref.where("prefix is not null").select("grp", "n", "prefix").mapInArrow(rows, "s long, grp long, n int")
+    return pref.where("prefix is not null").select("grp", "n", "prefix").mapInArrow(rows, "s long, grp long, n int, place int")
 
 
 def _size_fits(a: str, b: str, num: int, den: int):
@@ -230,13 +247,13 @@ class _Join:
         self.num, self.den = num, den
         self.pref = pref = _prefixes(docs, shingle, num, den, _common_shingles(docs, shingle))
         # members of groups, one row a class (equal sets have equal prefixes) with the key of one of its texts; most groups have one
-        self.member = save(pref.where("n > 0").groupBy("grp", "cls").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.min("tkey").alias("tkey")), "members")
+        self.member = save(pref.where("n > 0").groupBy("grp", "cls").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("wide").alias("wide"), F.min("tkey").alias("tkey")), "members")
         heads = self.member.groupBy("grp").agg(F.min("cls").alias("head"), F.count("*").alias("k"), F.first("n").alias("n"))
         # buckets with at least two groups, each group once
         rows = _exploded(pref)
         shared = rows.groupBy("s").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("s")
         shared = save(shared, "shared")
-        self.bucket = save(rows.join(shared, "s").select("s", "grp", "n").distinct(), "buckets")
+        self.bucket = save(rows.join(shared, "s").select("s", "grp", "n", "place").distinct(), "buckets")
         drop(shared)
         self.heads = save(heads.join(self.bucket.select("grp").distinct().withColumn("meets", F.lit(True)), "grp", "left"), "heads")
         wanted = self.member.join(self.heads.where("k > 1 or meets").select("grp"), "grp").select("cls", "tkey")
@@ -261,29 +278,43 @@ class _Join:
         head = self.member.join(self.heads.select("grp", "head"), "grp").where("cls = head").select("grp", "cls", "n", "parity")
         return save(head.union(far).select("grp", F.col("cls").alias("unit"), "n", "parity"), "units")
 
-    def meet(self, bucket: DataFrame) -> DataFrame:
-        """Links of all unlike-labelled members of groups that share a bucket.  ``bucket``: (s, grp, n, unit, label)."""
+    def met(self, bucket: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Unlike-labelled groups (g1, g2, n1, n2) that share a bucket, a row for every bucket of other groups that can be the first they share, and the table that they are
+        made of.  ``bucket``: (s, grp, n, place, unit, label)."""
         num, den = self.num, self.den
         sign = self.member.groupBy("grp").agg(F.when(F.count("*") == 1, F.first("parity")).alias("parity"))  # of groups of one class
-        rows = bucket.select("s", "grp", "n", "label").join(sign, "grp")
-        by = rows.groupBy("s", "label").agg(F.count("*").alias("c"))
+        rows = bucket.select("s", "grp", "n", "place", "label").join(sign, "grp")
+        half = lambda seed: F.shiftrightunsigned(F.xxhash64("grp", "label", F.lit(seed)), 32)
+        by = rows.groupBy("s", "label").agg(F.count("*").alias("c"), F.sum(half(1)).alias("h1"), F.sum(half(2)).alias("h2"), F.sum("place").alias("at"))
         # of each bucket's commonest label no row need meet another: only rows of the others look for partners
-        top = by.groupBy("s").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("s", F.col("top.label").alias("top"))
-        rows = save(rows.join(top, "s"), "rest")
-        few = rows.where("label <> top").select("s", F.col("grp").alias("g1"), F.col("n").alias("n1"), F.col("label").alias("l1"), F.col("parity").alias("p1"))
-        all_ = rows.select("s", F.col("grp").alias("g2"), F.col("n").alias("n2"), F.col("label").alias("l2"), F.col("top").alias("top2"), F.col("parity").alias("p2"))
-        met = few.join(all_, "s").where(F.expr("l1 <> l2 and g1 <> g2")).where(F.expr("l2 = top2 or g1 < g2"))
-        met = met.where(_size_fits("n1", "n2", num, den)).where(_close("p1", "p2", "n1", "n2", num, den))
-        pairs = met.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2"), F.expr("if(g1 < g2, n1, n2)").alias("n1"), F.expr("if(g1 < g2, n2, n1)").alias("n2"))
-        # a group of several labels can count a bucket twice: that only weakens the filter
-        pairs = pairs.groupBy("g1", "g2", "n1", "n2").agg(F.count("*").alias("both"))
-        # beyond the prefixes at most n - prefix more can be shared: prefix = n - ceil(t n) + 1
-        left = lambda n: f"(({num}L * {n} + {den - 1}) div {den} - 1)"
-        pairs = pairs.where(F.expr(f"both + greatest({left('n1')}, {left('n2')}) >= {_enough('n1', 'n2', num, den)}"))
-        m = self.member.select("grp", "cls", "parity")
-        pairs = pairs.join(m.select(F.col("grp").alias("g1"), F.col("cls").alias("a"), F.col("parity").alias("p1")), "g1")
-        pairs = pairs.join(m.select(F.col("grp").alias("g2"), F.col("cls").alias("b"), F.col("parity").alias("p2")), "g2").where(_close("p1", "p2", "n1", "n2", num, den))
-        pairs = save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        top = by.groupBy("s").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"), *(F.sum(c).alias(c) for c in ("c", "h1", "h2", "at"))).where("labels > 1")
+        # of buckets of the same groups one is enough, the first in the order of the shingles, which is first in every group
+        one = top.groupBy("c", "h1", "h2").agg(F.min(F.struct("at", "s", F.col("top.label").alias("top"))).alias("one")).select("one.s", "one.top")
+        rows = save(rows.join(one, "s"), "rest")
+        side = lambda k: [F.col(c).alias(a) for c, a in (("grp", f"g{k}"), ("n", f"n{k}"), ("label", f"l{k}"), ("place", f"at{k}"), ("parity", f"p{k}"))]
+        met = rows.where("label <> top").select("s", *side(1)).join(rows.select("s", F.col("top").alias("top2"), *side(2)), "s")
+        met = met.where(F.expr("l1 <> l2 and g1 <> g2")).where(F.expr("l2 = top2 or g1 < g2"))
+        # what sets share lies, in either, at the first shared shingle or behind it
+        enough = _enough("n1", "n2", num, den)
+        met = met.where(_size_fits("n1", "n2", num, den)).where(F.expr(f"at1 <= n1 - {enough} and at2 <= n2 - {enough}")).where(_close("p1", "p2", "n1", "n2", num, den))
+        return met.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2"), F.expr("if(g1 < g2, n1, n2)").alias("n1"), F.expr("if(g1 < g2, n2, n1)").alias("n2")), rows
+
+    def meet(self, bucket: DataFrame) -> DataFrame:
+        """Links of all unlike-labelled members of groups that share a bucket.  ``bucket``: (s, grp, n, place, unit, label)."""
+        num, den = self.num, self.den
+        met, rows = self.met(bucket)
+        m = self.member.select("grp", "cls", "parity", "wide")
+        pairs = met.distinct().join(m.select(F.col("grp").alias("g1"), F.col("cls").alias("a"), F.col("parity").alias("p1"), F.col("wide").alias("w1")), "g1")
+        pairs = pairs.join(m.select(F.col("grp").alias("g2"), F.col("cls").alias("b"), F.col("parity").alias("p2"), F.col("wide").alias("w2")), "g2").where(_close("p1", "p2", "n1", "n2", num, den))
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                most, x, y = b.column("most").to_pylist(), b.column("w1"), b.column("w2")
+                keep = [not (x[i].is_valid and y[i].is_valid) or wide_apart(x[i].as_py(), y[i].as_py()) <= most[i] for i in range(len(b))]
+                yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w1", "w2", F.expr(f"cast(n1 + n2 - 2 * {_enough('n1', 'n2', num, den)} as long)").alias("most"))
+        pairs = save(pairs.mapInArrow(near, "a long, b long").distinct(), "pairs")
         drop(rows)
         return self.texts.links(pairs)
 
@@ -320,7 +351,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     own, far = join.inside()
     links = [own]
     units = join.units(far)
-    bucket = save(join.bucket.select("s", "grp").join(units.drop("parity"), "grp").withColumn("label", F.col("unit")), "round")
+    bucket = save(join.bucket.select("s", "grp", "place").join(units.drop("parity"), "grp").withColumn("label", F.col("unit")), "round")
     n = new = bucket.agg(F.countDistinct("unit")).first()[0]
     r = 0
     while n and new * QUIET >= n:

@@ -124,6 +124,46 @@ def families(r):
     return list(enumerate(texts + texts[:9], 1))
 
 
+def test_jaccard_join_of_near_copies_that_are_not_linked(spark, monkeypatch):
+    """Copies of one text with five edits each are just below the limit: few of them may meet, and not each pair in each bucket."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(400)]
+
+    def edited(d, edits):
+        words = list(base)
+        for k, at in enumerate(rng.choice(np.arange(6, 394, 6), edits, replace=False)):
+            words[at] = f"edit{d}_{k}"
+        return " ".join(words)
+
+    rows = [(d, edited(d, 5)) for d in range(60)]
+    made, met = [], near_duplicates._Join.met
+
+    def watched(join, bucket):
+        out = met(join, bucket)
+        made.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(near_duplicates._Join, "met", watched)
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = near_duplicates.near_duplicates(table).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute_components(rows)
+    assert made[0] < 60 * 59 // 2 * 4
+    # with an edit fewer all are linked, whatever their order
+    edges, _ = near_duplicates.similar_pairs(spark.createDataFrame([(d, edited(d, 4)) for d in range(20)], "doc_id long, text string"))
+    assert edges.count() == 20 * 19 // 2
+
+
+def test_wide_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(6)
+    for n in (600, 1024, 1025, 5000):
+        s = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        for gone, more in ((0, 0), (3, 0), (n // 10, n // 20), (n // 10, 0), (n, n)):
+            o = np.union1d(s[gone:], rng.integers(0, 2**63, more, dtype=np.uint64))
+            if len(o) > 512:
+                apart = near_duplicates.wide_apart(near_duplicates.wide_parity(s), near_duplicates.wide_parity(o))
+                assert apart <= len(np.setxor1d(s, o)) and (gone < n or apart > n * 0.4)
+
+
 def test_jaccard_join_of_crowded_families(spark, monkeypatch):
     """Leaders link most of a family, the last join the rest, and either alone is enough for no link to be lost."""
     rows = families(np.random.default_rng(0))
