@@ -226,6 +226,39 @@ def test_forests_and_components_of_any_depth(spark):
     assert sorted(map(sorted, roots.values())) == sorted(map(sorted, [{*map(int, order[:120])}, {int(order[130]), int(order[140])}, {1}, {2, 3}]))
 
 
+def test_components_of_blocks_of_any_size(spark, monkeypatch):
+    """What lies within a block is joined without rounds of jobs; what spans several is joined by rounds, to the same smallest node."""
+    rng = np.random.default_rng(5)
+    edges = [(g, int(a), int(b)) for g in range(40) for a, b in rng.integers(0, 60, (35, 2))]
+    want = {}
+    for g in range(40):
+        near = defaultdict(set)
+        for k, a, b in edges:
+            if k == g:
+                near[a].add(b), near[b].add(a)
+        for n in sorted(near):
+            todo = [] if (g, n) in want else [n]
+            while todo:
+                m = todo.pop()
+                if want.setdefault((g, m), n) == n:
+                    todo += [x for x in near[m] if (g, x) not in want]
+    df = spark.createDataFrame(edges, "g long, a long, b long")
+    told = []
+    real = graphs.climb
+    monkeypatch.setattr(graphs, "climb", lambda *a, **b: told.append(1) or real(*a, **b))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        for most in (16, 200, 1 << 18):
+            told.clear()
+            rows = graphs.connected(df, ["g"], most).collect()
+            assert len(rows) == len(want) and {(r["g"], r["node"]): r["root"] for r in rows} == want
+            assert bool(told) == (most == 16)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    none = graphs.connected(df.where("false"), ["g"])
+    assert none.columns == ["g", "node", "root"] and none.count() == 0
+
+
 def test_ruled_tables_with_spans_and_loose_rules(spark):
     rule = "document_id long, slide_number long, x1 double, y1 double, x2 double, y2 double"
     lines = [
