@@ -359,3 +359,21 @@ def test_empty_tables_are_kept(spark):
 
     for none in (spark.range(0), spark.range(5).where("false"), spark.createDataFrame([], "id long"), spark.range(3).join(spark.range(0), "id")):
         assert tables.kept(none, "none").count() == 0
+
+
+def test_edges_are_looked_for_in_bands_that_travel_once(spark, monkeypatch):
+    """An image's edges don't depend on where it is cut, and its pixels are dealt out once, not for every step along rows and columns."""
+    a = RNG.integers(0, 256, (23, 17, 1)).repeat(3, axis=2)
+    a[5:15, 3:12] = 250
+    seen = []
+    real = raster.kept
+    monkeypatch.setattr(raster, "kept", lambda df, tag: seen.append(df) or real(df, tag))
+    pixels = raster.gray(dense(spark, {1: a, 2: a[:9]}))
+    edges = lambda: sorted(map(tuple, raster.canny(pixels, 30, 150).collect()))
+    whole = edges()
+    moves = [line for line in seen[0]._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moves) == 2  # pixels to the rows of their image, rows to their band
+    assert {i for i, *_ in whole} == {1, 2} and len(whole) > 40
+    for band in (1, 2, 5):
+        monkeypatch.setattr(raster, "BAND", band)
+        assert edges() == whole
