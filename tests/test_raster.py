@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators import graphs, lattice, palettes, raster
 
@@ -377,3 +378,21 @@ def test_edges_are_looked_for_in_bands_that_travel_once(spark, monkeypatch):
     for band in (1, 2, 5):
         monkeypatch.setattr(raster, "BAND", band)
         assert edges() == whole
+
+
+def test_fidelity_is_measured_once(spark, monkeypatch):
+    """The measures of an image are joined with their verdict; the work behind them is in the plan once, not on both sides."""
+    from quire.plans import raster_queries
+
+    monkeypatch.setattr(raster_queries, "page_images", lambda *a: None)
+    seen = spark.sparkContext.accumulator(0)
+
+    def measured(n):
+        seen.add(1)
+        return n / 4
+
+    rows = lambda *a, **b: spark.range(1, 4).repartition(3).select(F.col("id").alias("key"), F.lit(2.0).alias("width"), F.lit(1.0).alias("height"), F.udf(measured, "double")("id").alias("ssim"), *(F.lit(1.0).alias(c) for c in ("layout", "border", "checkbox")))
+    monkeypatch.setattr(raster_queries.raster, "fidelity_measures", rows)
+    got = raster_queries.raster_fidelity(spark, "none").collect()
+    assert sorted((r["key"], r["ssim"]) for r in got) == [(1, 0.25), (2, 0.5), (3, 0.75)]
+    assert seen.value == 3
