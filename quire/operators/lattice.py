@@ -67,7 +67,8 @@ def cells(segments: DataFrame, snap: float = 3.0) -> DataFrame:
     at = kept(crossings(kept(rules(segments, snap), "rules"), snap), "crossings")
     along, below = Window.partitionBy(*PAGE, "h").orderBy("x"), Window.partitionBy(*PAGE, "v").orderBy("y")
     ahead = (1, Window.unboundedFollowing)
-    corner = at.withColumns({
+    # dealt out by page once, for the windows along and below
+    corner = at.repartition(*PAGE).withColumns({
         "r": F.first(F.when(F.col("down"), F.struct("v", "x")), ignorenulls=True).over(along.rowsBetween(*ahead)),
         "d": F.first(F.when(F.col("right"), F.struct("h", "y")), ignorenulls=True).over(below.rowsBetween(*ahead)),
         # the last rule to the right leads nowhere further down, the last one below nowhere further right
@@ -78,7 +79,7 @@ def cells(segments: DataFrame, snap: float = 3.0) -> DataFrame:
     boxes = corner.select(*PAGE, "h", "x", "y", F.col("r.v").alias("v2"), F.col("r.x").alias("x2"), F.col("d.h").alias("h2"), F.col("d.y").alias("y2")).join(closed, [*PAGE, "h2", "v2"])
     table = connected(at.select(*PAGE, F.col("h").alias("a"), F.col("v").alias("b")), list(PAGE)).select(*PAGE, F.col("node").alias("h"), "root")
     first = table.groupBy(*PAGE, "root").agg(F.min("h").alias("table_id"))
-    boxes = boxes.join(table, [*PAGE, "h"]).join(first, [*PAGE, "root"])
+    boxes = kept(boxes.join(table, [*PAGE, "h"]).join(first, [*PAGE, "root"]).select(*PAGE, "table_id", "x", "y", "x2", "y2"), "boxes")
     for low, high, index, span in (("y", "y2", "row", "row_span"), ("x", "x2", "col", "col_span")):
         places = boxes.select(*PAGE, "table_id", F.explode(F.array(low, high)).alias("place")).distinct()
         places = places.withColumn("n", F.row_number().over(Window.partitionBy(*PAGE, "table_id").orderBy("place")) - 1)

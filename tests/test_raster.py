@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -396,3 +397,43 @@ def test_fidelity_is_measured_once(spark, monkeypatch):
     got = raster_queries.raster_fidelity(spark, "none").collect()
     assert sorted((r["key"], r["ssim"]) for r in got) == [(1, 0.25), (2, 0.5), (3, 0.75)]
     assert seen.value == 3
+
+
+def test_shuffle_files_go_when_a_kept_table_is_complete(spark):
+    from pathlib import Path
+
+    from quire.sources import tables
+
+    folders = list(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {p.name for d in folders for p in Path(d).rglob("shuffle_*.data")}
+    option, before = spark.conf.get(tables._CLEANUP, "false"), files()
+    sums = tables.kept(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("n")), "sums")
+    for _ in range(50):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(tables._CLEANUP, "false") == option
+    assert {(r["k"], r["n"]) for r in sums.collect()} == {(k, sum(range(k, 1000, 7))) for k in range(7)}
+
+
+def test_corners_of_ruled_tables_are_found_once(spark, monkeypatch, tmp_path):
+    """Crossings are dealt out once for both windows, and rows and columns are counted over kept boxes; three tables on two pages come out as drawn."""
+    from quire.plans import lattice_queries
+
+    rows = [(o, n, o * 10 + n, float(n), "A", "F") for o in (40, 41, 43) for n in range(1, 5)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plans, real = {}, lattice.kept
+    monkeypatch.setattr(lattice, "kept", lambda df, tag: plans.setdefault(tag, df) is None or real(df, tag))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = lattice_queries.ruled_matrix(spark, str(tmp_path))
+        got = sorted((r["slide_number"], r["row"], r["line"]) for r in out.collect())
+        boxes, cells = (plans[tag]._jdf.queryExecution().executedPlan().toString() for tag in ("boxes", "cells"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert boxes.count("REPARTITION_BY_COL") == 1 and boxes.count("Window [") == 2
+    assert "first(" not in cells and "root#" not in cells
+    want = lambda o, r: f"A|F|{o * 10 + r + 1} {r + 1}|" if r % 3 == 1 else f"A|F|{o * 10 + r + 1}|{r + 1}"
+    assert got == sorted((o // 2, r, want(o, r)) for o in (40, 41, 43) for r in range(4))
