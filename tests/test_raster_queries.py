@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from quire.operators import drawings, raster
 from quire.plans import raster_queries
 
 
@@ -21,3 +23,39 @@ def test_objects_are_looked_for_in_whole_pages(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(raster_queries.raster, "image_objects", lambda pixels, w, h: pixels.withColumn("box_id", F.lit(1)))
     got, want = raster_queries.image_objects(spark, d), raster_queries.page_images(spark, d)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and want.select("image_id").distinct().count() == 3
+
+
+def boxes(spark, n=60, images=4, width=40, height=30):
+    """Boxes and outlines in and around images, some over others, some of one order of drawing, and an image with nothing inside."""
+    rng = np.random.default_rng(11)
+    rows = [(int(i), int(z), *map(int, rng.integers(-6, (width, height))), *map(int, rng.integers(0, 25, 2)), bool(z % 3 == 0), *map(int, rng.integers(0, 256, 3))) for i in range(images) for z in rng.integers(0, 50, n)]
+    rows.append((images, 1, width + 3, 2, 5, 5, False, 1, 2, 3))
+    return spark.createDataFrame(rows, "image_id long, z int, x int, y int, w int, h int, outline boolean, r int, g int, b int")
+
+
+def same(a, b):
+    assert a.columns == b.columns and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and not a.isEmpty()
+
+
+def test_similarity_of_drawn_images_equals_that_of_their_pixels(spark, monkeypatch):
+    """The same for images drawn in the task that measures them, of which only the boxes travel, once, however they fall into batches."""
+    a = boxes(spark)
+    b = a.where("z % 7 <> 0 and image_id <> 2").unionByName(a.where("image_id = 4"))
+    for w, h, size in ((40, 30, 7), (40, 5, 7), (23, 30, 3)):
+        same(drawings.ssim(a, b, w, h, size), raster.ssim(raster.gray(raster.painted(a, w, h)), raster.gray(raster.painted(b, w, h)), size))
+    plan = drawings.ssim(a, b, 40, 30)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_COL") == 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        same(drawings.ssim(a, b, 40, 30), raster.ssim(raster.gray(raster.painted(a, 40, 30)), raster.gray(raster.painted(b, 40, 30))))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = drawings.ssim(a, b, 40, 30).collect()
+    monkeypatch.setattr(drawings, "WHOLE", 100)  # larger images go by their pixels
+    assert sorted(drawings.ssim(a, b, 40, 30).collect()) == sorted(want)
+
+
+def test_pages_are_compared_by_their_boxes(spark, tmp_path):
+    """What is dealt out for raster_ssim are boxes, not pixels."""
+    plan = raster_queries.raster_ssim(spark, events(spark, tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "sequence(" not in plan
