@@ -113,3 +113,40 @@ def ssim(a: DataFrame, b: DataFrame, width: int, height: int, size: int = 7, pea
         return raster.ssim(*(raster.gray(raster.painted(x, width, height)) for x in (a, b)), size, peak)
     m = compared(a, b, width, height, lambda x, y: similarity(x, y, size, peak), "s double, plain double")
     return m.select("image_id", F.expr("bround(greatest(0D, least(1D, coalesce(s, plain))), 6)").alias("ssim"))
+
+
+def colored(images: np.ndarray, place: np.ndarray, boxes: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """(image_id, box_id, c, n, edge): how many pixels of each colour lie in a box of its image, and how many of them on the box's border."""
+    high, wide = images.shape[1:]
+    x1, x2, y1, y2 = (boxes[k].to_numpy().astype(np.int64) for k in ("x1", "x2", "y1", "y2"))
+    left, top = np.maximum(x1, 0), np.maximum(y1, 0)
+    w = np.maximum(np.minimum(x2, wide - 1) - left + 1, 0)
+    area = w * np.maximum(np.minimum(y2, high - 1) - top + 1, 0)
+    for some in np.split(np.arange(len(boxes)), np.flatnonzero(np.diff(np.cumsum(area) // WHOLE)) + 1):
+        of, n = np.repeat(some, area[some]), area[some]
+        k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        x, y = left[of] + k % w[of], top[of] + k // w[of]
+        edge = (x == x1[of]) | (x == x2[of]) | (y == y1[of]) | (y == y2[of])
+        code, at = np.unique((of << 24) + images[place[of], y, x], return_inverse=True)
+        box = boxes.iloc[code >> 24]
+        yield pd.DataFrame({"image_id": box["image_id"].to_numpy(), "box_id": box["z"].to_numpy(), "c": code & 0xFFFFFF, "n": np.bincount(at, minlength=len(code)), "edge": np.bincount(at, edge, len(code)).astype(np.int64)})
+
+
+def box_colors(drawing: DataFrame, boxes: DataFrame, width: int, height: int, contrast: float = 40.0) -> DataFrame:
+    """What ``raster.box_colors`` says of ``boxes`` (image_id, box_id, x, y, w, h) of images that are drawn from the boxes of ``drawing``."""
+    if width * height > WHOLE:
+        return raster.box_colors(raster.painted(drawing, width, height), boxes, contrast)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for keys, place, rows in whole(batches, max(1, WHOLE // (width * height))):
+            here, asked = ((rows["side"] == s).to_numpy() for s in (0, 1))
+            asked &= np.bincount(place[here], minlength=len(keys))[place] > 0  # an image is drawn where it has a box
+            if asked.any():
+                yield from colored(drawn(len(keys), place[here], rows[here], width, height, 0xFFFFFF), place[asked], rows[asked])
+
+    spots = boxes.where("image_id is not null and w > 0 and h > 0").select("image_id", F.col("box_id").cast("long").alias("z"), *(F.expr(f"cast({e} as int)").alias(k) for k, e in (("x1", "x"), ("x2", "x + w - 1"), ("y1", "y"), ("y2", "y + h - 1"))), F.lit(0).alias("c"))
+    kind = [drawing.schema["image_id"].dataType.simpleString(), boxes.schema["box_id"].dataType.simpleString()]
+    seen = together(parts(drawing, width, height), spots).mapInPandas(run, f"image_id {kind[0]}, box_id long, c int, n long, edge long").repartition("image_id", "box_id")
+    seen = seen.withColumn("box_id", F.col("box_id").cast(kind[1])) if kind[1] != "bigint" else seen
+    seen = seen.withColumns({"r": F.expr("c div 65536"), "g": F.expr("c div 256 % 256"), "b": F.expr("c % 256")}).withColumn("v", F.expr(f"cast({raster.GRAY} as int)"))
+    return raster.side_colors(seen.groupBy("image_id", "box_id", "v").agg(*(F.sum(c).alias(c) for c in ("n", "edge")), *(F.sum(F.expr(f"{c} * n")).alias(c) for c in "rgb")), contrast)

@@ -59,3 +59,16 @@ def test_pages_are_compared_by_their_boxes(spark, tmp_path):
     """What is dealt out for raster_ssim are boxes, not pixels."""
     plan = raster_queries.raster_ssim(spark, events(spark, tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "sequence(" not in plan
+
+
+def test_colours_of_boxes_of_drawn_images_equal_those_of_their_pixels(spark, monkeypatch, tmp_path):
+    """Also of boxes that reach beyond their image; boxes and the colours that each holds are dealt out, once each, and no pixels."""
+    a = boxes(spark)
+    asked = a.where("w > 0 and h > 0 and z % 4 = 1").selectExpr("image_id", "z as box_id", "x", "y", "w", "h").unionByName(spark.sql("select 99L image_id, 7 box_id, 1 x, 1 y, 5 w, 5 h"))
+    want = raster.box_colors(raster.painted(a, 40, 30), asked)
+    same(drawings.box_colors(a, asked, 40, 30), want)
+    monkeypatch.setattr(drawings, "WHOLE", 1200)  # one image, and the pixels of few boxes, at a time
+    same(drawings.box_colors(a, asked, 40, 30), want)
+    monkeypatch.undo()
+    plan = raster_queries.box_colors(spark, events(spark, tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_COL") == 2 and "sequence(" not in plan and "Join" not in plan
