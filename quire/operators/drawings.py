@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import raster
+from quire.operators.graphs import _smallest
 
 #: Pixels of an image that a task may hold whole, and of the images that it draws at once.
 WHOLE = 1 << 20
@@ -115,6 +116,99 @@ def ssim(a: DataFrame, b: DataFrame, width: int, height: int, size: int = 7, pea
     return m.select("image_id", F.expr("bround(greatest(0D, least(1D, coalesce(s, plain))), 6)").alias("ssim"))
 
 
+# -- what the images show, as ``raster`` finds it in rows of pixels: stacks (image, row, column)
+
+
+def _begin(mask: np.ndarray) -> np.ndarray:
+    """The first pixels of the runs of a mask's rows."""
+    out = mask.copy()
+    out[:, :, 1:] &= ~mask[:, :, :-1]
+    return out
+
+
+def labelled(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, root): the number of each set pixel's run, and the smallest run of each run's shape.  Runs of neighbouring rows touch once for each stretch that they share, or at a corner."""
+    start = _begin(mask)
+    run = start.ravel().cumsum().reshape(mask.shape) - 1
+    up, down = mask[:, :-1], mask[:, 1:]
+    a, b = up[:, :, :-1] & ~down[:, :, :-1], up[:, :, 1:] & ~down[:, :, 1:]
+    touch = [(_begin(up & down), slice(None), slice(None)), (a & ~up[:, :, 1:] & down[:, :, 1:], slice(0, -1), slice(1, None)), (b & ~up[:, :, :-1] & down[:, :, :-1], slice(1, None), slice(0, -1))]
+    links = [(run[:, :-1, u][t], run[:, 1:, v][t]) for t, u, v in touch]
+    return run, _smallest(*(np.concatenate(x) for x in zip(*links, strict=True)), int(start.sum()))
+
+
+def spans(mask: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(image, y, x1, x2) of the runs, in order of their numbers."""
+    image, y, x1 = np.nonzero(_begin(mask))
+    return image, y, x1, np.nonzero(_begin(mask[:, :, ::-1])[:, :, ::-1])[2]
+
+
+def squares(mask: np.ndarray) -> np.ndarray:
+    """How many shapes of each image are nearly square, of 8 to 32 pixels."""
+    if not mask.any():
+        return np.zeros(len(mask), np.int64)
+    root = labelled(mask)[1]
+    order = np.argsort(root, kind="stable")
+    image, y, x1, x2 = (v[order] for v in spans(mask))
+    first = np.flatnonzero(np.r_[True, np.diff(root[order]) > 0])
+    w = np.maximum.reduceat(x2, first) - np.minimum.reduceat(x1, first) + 1
+    h = np.maximum.reduceat(y, first) - np.minimum.reduceat(y, first) + 1
+    some = (w >= 8) & (w <= 32) & (h >= 8) & (h <= 32) & (w / h >= 0.8) & (w / h <= 1.25)
+    return np.bincount(image[first][some], minlength=len(mask))
+
+
+def strokes(mask: np.ndarray, length: int) -> np.ndarray:
+    """The set pixels in runs of at least ``length`` along a row or a column."""
+
+    def along(m: np.ndarray) -> np.ndarray:
+        _, _, x1, x2 = spans(m)
+        return m & (x2 - x1 + 1 >= length)[_begin(m).ravel().cumsum().reshape(m.shape) - 1] if m.any() else m
+
+    return along(mask) | along(mask.transpose(0, 2, 1)).transpose(0, 2, 1)
+
+
+def _moved(v: np.ndarray, dy: int, dx: int) -> np.ndarray:
+    """Of a stack with a border of one pixel, the values beside each pixel inside it."""
+    return v[:, 1 + dy : v.shape[1] - 1 + dy, 1 + dx : v.shape[2] - 1 + dx]
+
+
+def canny(v: np.ndarray, low: int, high: int) -> np.ndarray:
+    """The edges of gray images, as ``raster.canny`` finds them."""
+    p = np.pad(v, ((0, 0), (1, 1), (1, 1)), "edge")
+    side = lambda dx: _moved(p, -1, dx) + 2 * _moved(p, 0, dx) + _moved(p, 1, dx)
+    level = lambda dy: _moved(p, dy, -1) + 2 * _moved(p, dy, 0) + _moved(p, dy, 1)
+    gx, gy = side(1) - side(-1), level(1) - level(-1)
+    m = np.abs(gx) + np.abs(gy)
+    at = lambda dy, dx, q=np.pad(m, ((0, 0), (1, 1), (1, 1))): _moved(q, dy, dx)
+    ax, ay = np.abs(gx).astype(np.int64) * 13573, np.abs(gy).astype(np.int64) * 32768
+    flat, steep = ay < ax, ay > ax + np.abs(gx).astype(np.int64) * 65536
+    falls = (gx < 0) != (gy < 0)
+    peak = np.where(flat, (m > at(0, -1)) & (m >= at(0, 1)), np.where(steep, (m > at(-1, 0)) & (m >= at(1, 0)), np.where(falls, (m > at(-1, 1)) & (m > at(1, -1)), (m > at(-1, -1)) & (m > at(1, 1)))))
+    some = peak & (m > low)
+    if not some.any():
+        return some
+    run, root = labelled(some)
+    firm = np.zeros(len(root), bool)
+    firm[root[run[some & (m > high)]]] = True
+    return some & firm[root][run]
+
+
+def likeness(a: np.ndarray, b: np.ndarray, bright: int, stroke: int, low: int, high: int) -> dict[str, np.ndarray]:
+    """What ``raster.fidelity_measures`` is made of: similarity, the pixels that both and either have of edges and of strokes, and the numbers of squares."""
+    out = similarity(a, b, 7, 255.0)
+    ink = [v <= bright for v in (a, b)]
+    for name, (p, q) in (("layout", [canny(v, low, high) for v in (a, b)]), ("border", [strokes(v, stroke) for v in ink])):
+        out |= {f"{name}_both": (p & q).sum((1, 2)), f"{name}_any": (p | q).sum((1, 2))}
+    return out | {"n0": squares(ink[0]), "n1": squares(ink[1])}
+
+
+def fidelity_measures(original: DataFrame, other: DataFrame, width: int, height: int, bright: int, stroke: int, low: int, high: int) -> DataFrame:
+    """(image_id, width, height, ssim, layout, border, n0, n1) of images of up to ``WHOLE`` pixels, drawn from two tables of boxes."""
+    m = compared(original, other, width, height, lambda x, y: likeness(x, y, bright, stroke, low, high), "s double, plain double, layout_both long, layout_any long, border_both long, border_any long, n0 long, n1 long")
+    share = [F.expr(f"{c}_both / nullif({c}_any, 0)").alias(c) for c in ("layout", "border")]
+    return m.select("image_id", F.lit(float(width)).alias("width"), F.lit(float(height)).alias("height"), F.expr("bround(greatest(0D, least(1D, coalesce(s, plain))), 6)").alias("ssim"), *share, "n0", "n1")
+
+
 def colored(images: np.ndarray, place: np.ndarray, boxes: pd.DataFrame) -> Iterator[pd.DataFrame]:
     """(image_id, box_id, c, n, edge): how many pixels of each colour lie in a box of its image, and how many of them on the box's border."""
     high, wide = images.shape[1:]

@@ -72,3 +72,30 @@ def test_colours_of_boxes_of_drawn_images_equal_those_of_their_pixels(spark, mon
     monkeypatch.undo()
     plan = raster_queries.box_colors(spark, events(spark, tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == plan.count("REPARTITION_BY_COL") == 2 and "sequence(" not in plan and "Join" not in plan
+
+
+def test_fidelity_of_drawn_images_equals_that_of_their_pixels(spark, monkeypatch):
+    """Edges, strokes and squares too, with shapes that wind, touch at corners and lie in neighbouring images; only boxes are dealt out, once."""
+    a = boxes(spark, images=3).unionByName(spark.createDataFrame([(3, z, x, y, w, h, o, 5, 5, 5) for z, (x, y, w, h, o) in enumerate([(1, 1, 10, 10, True), (11, 11, 9, 9, False), (25, 2, 12, 11, True), (0, 29, 40, 1, False), (39, 0, 1, 30, False)])], "image_id long, z int, x int, y int, w int, h int, outline boolean, r int, g int, b int"))
+    b = a.where("z % 5 <> 2 or image_id = 1")
+    got = raster.fidelity_measures(a, b, stroke=12, size=(40, 30))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_COL") == 1 and "sequence(" not in plan
+    got = sorted(map(tuple, got.collect()))
+    assert len(got) == 4 and len({r[4:] for r in got}) > 2
+    monkeypatch.setattr(drawings, "WHOLE", 100)  # larger images go by their pixels
+    assert sorted(map(tuple, raster.fidelity_measures(a, b, stroke=12, size=(40, 30)).collect())) == got
+
+
+def test_shapes_of_stacks_equal_those_of_rows(spark):
+    rng = np.random.default_rng(5)
+    masks = np.stack([rng.random((20, 33)) < p for p in (0.02, 0.3, 0.45, 0.6)])
+    masks[0, 2:12, 3:13] = True
+    rows = spark.createDataFrame([(int(i), int(x), int(y)) for i, y, x in zip(*np.nonzero(masks), strict=True)], "image_id long, x int, y int")
+    count = {r[0]: r[1] for r in raster.shapes(raster.runs(rows)).groupBy("image_id").count().collect()}
+    run, root = drawings.labelled(masks)
+    for i, m in enumerate(masks):
+        assert len(set(root[run[i][m]])) == count[i]
+    assert drawings.squares(masks)[0] == 1 and drawings.squares(np.zeros((2, 3, 3), bool)).tolist() == [0, 0]
+    want = {tuple(r) for r in raster.strokes(rows, 5).collect()}
+    assert {(int(i), int(x), int(y)) for i, y, x in zip(*np.nonzero(drawings.strokes(masks, 5)), strict=True)} == want
